@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import fingerprints, mixing, quality
+from tidemark.llm import fingerprints, mixing, quality, tokens
 
-_OPERATORS = {"op3_fingerprints": fingerprints, "op5_source_mixing": mixing, "op8_quality_rules": quality}
+_OPERATORS = {"op3_fingerprints": fingerprints, "op5_source_mixing": mixing, "op6_token_counts": tokens, "op8_quality_rules": quality}
 
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
 ORACLE_SQL = {name: module.SQL for name, module in _OPERATORS.items() if getattr(module, "SQL", None)}
