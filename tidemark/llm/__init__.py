@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, fingerprints, mixing, quality, tokens
+from tidemark.llm import bpe, fingerprints, language_id, mixing, quality, tokens
 
-_OPERATORS = {"op3_fingerprints": fingerprints, "op5_source_mixing": mixing, "op6_token_counts": tokens, "op8_quality_rules": quality, "op10_byte_bpe": bpe}
+_OPERATORS = {"op1_language_id": language_id, "op3_fingerprints": fingerprints, "op5_source_mixing": mixing, "op6_token_counts": tokens, "op8_quality_rules": quality, "op10_byte_bpe": bpe}
 
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
 ORACLE_SQL = {name: module.SQL for name, module in _OPERATORS.items() if getattr(module, "SQL", None)}

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -156,11 +157,11 @@ class Encoder:
         return sum([c[0] for c in codes]), " ".join([c[1] for c in codes])
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def _encode(path: str, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key = (path, shared.id if hasattr(shared, "id") else id(shared))
+def _encode(path: str, name: str, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key = (path, name)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(path, shared.value)
@@ -176,7 +177,7 @@ def fold_frequent(docs: DataFrame, path: str, most: int = FOLDED) -> DataFrame:
     counted = found.where(F.octet_length("word") <= FOLD_BYTES).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     top = materialize(counted.orderBy(F.desc("n"), "word").limit(most).select("word"))
     ids = fold_merges(F.col("word"), load_ranks(path))
-    return top.repartition(64).select("word", F.array_join(ids, " ").alias("ids"))
+    return top.repartition(12).select("word", F.array_join(ids, " ").alias("ids"))
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, most_folded: int = FOLDED) -> DataFrame:
@@ -184,8 +185,8 @@ def encode(docs: DataFrame, ranks_path: str | None = None, most_folded: int = FO
     path = ranks_path or public_tokenizers.path(RANKS)
     spark = docs.sparkSession
     folded = {r.word: r.ids for r in fold_frequent(docs, path, most_folded).toLocalIterator()}
-    shared = spark.sparkContext.broadcast(folded)
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encode(path, shared, batches), "doc_id long, n_tokens long, ids string")
+    shared, name = spark.sparkContext.broadcast(folded), uuid.uuid4().hex
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encode(path, name, shared, batches), "doc_id long, n_tokens long, ids string")
 
 
 def decode(ids: Column, ranks_path: str | None = None) -> Column:
