@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, fingerprints, language_id, mixing, quality, substring_dedup, suffix_dedup, tokens
+from tidemark.llm import bpe, fingerprints, jaccard_join, language_id, mixing, quality, substring_dedup, suffix_dedup, tokens
 
-_OPERATORS = {"op1_language_id": language_id, "op3_fingerprints": fingerprints, "op4_suffix_dedup": suffix_dedup, "op5_source_mixing": mixing, "op6_token_counts": tokens, "op8_quality_rules": quality, "op9_substring_dedup": substring_dedup, "op10_byte_bpe": bpe}
+_OPERATORS = {"op1_language_id": language_id, "op3_fingerprints": fingerprints, "op4_suffix_dedup": suffix_dedup, "op5_source_mixing": mixing, "op6_token_counts": tokens, "op7_jaccard_join": jaccard_join, "op8_quality_rules": quality, "op9_substring_dedup": substring_dedup, "op10_byte_bpe": bpe}
 
 QUERIES = {name: module.query for name, module in _OPERATORS.items()}
 ORACLE_SQL = {name: module.SQL for name, module in _OPERATORS.items() if getattr(module, "SQL", None)}
