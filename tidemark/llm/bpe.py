@@ -23,7 +23,7 @@ import base64
 import heapq
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import public_tokenizers
@@ -167,8 +167,9 @@ def _encode(path: str, name: str, shared, batches: Iterator[pa.RecordBatch]) ->
         _ENCODERS[key] = Encoder(path, shared.value)
     encode = _ENCODERS[key].text
     for batch in batches:
-        done = [encode(t) for texts in _batches(batch.column(1), 4_000_000) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in done], pa.int64()), pa.array([x for _, x in done], pa.string())], ["doc_id", "n_tokens", "ids"])
+        done = [encode(t) for texts in _batches(batch.columns[-1], 4_000_000) for t in texts]
+        new = [pa.array([n for n, _ in done], pa.int64()), pa.array([x for _, x in done], pa.string())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], "n_tokens", "ids"])
 
 
 def fold_frequent(docs: DataFrame, path: str, most: int = FOLDED) -> DataFrame:
@@ -180,13 +181,15 @@ def fold_frequent(docs: DataFrame, path: str, most: int = FOLDED) -> DataFrame:
     return top.repartition(12).select("word", F.array_join(ids, " ").alias("ids"))
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None, most_folded: int = FOLDED) -> DataFrame:
-    """(doc_id, n_tokens, ids): each text's ids in decimal, joined by one space."""
+def encode(docs: DataFrame, ranks_path: str | None = None, most_folded: int = FOLDED, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, the columns of keep, n_tokens, ids): each text's ids in decimal, joined by one space."""
     path = ranks_path or public_tokenizers.path(RANKS)
     spark = docs.sparkSession
     folded = {r.word: r.ids for r in fold_frequent(docs, path, most_folded).toLocalIterator()}
     shared, name = spark.sparkContext.broadcast(folded), uuid.uuid4().hex
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encode(path, name, shared, batches), "doc_id long, n_tokens long, ids string")
+    rows = docs.select("doc_id", *keep, "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(lambda batches: _encode(path, name, shared, batches), f"{schema}, n_tokens long, ids string")
 
 
 def decode(ids: Column, ranks_path: str | None = None) -> Column:
