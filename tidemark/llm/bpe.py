@@ -23,7 +23,7 @@ import base64
 import heapq
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import public_tokenizers
@@ -39,7 +39,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Words encoded by the folds, and the most bytes of one.
 FOLDED, FOLD_BYTES = 150_000, 32
 KEEP_CHARS, KEEP_PIECES = 48, 400_000
-BUCKETS = 1 << 16
+SLOTS = 1 << 15
 
 
 @lru_cache(maxsize=4)
@@ -48,33 +48,35 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_lookup(ranks: dict[bytes, int]):
-    """Function from a column with a piece in hexadecimal to its rank (null if none), over literal arrays."""
-    slots: list[list[tuple[str, int]]] = [[] for _ in range(BUCKETS)]
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The ranks as one literal: pieces in hexadecimal by slots of their crc32, where each slot starts, and their ranks."""
+    slots: list[list[tuple[str, int]]] = [[] for _ in range(SLOTS)]
     for piece, rank in ranks.items():
         h = piece.hex().upper()
-        slots[zlib.crc32(h.encode()) % BUCKETS].append((h, rank))
+        slots[zlib.crc32(h.encode()) % SLOTS].append((h, rank))
     starts, keys, values = [0], [], []
     for s in slots:
         keys += [k for k, _ in s]
-        values += [str(v) for _, v in s]
+        values += [v for _, v in s]
         starts.append(len(keys))
     literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",")  # noqa: E731  folded to one constant when planned
-    starts_at, keys_at, values_at = literal(starts).cast("array<int>"), literal(keys), literal(values).cast("array<int>")
+    return F.struct(literal(starts).cast("array<int>").alias("starts"), literal(keys).alias("keys"), literal(values).cast("array<int>").alias("ranks"))
 
-    def rank(piece: Column) -> Column:
-        slot = (F.crc32(piece) % BUCKETS).cast("int")
-        first = F.get(starts_at, slot)
-        place = F.array_position(F.slice(keys_at, first + 1, F.get(starts_at, slot + 1) - first), piece).cast("int")
-        return F.when(place > 0, F.get(values_at, first + place - 1))
 
-    return rank
+def look_up(table: Column, piece: Column) -> Column:
+    """Rank of a piece, null if it has none."""
+    slot = (F.crc32(piece) % SLOTS).cast("int")
+    first = F.get(table["starts"], slot)
+    place = F.array_position(F.slice(table["keys"], first + 1, F.get(table["starts"], slot + 1) - first), piece).cast("int")
+    return F.when(place > 0, F.get(table["ranks"], first + place - 1))
 
 
 def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of a word (string): merges folded over its byte pieces."""
-    rank = rank_lookup(ranks)
+    """Ids of a word (string): merges folded over its byte pieces. The rank map stands in the plan once."""
+    return let(rank_map(ranks), lambda table: _folded(word, lambda piece: look_up(table, piece)))
 
+
+def _folded(word: Column, rank: Callable[[Column], Column]) -> Column:
     def merge(p: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.concat(F.get(p, i), F.get(p, i + 1))))
 
