@@ -39,7 +39,7 @@ KNOWN_FROM = 2
 SMOOTH = 0.5
 #: Weight of a word that is only known by its n-grams.
 BACKOFF = 0.5
-KEEP_WORDS = 300_000
+KEEP_WORDS, TEXTS_AT_ONCE = 400_000, 500
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 LETTERS = r"\p{L}+"
@@ -97,39 +97,60 @@ def fit(labelled: DataFrame) -> Model:
 
 
 class Scorer:
+    """Scores of texts; rows of seen words are kept in one matrix, new ones are worked out for many texts at once."""
+
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def word(self, w: str) -> np.ndarray:
-        """Log scores of one word: its own, else from its n-grams, the longest known at each place."""
-        own = self.model.words.get(w)
-        if own is not None:
-            return own
-        marked, grams = f"<{w}>", self.model.grams
-        total, n, i = np.zeros(len(self.model.langs)), 0, 0
-        while i < len(marked):
+        self.langs = model.langs
+        tables = [*model.words.values(), *model.grams.values()]
+        self.rows = np.array(tables) if tables else np.zeros((0, len(model.langs)))
+        self.words = {w: i for i, w in enumerate(model.words)}
+        self.grams = {g: len(model.words) + i for i, g in enumerate(model.grams)}
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((0, len(model.langs)))
+
+    def parts(self, word: str) -> list[int]:
+        """Rows of a word's n-grams: at each place the longest that is known."""
+        marked, get, out = f"<{word}>", self.grams.get, []
+        for i in range(len(marked)):
             for k in ORDERS:
-                row = grams.get(marked[i : i + k]) if i + k <= len(marked) else None
+                row = get(marked[i : i + k])
                 if row is not None:
-                    total += row
-                    n += 1
+                    out.append(row)
                     break
-            i += 1
-        return total * (BACKOFF / n) if n else total
-
-    def text(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(_TOKEN.findall(text.lower())) if text else None
-        if not counts or not self.model.langs:
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        rows: list[int] = []
+        sizes, scales = [], []
+        for w in new:
+            own = self.words.get(w)
+            found = self.parts(w) if own is None else [own]
+            rows += found
+            sizes.append(len(found))
+            scales.append(1.0 if own is not None else BACKOFF / max(1, len(found)))
+        sizes = np.array(sizes)
+        added = np.zeros((len(new), len(self.langs)))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            added[some] = np.add.reduceat(self.rows[rows], (np.cumsum(sizes) - sizes)[some]) * np.array(scales)[some, None]
+        self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
+        self.scores = np.concatenate([self.scores, added])
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        counts = [Counter(_TOKEN.findall(t.lower())) if t else None for t in texts]
+        if len(self.known) > KEEP_WORDS:
+            self.known, self.scores = {}, self.scores[:0]
+        if self.langs:
+            self.learn(list({w for c in counts if c for w in c} - self.known.keys()))
+        return [self.verdict(c) for c in counts]
+
+    def verdict(self, counts: Counter | None) -> tuple[str, float]:
+        if not counts or not self.langs:
             return "und", 0.0
-        known = self.known
-        if len(known) > KEEP_WORDS:
-            known.clear()
-        for w in counts.keys() - known.keys():
-            known[w] = self.word(w)
-        total = np.array(list(counts.values()), float) @ np.array([known[w] for w in counts])
+        total = np.fromiter(counts.values(), float, len(counts)) @ self.scores[[self.known[w] for w in counts]]
         best = int(np.argmax(total))
         odds = np.exp(np.clip(total - total[best], -60, 0))
-        return self.model.langs[best], float(1 / odds.sum())
+        return self.langs[best], float(1 / odds.sum())
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -140,9 +161,10 @@ def _predict(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     if key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[key] = Scorer(shared.value)
-    judge = _SCORERS[key].text
+    scorer = _SCORERS[key]
     for batch in batches:
-        said = [judge(t.as_py()) for t in batch.column(1)]
+        texts = batch.column(1).to_pylist()
+        said = [x for i in range(0, len(texts), TEXTS_AT_ONCE) for x in scorer.texts(texts[i : i + TEXTS_AT_ONCE])]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())], ["doc_id", "lang_pred", "score"])
 
 
