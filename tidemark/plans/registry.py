@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("ingest", "ledger", "market", "scoring")
+AREAS = ("ingest", "ledger", "market", "outcomes", "scoring")
 
 ALL: dict = {}
 for _area in AREAS:
