@@ -5,8 +5,9 @@ sets are one class. Classes that may be alike are brought together exactly: in
 any fixed order of all shingles, sets that overlap enough share one of their
 first few. Shingles that many documents have are put last in that order (at most
 ``HOT`` of them are sent to the tasks; which ones never changes the result), so
-that frequent passages seldom bring unlike documents together. Classes joined by
-such shared shingles form a family, found by connected components.
+that frequent passages seldom bring unlike documents together. Classes that share
+one of those and have neighbouring sizes form a family, found by connected
+components.
 
 A family goes to one task, or in blocks of ``BLOCK`` classes by size to a task
 for each pair of blocks whose sizes are compatible. There, a tree over each
@@ -39,7 +40,7 @@ from tidemark.llm.components import connected
 from tidemark.llm.repeats import _pack, keyed
 
 WIDTH, PERCENT = 4, 85
-HOT, HOT_IN_BATCH = 200_000, 4
+HOT, HOT_IN_BATCH = 1_000_000, 2
 BLOCK, FANOUT = 2000, 8
 #: Bits of a bitmap for each token of the largest set in a task, and the most bits.
 BITS_PER_TOKEN, MAX_BITS = 16, 1 << 17
@@ -85,7 +86,7 @@ def hot_shingles(docs: DataFrame, width: int = WIDTH, most: int = HOT) -> np.nda
     """The shingles that are most often met several times in one batch of rows, ascending; all rows are read."""
     found = docs.select("text").mapInArrow(lambda b: _hot(width, b), "token long, n long")
     top = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most)
-    return np.sort(np.array([r.token for r in top.select("token").toLocalIterator()], np.int64).view(np.uint64))
+    return np.sort(np.asarray(top.select("token").toArrow()["token"].combine_chunks(), np.int64).view(np.uint64))
 
 
 def _sketch(width: int, percent: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +261,11 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     sketched = materialize(rows.mapInArrow(lambda b: _sketch(width, percent, shared, b), "k_id long, k_hash long, n long, name long, first array<long>"))
     classes = sketched.where("n > 0").groupBy("name").agg(F.min(F.struct("k_id", "k_hash")).alias("least"), F.first("n").alias("n"), F.first("first").alias("first"))
     classes = materialize(classes.select("name", "least.k_id", "least.k_hash", "n", "first"))
-    tokens = classes.select("name", F.explode("first").alias("token"))
-    lead = F.min("name").over(Window.partitionBy("token"))
-    families = connected(tokens.select("name", lead.alias("lead")).where("name <> lead").select(F.col("name").alias("a"), F.col("lead").alias("b")))
+    tokens = classes.select("name", "n", F.explode("first").alias("token"))
+    by_size = Window.partitionBy("token").orderBy("n", "name")
+    before = tokens.withColumns({"b": F.lag("name").over(by_size), "b_n": F.lag("n").over(by_size)})
+    # linked classes that share a shingle are joined by steps of like size among those that have it
+    families = connected(before.where(F.lit(100) * F.col("b_n") >= F.lit(percent) * F.col("n")).select(F.col("name").alias("a"), "b"))
     tasks = compare_tasks(classes, families, percent)
     packed = rows.mapInArrow(_pack, "k_id long, k_hash long, packed binary").dropDuplicates(["k_id", "k_hash"])
     dealt = packed.join(tasks, ["k_id", "k_hash"]).select("task", "name", "side", "packed").repartition("task").sortWithinPartitions("task")
