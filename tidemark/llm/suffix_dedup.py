@@ -42,41 +42,74 @@ END = 0xFF
 COMPARE_ROWS = 20_000
 
 
-def transform(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Burrows-Wheeler transform of the strings data[offsets[i]:offsets[i+1]], each ended by END, by rounds of one symbol per string."""
+def insert_columns(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, counts): rows of the strings' transform sorted by symbol, equal ones in order, and how often each symbol occurs.
+
+    Strings are data[offsets[i]:offsets[i+1]], each ended by END. Every round
+    inserts one more symbol of each string, from its end to its start. The place
+    of a symbol among its equals is the row of the suffix that it starts, so a
+    round only moves the rows behind new ones and merges these in.
+    """
     m, lengths = len(offsets) - 1, np.diff(offsets)
     last = offsets[1:] - 1
-    bwt = np.where(lengths > 0, data[np.maximum(last, 0)] if len(data) else END, END).astype(np.uint8)
-    rows = np.arange(m)  # of each string's newest suffix
+    symbols = np.where(lengths > 0, data[np.maximum(last, 0)] if len(data) else END, END).astype(np.uint8)
+    total = len(data) + m
+    # buffers for all rounds: fresh ones would cost more than the work on them
+    by_symbol, merged, moved, shift = (np.empty(total + 1, np.int32) for _ in range(4))
+    kept = np.empty(total, bool)
+    order = np.argsort(symbols, kind="stable")
+    by_symbol[:m] = order
+    counts = np.bincount(symbols, minlength=256)
+    rows = np.empty(m, np.int64)
+    rows[order] = np.arange(m)
     live = np.flatnonzero(lengths > 0)
-    rows, column = rows[live], 1
+    rows, n, column = rows[live], m, 1
     while len(live):
-        # the suffix longer by one symbol stands where that symbol is sorted to, equals in order
-        order = np.argsort(bwt, kind="stable")
-        place = np.empty(len(bwt), np.int32)
-        place[order] = np.arange(len(bwt), dtype=np.int32)
-        rows = place[rows]
         more = column < lengths[live]
         symbols = np.where(more, data[np.maximum(last[live] - column, 0)], END)
-        grown = np.empty(len(bwt) + len(live), np.uint8)
-        old = np.ones(len(grown), bool)
-        # rows of new suffixes in the grown transform; those that end strings stay last
-        old[rows] = False
-        grown[rows] = symbols
-        grown[old] = bwt
-        bwt, live, rows, column = grown, live[more], rows[more], column + 1
+        size = n + len(live)
+        # each row moves down by the new rows above it
+        shift[: n + 1] = 0
+        np.add.at(shift, np.sort(rows) - np.arange(len(rows)), 1)
+        np.cumsum(shift[: n + 1], out=shift[: n + 1])
+        np.take(shift, by_symbol[:n], out=moved[:n], mode="clip")
+        moved[:n] += by_symbol[:n]
+        order = np.lexsort((rows, symbols))
+        new, starts = rows[order], np.cumsum(counts) - counts
+        cuts = np.searchsorted(symbols[order], np.arange(257))
+        at = np.empty(len(live), np.int64)
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            own, first = slice(cuts[c], cuts[c + 1]), int(starts[c])
+            at[own] = first + moved[first : first + int(counts[c])].searchsorted(new[own])
+        at += np.arange(len(live))
+        kept[:size] = True
+        kept[at] = False
+        merged[at] = new
+        merged[:size][kept[:size]] = moved[:n]
+        by_symbol, merged, n = merged, by_symbol, size
+        counts = counts + np.bincount(symbols, minlength=256)
+        rows = np.empty(len(live), np.int64)
+        rows[order] = at
+        live, rows, column = live[more], rows[more], column + 1
+    return by_symbol[:n], counts
+
+
+def transform(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Burrows-Wheeler transform of the collection."""
+    rows, counts = insert_columns(data, offsets)
+    bwt = np.empty(len(rows), np.uint8)
+    bwt[rows] = np.repeat(np.arange(256, dtype=np.uint8), counts)
     return bwt
 
 
 def ordered_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
     """Starts in data of all suffixes of at least ``width`` symbols, in suffix order, from the transform."""
-    bwt = transform(data, offsets)
+    by_symbol, _ = insert_columns(data, offsets)
     m, lengths = len(offsets) - 1, np.diff(offsets)
-    order = np.argsort(bwt, kind="stable")
-    place = np.empty(len(bwt), np.int32)
-    place[order] = np.arange(len(bwt), dtype=np.int32)
-    start_of = np.full(len(bwt), -1, np.int64)
-    rows, live = np.arange(len(bwt) - m, len(bwt)), np.arange(m)
+    place = np.empty(len(by_symbol), np.int32)
+    place[by_symbol] = np.arange(len(by_symbol), dtype=np.int32)
+    start_of = np.full(len(by_symbol), -1, np.int64)
+    rows, live = np.arange(len(by_symbol) - m, len(by_symbol)), np.arange(m)
     for k in range(1, int(lengths.max(initial=0)) + 1):
         stay = lengths[live] >= k
         live, rows = live[stay], place[rows[stay]]
