@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("health", "ingest", "ledger", "market", "outcomes", "research", "scoring", "wallets")
+AREAS = ("audit", "health", "ingest", "ledger", "market", "outcomes", "research", "scoring", "wallets")
 
 ALL: dict = {}
 for _area in AREAS:
