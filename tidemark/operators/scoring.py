@@ -135,25 +135,35 @@ def quality_score(prefix: str = "", managed: bool = False) -> Column:
     return F.when(c("n") > 0, score).otherwise(F.lit(0.0))
 
 
-def _prefixed(df: DataFrame, prefix: str, key: str = "wallet") -> DataFrame:
-    return df.select(key, *[F.col(c).alias(prefix + c) for c in df.columns if c != key])
+def _wide(df: DataFrame, cases: dict[str, Column], columns: Sequence[str]) -> DataFrame:
+    """One row per wallet with the columns of each case under its prefix."""
+    picked = [F.any_value(F.when(when, F.col(c)), ignoreNulls=F.lit(True)).alias(prefix + c) for prefix, when in cases.items() for c in columns]
+    return df.groupBy("wallet").agg(*picked)
 
 
 def wallet_scores(positions: DataFrame, follows: DataFrame, now: int, days: tuple[int, int] = (30, 90), creators: DataFrame | None = None) -> DataFrame:
-    """One snapshot per wallet of positions (wallet, token, opened_t, t, value, tie, rugged, high_quality) and follows (wallet, t, value, tie, rugged)."""
+    """One snapshot per wallet of positions (wallet, token, opened_t, t, value, tie, rugged, high_quality) and follows (wallet, t, value, tie, rugged).
+
+    Both axes and both windows go through one pass of metrics, keyed by (wallet, axis, window).
+    """
     short, long = days
-    parts = {}
-    for name, rows in (("p", positions), ("f", follows)):
-        for span in days:
-            parts[f"{name}{span}_"] = _prefixed(return_metrics(window_slice(rows, now, span), ["wallet"]), f"{name}{span}_")
-        parts[f"{name}decay_"] = _prefixed(recency_decay(window_slice(rows, now, long), ["wallet"], now), f"{name}_")
-        parts[f"{name}hold_"] = _prefixed(holdouts(window_slice(rows, now, long), ["wallet"]), f"{name}_")
+    cols = ["wallet", "t", "value", "tie", "rugged"]
+    rows = positions.select(*cols, F.lit("p").alias("axis")).unionByName(follows.select(*cols, F.lit("f").alias("axis")))
+    late = window_slice(rows, now, long)
+    spans = F.filter(F.array(F.lit(short), F.lit(long)), lambda n: F.col("t") >= F.lit(now) - n * DAY)
+    metrics = return_metrics(late.withColumn("span", F.explode(spans)), ["wallet", "axis", "span"])
+    axis = {"p_": F.col("axis") == "p", "f_": F.col("axis") == "f"}
+    parts = [
+        _wide(metrics, {f"{k[0]}{n}_": on & (F.col("span") == n) for k, on in axis.items() for n in days}, METRICS),
+        _wide(recency_decay(late, ["wallet", "axis"], now), axis, ["decay"]),
+        _wide(holdouts(late, ["wallet", "axis"]), axis, ["holdouts_pass"]),
+    ]
     recent = window_slice(positions, now, long)
     days_of = recent.select("wallet", F.explode(F.array(F.floor(F.col("opened_t") / DAY), F.floor(F.col("t") / DAY))).alias("day"))
     active = days_of.groupBy("wallet").agg(F.countDistinct("day").alias("active_days"))
     shape = recent.groupBy("wallet").agg(F.countDistinct("token").alias("tokens"), F.avg(F.col("high_quality").cast("double")).alias("hq_coverage"))
-    out = positions.select("wallet").unionByName(follows.select("wallet")).distinct()
-    for part in (*parts.values(), active, shape):
+    out = rows.select("wallet").distinct()
+    for part in (*parts, active, shape):
         out = out.join(part, "wallet", "left")
     out = out.fillna(0).fillna(False)
     p, f = f"p{long}_", f"f{long}_"
