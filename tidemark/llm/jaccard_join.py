@@ -263,9 +263,12 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     classes = materialize(classes.select("name", "least.k_id", "least.k_hash", "n", "first"))
     tokens = classes.select("name", "n", F.explode("first").alias("token"))
     by_size = Window.partitionBy("token").orderBy("n", "name")
-    before = tokens.withColumns({"b": F.lag("name").over(by_size), "b_n": F.lag("n").over(by_size)})
-    # linked classes that share a shingle are joined by steps of like size among those that have it
-    families = connected(before.where(F.lit(100) * F.col("b_n") >= F.lit(percent) * F.col("n")).select(F.col("name").alias("a"), "b"))
+    # among the classes that share a shingle, a step to an unlike size parts families; each hangs on the first since the last such step
+    n_before = F.lag("n").over(by_size)
+    marked = tokens.withColumn("parts", n_before.isNull() | (F.lit(100) * n_before < F.lit(percent) * F.col("n")))
+    upto = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hung = marked.select(F.col("name").alias("a"), F.last(F.when(F.col("parts"), F.col("name")), ignorenulls=True).over(upto).alias("b"))
+    families = connected(hung)
     tasks = compare_tasks(classes, families, percent)
     packed = rows.mapInArrow(_pack, "k_id long, k_hash long, packed binary").dropDuplicates(["k_id", "k_hash"])
     dealt = packed.join(tasks, ["k_id", "k_hash"]).select("task", "name", "side", "packed").repartition("task").sortWithinPartitions("task")
