@@ -187,7 +187,8 @@ def encode(docs: DataFrame, ranks_path: str | None = None, most_folded: int = FO
     """(doc_id, the columns of keep, n_tokens, ids): each text's ids in decimal, joined by one space."""
     path = ranks_path or public_tokenizers.path(RANKS)
     spark = docs.sparkSession
-    folded = {r.word: r.ids for r in fold_frequent(docs, path, most_folded).toLocalIterator()}
+    table = fold_frequent(docs, path, most_folded).toArrow()  # one job over all its partitions, at most most_folded rows
+    folded = dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
     shared, name = spark.sparkContext.broadcast(folded), uuid.uuid4().hex
     rows = docs.select("doc_id", *keep, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
