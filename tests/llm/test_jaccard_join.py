@@ -94,6 +94,12 @@ def test_repeated_rows_nulls_and_empty(documents, monkeypatch):
     assert jj.keep_one(empty).collect() == []
 
 
+def test_keep_one_of_components_with_one_id(documents):
+    rows = [(3, "A b c d e"), (3, "other words here now ok"), (5, "a b c d e"), (None, "solo text of five words"), (None, "quite another text without id"), (None, "SOLO text of five words"), (7, "solo text of five words"), (None, None), (8, "")]
+    kept = sorted(((-1 if r.doc_id is None else r.doc_id), (r.text or "").lower()) for r in jj.keep_one(documents(rows)).collect())
+    assert kept == [(-1, ""), (-1, "quite another text without id"), (-1, "solo text of five words"), (3, "a b c d e"), (3, "other words here now ok"), (8, "")]
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -254,7 +254,10 @@ def compare_tasks(classes: DataFrame, families: DataFrame, percent: int = PERCEN
 
 
 def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(k_id, k_hash, n, name, component_id) for each row of docs: its set's size, its class and its component's least id (NULL_ID: null)."""
+    """(k_id, k_hash, n, name, component, component_id) for each row of docs: its set's size, its class, its component's own name and least id (NULL_ID: null).
+
+    Unrelated components may have one component_id, never one component; texts without words have none.
+    """
     spark = docs.sparkSession
     rows = keyed(docs)
     shared = spark.sparkContext.broadcast(hot_shingles(docs, width))
@@ -275,14 +278,14 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     links = connected(dealt.mapInArrow(lambda b: _join(width, percent, b), "a long, b long"))
     named = classes.select("name", "k_id").join(links.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     least = named.groupBy("component").agg(F.min("k_id").alias("component_id"))
-    labels = named.join(least, "component").select("name", "component_id")
+    labels = named.join(least, "component").select("name", "component", "component_id")
     return sketched.drop("first").join(labels, "name", "left").withColumn("component_id", F.coalesce("component_id", "k_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, the one of least doc_id; documents without words all stay."""
     linked = link_documents(docs, width, percent)
-    first = linked.where("n > 0").groupBy("component_id").agg(F.min(F.struct("k_id", "k_hash")).alias("least"))
+    first = linked.where("n > 0").groupBy("component").agg(F.min(F.struct("k_id", "k_hash")).alias("least"))
     stay = first.select("least.*").withColumn("lone", F.lit(True)).unionByName(linked.where("n = 0").select("k_id", "k_hash", F.lit(False).alias("lone")).distinct())
     rows = keyed(docs, *[F.col(c).alias(f"o_{c}") for c in docs.columns]).drop("text").join(stay, ["k_id", "k_hash"])
     place = F.row_number().over(Window.partitionBy("k_id", "k_hash").orderBy("lone"))
