@@ -101,9 +101,13 @@ def enrich_prices(trades: DataFrame, obs: DataFrame, within: int) -> DataFrame:
 
 def best_pool(trades: DataFrame, pools: DataFrame) -> DataFrame:
     """Per trade its own pool if known, else the oldest of its token; with the pool's age in minutes."""
-    cand = trades.select("key", "token", "pool", "t").join(pools.select("token", F.col("pool").alias("p_pool"), "created_t"), "token")
-    best = first_by(cand, ["key"], [F.coalesce((F.col("pool") == F.col("p_pool")).cast("int"), F.lit(0)).desc(), "created_t", "p_pool"])
-    return trades.join(best.select("key", "p_pool", "created_t"), "key", "left").withColumn("age_minutes", F.greatest(F.lit(0.0), (F.col("t") - F.col("created_t")) / 60.0))
+    named = F.struct("created_t", F.col("pool").alias("p_pool"))
+    exact = pools.groupBy("token", "pool").agg(F.min(named).alias("_own"))
+    oldest = pools.groupBy("token").agg(F.min(named).alias("_oldest"))
+    best = F.coalesce("_own", "_oldest")
+    out = trades.join(exact, ["token", "pool"], "left").join(oldest, "token", "left")
+    out = out.select(*trades.columns, best["p_pool"].alias("p_pool"), best["created_t"].alias("created_t"))
+    return out.withColumn("age_minutes", F.greatest(F.lit(0.0), (F.col("t") - F.col("created_t")) / 60.0))
 
 
 def traction_score(liquidity: Column, volume5m: Column, volume1h: Column, buys: Column, sells: Column, age_minutes: Column) -> Column:

@@ -60,6 +60,14 @@ def h10(spark, d):
     return U.decision_seed(pools, flow, p.where("obs_key % 400 = 0"), T0 + 2 * DAY, (0, 2 * DAY), 40).select("pool", "created_t", "missing", "eligible")
 
 
+def h10_all(spark, d):
+    p = A.price_observations(spark, d)
+    pools = p.groupBy("pool").agg(F.min("t").alias("created_t"), F.max("liquidity_usd").alias("liquidity_usd"))
+    flow = p.where("event_type = 'purchase'").groupBy("pool").agg(F.countDistinct("wallet").alias("buyers"))
+    decided = p.where(F.col("rugged") & (F.col("t") <= T0 + 2 * DAY))
+    return U.decision_seed(pools, flow, decided, T0 + 2 * DAY, (0, 2 * DAY), 40).select("pool", "created_t", "missing", "eligible")
+
+
 QUERIES = {
     "f15_evidence_score": (f15, ROWS + """, a AS (SELECT wallet, count(*) AS n, median(value) AS md, CASE WHEN count(*) > 1 THEN (sum(value) - max(value)) / (count(*) - 1) ELSE 0 END AS xb, avg((value > 0)::INT) AS hr FROM rets GROUP BY 1)
         SELECT wallet, n, floor(greatest(0, least(100, 50 + md * 0.2 + xb * 0.2 + (hr - 0.5) * 40)) * 100 + 0.5) / 100 AS score, floor(least(100, n * 5.0::DOUBLE) * 100 + 0.5) / 100 AS confidence FROM a"""),
@@ -75,4 +83,7 @@ QUERIES = {
     "h10_decision_seed": (h10, A.with_views(A.PRICES)[:-1] + f""", po AS (SELECT pool, min(t) AS created_t, max(CASE WHEN obs_key % 3 = 0 THEN liquidity_usd END) AS liq FROM prices GROUP BY 1), fl AS (SELECT pool, count(DISTINCT wallet) AS buyers FROM prices WHERE event_type = 'purchase' AND obs_key % 40 = 0 GROUP BY 1),
         x AS (SELECT po.*, buyers, row_number() OVER (PARTITION BY created_t // {DAY} ORDER BY created_t, po.pool) AS n FROM po LEFT JOIN fl ON po.pool = fl.pool WHERE {T0 + 2 * DAY} - created_t BETWEEN 0 AND {2 * DAY} AND po.pool NOT IN (SELECT pool FROM prices WHERE obs_key % 400 = 0))
         SELECT pool, created_t, concat_ws(',', CASE WHEN liq IS NULL THEN 'liquidity' END, CASE WHEN buyers IS NULL THEN 'flow' END) AS missing, liq IS NOT NULL AND buyers IS NOT NULL AS eligible FROM x WHERE n <= 40"""),
+    "h10_seed_all_purchases": (h10_all, A.with_views(A.PRICES)[:-1] + f""", po AS (SELECT pool, min(t) AS created_t, max(liquidity_usd) AS liq FROM prices GROUP BY 1), fl AS (SELECT pool, count(DISTINCT wallet) AS buyers FROM prices WHERE event_type = 'purchase' GROUP BY 1),
+        x AS (SELECT po.*, buyers, row_number() OVER (PARTITION BY created_t // {DAY} ORDER BY created_t, po.pool) AS n FROM po LEFT JOIN fl ON po.pool = fl.pool WHERE {T0 + 2 * DAY} - created_t BETWEEN 0 AND {2 * DAY} AND po.pool NOT IN (SELECT pool FROM prices WHERE rugged AND t <= {T0 + 2 * DAY}))
+        SELECT pool, created_t, concat_ws(',', CASE WHEN liq IS NULL THEN 'liquidity' END, CASE WHEN buyers IS NULL THEN 'flow' END) AS missing, liq IS NOT NULL AND buyers IS NOT NULL AS eligible FROM x WHERE n <= 40"""),
 }

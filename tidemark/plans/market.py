@@ -89,11 +89,19 @@ def c16(spark, d):
     return M.enrich_prices(rows, A.price_observations(spark, d).where("event_type = 'view'"), 12 * HOUR).select("key", "price_usd", "proxied")
 
 
-def c17(spark, d):
+def _pooled(spark, d, keep):
     n = F.col("p_partkey")
     pools = A.table(spark, d, "part").select(F.col("p_brand").alias("token"), F.concat(F.lit("p"), n).alias("pool"), (n * 50_000).alias("created_t"))
     rows = A.trades(spark, d).withColumn("pool", F.when(F.col("qty") % 2 == 0, F.concat(F.lit("p"), F.element_at(F.split("key", ":"), 3))))
-    return M.best_pool(rows.where("slot % 7 = 0"), pools).select("key", "p_pool", steady(F.col("age_minutes")).alias("age_minutes"))
+    return M.best_pool(rows.where(keep), pools).select("key", "p_pool", steady(F.col("age_minutes")).alias("age_minutes"))
+
+
+def c17(spark, d):
+    return _pooled(spark, d, "slot % 7 = 0")
+
+
+def c17_all(spark, d):
+    return _pooled(spark, d, "true")
 
 
 def c18(spark, d):
@@ -163,6 +171,9 @@ QUERIES = {
     "c17_historical_wallet_trades": (c17, A.with_views(A.TRADES)[:-1] + f""", pl AS (SELECT p_brand AS token, 'p' || p_partkey AS pool, p_partkey * 50000 AS created_t, p_partkey FROM part),
         old AS (SELECT token, arg_min(pool, (created_t, pool)) AS pool FROM pl GROUP BY token), ch AS (SELECT t.key, t.t, CASE WHEN t.qty % 2 = 0 THEN 'p' || split_part(t.key, ':', 3) ELSE o.pool END AS p_pool FROM trades t JOIN old o ON t.token = o.token WHERE t.slot % 7 = 0)
         SELECT ch.key, ch.p_pool, {st('greatest(0, (ch.t - pl.created_t) / 60)', 'age_minutes')} FROM ch JOIN pl ON ch.p_pool = pl.pool"""),
+    "c17_all_wallet_trades": (c17_all, A.with_views(A.TRADES)[:-1] + f""", pl AS (SELECT p_brand AS token, 'p' || p_partkey AS pool, p_partkey * 50000 AS created_t, p_partkey FROM part),
+        old AS (SELECT token, arg_min(pool, (created_t, pool)) AS pool FROM pl GROUP BY token), ch AS (SELECT t.key, t.t, CASE WHEN t.qty % 2 = 0 THEN 'p' || split_part(t.key, ':', 3) ELSE o.pool END AS p_pool FROM trades t JOIN old o ON t.token = o.token)
+        SELECT ch.key, ch.p_pool, {st('greatest(0, (ch.t - pl.created_t) / 60)', 'age_minutes')} FROM ch JOIN pl ON ch.p_pool = pl.pool"""),
     "c18_token_risk": (c18, A.with_views(A.TRADES)[:-1] + f""", h AS (SELECT token, wallet, sum(qty) AS amount FROM trades GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY amount DESC, wallet) AS n FROM h),
         s AS (SELECT token, max(amount) / sum(amount) * 100 AS t1, sum(CASE WHEN n <= 10 THEN amount END) / sum(amount) * 100 AS t10, CAST(substr(token, 7) AS INT) AS k FROM r GROUP BY token)
         SELECT token, {st('t1', 'top1_pct')}, {st('t10', 'top10_pct')}, true AS known, k % 3 > 0 AND k % 4 > 0 AND t1 <= 5 AND t10 <= 30 AS passed, {st('least(100, (k % 3 = 0)::INT * 40 + (k % 4 = 0)::INT * 30 + greatest(0, t10 - 30))', 'risk')} FROM s"""),
