@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import substring_dedup, suffix_dedup
+from tidemark.llm import repeats, substring_dedup, suffix_dedup
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,3 +81,42 @@ def test_repeated_ids_nulls_and_empty(documents):
     assert got == [(0, 0, ""), (1, 0, "other"), (50, 50, ""), (50, 50, ""), (50, 50, "")]
     assert substring_dedup.remove_repeats(documents([]), ["doc_id"]).collect() == []
     assert suffix_dedup.remove_repeats(documents([]), ["doc_id"]).collect() == []
+
+
+@pytest.mark.parametrize("by_words", [True, False])
+def test_hot_names_meet_each_stretch_once(documents, monkeypatch, by_words):
+    monkeypatch.setattr(repeats, "HOT_NAME", 4)
+    rng = random.Random(3)
+    texts = corpus(rng, 30)
+    passage = " ".join(f"shared{i}" for i in range(40))
+    texts += [" ".join([f"l{rng.random()}" for _ in range(20)] + [passage] + [f"r{rng.random()}" for _ in range(20)]) for _ in range(60)]
+    seen = []
+    within = repeats._hot_spans
+
+    def hot_spans(segments, by_words, width, find):
+        seen.append(segments.count())
+        return within(segments, by_words, width, find)
+
+    monkeypatch.setattr(repeats, "_hot_spans", hot_spans)
+    module, width = (substring_dedup, 35) if by_words else (suffix_dedup, 200)
+    got = {r.doc_id: r for r in module.remove_repeats(documents(list(enumerate(texts))), ["doc_id"]).collect()}
+    units = [W.findall(t or "") if by_words else (t or "").encode() for t in texts]
+    assert seen and seen[0] > 60
+    for i, f in enumerate(flagged(units, width)):
+        assert got[i].n_removed == sum(f), i
+
+
+def test_common_passage_is_dealt_as_few_segments(documents, monkeypatch):
+    """A passage in 60 texts of their own reaches the tasks as few distinct stretches, not as one for each text."""
+    monkeypatch.setattr(repeats, "HOT_NAME", 4)
+    rng = random.Random(5)
+    passage = " ".join(f"shared{i}" for i in range(40))
+    docs = documents([(i, " ".join([f"l{rng.random()}" for _ in range(20)] + [passage] + [f"r{rng.random()}" for _ in range(20)])) for i in range(60)])
+    total = docs.sparkSession.sparkContext.accumulator(0)
+
+    def find(distinct, times):
+        total.add(len(distinct))
+        return substring_dedup.passages(distinct, times, 35)
+
+    assert repeats.repeated_spans(docs, True, 35, 8, find).select("k_id").distinct().count() == 60
+    assert 0 < total.value < 20

@@ -9,6 +9,11 @@ window is in exactly one segment.
    the names that occur twice; what shares a bit by chance only adds work.
 2. Segments with such names are dealt by name; a task meets all segments of a
    name together and says which units repeat.
+   Hot names, which very many windows have, go another way, so that no task holds
+   all their segments: hashes of their windows are counted first and a second
+   bitmap cuts segments to the stretches that may repeat; these are named anew by
+   a longer gram, and equal ones are combined to a count before they are dealt.
+   The spans found are joined back to the occurrences by (name, hash, salt).
 3. Those spans return to their documents by key; texts travel compressed.
 """
 
@@ -22,11 +27,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Texts, gram_hash, prefix_hash, slices, slide, span_hash, word_spans
+from tidemark.llm.common import Texts, gram_hash, materialize, mix, prefix_hash, slices, slide, span_hash, word_spans
 
 BITS = 1 << 26
 #: Bits of one row of the bitmap, as Spark builds it.
 PART = 32_768
+#: A name met more often is hot, but only so many names: which ones are never changes the result.
+HOT_NAME, HOT_NAMES, SALTS = 2000, 65_536, 32
 #: Bytes of segments that a task compares at once; a name's segments are never divided.
 CHUNK_BYTES = 6_000_000
 SPANS = "k_id long, k_hash long, first long, last long"
@@ -81,6 +88,10 @@ def names_of(u: Units, width: int, gram: int) -> np.ndarray:
 def segments_of(u: Units, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, first window, last window) of the runs of windows with one name; long runs are cut."""
     _, low, inside = windows(u, width, gram)
+    return runs_of_names(u, low, inside, width - gram + 1)
+
+
+def runs_of_names(u: Units, low: np.ndarray, inside: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not inside.any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     fresh = inside.copy()
@@ -92,7 +103,6 @@ def segments_of(u: Units, width: int, gram: int) -> tuple[np.ndarray, np.ndarray
     # a run ends at the next run or where windows stop lying in the document
     valid = np.concatenate([[0], np.cumsum(inside)])
     stops = starts + (valid[stops] - valid[starts])
-    w = width - gram + 1
     parts = -(-(stops - starts) // w)
     a = np.repeat(starts, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * w
     return low[a], a, np.minimum(a + w, np.repeat(stops, parts)) - 1
@@ -105,31 +115,42 @@ def _count_names(by_words: bool, width: int, gram: int, batches: Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["name", "n"])
 
 
-def repeated_names(docs: DataFrame, by_words: bool, width: int, gram: int) -> bytes:
-    """Bitmap of BITS bits over the names that occur at least twice in all texts."""
-    names = docs.select("text").mapInArrow(lambda b: _count_names(by_words, width, gram, b), "name long, n long")
-    twice = names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select(F.pmod("name", F.lit(BITS)).alias("bit"))
+def _bitmap(hashes: DataFrame, column: str) -> bytes:
+    """Bitmap of BITS bits over a column of hashes."""
     part, place = F.expr(f"bit div {PART}").alias("part"), F.expr(f"bit % {PART}")
-    rows = twice.groupBy(part).agg(F.bitmap_construct_agg(place).alias("bits"))
+    rows = hashes.select(F.pmod(column, F.lit(BITS)).alias("bit")).groupBy(part).agg(F.bitmap_construct_agg(place).alias("bits"))
     out = np.zeros((BITS // PART, PART // 8), np.uint8)
     for r in rows.collect():
         out[r.part] = np.frombuffer(bytes(r.bits), np.uint8)
     return out.tobytes()
 
 
+def repeated_names(docs: DataFrame, by_words: bool, width: int, gram: int) -> tuple[bytes, np.ndarray]:
+    """Bitmap of BITS bits over the names that occur at least twice in all texts, and the hot names, ascending."""
+    names = docs.select("text").mapInArrow(lambda b: _count_names(by_words, width, gram, b), "name long, n long")
+    twice = materialize(names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1"))
+    hot = twice.where(F.col("n") > HOT_NAME).orderBy(F.desc("n"), "name").limit(HOT_NAMES).select("name").toArrow()
+    return _bitmap(twice, "name"), np.sort(np.asarray(hot["name"].combine_chunks(), np.int64))
+
+
 def _has_bit(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
     x = names.view(np.int64) % BITS
     return (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 > 0
 
 
-def _segments(by_words: bool, width: int, gram: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.frombuffer(shared.value, np.uint8)
+def _is_hot(hot: np.ndarray, names: np.ndarray) -> np.ndarray:
+    x = names.view(np.int64)
+    return hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x if len(hot) else np.zeros(len(x), bool)
+
+
+def _segments(by_words: bool, width: int, gram: int, only_hot: bool, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits, hot = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
     for batch in batches:
         ids, hashes = (np.asarray(batch.column(i)) for i in (0, 1))
         for row, t in slices(batch.column(2)):
             u = Units(t, by_words)
             names, a, b = segments_of(u, width, gram)
-            keep = _has_bit(bits, names)
+            keep = _has_bit(bits, names) & (_is_hot(hot, names) == only_hot)
             names, a, b = names[keep], a[keep], b[keep] + width
             doc = np.searchsorted(u.first, a, "right") - 1
             s, e = u.span(a, b)
@@ -145,7 +166,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size >= CHUNK_BYTES:
+        # nothing to cut off while all that is held has one name
+        if size >= CHUNK_BYTES and held[0]["name"][0] != batch["name"][-1]:
             table = pa.Table.from_batches(held).combine_chunks()
             names = np.asarray(table["name"])
             cut = int(np.searchsorted(names, names[-1], "left"))
@@ -190,10 +212,70 @@ def keyed(docs: DataFrame, *columns: Column) -> DataFrame:
 def repeated_spans(docs: DataFrame, by_words: bool, width: int, gram: int, find) -> DataFrame:
     """(k_id, k_hash, first, last): units [first, last) of a row that lie in windows occurring elsewhere too."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(repeated_names(docs, by_words, width, gram))
-    found = keyed(docs).mapInArrow(lambda b: _segments(by_words, width, gram, shared, b), SEGMENTS)
+    bits, hot = repeated_names(docs, by_words, width, gram)
+    shared = spark.sparkContext.broadcast((bits, hot))
+    found = keyed(docs).mapInArrow(lambda b: _segments(by_words, width, gram, False, shared, b), SEGMENTS)
     dealt = found.repartition("name").sortWithinPartitions("name")
-    return dealt.mapInArrow(lambda b: _spans(find, b), SPANS)
+    spans = dealt.mapInArrow(lambda b: _spans(find, b), SPANS)
+    if not len(hot):
+        return spans
+    segments = materialize(keyed(docs).mapInArrow(lambda b: _segments(by_words, width, gram, True, shared, b), SEGMENTS))
+    return spans.unionByName(_hot_spans(segments, by_words, width, find))
+
+
+def _window_hashes(u: Units, width: int) -> np.ndarray:
+    return mix(u.grams(width))
+
+
+def _count_windows(by_words: bool, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, t in slices(batch.column(0)):
+            u = Units(t, by_words)
+            _, _, inside = windows(u, width, width)
+            names, n = np.unique(_window_hashes(u, width)[inside] if len(inside) else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["window", "n"])
+
+
+def _trim(by_words: bool, width: int, gram: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hot segments cut to the stretches whose windows may repeat, under names of a longer gram."""
+    bits = np.frombuffer(shared.value, np.uint8)
+    for batch in batches:
+        ids, hashes, places = (np.asarray(batch.column(i)) for i in (1, 2, 3))
+        for row, t in slices(batch.column(4)):
+            u = Units(t, by_words)
+            _, low, inside = windows(u, width, gram)
+            if len(low):
+                inside = inside & _has_bit(bits, _window_hashes(u, width))
+            names, a, b = runs_of_names(u, low, inside, width - gram + 1)
+            b = b + width
+            of = np.searchsorted(u.first, a, "right") - 1
+            s, e = u.span(a, b)
+            raw = t.data.tobytes()
+            data = pa.array([raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(ids[row + of]), pa.array(hashes[row + of]), pa.array(places[row + of] + a - u.first[of]), data], ["name", "k_id", "k_hash", "at", "segment"])
+
+
+def _spans_of_distinct(find, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, seg, first, last) of distinct segments with their counts."""
+    for table in _chunks(b for b in batches if b.num_rows):
+        which, first, last = find(table["segment"].to_pylist(), np.asarray(table["times"]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(table["name"])[which]), pa.array(np.asarray(table["seg"])[which]), pa.array(first), pa.array(last)], ["name", "seg", "first", "last"])
+
+
+def _hot_spans(segments: DataFrame, by_words: bool, width: int, find) -> DataFrame:
+    """SPANS of segments with hot names: a task meets each distinct stretch once, with its count."""
+    counted = segments.select("segment").mapInArrow(lambda b: _count_windows(by_words, width, b), "window long, n long")
+    often = segments.sparkSession.sparkContext.broadcast(_bitmap(counted.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1"), "window"))
+    trimmed = segments.mapInArrow(lambda b: _trim(by_words, width, width * 3 // 4, often, b), SEGMENTS)
+    trimmed = materialize(trimmed.withColumn("seg", F.xxhash64("segment")))
+    distinct = trimmed.groupBy("name", "seg", "segment").agg(F.count(F.lit(1)).alias("times"))
+    dealt = distinct.repartition("name").sortWithinPartitions("name")
+    found = dealt.mapInArrow(lambda b: _spans_of_distinct(find, b), "name long, seg long, first long, last long")
+    listed = found.groupBy("name", "seg").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = trimmed.select("name", "seg", "k_id", "k_hash", "at", F.pmod(F.xxhash64("k_id", "k_hash", "at"), F.lit(SALTS)).cast("int").alias("salt"))
+    spread = rows.join(listed, ["name", "seg", "salt"]).select("k_id", "k_hash", "at", F.explode("spans").alias("span"))
+    return spread.select("k_id", "k_hash", (F.col("at") + F.col("span.first")).alias("first"), (F.col("at") + F.col("span.last")).alias("last"))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
