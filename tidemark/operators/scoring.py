@@ -177,7 +177,7 @@ def wallet_scores(positions: DataFrame, follows: DataFrame, now: int, days: tupl
     proven = F.col("is_candidate") & (F.col(p + "n") >= 30) & (F.col(f + "n") >= 30) & (F.col("active_days") >= 14) & F.col("p_holdouts_pass") & F.col("f_holdouts_pass")
     status = F.when(proven, "validated-paper").when(F.col("is_candidate"), "candidate").when(F.col("is_watch"), "watch").when(F.col("is_observed"), "observed").otherwise("insufficient")
     if creators is not None:
-        out = out.join(F.broadcast(creators.limit(1_000_000).select("wallet").distinct().withColumn("_creator", F.lit(True))), "wallet", "left")
+        out = out.join(creators.select("wallet").distinct().withColumn("_creator", F.lit(True)), "wallet", "left")
         status = F.when(F.coalesce("_creator", F.lit(False)), "excluded").otherwise(status)
 
     def blended(a: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import steady, wilson_lower, wilson_upper
+from tidemark.functions.common import first_by, steady, wilson_lower, wilson_upper
 from tidemark.operators import ledger as L
 from tidemark.operators import scoring as S
 from tidemark.plans.ledger import BASE, EPISODES
@@ -107,14 +107,19 @@ def f12(spark, d):
     return r.select("wallet", S.quality_score().alias("score"), S.quality_score(managed=True).alias("managed_score"))
 
 
-def scores(spark, d):
+def scores(spark, d, creators=None):
     positions = returns(spark, d)
     follows = positions.where("high_quality").select("wallet", "t", "value", "tie", "rugged")
-    return S.wallet_scores(positions, follows, NOW, DAYS)
+    return S.wallet_scores(positions, follows, NOW, DAYS, creators)
+
+
+def creators(spark, d):
+    """Wallets that made the first trade of a token, as the given tables name no creators."""
+    return first_by(A.trades(spark, d), ["token"], ["t", "key"]).select("wallet")
 
 
 def f13(spark, d):
-    return scores(spark, d).withColumn("hq_coverage", steady(F.col("hq_coverage")))
+    return scores(spark, d, creators(spark, d)).withColumn("hq_coverage", steady(F.col("hq_coverage")))
 
 
 def f20(spark, d):
