@@ -30,3 +30,16 @@ def test_nothing_to_learn_from(documents):
 def test_held_out_rule(documents):
     got = documents([(i, "x") for i in range(50)]).select("doc_id", li.held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
+def test_numerals_are_no_letters(documents):
+    model = li.fit(documents([(i, "the cat and the dog", "en") for i in range(5)]))
+    rows = documents([(1, "½ ² Ⅷ ٣ 4"), (2, "²the ½dog"), (3, "Ⅷ")])
+    assert sorted((r.doc_id, r.lang_pred, r.score) for r in li.predict(rows, model).collect()) == [(1, "und", 0.0), (2, "en", 1.0), (3, "und", 0.0)]
+
+
+def test_many_languages(documents):
+    """No language is left out, however many there are."""
+    rows = [(i, f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]} common text", f"l{i % 1200:04}") for i in range(2400)]
+    model = li.fit(documents(rows))
+    assert len(model.langs) == 1200

@@ -39,22 +39,49 @@ def words(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share, as the session names it; its own only where all run in one process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+#: Scratch tables of this process that have not been deleted.
+_SCRATCH: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     at = f"{scratch_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _SCRATCH.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for at in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _SCRATCH.remove(at)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the scratch tables that ``df`` reads; nothing may read them any more."""
+    files = df.inputFiles()
+    _delete(df.sparkSession, [at for at in _SCRATCH if any(at.rpartition("/")[2] in f for f in files)])
+
+
+def free_scratch(docs: DataFrame) -> None:
+    """Delete all scratch tables but those that ``docs`` reads: what earlier stages left, once they are written."""
+    files = docs.inputFiles()
+    _delete(docs.sparkSession, [at for at in _SCRATCH if not any(at.rpartition("/")[2] in f for f in files)])
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -64,6 +91,23 @@ def text_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(doc_id).alias("k_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k_hash")]
 
 
+# -- workers ------------------------------------------------------------------
+_KEPT: dict = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task: one thing at a time, so that operators that follow each other do not add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Free what an earlier operator left in this worker."""
+    _KEPT.clear()
+
+
 # -- numpy side ---------------------------------------------------------------
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads a 64-bit value over all bits."""

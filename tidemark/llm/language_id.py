@@ -2,9 +2,10 @@
 
 A model holds, per language, log frequencies of words and of character n-grams
 (lengths 4 to 1, over words marked at both ends). It is fitted by Spark on a
-bounded sample: at most ``SAMPLE_ROWS`` training rows per language, by a hash of
-the document id, and keeps at most ``MODEL_WORDS`` words and ``MODEL_GRAMS``
-n-grams of each length per language, so what is sent to the tasks is bounded.
+bounded sample: about ``SAMPLE_ROWS`` training rows per language, by a hash of
+the document id. All their words and n-grams are kept, for as many languages as
+there are, so the model is as large as the sample makes it, and only what a
+language has shown takes room.
 Every text is then scored whole: a known word adds its log frequencies, an
 unseen one the mean of its longest n-grams that are known, shorter ones where
 those are not.
@@ -26,31 +27,42 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_documents
+from tidemark.llm.common import kept, read_documents
 
-SAMPLE_ROWS, MODEL_WORDS, MODEL_GRAMS = 4000, 40_000, 20_000
+SAMPLE_ROWS = 4000
 ORDERS = (4, 3, 2, 1)
+#: Kinds of entries: whole words, and n-grams by their length.
+KINDS = range(1 + max(ORDERS))
 #: Seen at least so often in the sample to count as a known word.
 KNOWN_FROM = 2
 #: Pseudo-count of what a language has not shown.
 SMOOTH = 0.5
 #: Weight of a word that is only known by its n-grams.
 BACKOFF = 0.5
-KEEP_WORDS, TEXTS_AT_ONCE = 400_000, 500
+#: Scores (words times languages) that a worker remembers, and texts that are scored at once.
+KEEP_SCORES, TEXTS_AT_ONCE = 1_600_000, 500
 
-_TOKEN = re.compile(r"[^\W\d_]+")
+#: Numerals that are neither letters nor decimal digits, as half and roman ones: part of ``\\w``, not of a word.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_TOKEN = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 LETTERS = r"\p{L}+"
 
 
 @dataclass
 class Model:
+    """Entries (words or n-grams) sorted by kind and text; entry i has its languages and their log frequencies in places first[i]:first[i+1]."""
+
     langs: list[str]
+    entries: list[str]
+    kinds: np.ndarray
+    first: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+    base: np.ndarray
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,7 +74,7 @@ def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """About ``rows`` rows per language, chosen by a hash of the id; all of a language that has fewer."""
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang"))
     spread = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    return labelled.join(F.broadcast(counts.orderBy(F.desc("n_lang"), "lang").limit(1000)), "lang").where(spread < F.lit(float(rows)) / F.col("n_lang"))
+    return labelled.join(counts, "lang").where(spread < F.lit(float(rows)) / F.col("n_lang"))
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -79,32 +91,31 @@ def fit(labelled: DataFrame) -> Model:
 
     grams = words.select("lang", "n", F.explode(F.concat(*map(cut, ORDERS))).alias("w")).groupBy("lang", "w").agg(F.sum("n").alias("n"))
     kinds = words.where(f"n >= {KNOWN_FROM}").withColumn("k", F.lit(0)).unionByName(grams.withColumn("k", F.length("w")))
-    totals = kinds.groupBy("lang", "k").agg(F.sum("n").alias("total"))
-    place = F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "w"))
-    most = F.when(F.col("k") == 0, MODEL_WORDS).otherwise(MODEL_GRAMS)
-    kept = kinds.withColumn("place", place).where(F.col("place") <= most).drop("place").collect()
-    sums = {(r.lang, r.k): r.total for r in totals.collect()}
+    kinds = kinds.select("k", "w", "lang", "n").persist()
+    table = kinds.orderBy("k", "w", "lang").toArrow()
+    totals = {(r.lang, r.k): r.total for r in kinds.groupBy("lang", "k").agg(F.sum("n").alias("total")).collect()}
     words.unpersist()
-    langs = sorted({lang for lang, _ in sums})
-    index = {lang: i for i, lang in enumerate(langs)}
-    base = {k: np.array([np.log(SMOOTH / (sums.get((lang, k), 0) + SMOOTH)) for lang in langs]) for k in (0, *ORDERS)}
-    model = Model(langs)
-    for r in kept:
-        table = model.grams if r.k else model.words
-        row = table.setdefault(r.w, base[r.k].copy())
-        row[index[r.lang]] = np.log((r.n + SMOOTH) / (sums[r.lang, r.k] + SMOOTH))
-    return model
+    kinds.unpersist()
+    langs = sorted({lang for lang, _ in totals})
+    total = np.array([[totals.get((lang, k), 0) for lang in langs] for k in KINDS]).reshape(len(KINDS), len(langs))
+    base = np.log(SMOOTH / (total + SMOOTH))
+    k, n = (np.asarray(table[c].combine_chunks()) for c in ("k", "n"))
+    texts, index = table["w"].to_pylist(), {lang: i for i, lang in enumerate(langs)}
+    lang = np.array([index[x] for x in table["lang"].to_pylist()], np.int64)
+    fresh = [i for i in range(len(texts)) if not i or texts[i] != texts[i - 1] or k[i] != k[i - 1]]
+    # what an entry adds to a language that has shown it, above what all get
+    value = np.log((n + SMOOTH) / (total[k, lang] + SMOOTH)) - base[k, lang] if len(k) else np.zeros(0)
+    return Model(langs, [texts[i] for i in fresh], k[fresh], np.array([*fresh, len(texts)]), lang, value, base)
 
 
 class Scorer:
     """Scores of texts; rows of seen words are kept in one matrix, new ones are worked out for many texts at once."""
 
     def __init__(self, model: Model):
-        self.langs = model.langs
-        tables = [*model.words.values(), *model.grams.values()]
-        self.rows = np.array(tables) if tables else np.zeros((0, len(model.langs)))
-        self.words = {w: i for i, w in enumerate(model.words)}
-        self.grams = {g: len(model.words) + i for i, g in enumerate(model.grams)}
+        self.model, self.langs = model, model.langs
+        n_words = int(np.searchsorted(model.kinds, 1))
+        self.words = {w: i for i, w in enumerate(model.entries[:n_words])}
+        self.grams = {g: n_words + i for i, g in enumerate(model.entries[n_words:])}
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.langs)))
 
@@ -128,17 +139,20 @@ class Scorer:
             rows += found
             sizes.append(len(found))
             scales.append(1.0 if own is not None else BACKOFF / max(1, len(found)))
-        sizes = np.array(sizes)
-        added = np.zeros((len(new), len(self.langs)))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            added[some] = np.add.reduceat(self.rows[rows], (np.cumsum(sizes) - sizes)[some]) * np.array(scales)[some, None]
+        added, model = np.zeros((len(new), len(self.langs))), self.model
+        of, entry = np.repeat(np.arange(len(new)), sizes), np.array(rows, np.int64)
+        scale = np.array(scales)[of]
+        shown = np.bincount(of * len(KINDS) + model.kinds[entry], weights=scale, minlength=len(new) * len(KINDS)).reshape(len(new), len(KINDS))
+        added += shown @ model.base
+        each = np.diff(model.first)[entry]
+        at = np.repeat(model.first[entry] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        np.add.at(added, (np.repeat(of, each), model.lang[at]), model.value[at] * np.repeat(scale, each))
         self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
         self.scores = np.concatenate([self.scores, added])
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         counts = [Counter(_TOKEN.findall(t.lower())) if t else None for t in texts]
-        if len(self.known) > KEEP_WORDS:
+        if len(self.known) * max(1, len(self.langs)) > KEEP_SCORES:
             self.known, self.scores = {}, self.scores[:0]
         if self.langs:
             self.learn(list({w for c in counts if c for w in c} - self.known.keys()))
@@ -153,15 +167,8 @@ class Scorer:
         return self.langs[best], float(1 / odds.sum())
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _predict(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key = shared.value.name
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(shared.value)
-    scorer = _SCORERS[key]
+    scorer = kept(("language", shared.value.name), lambda: Scorer(shared.value))
     for batch in batches:
         texts = batch.column(1).to_pylist()
         said = [x for i in range(0, len(texts), TEXTS_AT_ONCE) for x in scorer.texts(texts[i : i + TEXTS_AT_ONCE])]

@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_documents
+from tidemark.llm.common import kept, read_documents
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -85,9 +85,6 @@ class Counter:
         return [sum([short[p] if len(p) <= KEEP_CHARS else long[p] for p in ps]) for ps in cut]
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def _batches(column: pa.Array, limit: int) -> Iterator[list[str]]:
     """The texts in runs of about ``limit`` bytes, whatever the rows of the Arrow batch."""
     run, size = [], 0
@@ -103,7 +100,7 @@ def _batches(column: pa.Array, limit: int) -> Iterator[list[str]]:
 
 
 def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter = _COUNTERS.get(path) or _COUNTERS.setdefault(path, Counter(path))
+    counter = kept(("tokens", path), lambda: Counter(path))
     for batch in batches:
         counts = [n for texts in _batches(batch.column(2), 4_000_000) for n in counter.counts(texts)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
