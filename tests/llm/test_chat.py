@@ -1,4 +1,5 @@
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -34,8 +35,10 @@ def test_recovers_turns(spark, sf_dir, monkeypatch, block):
     for r in chat.query(spark, sf_dir).orderBy("conv_id", "turn_no").collect():
         got.setdefault(r.conv_id, []).append((r.role, r.rendered.removeprefix(f"<|{r.role}|>\n").removesuffix("\n<|end|>")))
     assert got.keys() == want.keys()
-    right = sum(got[c] == [(role, text.rstrip("\n")) for role, text in want[c]] for c in want)
-    assert right / len(want) > 0.9
+    right = {c: got[c] == [(role, text.rstrip("\n")) for role, text in want[c]] for c in want}
+    unseen = [c for c in want if zlib.crc32(str(c).encode()) % 4 == 2]
+    assert sum(right.values()) / len(want) > 0.9
+    assert len(unseen) > 3 and sum(right[c] for c in unseen) / len(unseen) > 0.9
 
 
 def test_edges(spark):
@@ -44,3 +47,26 @@ def test_edges(spark):
     out = chat.format_turns(lines.drop("state"), chat.fit(lines)).collect()
     assert {r.conv_id for r in out} == {1, 2, None}
     assert chat.format_turns(lines.where("false"), chat.fit(lines.where("false"))).collect() == []
+
+
+def test_unknown_roles(spark):
+    """Turns of other roles teach nothing and show no marker; blocks and whole transcripts agree on every symbol."""
+    rows = [(c, t, ("user", "assistant", "tool", None)[t % 4], f"turn {t}\nmore") for c in range(9) for t in range(8)]
+    lines = chat.as_transcript(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.state for r in lines.collect()} == {None, 0, 1, 2, 3}
+    known = spark.createDataFrame([r for r in rows if r[2] in chat.ROLES], "conv_id long, turn long, role string, text string")
+    assert (chat.fit(lines).show.argmax(axis=1) == chat.fit(chat.as_transcript(known)).show.argmax(axis=1)).all()
+    turns = chat.format_turns(lines.drop("state"), chat.fit(lines)).collect()
+    assert {r.role for r in turns} <= set(chat.ROLES) and sum(r.n_lines for r in turns) == lines.count()
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_symbols_do_not_depend_on_blocks(spark, sf_dir, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    lines = chat.as_transcript(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    got = {(r.conv_id, r.line_no): (r.symbol, r.before) for r in chat.observe(lines).collect()}
+    text = {(r.conv_id, r.line_no): (r.text, r.state) for r in lines.collect()}
+    assert got.keys() == text.keys()
+    for (c, i), (symbol, before) in got.items():
+        earlier = text.get((c, i - 1), ("", None))
+        assert before == earlier[1] and symbol // 3 % 2 == (not earlier[0].strip(" "))

@@ -6,16 +6,19 @@ it is. Hidden states say which role speaks and whether the line begins a turn.
 Viterbi finds the most likely states. Transcripts are decoded in blocks of
 ``BLOCK`` lines: each block's best scores between states make a small matrix, the
 matrices of a transcript are combined, and blocks are then decoded apart with
-their end states known. So a long transcript is not walked in one task; only a
-matrix per block meets in one row.
+their end states known. Lines meet by blocks only; of a whole transcript, one
+matrix or one number per block meets in one row or window.
 
 The model is counted by Spark over conversations whose roles are known (at most
-states x symbols numbers), with one added to each count.
-
-Nulls: a null text is an empty line, a null role gives a turn without a marker,
-a null conv_id is a conversation of its own. Rows of one conversation and turn
-are ordered by role and text. Empty tables give no turns. Extra columns are
-ignored.
+states x symbols numbers), with one added to each count. The query fits it on the
+conversations whose crc32(conv_id) modulo 4 is not 2 and formats all.
+
+Nulls: a null text is an empty line, a null conv_id is a conversation of its own.
+A role that is null or none of ``ROLES`` (as ``tool``) gives a turn without a
+marker, from which nothing is learned; the turn is rendered under the role that
+the lines most likely have. Rows of one conversation and turn are ordered by role
+and text; repeated rows are turns of their own. A line of any length is one
+symbol. Empty tables give no turns. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
+from tidemark.llm.language_id import held_out
 
 ROLES = ("user", "assistant", "system")
 #: Markers that name a role at the start of a line, by style.
@@ -62,39 +66,45 @@ def _marker(text: Column) -> tuple[Column, Column]:
 
 
 def observe(lines: DataFrame) -> DataFrame:
-    """lines (conv_id, line_no, text) plus body and symbol."""
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("line_no"))
+    """lines (conv_id, line_no, text, perhaps state) plus block, body, symbol, and before: the state of the line before."""
+    state = F.col("state") if "state" in lines.columns else F.lit(None).cast("int")
+    rows = lines.select("conv_id", "line_no", "text", state.alias("state"), F.floor(F.col("line_no") / BLOCK).cast("int").alias("block"), F.lit(False).alias("copy"))
+    # each block begins with a copy of the line before it
+    ends = rows.where(F.col("line_no") % BLOCK == BLOCK - 1).withColumn("block", F.col("block") + 1).withColumn("copy", F.lit(True))
+    by_line = Window.partitionBy("conv_id", "block").orderBy("line_no")
     marker, body = _marker(F.col("text"))
     n = F.length("text")
     long = F.when(n >= LENGTHS[1], 2).when(n >= LENGTHS[0], 1).otherwise(0)
-    gap = (F.coalesce(F.trim(before), F.lit("")) == "").cast("int")
-    return lines.withColumn("body", body).withColumn("symbol", (marker * 6 + gap * 3 + long).cast("int"))
+    gap = (F.coalesce(F.trim(F.lag("text").over(by_line)), F.lit("")) == "").cast("int")
+    seen = rows.unionByName(ends).withColumn("symbol", (marker * 6 + gap * 3 + long).cast("int")).withColumn("before", F.lag("state").over(by_line))
+    return seen.where("NOT copy").withColumn("body", body).drop("copy")
 
 
 def as_transcript(conversations: DataFrame) -> DataFrame:
-    """Lines (conv_id, line_no, text, state) of conversations: turns with markers in a style of the conversation's, a blank line between them, and every eighth marker left out; state is the truth."""
+    """Lines (conv_id, line_no, text, state) of conversations: turns with markers in a style of the conversation's, a blank line between them, and every eighth marker left out; state is the truth, null where the role is none of ROLES."""
     style = F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int")
     named = F.lit("")
     for role in ROLES:
         named = F.when(F.col("role") == role, F.element_at(F.array(*[F.lit(m) for m in MARKERS[role]]), style + 1)).otherwise(named)
     bare = (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0) & (F.col("turn") > 0)
     said = F.concat(F.when(bare, "").otherwise(named), F.coalesce("text", F.lit("")), F.lit("\n"))
-    number = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role")), F.lit(1)).cast("int") - 1
-    rows = conversations.select("conv_id", "turn", number.alias("r"), F.coalesce("text", F.lit("")).alias("tie"), F.posexplode(F.split(said, "\n")).alias("i", "line"))
+    number = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role")).cast("int") - 1
+    rows = conversations.select("conv_id", "turn", F.when(number >= 0, number).alias("r"), F.coalesce("text", F.lit("")).alias("tie"), F.posexplode(F.split(said, "\n")).alias("i", "line"))
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "r", "tie", "i")) - 1
     return rows.select("conv_id", place.alias("line_no"), F.col("line").alias("text"), (F.col("r") * 2 + (F.col("i") > 0).cast("int")).alias("state"))
 
 
 def fit(lines: DataFrame) -> Model:
     """Model of lines whose state is known."""
-    seen = observe(lines).withColumn("next", F.lead("state").over(Window.partitionBy("conv_id").orderBy("line_no")))
+    seen = observe(lines).where("state IS NOT NULL").persist()
     start, step, show = np.ones(STATES), np.ones((STATES, STATES)), np.ones((STATES, SYMBOLS))
     for r in seen.groupBy("state", "symbol").agg(F.count(F.lit(1)).alias("n")).collect():
         show[r.state, r.symbol] += r.n
-    for r in seen.where("next IS NOT NULL").groupBy("state", "next").agg(F.count(F.lit(1)).alias("n")).collect():
-        step[r.state, r.next] += r.n
+    for r in seen.where("before IS NOT NULL").groupBy("before", "state").agg(F.count(F.lit(1)).alias("n")).collect():
+        step[r.before, r.state] += r.n
     for r in seen.where("line_no = 0").groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect():
         start[r.state] += r.n
+    seen.unpersist()
     log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
     return Model(log(start), log(step), log(show))
 
@@ -149,7 +159,7 @@ def format_turns(lines: DataFrame, model: Model) -> DataFrame:
     def states(symbols: pd.Series, before: pd.Series, end: pd.Series) -> pd.Series:
         return pd.Series([decode_block(model, np.asarray(s), int(b), int(e)) for s, b, e in zip(symbols, before, end, strict=True)])
 
-    seen = observe(lines.select("conv_id", "line_no", F.coalesce("text", F.lit("")).alias("text"))).withColumn("block", F.floor(F.col("line_no") / BLOCK).cast("int"))
+    seen = observe(lines.select("conv_id", "line_no", F.coalesce("text", F.lit("")).alias("text")))
     blocks = materialize(seen.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("line_no", "symbol", "body"))).alias("lines")))
     symbols = F.transform("lines", lambda x: x["symbol"])
     scored = blocks.select("conv_id", "block", scores(symbols).alias("m"))
@@ -171,4 +181,4 @@ def format_turns(lines: DataFrame, model: Model) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = materialize(as_transcript(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
-    return format_turns(lines.drop("state"), fit(lines))
+    return format_turns(lines.drop("state"), fit(lines.where(~held_out(F.col("conv_id")))))
