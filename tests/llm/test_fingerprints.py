@@ -56,3 +56,23 @@ def test_repeated_ids(documents, monkeypatch):
     docs = documents([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (2, "y")])
     monkeypatch.setattr(fp, "read_documents", lambda spark, d: docs)
     assert fp.query(docs.sparkSession, "").count() == 4
+
+
+def test_far_ids_leave_no_large_bucket(documents):
+    ids = [*range(200), 10**6, *range(1 << 40, (1 << 40) + 200), (1 << 62), -(1 << 62)]
+    docs = documents([(i, f"text {i}") for i in ids] + [(None, "none")])
+    cells, cell, bucket = fp.id_buckets(docs, 10)
+    sizes = [r["count"] for r in docs.withColumn("cell", cell).join(cells, F.col("cell") == F.col("of")).groupBy(bucket).count().collect()]
+    assert max(sizes) <= 30 and sum(sizes) == len(ids) + 1
+    after = {r.doc_id: r.next_text for r in fp.with_next(docs, 10).collect()}
+    order = [None, *sorted(ids)]
+    text = lambda i: "none" if i is None else f"text {i}"
+    assert after == {d: text(order[(k + 1) % len(order)]) for k, d in enumerate(order)}
+
+
+def test_very_long_text_and_clashing_columns(documents, monkeypatch):
+    docs = documents([(1, "é w " * 400_000), (2, "short")])
+    for c in ("tie", "bucket", "cell", "of", "next", "fingerprint", "to"):
+        docs = docs.withColumn(c, F.lit("x"))
+    got = run(monkeypatch, docs)
+    assert got[1].n_chars == 1_600_000 and got[1].distinct_shingles == 2

@@ -20,8 +20,8 @@ from tidemark.llm.common import let, materialize, read_documents, words
 
 SHINGLE = 5
 K = 128
-#: Rows in an id bucket, and the most buckets there are: the table of bucket heads that is broadcast has no more rows than that.
-BUCKET_ROWS, MAX_BUCKETS = 1000, 65_536
+#: Rows in an id bucket; the most cells of ids, and the most buckets a cell is cut to on average: both tables that are broadcast have a bounded number of rows.
+BUCKET_ROWS, MAX_CELLS, MAX_BUCKETS = 1000, 4096, 65_536
 
 
 def sketch(text: Column, k: int = K, width: int = SHINGLE) -> Column:
@@ -76,27 +76,51 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.hex(x))), ".")
 
 
+def id_buckets(docs: DataFrame, bucket_rows: int) -> tuple[DataFrame, Column, Column]:
+    """(table of cells, a row's cell, the bucket of a row joined with its cell): buckets ascend with doc_id.
+
+    Cells lie between quantiles of the ids; each is cut to as many equal ranges,
+    between its own least and greatest id, as its rows need. So ids far from all
+    others, or in clusters, do not put the rest into one bucket.
+    """
+    n = docs.count()
+    count = min(MAX_CELLS, max(1, n // bucket_rows))
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)] or [0.5], 10 * count)).first()[0] or []
+    bounds = sorted(set(bounds)) if count > 1 else []
+    literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  one constant in the plan
+    upto = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("doc_id")))
+    cell = F.lit(0)
+    if bounds:
+        step = 64
+        group = upto(literal(bounds[::step]))
+        cell = F.when(group > 0, (group - 1) * step + upto(F.slice(literal(bounds), (F.greatest(group, F.lit(1)) - 1) * step + 1, F.lit(step)))).otherwise(0)
+    cell = F.when(F.col("doc_id").isNull(), -1).otherwise(cell)
+    parts = F.greatest(F.lit(1), F.expr(f"n div {max(bucket_rows, n // MAX_BUCKETS)}"))
+    wide = lambda c: c.cast("decimal(20,0)")  # noqa: E731  differences of ids may pass 64 bits
+    cells = docs.groupBy(cell.alias("of")).agg(F.min("doc_id").alias("from"), F.max("doc_id").alias("to"), F.count(F.lit(1)).alias("n"))
+    width = F.floor((wide(F.col("to")) - wide(F.col("from"))) / wide(parts)) + 1
+    cells = materialize(cells.select("of", "from", width.cast("decimal(20,0)").alias("width")))
+    part = F.coalesce(F.floor((wide(F.col("doc_id")) - wide(F.col("from"))) / F.col("width")).cast("long"), F.lit(0))
+    return cells, cell, F.col("cell").cast("long") * (1 << 32) + part
+
+
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, text, fingerprint) of each row with next_text, next_fingerprint of the row after it by doc_id; the first follows the last.
 
     Rows are dealt to buckets of neighbouring ids; within one, a window looks
-    ahead. Each bucket also gets a copy of the head of the next one. Only the
-    heads' ids (at most MAX_BUCKETS) are broadcast, and texts shuffle once.
+    ahead. Each bucket also gets a copy of the head of the next one. Only cells and
+    heads' ids (bounded numbers) are broadcast, and texts shuffle once.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    count = min(MAX_BUCKETS, max(1, n // bucket_rows))
-    width = (high - low) // count + 1
-    away = (F.col("doc_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")
-    rows = rows.withColumn("bucket", F.coalesce(F.floor(away).cast("int"), F.lit(-1)))
+    cells, cell, bucket = id_buckets(docs, bucket_rows)
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("cell", cell)
+    rows = rows.join(F.broadcast(cells), F.col("cell") == F.col("of")).select("doc_id", "text", "tie", bucket.alias("bucket"))
     heads = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("head"))
     ring = Window.orderBy("bucket")
     last = F.max("bucket").over(Window.partitionBy())
     heads = materialize(heads.select("bucket", "head.*", F.coalesce(F.lag("bucket").over(ring), last).alias("to")))
     same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie")) & (F.col("bucket") == F.col("h_bucket"))
-    ids = heads.select(F.col("bucket").alias("h_bucket"), F.col("doc_id").alias("h_id"), F.col("tie").alias("h_tie"), "to")
-    copies = rows.join(F.broadcast(ids), same).select("doc_id", "text", "tie", F.col("to").alias("bucket"), F.lit(1).alias("copy"))
+    ids = heads.select(F.col("bucket").alias("h_bucket"), F.col("doc_id").alias("h_id"), F.col("tie").alias("h_tie"), F.col("to").alias("h_to"))
+    copies = rows.join(F.broadcast(ids), same).select("doc_id", "text", "tie", F.col("h_to").alias("bucket"), F.lit(1).alias("copy"))
     dealt = rows.select("doc_id", "text", "tie", "bucket", F.lit(0).alias("copy")).unionByName(copies).repartition("bucket")
     dealt = dealt.withColumn("fingerprint", sketch(F.col("text")))
     ahead = F.lead(F.struct("text", "fingerprint")).over(Window.partitionBy("bucket").orderBy("copy", "doc_id", "tie"))
