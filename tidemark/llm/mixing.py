@@ -11,7 +11,8 @@ with most of the rows still spreads over all tasks.
 
 Nulls: a null text has size 0, a null source is a source of its own and sorts
 last, a null doc_id draws like the empty string. Rows with one doc_id draw
-alike. An empty table gives an empty mix. Extra columns are carried along; the
+alike. Texts of any length are one document. An empty table gives an empty mix.
+``emit_mix`` carries all columns along, whatever their names; in ``plan_mix`` the
 operator's own columns replace any of the same name.
 """
 
@@ -68,25 +69,31 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+OWN = ("size", "source_size", "target", "copies")
+
+
+def _planned(docs: DataFrame, weights: Sequence[int], share: float, most: float, seed: str) -> DataFrame:
+    """row (all columns of docs) and the columns of OWN."""
+    per_source = docs.groupBy("source").agg(F.sum(size_of(F.col("text"))).alias("source_size"))
+    targets = source_targets(per_source, weights, share, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = targets.select(F.col("source").alias("t_source"), "source_size", "target", rate.alias("rate"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t_salt"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), size_of(F.col("text")).alias("size"), salt.alias("salt"), F.col("source").alias("of"), draw(F.col("doc_id"), seed).alias("drawn"))
+    joined = rows.join(targets, F.col("of").eqNullSafe(F.col("t_source")) & (F.col("salt") == F.col("t_salt")))
+    whole = F.floor("rate")
+    return joined.select("row", "size", "source_size", "target", (whole + (F.col("drawn") < F.col("rate") - whole).cast("int")).cast("int").alias("copies"))
+
+
 def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """docs plus size, source_size, target, copies: how often the mix takes each document."""
-    rows = docs.withColumn("size", size_of(F.col("text")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, most).select(
-        F.col("source").alias("t_source"), "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t_salt")
-    )
-    rows = rows.drop("source_size", "target", "copies").withColumn("t_salt_of", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("t_salt_of") == F.col("t_salt")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    extra = (draw(F.col("doc_id"), seed) < rate - whole).cast("int")
-    return joined.withColumn("copies", (whole + extra).cast("int")).drop("t_source", "t_salt", "t_salt_of")
+    return _planned(docs, weights, share, most, seed).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in OWN], *OWN)
 
 
-def emit_mix(docs: DataFrame, **how) -> DataFrame:
+def emit_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as its plan says, with their own columns."""
-    planned = plan_mix(docs, **how).where("copies > 0")
-    return planned.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    planned = _planned(docs, weights, share, most, seed).where("copies > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
