@@ -8,8 +8,9 @@ reach the driver. The verdict joins back on (host, salt), so a host with a third
 of all rows is spread over all tasks.
 
 Nulls: a null text has no words and fails; a null host is a host of its own.
-Empty tables give empty results. Extra columns are carried along; the
-operator's own columns replace any of the same name.
+Rows are judged apart, also where an id or a whole row repeats. Texts of any
+length are judged whole. Empty tables give empty results. ``keep_good`` carries
+all columns along, whatever their names; ``judge`` returns only its own.
 """
 
 from __future__ import annotations
@@ -56,11 +57,10 @@ def repeat_words(ws: Column, width: int = 3) -> Column:
     return let(ws, of)
 
 
-def document_metrics(docs: DataFrame) -> DataFrame:
-    """docs plus the columns of METRICS and base_failed."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def metrics_of(text: Column) -> Column:
+    """Struct of METRICS and base_failed of a text."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.drop(*METRICS, "base_failed")
     measured = F.struct(
         F.size(words(text)).cast("long").alias("n_words"),
         (F.length(text) - F.regexp_count(text, F.lit(SEPARATOR))).cast("long").alias("word_chars"),
@@ -68,19 +68,18 @@ def document_metrics(docs: DataFrame) -> DataFrame:
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(words(text)).cast("long").alias("n_repeat_words"),
     )
-    out = out.withColumn("m_", measured).select(*out.columns, *[F.col(f"m_.{m}").alias(m) for m in METRICS])
-    failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    failed = lambda m: (m["n_words"] < MIN_WORDS) | (F.lit(100) * m["n_repeat_words"] > F.lit(MAX_REPEAT_PERCENT) * m["n_words"])
+    return let(measured, lambda m: F.struct(*[m[c].alias(c) for c in METRICS], failed(m).alias("base_failed")))
 
 
-def host_verdicts(judged: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """Per host: documents, failures, shrunk failure rate, host_ok; ``judged`` has base_failed.
+def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+    """Per host: documents, failures, shrunk failure rate, host_ok; ``judged`` has host and base_failed.
 
     The prior has the mean of all documents and the spread between hosts beyond
     that of binomial draws; where hosts differ no more than chance, its weight is
     as large as the corpus and every host gets about the common rate.
     """
-    hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("failures"))
+    hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("failures"))
     hosts = materialize(hosts)
     p = hosts.agg(F.sum("n").alias("n"), F.sum("failures").alias("f"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("failures") * F.col("failures") / F.col("n")).alias("ff")).first()
     total, fails = float(p["n"] or 0), float(p["f"] or 0)
@@ -94,26 +93,35 @@ def host_verdicts(judged: DataFrame, host: str = "source", limit: float = HOST_L
     return hosts.withColumn("rate", rate).withColumn("host_ok", F.col("rate") <= F.lit(limit))
 
 
-def join_verdicts(judged: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:
-    """judged plus host_ok and host_rate."""
+def join_verdicts(judged: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """judged (with columns host and spread) plus host_ok and host_rate, in place of spread."""
     right = verdicts.select(F.col("host").alias("v_host"), "host_ok", F.col("rate").alias("host_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("v_salt"))
-    left = judged.drop("host_ok", "host_rate").withColumn("v_salt_of", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return left.join(right, F.col(host).eqNullSafe(F.col("v_host")) & (F.col("v_salt_of") == F.col("v_salt"))).drop("v_host", "v_salt", "v_salt_of")
+    return judged.join(right, F.col("host").eqNullSafe(F.col("v_host")) & (F.col("spread") == F.col("v_salt"))).drop("v_host", "v_salt", "spread")
+
+
+def spread(doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int").alias("spread")
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, metrics, base_failed, host_rate, kept: one row per row of docs, without its text."""
-    measured = materialize(document_metrics(docs).select("doc_id", host, *METRICS, "base_failed"))
-    joined = join_verdicts(measured, host_verdicts(measured, host), host)
+    measured = docs.select("doc_id", F.col(host).alias("host"), spread(), metrics_of(F.col("text")).alias("m"))
+    measured = materialize(measured.select("doc_id", "host", "spread", "m.*"))
+    joined = join_verdicts(measured, host_verdicts(measured))
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_ok"))
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs that pass their own rules and their host's verdict, with their columns."""
-    measured = document_metrics(docs)
-    verdicts = host_verdicts(measured.select(host, "base_failed"), host)
-    good = measured.where(~F.col("base_failed")).select(*docs.columns)
-    return join_verdicts(good, verdicts, host).where("host_ok").select(*docs.columns)
+    """The rows of docs that pass their own rules and their host's verdict, with their columns.
+
+    Metrics are worked out once: what is written is host and verdict of every row,
+    and the row itself where it passed.
+    """
+    row = F.struct(*docs.columns)
+    measured = docs.select(row.alias("row"), F.col(host).alias("host"), spread(), metrics_of(F.col("text"))["base_failed"].alias("base_failed"))
+    measured = materialize(measured.withColumn("row", F.when(~F.col("base_failed"), F.col("row"))))
+    verdicts = host_verdicts(measured.select("host", "base_failed"))
+    return join_verdicts(measured.where(~F.col("base_failed")), verdicts).where("host_ok").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
