@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import repeats, substring_dedup, suffix_dedup
@@ -65,13 +66,62 @@ def test_bytes_equal_brute_force(documents, monkeypatch, seed):
         assert got[i].kept_sha256 == sha(bytes(b for b, x in zip(units[i], f, strict=True) if not x))
 
 
-def test_transform_sorts_all_suffixes():
+@pytest.mark.parametrize("step", [1, 3])
+def test_transform_sorts_all_suffixes(step):
     rng = random.Random(7)
-    strings = [bytes(rng.choices(b"ab", k=rng.randint(0, 12))) for _ in range(30)]
+    strings = [bytes(rng.choices(b"ab", k=rng.randint(0, 14))) for _ in range(40)]
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
     data = np.frombuffer(b"".join(strings), np.uint8)
-    rows = sorted((s[i:] + b"\xff", j, s[i - 1] if i else 255) for j, s in enumerate(strings) for i in range(len(s) + 1))
-    assert suffix_dedup.transform(data, offsets).tolist() == [r[2] for r in rows]
+    starts = suffix_dedup.suffix_order(*suffix_dedup.numbered(data, offsets, step), step, 1)
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    suffix = lambda p, j: strings[j][p - offsets[j] :]
+    # all places from which a whole symbol follows, in the order of the symbols and the ends behind them
+    assert sorted(starts.tolist()) == [offsets[j] + i for j, s in enumerate(strings) for i in range(len(s) - step + 1)]
+    whole = [suffix(p, j)[: len(suffix(p, j)) // step * step] + b"\xff" * step for p, j in zip(starts, owner, strict=True)]
+    assert whole == sorted(whole)
+
+
+def test_shared_windows_equal_brute_force():
+    rng = random.Random(9)
+    strings = [bytes(rng.choices(b"abc", k=rng.randint(0, 60))) for _ in range(60)]
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    for width, step in ((8, 8), (8, 4), (6, 4)):
+        count = Counter(s[i : i + width] for s in strings for i in range(len(s) - width + 1))
+        want = [i + width <= len(s) and count[s[i : i + width]] > 1 for s in strings for i in range(len(s))]
+        assert suffix_dedup.shared_windows(data, offsets, width, step).tolist() == want
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_chunks_hold_whole_names(monkeypatch, size):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", size * 16)
+    rng = random.Random(2)
+    names = np.sort(np.array([rng.randint(0, 20) for _ in range(300)] + [21] * 200))
+    cuts = [0, *sorted(rng.sample(range(1, 500), 20)), 500]
+    batches = [pa.RecordBatch.from_arrays([pa.array(names[a:b]), pa.array(np.arange(a, b))], ["name", "i"]) for a, b in zip(cuts, cuts[1:])]
+    tables = list(repeats._chunks(iter(batches)))
+    assert [i for t in tables for i in t["i"].to_pylist()] == list(range(500))
+    seen = [set(t["name"].to_pylist()) for t in tables]
+    assert sum(map(len, seen)) == len(set(names.tolist())) and (size > 500 or len(seen) > 5)
+
+
+@pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
+def test_clashing_columns(documents, module):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = documents([(1, text), (2, text), (3, "other words")])
+    for c in ("packed", "spans", "n_words", "n_removed", "kept", "k_id", "o_0", "r_0", "first", "name"):
+        docs = docs.withColumn(c, docs.doc_id * 10)
+    left = module.remove_repeats(docs, docs.columns)
+    assert len(left.columns) == len(set(left.columns))
+    assert sorted((r.doc_id, r.packed, r.o_0, r.r_0, r.n_removed > 0) for r in left.collect()) == [(1, 10, 10, 10, True), (2, 20, 20, 20, True), (3, 30, 30, 30, False)]
+
+
+def test_very_long_text(documents):
+    """A text of a million words loses what it repeats, and no other."""
+    words = [f"w{i}" for i in range(1_000_000)]
+    words[600_000:600_040] = words[100:140]
+    rows = substring_dedup.remove_repeats(documents([(1, " ".join(words)), (2, "short")]), ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in rows) == [(1, 1_000_000, 80), (2, 1, 0)]
 
 
 def test_repeated_ids_nulls_and_empty(documents):

@@ -12,8 +12,9 @@ window is in exactly one segment.
    Hot names, which very many windows have, go another way, so that no task holds
    all their segments: hashes of their windows are counted first and a second
    bitmap cuts segments to the stretches that may repeat; these are named anew by
-   a longer gram, and equal ones are combined to a count before they are dealt.
-   The spans found are joined back to the occurrences by (name, hash, salt).
+   a longer gram, and equal ones are combined, first within each run of rows and
+   then to a count, before they are dealt. The spans found are joined back to
+   those runs' occurrences by (name, hash, salt).
 3. Those spans return to their documents by key; texts travel compressed.
 """
 
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Texts, gram_hash, materialize, mix, prefix_hash, slices, slide, span_hash, word_spans
+from tidemark.llm.common import Texts, forget, gram_hash, materialize, mix, prefix_hash, slices, slide, span_hash, word_spans
 
 BITS = 1 << 26
 #: Bits of one row of the bitmap, as Spark builds it.
@@ -35,7 +36,7 @@ PART = 32_768
 #: A name met more often is hot, but only so many names: which ones are never changes the result.
 HOT_NAME, HOT_NAMES, SALTS = 2000, 65_536, 32
 #: Bytes of segments that a task compares at once; a name's segments are never divided.
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 2_000_000
 SPANS = "k_id long, k_hash long, first long, last long"
 SEGMENTS = "name long, k_id long, k_hash long, at long, segment binary"
 
@@ -160,23 +161,22 @@ def _segments(by_words: bool, width: int, gram: int, only_hot: bool, shared, bat
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole names, of about CHUNK_BYTES."""
+    """Tables of whole names, of about CHUNK_BYTES; batches are joined once, whatever the length of a name."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
+        names = np.asarray(batch["name"])
+        # what is held can go once a batch shows another name than the last one held
+        cut = int(np.searchsorted(names, held[-1]["name"][-1].as_py(), "right")) if held else 0
+        if held and size >= CHUNK_BYTES and cut < len(names):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held, size, batch, names = [], 0, batch.slice(cut), names[cut:]
+        last = int(np.searchsorted(names, names[-1], "left"))
+        if not held and batch.nbytes >= CHUNK_BYTES and last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+            batch = batch.slice(last)
         held.append(batch)
         size += batch.nbytes
-        # nothing to cut off while all that is held has one name
-        if size >= CHUNK_BYTES and held[0]["name"][0] != batch["name"][-1]:
-            table = pa.Table.from_batches(held).combine_chunks()
-            names = np.asarray(table["name"])
-            cut = int(np.searchsorted(names, names[-1], "left"))
-            if cut:
-                yield table.slice(0, cut)
-                held = table.slice(cut).to_batches()
-            else:
-                held = table.to_batches()
-            size = sum(b.nbytes for b in held)
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -189,6 +189,7 @@ def distinct_segments(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndar
 
 
 def _spans(find: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for table in _chunks(b for b in batches if b.num_rows):
         distinct, times, of = distinct_segments(table)
         which, first, last = find(distinct, times)
@@ -209,17 +210,23 @@ def keyed(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(*columns, key, F.xxhash64(text).alias("k_hash"), text.alias("text"))
 
 
+def by_text(docs: DataFrame, *columns: Column) -> DataFrame:
+    """columns, then k_id and k_hash, 128 bits of hash of the text, then text: equal texts have equal spans."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(*columns, F.xxhash64(text, F.lit(1)).alias("k_id"), F.xxhash64(text).alias("k_hash"), text.alias("text"))
+
+
 def repeated_spans(docs: DataFrame, by_words: bool, width: int, gram: int, find) -> DataFrame:
-    """(k_id, k_hash, first, last): units [first, last) of a row that lie in windows occurring elsewhere too."""
+    """(k_id, k_hash, first, last): units [first, last) of a text that lie in windows occurring elsewhere too."""
     spark = docs.sparkSession
     bits, hot = repeated_names(docs, by_words, width, gram)
     shared = spark.sparkContext.broadcast((bits, hot))
-    found = keyed(docs).mapInArrow(lambda b: _segments(by_words, width, gram, False, shared, b), SEGMENTS)
+    found = by_text(docs).mapInArrow(lambda b: _segments(by_words, width, gram, False, shared, b), SEGMENTS)
     dealt = found.repartition("name").sortWithinPartitions("name")
     spans = dealt.mapInArrow(lambda b: _spans(find, b), SPANS)
     if not len(hot):
         return spans
-    segments = materialize(keyed(docs).mapInArrow(lambda b: _segments(by_words, width, gram, True, shared, b), SEGMENTS))
+    segments = materialize(by_text(docs).mapInArrow(lambda b: _segments(by_words, width, gram, True, shared, b), SEGMENTS))
     return spans.unionByName(_hot_spans(segments, by_words, width, find))
 
 
@@ -236,8 +243,12 @@ def _count_windows(by_words: bool, width: int, batches: Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["window", "n"])
 
 
+SEEN = "struct<k_id: bigint, k_hash: bigint, at: bigint>"
+TRIMMED = f"name long, segment binary, times long, seen array<{SEEN}>"
+
+
 def _trim(by_words: bool, width: int, gram: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hot segments cut to the stretches whose windows may repeat, under names of a longer gram."""
+    """Hot segments cut to the stretches whose windows may repeat, under names of a longer gram; those of a run of rows that are equal share a row."""
     bits = np.frombuffer(shared.value, np.uint8)
     for batch in batches:
         ids, hashes, places = (np.asarray(batch.column(i)) for i in (1, 2, 3))
@@ -251,8 +262,18 @@ def _trim(by_words: bool, width: int, gram: int, shared, batches: Iterator[pa.Re
             of = np.searchsorted(u.first, a, "right") - 1
             s, e = u.span(a, b)
             raw = t.data.tobytes()
-            data = pa.array([raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(ids[row + of]), pa.array(hashes[row + of]), pa.array(places[row + of] + a - u.first[of]), data], ["name", "k_id", "k_hash", "at", "segment"])
+            known: dict[tuple[int, bytes], int] = {}
+            which = np.array([known.setdefault((n, raw[x:y]), len(known)) for n, x, y in zip(names.view(np.int64).tolist(), s.tolist(), e.tolist(), strict=True)], np.int64)
+            times = np.bincount(which, minlength=len(known))
+            at = row + of
+            place = places[at] + a - u.first[of]
+            # copies of a text have one text key: one occurrence for all of them
+            order = np.lexsort((place, ids[at], hashes[at], which))
+            line = np.stack([which[order], hashes[at][order], ids[at][order], place[order]])
+            order = order[np.concatenate([[True], (line[:, 1:] != line[:, :-1]).any(axis=0)])] if len(order) else order
+            seen = pa.StructArray.from_arrays([pa.array(ids[at][order]), pa.array(hashes[at][order]), pa.array(place[order])], ["k_id", "k_hash", "at"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(which[order], minlength=len(known)))]).astype(np.int32)), seen)
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in known], pa.int64()), pa.array([x for _, x in known], pa.binary()), pa.array(times, pa.int64()), lists], ["name", "segment", "times", "seen"])
 
 
 def _spans_of_distinct(find, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,16 +287,16 @@ def _hot_spans(segments: DataFrame, by_words: bool, width: int, find) -> DataFra
     """SPANS of segments with hot names: a task meets each distinct stretch once, with its count."""
     counted = segments.select("segment").mapInArrow(lambda b: _count_windows(by_words, width, b), "window long, n long")
     often = segments.sparkSession.sparkContext.broadcast(_bitmap(counted.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1"), "window"))
-    trimmed = segments.mapInArrow(lambda b: _trim(by_words, width, width * 3 // 4, often, b), SEGMENTS)
+    trimmed = segments.mapInArrow(lambda b: _trim(by_words, width, width * 3 // 4, often, b), TRIMMED)
     trimmed = materialize(trimmed.withColumn("seg", F.xxhash64("segment")))
-    distinct = trimmed.groupBy("name", "seg", "segment").agg(F.count(F.lit(1)).alias("times"))
+    distinct = trimmed.groupBy("name", "seg", "segment").agg(F.sum("times").alias("times"))
     dealt = distinct.repartition("name").sortWithinPartitions("name")
     found = dealt.mapInArrow(lambda b: _spans_of_distinct(find, b), "name long, seg long, first long, last long")
     listed = found.groupBy("name", "seg").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = trimmed.select("name", "seg", "k_id", "k_hash", "at", F.pmod(F.xxhash64("k_id", "k_hash", "at"), F.lit(SALTS)).cast("int").alias("salt"))
-    spread = rows.join(listed, ["name", "seg", "salt"]).select("k_id", "k_hash", "at", F.explode("spans").alias("span"))
-    return spread.select("k_id", "k_hash", (F.col("at") + F.col("span.first")).alias("first"), (F.col("at") + F.col("span.last")).alias("last"))
+    rows = trimmed.select("name", "seg", "seen", F.pmod(F.xxhash64(F.get("seen", 0)), F.lit(SALTS)).cast("int").alias("salt"))
+    span = lambda o: F.transform("spans", lambda p: F.struct(o["k_id"].alias("k_id"), o["k_hash"].alias("k_hash"), (o["at"] + p["first"]).alias("first"), (o["at"] + p["last"]).alias("last")))
+    return rows.join(listed, ["name", "seg", "salt"]).select(F.inline(F.flatten(F.transform("seen", span))))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,14 +306,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], schema=pa.schema([*list(batch.schema)[:-1], pa.field("packed", pa.binary())]))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
-    """The named columns of docs with ``packed`` (the text, zstd) and ``spans``, an array of (first, last); all rows of docs stay."""
-    own = keyed(docs, *[F.col(c).alias(f"o_{c}") for c in columns])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]) + ", packed binary"
-    packed = own.mapInArrow(_pack, schema)
+def cut_rows(docs: DataFrame, spans: DataFrame, columns: list[str], cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], own: dict[str, str]) -> DataFrame:
+    """The named columns of docs and the columns ``own`` that cut makes of (.., text as zstd, array of (first, last)); all rows of docs stay."""
+    kept = [c for c in columns if c not in own]
+    rows = by_text(docs, *[F.col(c).alias(f"o_{i}") for i, c in enumerate(kept)])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", packed binary"
+    packed = rows.mapInArrow(_pack, schema)
     listed = spans.groupBy("k_id", "k_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    joined = packed.join(listed, ["k_id", "k_hash"], "left")
-    return joined.select(*[F.col(f"o_{c}").alias(c) for c in columns], "packed", "spans")
+    joined = packed.join(listed, ["k_id", "k_hash"], "left").drop("k_id", "k_hash")
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]], *[f"r_{i} {t}" for i, t in enumerate(own.values())]])
+    # cut names its columns itself; Spark takes them by place
+    named = joined.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays(b.columns, [*b.schema.names[: len(kept)], *[f"r_{i}" for i in range(len(own))]]) for b in cut(batches)), schema)
+    return named.select(*[F.col(f"o_{i}").alias(c) for i, c in enumerate(kept)], *[F.col(f"r_{i}").alias(c) for i, c in enumerate(own)])
 
 
 def merge_spans(spans: list[dict] | None) -> list[tuple[int, int]]:

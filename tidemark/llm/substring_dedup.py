@@ -11,13 +11,14 @@ Each word inside one is removed.
 Nulls count as texts without words. Repeated rows are copies of each other and
 lose all words that lie in a window; texts shorter than a window lose none.
 Rows with one doc_id and different texts are kept apart. Extra columns are
-carried along by ``remove_repeats``; an empty table gives an empty result. The
-memory of a task is that of the distinct segments of its largest name.
+carried along by ``remove_repeats``; the operator's own columns replace any of
+the same name. An empty table gives an empty result. The memory of a task is
+that of the distinct segments of its largest name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Texts, powers, prefix_hash, read_documents, span_hash, word_spans
-from tidemark.llm.repeats import merge_spans, repeated_spans, runs_of, with_spans
+from tidemark.llm.repeats import cut_rows, merge_spans, repeated_spans, runs_of
 
 WINDOW, GRAM = 35, 8
 
@@ -85,15 +86,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 del words[a:b]
             kept.append(b" ".join(words).decode())
         new = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names=[*batch.schema.names[:-2], "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names=[*batch.schema.names[:-2], *OWN])
 
 
-def remove_repeats(docs: DataFrame, columns: list[str], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The named columns of docs, n_words, n_removed and kept: the words outside recurring passages."""
+OWN = {"n_words": "long", "n_removed": "long", "kept": "string"}
+
+
+def remove_repeats(docs: DataFrame, columns: list[str], window: int = WINDOW, gram: int = GRAM, own: Sequence[str] = tuple(OWN)) -> DataFrame:
+    """The named columns of docs, n_words, n_removed and kept (or as ``own`` names them): the words outside recurring passages."""
     spans = repeated_spans(docs, True, window, gram, lambda distinct, times: passages(distinct, times, window))
-    rows = with_spans(docs, spans, columns)
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(_cut, f"{schema}, n_words long, n_removed long, kept string")
+    return cut_rows(docs, spans, columns, _cut, dict(zip(own, OWN.values(), strict=True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

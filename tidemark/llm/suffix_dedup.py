@@ -1,25 +1,28 @@
 """Suffix-array dedup (operator 4): repeated byte strings by column-wise construction over many strings.
 
 Segments of the corpus that may hold a repeated string of ``WIDTH`` bytes are
-dealt by name (see ``repeats``). A task cuts the distinct segments of whole
-names to the stretches whose windows are met twice, and builds the
-Burrows-Wheeler transform of that collection of strings column by column: each
-round inserts one more symbol of every string, from the last to the first, at
-the place that the transform so far gives. The finished transform lists all
-suffixes in order; a string of ``WIDTH`` bytes repeats where neighbours in that
-order have that many bytes in common, which is compared byte by byte.
-
-A round over whole documents would scan the transform once for each of their up
-to hundreds of thousands of columns. Here a string has at most two windows'
-bytes, so rounds are few, and a task's transform is small enough to be held in
-memory; the sequential external files are Spark's shuffle files.
+dealt by name (see ``repeats``). A task cuts the distinct segments of whole names
+to the stretches whose windows' hashes are met twice (candidates only), and builds
+the Burrows-Wheeler transform of these strings column by column: each round
+inserts one more symbol of every string, from the last to the first, at the place
+that the transform so far gives. The finished transform lists all suffixes in
+order; a string of ``WIDTH`` bytes repeats where neighbours in that order have
+that many bytes in common, which is compared symbol by symbol. Equal strings
+enter once, with their number.
+
+Symbols are ``SYMBOL`` bytes wide: each string enters as often, less 0, 1, ..
+last bytes, so that its suffixes from all places are there, in an eighth of the
+rounds. A round over whole documents would scan the transform once for each of
+their up to hundreds of thousands of columns; here a string has at most two
+windows' bytes, so rounds are few and a task's transform is small enough to be
+held in memory. The sequential external files are Spark's shuffle files.
 
 Nulls count as empty. Repeated rows are copies and lose all bytes that lie in a
 repeated string; texts shorter than WIDTH lose none. Rows with one doc_id and
 different texts are kept apart. Cut bytes may split a character: the operator
-returns bytes. Extra columns are carried along; an empty table gives an empty
-result. The memory of a task is that of the distinct segments of its largest
-name.
+returns bytes. Extra columns are carried along; the operator's own columns
+replace any of the same name. An empty table gives an empty result. The memory
+of a task is that of the distinct segments of its largest name.
 """
 
 from __future__ import annotations
@@ -33,137 +36,137 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import prefix_hash, read_documents, span_hash
-from tidemark.llm.repeats import merge_spans, repeated_spans, runs_of, with_spans
+from tidemark.llm.repeats import cut_rows, merge_spans, repeated_spans, runs_of
 
 WIDTH, GRAM = 200, 24
-#: Stands behind each string; no byte of UTF-8 text has this value.
-END = 0xFF
-#: Neighbours compared at once.
-COMPARE_ROWS = 20_000
+#: Bytes of a symbol of the transform.
+SYMBOL = 8
+ROW = np.int64((1 << 32) - 1)
 
 
-def insert_columns(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, counts): rows of the strings' transform sorted by symbol, equal ones in order, and how often each symbol occurs.
+def insert_columns(symbols: np.ndarray, ends: np.ndarray, lengths: np.ndarray, step: int) -> np.ndarray:
+    """Rows of the strings' transform sorted by symbol, those of one symbol in order.
 
-    Strings are data[offsets[i]:offsets[i+1]], each ended by END. Every round
-    inserts one more symbol of each string, from its end to its start. The place
-    of a symbol among its equals is the row of the suffix that it starts, so a
-    round only moves the rows behind new ones and merges these in.
+    Symbol k of string i, from its end, is ``symbols[ends[i] - k * step]`` for k up
+    to ``lengths[i]``; behind each string stands a symbol above all others. A
+    suffix that begins with a symbol of the transform has the place of this symbol
+    among all, sorted by symbol and row. So a round looks up the places of the
+    symbols that came last, moves the rows behind them, and merges in the symbols
+    before them.
     """
-    m, lengths = len(offsets) - 1, np.diff(offsets)
-    last = offsets[1:] - 1
-    symbols = np.where(lengths > 0, data[np.maximum(last, 0)] if len(data) else END, END).astype(np.uint8)
-    total = len(data) + m
-    # buffers for all rounds: fresh ones would cost more than the work on them
-    by_symbol, merged, moved, shift = (np.empty(total + 1, np.int32) for _ in range(4))
-    kept = np.empty(total, bool)
-    order = np.argsort(symbols, kind="stable")
-    by_symbol[:m] = order
-    counts = np.bincount(symbols, minlength=256)
-    rows = np.empty(m, np.int64)
-    rows[order] = np.arange(m)
-    live = np.flatnonzero(lengths > 0)
-    rows, n, column = rows[live], m, 1
+    m, top = len(ends), np.int64(int(symbols.max(initial=-1)) + 1) << 32
+    symbol = np.full(m, top)
+    some = lengths > 0
+    symbol[some] = symbols[ends[some] - step].astype(np.int64) << 32
+    keys = np.sort(symbol | np.arange(m))
+    live = np.flatnonzero(some)
+    new = symbol[live] | live
+    order = np.argsort(new)
+    live, new, column = live[order], new[order], 1
     while len(live):
-        more = column < lengths[live]
-        symbols = np.where(more, data[np.maximum(last[live] - column, 0)], END)
-        size = n + len(live)
-        # each row moves down by the new rows above it
-        shift[: n + 1] = 0
-        np.add.at(shift, np.sort(rows) - np.arange(len(rows)), 1)
-        np.cumsum(shift[: n + 1], out=shift[: n + 1])
-        np.take(shift, by_symbol[:n], out=moved[:n], mode="clip")
-        moved[:n] += by_symbol[:n]
-        order = np.lexsort((rows, symbols))
-        new, starts = rows[order], np.cumsum(counts) - counts
-        cuts = np.searchsorted(symbols[order], np.arange(257))
-        at = np.empty(len(live), np.int64)
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            own, first = slice(cuts[c], cuts[c + 1]), int(starts[c])
-            at[own] = first + moved[first : first + int(counts[c])].searchsorted(new[own])
-        at += np.arange(len(live))
-        kept[:size] = True
-        kept[at] = False
-        merged[at] = new
-        merged[:size][kept[:size]] = moved[:n]
-        by_symbol, merged, n = merged, by_symbol, size
-        counts = counts + np.bincount(symbols, minlength=256)
-        rows = np.empty(len(live), np.int64)
-        rows[order] = at
-        live, rows, column = live[more], rows[more], column + 1
-    return by_symbol[:n], counts
-
-
-def transform(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Burrows-Wheeler transform of the collection."""
-    rows, counts = insert_columns(data, offsets)
-    bwt = np.empty(len(rows), np.uint8)
-    bwt[rows] = np.repeat(np.arange(256, dtype=np.uint8), counts)
-    return bwt
-
-
-def ordered_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
-    """Starts in data of all suffixes of at least ``width`` symbols, in suffix order, from the transform."""
-    by_symbol, _ = insert_columns(data, offsets)
-    m, lengths = len(offsets) - 1, np.diff(offsets)
-    place = np.empty(len(by_symbol), np.int32)
-    place[by_symbol] = np.arange(len(by_symbol), dtype=np.int32)
-    start_of = np.full(len(by_symbol), -1, np.int64)
-    rows, live = np.arange(len(by_symbol) - m, len(by_symbol)), np.arange(m)
+        at = keys.searchsorted(new)
+        shift = np.bincount(at - np.arange(len(at)), minlength=len(keys) + 1).astype(np.int32).cumsum(dtype=np.int32)
+        keys += shift[keys & ROW]
+        more = lengths[live] > column
+        symbol = np.full(len(live), top)
+        symbol[more] = symbols[ends[live[more]] - (column + 1) * step].astype(np.int64) << 32
+        new = symbol | at
+        order = np.argsort(new)
+        new = new[order]
+        spot = keys.searchsorted(new) + np.arange(len(new))
+        merged = np.empty(len(keys) + len(new), np.int64)
+        old = np.ones(len(merged), bool)
+        old[spot] = False
+        merged[spot] = new
+        merged[old] = keys
+        keys, column = merged, column + 1
+        stay = more[order]
+        live, new = live[order][stay], new[stay]
+    return keys & ROW
+
+
+def suffix_order(symbols: np.ndarray, ends: np.ndarray, lengths: np.ndarray, step: int, least: int) -> np.ndarray:
+    """Places in symbols of all suffixes of at least ``least`` symbols, in suffix order, from the transform."""
+    rows_by_symbol = insert_columns(symbols, ends, lengths, step)
+    place = np.empty(len(rows_by_symbol), np.int64)
+    place[rows_by_symbol] = np.arange(len(rows_by_symbol))
+    start_of = np.full(len(place), -1, np.int64)
+    m = len(ends)
+    rows, live = np.arange(len(place) - m, len(place)), np.arange(m)
     for k in range(1, int(lengths.max(initial=0)) + 1):
         stay = lengths[live] >= k
         live, rows = live[stay], place[rows[stay]]
-        if k >= width:
-            start_of[rows] = offsets[live + 1] - k
+        if k >= least:
+            start_of[rows] = ends[live] - k * step
     return start_of[start_of >= 0]
 
 
-def shared_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+def numbered(data: np.ndarray, offsets: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, ends, lengths) of each string less its 0 to step - 1 last bytes; symbols are numbered in the order of their bytes."""
+    value = np.zeros(max(0, len(data) - step + 1), np.uint64)
+    for k in range(step):
+        value = (value << np.uint64(8)) | data[k : k + len(value)]
+    _, symbols = np.unique(value, return_inverse=True)
+    ends = (offsets[1:, None] - np.arange(step)).ravel()
+    lengths = np.maximum(ends - np.repeat(offsets[:-1], step), 0) // step
+    return symbols, ends, lengths
+
+
+def shared_windows(data: np.ndarray, offsets: np.ndarray, width: int, step: int = SYMBOL) -> np.ndarray:
     """Per place of data: whether a window starts there that another place of the collection has too."""
-    starts = ordered_windows(data, offsets, width)
     shared = np.zeros(len(data), bool)
-    view = np.lib.stride_tricks.sliding_window_view(data, width) if len(data) >= width else data.reshape(0, 1)
-    for i in range(0, len(starts) - 1, COMPARE_ROWS):
-        a, b = starts[i : i + COMPARE_ROWS], starts[i + 1 : i + 1 + COMPARE_ROWS]
-        a = a[: len(b)]
-        same = (view[a] == view[b]).all(axis=1)
-        shared[a[same]] = True
-        shared[b[same]] = True
+    if len(data) < width:
+        return shared
+    step = step if width % step == 0 else 1
+    symbols, ends, lengths = numbered(data, offsets, step)
+    starts = suffix_order(symbols, ends, lengths, step, width // step)
+    # neighbours that agree in one symbol after the other
+    left, right = starts[:-1], starts[1:]
+    for k in range(0, width, step):
+        same = symbols[left + k] == symbols[right + k]
+        left, right = left[same], right[same]
+    shared[left] = True
+    shared[right] = True
     return shared
 
 
-def repeated(distinct: list[bytes], times: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, first byte, last byte) of the stretches covered by strings that occur twice."""
+def candidates(distinct: list[bytes], times: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first, last) of the runs of windows whose hashes are met twice."""
     data = np.frombuffer(b"".join(distinct), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in distinct])])
     n = np.maximum(np.diff(offsets) - width + 1, 0)
     of = np.repeat(np.arange(len(distinct)), n)
     at = np.repeat(offsets[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    _, same = np.unique(span_hash(prefix_hash(data), at, at + width), return_inverse=True)
-    total = np.bincount(same, weights=times[of]) if len(of) else np.zeros(0)
-    a, b = runs_of(total[same] > 1, of)
+    hashes = span_hash(prefix_hash(data), at, at + width)
+    order = np.argsort(hashes)
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    total = np.add.reduceat(times[of][order], np.flatnonzero(fresh)) if len(of) else np.zeros(0, np.int64)
+    met = np.empty(len(order), bool)
+    met[order] = (total > 1)[np.cumsum(fresh) - 1] if len(of) else False
+    a, b = runs_of(met, of)
+    return of[a], at[a] - offsets[of[a]], at[b] - offsets[of[a]] + width
+
+
+def repeated(distinct: list[bytes], times: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first byte, last byte) of the stretches covered by strings that occur twice, in one segment or several, or in one that itself occurs twice."""
+    owner, first, last = candidates(distinct, times, width)
     none = np.zeros(0, np.int64)
-    if not len(a):
+    if not len(owner):
         return none, none, none
-    # distinct stretches, with how often they occur
-    first, last, owner = at[a], at[b] + width, of[a]
-    raw = data.tobytes()
     known: dict[bytes, int] = {}
-    string = np.array([known.setdefault(raw[x:y], len(known)) for x, y in zip(first.tolist(), last.tolist(), strict=True)])
+    string = np.array([known.setdefault(distinct[i][x:y], len(known)) for i, x, y in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True)])
     often = np.bincount(string, weights=times[owner]) > 1
-    strings = list(known)
-    spots = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
-    joined = np.frombuffer(b"".join(strings), np.uint8)
-    shared = shared_windows(joined, spots, width)
-    whole = np.repeat(often, np.diff(spots))
-    string_of = np.repeat(np.arange(len(strings)), np.diff(spots))
-    starts = np.arange(len(joined)) + width <= spots[1:][string_of]
-    x, y = runs_of((shared | whole) & starts, string_of)
-    # runs of windows in each distinct stretch, for all stretches that equal it
-    lo, count = np.searchsorted(string_of[x], string), np.bincount(string_of[x], minlength=len(strings))[string]
+    data = np.frombuffer(b"".join(known), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in known])])
+    of = np.repeat(np.arange(len(known)), np.diff(offsets))
+    inside = np.arange(len(data)) + width <= offsets[1:][of]
+    x, y = runs_of((shared_windows(data, offsets, width) | often[of]) & inside, of)
+    # the runs of each distinct stretch, for all that equal it
+    lo, count = np.searchsorted(of[x], string), np.bincount(of[x], minlength=len(known))[string]
     rows = np.repeat(np.arange(len(string)), count)
     pick = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    base = first[rows] - offsets[owner[rows]] - spots[string[rows]]
+    base = first[rows] - offsets[string[rows]]
     return owner[rows], base + x[pick], base + y[pick] + width
 
 
@@ -179,15 +182,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((len(text), len(text) - len(kept), len(cuts), kept))
         n, removed, runs, kept = zip(*out, strict=True) if out else ((), (), (), ())
         new = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names=[*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names=[*batch.schema.names[:-2], *OWN])
+
+
+OWN = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}
 
 
 def remove_repeats(docs: DataFrame, columns: list[str], width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """The named columns of docs, n_bytes, n_removed, n_spans and kept: the bytes outside repeated strings."""
     spans = repeated_spans(docs, False, width, gram, lambda distinct, times: repeated(distinct, times, width))
-    rows = with_spans(docs, spans, columns)
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(_cut, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return cut_rows(docs, spans, columns, _cut, OWN)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
