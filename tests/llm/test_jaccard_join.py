@@ -54,9 +54,9 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 2000), (2, 3)])
+@pytest.mark.parametrize(("seed", "block"), [(1, 4_000_000), (2, 7000), (3, 20_000)])
 def test_equals_brute_force(documents, monkeypatch, seed, block):
-    monkeypatch.setattr(jj, "BLOCK", block)
+    monkeypatch.setattr(jj, "BLOCK_BYTES", block)
     docs = documents(corpus(seed))
     monkeypatch.setattr(jj, "read_documents", lambda s, d: docs)
     got = sorted(tuple(r) for r in jj.query(docs.sparkSession, "").select("doc_id", "n_shingles", "component_id").collect())
@@ -67,6 +67,43 @@ def test_equals_brute_force(documents, monkeypatch, seed, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in got})
 
 
+@pytest.mark.parametrize("block", [4_000_000, 9000])
+def test_class_links_are_all_links(documents, monkeypatch, block):
+    monkeypatch.setattr(jj, "BLOCK_BYTES", block)
+    rows = corpus(5)
+    least = {}
+    for d, t in rows:
+        if s := frozenset(shingles(t)):
+            least[s] = min(least.get(s, d), d)
+    sets = sorted((d, s) for s, d in least.items())
+    want = set()
+    for i, (d, s) in enumerate(sets):
+        for e, t in sets[:i]:
+            if 100 * len(s & t) >= 85 * len(s | t):
+                want.add((e, d, len(s & t)))
+    got = [(min(r.left_id, r.right_id), max(r.left_id, r.right_id), r.shared) for r in jj.class_links(documents(rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_frequent_shingles_part_families_nowhere(documents, monkeypatch):
+    """Texts of a shared passage and few words of their own link over all salts, as the brute force says."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([*passage, *[f"x{rng.randrange(10**6)}" for _ in range(rng.randint(0, 9))]])) for i in range(80)]
+    docs = documents(rows)
+    monkeypatch.setattr(jj, "read_documents", lambda s, d: docs)
+    got = sorted(tuple(r) for r in jj.query(docs.sparkSession, "").select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute(rows) and len({c for _, _, c in got}) < 60
+
+
+def test_keep_one_carries_clashing_columns(documents):
+    docs = documents([(1, "a b c d e"), (2, "a b c d e"), (3, None)])
+    for c in ("k_id", "k_hash", "node", "name", "n", "lone", "place", "least", "component"):
+        docs = docs.withColumn(c, docs.doc_id)
+    kept = jj.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.k_id, r.place) for r in kept.collect()) == [(1, 1, 1), (3, 3, 3)]
+
+
 def test_trees_lose_no_pair():
     rng = np.random.default_rng(4)
     sets = []

@@ -7,21 +7,30 @@ first few. Shingles that many documents have are put last in that order (at most
 ``HOT`` of them are sent to the tasks; which ones never changes the result), so
 that frequent passages seldom bring unlike documents together. Classes that share
 one of those and have neighbouring sizes form a family, found by connected
-components.
-
-A family goes to one task, or in blocks of ``BLOCK`` classes by size to a task
-for each pair of blocks whose sizes are compatible. There, a tree over each
-block holds in its nodes the OR of token bitmaps and the range of sizes; both
-trees are descended together, and a pair of nodes is dropped when their largest
-possible overlap is too small. Pairs of classes that are left are compared by
-their whole sets, unless links found before already join them. Links become
-components, and a component takes its least doc_id.
+components. The classes of a frequent shingle are sorted in ``SALTS`` parts, and
+only the ends of their runs meet. Passages that some documents share still chain
+unlike ones to families, so these are parted once more, by all their classes'
+shingles ordered from the rarest on.
+
+A family of at most ``BLOCK_BYTES`` goes to one task. A larger one is cut to
+blocks of that weight, whatever its number of classes, and is joined in three
+steps: each block with itself; then one class of each component so far, by pairs
+of blocks; then what is left, by pairs of blocks that differ in component. So a
+large group of near copies is not compared in all pairs of its blocks. In a task,
+a tree over each block holds in its nodes the OR of token bitmaps and the range
+of sizes; both trees are descended together, and a pair of nodes is dropped when
+their largest possible overlap is too small. Pairs of classes that are left are
+compared by their whole sets, unless links found before already join them
+(``class_links`` compares and returns them all). Links become components, and a
+component takes its least doc_id.
 
 Nulls count as texts without words; such documents have an empty set, are linked
 with nothing and are their own component. A null doc_id sorts before all others,
 so a component with one has a null id. Repeated rows are one class. Rows with
-one doc_id and different texts are kept apart. An empty table gives an empty
-result.
+one doc_id and different texts are kept apart. A text of any length is one class
+and so never divided. Extra columns, whatever their names, are ignored by
+``link_documents`` and carried along by ``keep_one``. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -35,13 +44,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Texts, ascii_lower, gram_hash, materialize, mix, prefix_hash, read_documents, slices, span_hash, word_spans
+from tidemark.llm.common import Texts, ascii_lower, discard, forget, gram_hash, materialize, mix, prefix_hash, read_documents, slices, span_hash, word_spans
 from tidemark.llm.components import connected
 from tidemark.llm.repeats import _pack, keyed
 
 WIDTH, PERCENT = 4, 85
 HOT, HOT_IN_BATCH = 1_000_000, 2
-BLOCK, FANOUT = 2000, 8
+#: Most weight of a block: bytes of text, and so many more for each class.
+BLOCK_BYTES, CLASS_BYTES = 4_000_000, 1000
+SALTS, FANOUT = 32, 8
+#: Bits of a shingle's hash that are counted to order them; what two share by chance only adds candidates.
+ORDER_BITS = np.uint64((1 << 40) - 1)
+#: Classes of a shingle from which its sorting is salted.
+OFTEN = 1000
 #: Bits of a bitmap for each token of the largest set in a task, and the most bits.
 BITS_PER_TOKEN, MAX_BITS = 16, 1 << 17
 PAIRS_AT_ONCE = 400_000
@@ -89,22 +104,28 @@ def hot_shingles(docs: DataFrame, width: int = WIDTH, most: int = HOT) -> np.nda
     return np.sort(np.asarray(top.select("token").toArrow()["token"].combine_chunks(), np.int64).view(np.uint64))
 
 
+SKETCH = "k_id long, k_hash long, n long, name binary, weight long, early int, first array<long>"
+
+
 def _sketch(width: int, percent: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per row its set's size and name, its weight, and its first shingles, those that are not frequent (``early``) before the others."""
     hot = shared.value
     for batch in batches:
-        n, names, first = [], [], []
+        n, names, weights, early, first = [], [], [], [], []
         for _, t in slices(batch.column(2)):
+            weights.append(np.diff(t.offsets) + CLASS_BYTES)
             for s in sets_of(t, width):
                 n.append(len(s))
-                names.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-                if len(s):
-                    late = np.zeros(len(s), bool)
-                    if len(hot):
-                        late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)]
-                first.append(s.view(np.int64))
+                names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                late = np.zeros(len(s), bool)
+                if len(s) and len(hot):
+                    late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+                most = prefix_length(len(s), percent) if len(s) else 0
+                early.append(min(most, len(s) - int(late.sum())))
+                first.append(np.concatenate([s[~late], s[late]])[:most].view(np.int64))
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in first])]).astype(np.int32), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(names, pa.int64()), lists], ["k_id", "k_hash", "n", "name", "first"])
+        weight = pa.array(np.concatenate(weights) if weights else np.zeros(0, np.int64), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(names, pa.binary()), weight, pa.array(early, pa.int32()), lists], ["k_id", "k_hash", "n", "name", "weight", "early", "first"])
 
 
 # -- trees ------------------------------------------------------------------------
@@ -187,99 +208,249 @@ class Groups:
         return i
 
 
-def links_within(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> Groups:
-    """Groups of linked sets; side tells the blocks apart (all 0: one block with itself)."""
-    groups = Groups(len(sets))
+def compared(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+    """Pairs of sets that the descent leaves; side tells the blocks apart (all 0: one block with itself)."""
     bits = 64
     while bits < min(MAX_BITS, BITS_PER_TOKEN * max(len(s) for s in sets)):
         bits *= 2
     at = [np.flatnonzero(side == k) for k in (0, 1)]
     if not len(at[0]) or (side.any() and not len(at[1])):
-        return groups
+        return
     trees = [Tree([sets[i] for i in x], bits) if len(x) else None for x in at]
-    pairs = candidate_pairs(trees[0], trees[0] if trees[1] is None else trees[1], percent)
     right = at[0] if trees[1] is None else at[1]
-    for a, b in pairs:
-        for i, j in zip(at[0][a].tolist(), right[b].tolist(), strict=True):
-            x, y = groups.root(i), groups.root(j)
-            if x == y:
-                continue
-            s, t = sets[i], sets[j]
-            if len(np.intersect1d(s, t, assume_unique=True)) >= needed(len(s), len(t), percent):
-                groups.up[y] = x
-    return groups
-
-
-def _join(width: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, name, side, packed) in order of task: edges that join the linked names of each task."""
+    for a, b in candidate_pairs(trees[0], trees[0] if trees[1] is None else trees[1], percent):
+        yield from zip(at[0][a].tolist(), right[b].tolist(), strict=True)
+
+
+def overlap(s: np.ndarray, t: np.ndarray) -> int:
+    return len(np.intersect1d(s, t, assume_unique=True))
+
+
+def links_within(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT, known: list | None = None) -> tuple[list[int], list[int]]:
+    """Links that join the sets to groups, beside those that have one name in ``known``."""
+    groups, a, b = Groups(len(sets)), [], []
+    first: dict = {}
+    for i, k in enumerate(known or ()):
+        groups.up[i] = first.setdefault(k, i)
+    for i, j in compared(sets, side, percent):
+        x, y = groups.root(i), groups.root(j)
+        if x != y and overlap(sets[i], sets[j]) >= needed(len(sets[i]), len(sets[j]), percent):
+            groups.up[y] = x
+            a.append(i)
+            b.append(j)
+    return a, b
+
+
+def _tokens(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, token) for each shingle of rows (node, packed)."""
+    forget()
+    d = zstandard.ZstdDecompressor()
+    for batch in batches:
+        nodes = np.asarray(batch.column(0))
+        for i in range(0, len(nodes), 200):
+            texts = pa.array([d.decompress(z) for z in batch.column(1)[i : i + 200].to_pylist()], pa.large_binary())
+            for row, t in slices(texts):
+                sets = sets_of(t, width)
+                own = np.repeat(nodes[i + row : i + row + len(sets)], [len(x) for x in sets])
+                tokens = np.concatenate(sets) & ORDER_BITS
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(tokens.view(np.int64))], ["node", "token"])
+
+
+def _join(width: int, percent: int, every: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b, shared) of rows (task, node, side, known, packed) in order of task: all, or each node's with the least of its group."""
+    forget()
     d = zstandard.ZstdDecompressor()
 
-    def solve(rows: list[tuple[int, int, bytes]]) -> tuple[list[int], list[int]]:
-        texts = [d.decompress(z) for _, _, z in rows]
-        sets = [s for _, t in slices(pa.array(texts, pa.large_binary())) for s in sets_of(t, width)]
-        groups = links_within(sets, np.array([s for _, s, _ in rows]), percent)
-        linked = [(rows[i][0], rows[r][0]) for i in range(len(rows)) if (r := groups.root(i)) != i]
-        return [a for a, _ in linked], [b for _, b in linked]
+    def solve(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
+        if len(rows) < 2:
+            return []
+        rows.sort(key=lambda r: r[0])
+        texts = pa.array([d.decompress(z) for *_, z in rows], pa.large_binary())
+        sets = [s for _, t in slices(texts) for s in sets_of(t, width)]
+        side = np.array([s for _, s, _, _ in rows])
+        if every:
+            return [(rows[i][0], rows[j][0], n) for i, j in compared(sets, side, percent) if (n := overlap(sets[i], sets[j])) >= needed(len(sets[i]), len(sets[j]), percent)]
+        known = [k for _, _, k, _ in rows]
+        a, b = links_within(sets, side, percent, known)
+        # the names that belong together, each with the least of them
+        group = Groups(len(rows))
+        first: dict[int, int] = {}
+        name = [first.setdefault(k, i) for i, k in enumerate(known)]
+        for i, j in zip(a, b, strict=True):
+            x, y = sorted((group.root(name[i]), group.root(name[j])), key=lambda i: known[i])
+            group.up[y] = x
+        return [(k, known[group.root(i)], 0) for k, i in first.items() if group.root(i) != i]
+
+    def out(links: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(3)], ["a", "b", "shared"])
 
     task, rows = None, []
     for batch in batches:
-        a, b = [], []
+        links = []
         for key, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if key != task and rows:
-                x, y = solve(rows)
-                a, b, rows = a + x, b + y, []
+                links += solve(rows)
+                rows = []
             task = key
             rows.append(tuple(row))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield out(links)
     if rows:
-        a, b = solve(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield out(solve(rows))
 
 
 # -- the join -----------------------------------------------------------------------
-def compare_tasks(classes: DataFrame, families: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(name, k_id, k_hash, task, side): where each class of a family is compared; blocks of like size, by pairs."""
-    by_size = Window.partitionBy("component").orderBy("n", "name")
-    members = families.withColumnRenamed("node", "name").join(classes.select("name", "n", "k_id", "k_hash"), "name")
-    members = members.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int"))
-    members = materialize(members)
-    blocks = members.groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    right = blocks.select("component", F.col("block").alias("other"), F.col("low").alias("other_low"))
-    pairs = blocks.join(right, "component").where((F.col("block") <= F.col("other")) & (F.lit(100) * F.col("high") >= F.lit(percent) * F.col("other_low")))
-    pairs = pairs.select("component", "block", "other", F.xxhash64("component", "block", "other").alias("task"))
-    sides = pairs.select("component", "block", "task", F.lit(0).alias("side")).unionByName(
-        pairs.where("block < other").select("component", F.col("other").alias("block"), "task", F.lit(1).alias("side"))
+def family_edges(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Edges (a, b) between classes of rows (node, n, token, often) that share a token and have neighbouring sizes.
+
+    Among the classes of a token, sorted by size, a step to an unlike size ends a
+    run; each class hangs on the first of its run. Tokens that are met often are
+    sorted in SALTS parts, whose runs are joined where their sizes meet.
+    """
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(-1)
+    by_size = Window.partitionBy("token", "salt").orderBy("n", "node")
+    before = F.lag("n").over(by_size)
+    rows = rows.select("node", "n", "token", salt.cast("int").alias("salt")).withColumn("parts", before.isNull() | (F.lit(100) * before < F.lit(percent) * F.col("n")))
+    upto = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hung = rows.withColumn("root", F.last(F.when(F.col("parts"), F.col("node")), ignorenulls=True).over(upto))
+    runs = hung.where("salt >= 0").groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    by_low = Window.partitionBy("token").orderBy("low", "root")
+    high = F.max("high").over(by_low.rowsBetween(Window.unboundedPreceding, -1))
+    met = runs.withColumn("near", F.lit(100) * high >= F.lit(percent) * F.col("low")).withColumn("b", F.lag("root").over(by_low))
+    return hung.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(met.where("near").select(F.col("root").alias("a"), "b"))
+
+
+def pairs_of_blocks(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, task, side, known) of members (node, family, part, own, known, n, weight).
+
+    The classes of a part of a family are dealt to blocks by their hash; two
+    blocks meet in a task if the sizes in their parts are compatible, but not
+    blocks of one part that is one component already (``own``).
+    """
+    parts = materialize(
+        members.groupBy("family", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.ceil(F.sum("weight") / BLOCK_BYTES).cast("int").alias("blocks"), F.first("own").alias("own"))
+    )
+    other = parts.select("family", *[F.col(c).alias(f"other_{c}") for c in ("part", "low", "high", "blocks")])
+    fits = (F.lit(100) * F.col("high") >= F.lit(percent) * F.col("other_low")) & (F.lit(100) * F.col("other_high") >= F.lit(percent) * F.col("low"))
+    same = F.col("part") == F.col("other_part")
+    pairs = parts.join(other, "family").where(fits & (F.col("part") <= F.col("other_part")) & ~(same & F.col("own")))
+    pairs = pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.withColumn("other_block", F.explode(F.sequence(F.when(same, F.col("block")).otherwise(0), F.col("other_blocks") - 1)))
+    pairs = pairs.withColumn("task", F.xxhash64("family", "part", "block", "other_part", "other_block"))
+    alone = same & (F.col("block") == F.col("other_block"))
+    sides = pairs.select("family", "part", "block", "task", F.lit(0).alias("side")).unionByName(
+        pairs.where(~alone).select("family", F.col("other_part").alias("part"), F.col("other_block").alias("block"), "task", F.lit(1).alias("side"))
     )
-    return members.join(sides, ["component", "block"]).select("name", "k_id", "k_hash", "task", "side")
+    placed = members.join(parts.select("family", "part", "blocks"), ["family", "part"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return placed.join(sides, ["family", "part", "block"]).select("node", "task", "side", "known")
+
+
+def band(percent: int):
+    """Number of the band of sizes; linked sets lie in one band or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
+
+
+class _Join:
+    """The classes of a table and the tasks that compare them."""
+
+    def __init__(self, docs: DataFrame, width: int, percent: int):
+        self.width, self.percent = width, percent
+        rows = keyed(docs)
+        shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, width))
+        sketched = materialize(rows.mapInArrow(lambda b: _sketch(width, percent, shared, b), SKETCH))
+        least = F.min(F.struct("k_id", "k_hash")).alias("least")
+        classes = sketched.where("n > 0").groupBy("name").agg(least, *[F.first(c).alias(c) for c in ("n", "weight", "early", "first")])
+        classes = materialize(classes.select("name", "least.*", "n", "weight", "early", "first", F.monotonically_increasing_id().alias("node")))
+        # the first shingles are needed only once, for the families
+        self.sketched = materialize(sketched.select("k_id", "k_hash", "n", "name"))
+        self.classes = materialize(classes.drop("early", "first"))
+        tokens = classes.select("node", "n", "early", F.posexplode("first").alias("at", "token"))
+        members = self.weighed(family_edges(tokens.select("node", "n", "token", (F.col("at") >= F.col("early")).alias("often")), percent))
+        discard(sketched)
+        discard(classes)
+        packed = rows.mapInArrow(_pack, "k_id long, k_hash long, packed binary")
+        self.texts = materialize(packed.join(members.select("node", "k_id", "k_hash"), ["k_id", "k_hash"]).select("node", "packed").distinct())
+        first = self.rarest(members.select("node", "n"))
+        members = self.weighed(family_edges(first, percent))
+        discard(first)
+        part = F.when(F.col("large"), F.xxhash64("family", band(percent))).otherwise(F.lit(0))
+        self.members = materialize(members.select("node", "family", part.alias("part"), "n", "weight", "large", F.lit(False).alias("own"), F.col("node").alias("known")))
+
+    def weighed(self, edges: DataFrame) -> DataFrame:
+        """(node, family, n, weight, k_id, k_hash, large) of the classes with edges."""
+        families = connected(edges).withColumnRenamed("component", "family")
+        members = materialize(families.join(self.classes.select("node", "n", "weight", "k_id", "k_hash"), "node"))
+        return members.join(members.groupBy("family").agg((F.sum("weight") > BLOCK_BYTES).alias("large")), "family")
+
+    def rarest(self, some: DataFrame) -> DataFrame:
+        """(node, n, token, often) of some classes (node, n): their first shingles in a better order, by how many of these classes have them, rarest first.
+
+        Shingles that one class alone has come first and lead to no other, so only
+        their number counts; a class with enough of them is linked with nothing.
+        """
+        width, percent = self.width, self.percent
+        tokens = self.texts.join(some.select("node"), "node").mapInArrow(lambda b: _tokens(width, b), "node long, token long")
+        often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        rows = tokens.join(often, "token").join(some, "node")
+        own = Window.partitionBy("node")
+        place = F.row_number().over(own.orderBy("classes", "token")) + F.col("n") - F.count(F.lit(1)).over(own)
+        most = F.expr(f"n - ({percent} * n + 99) div 100 + 1")  # as prefix_length
+        return materialize(rows.withColumn("place", place).where(F.col("place") <= most).select("node", "n", "token", (F.col("classes") > OFTEN).alias("often")))
+
+    def links(self, dealt: DataFrame, every: bool = False) -> DataFrame:
+        """Links (a, b, shared) of what is dealt (node, task, side, known)."""
+        width, percent = self.width, self.percent
+        rows = dealt.join(self.texts, "node").select("task", "node", "side", "known", "packed").repartition("task").sortWithinPartitions("task")
+        return rows.mapInArrow(lambda b: _join(width, percent, every, b), "a long, b long, shared long")
+
+    def components(self) -> DataFrame:
+        """(node, component) of the classes with links, beside those that name a component."""
+        members = self.members
+        blocks = members.groupBy("family", "part").agg(F.ceil(F.sum("weight") / BLOCK_BYTES).alias("blocks"))
+        block = F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(F.lit(0))
+        dealt = members.join(blocks, ["family", "part"]).select("node", F.xxhash64("family", "part", block).alias("task"), F.lit(0).alias("side"), "known")
+        # a class is in one block, so what a task finds are whole groups
+        heads = materialize(self.links(dealt).select(F.col("a").alias("node"), F.col("b").alias("head")))
+        large = members.where("large").select("node", "family", "part", "n", "weight").join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
+        if not large.limit(1).count():
+            return heads.withColumnRenamed("head", "component")
+        large = materialize(large)
+        firsts = large.where("head = node").select("node", "family", "part", "n", "weight", F.lit(False).alias("own"), F.col("head").alias("known"))
+        between = materialize(self.links(pairs_of_blocks(firsts, self.percent)).select("a", "b"))
+        ids = self.renamed(large, between).withColumnRenamed("component", "known")
+        # a component of a block's weight in its band has blocks of its own; the others share some
+        heavy = ids.groupBy("family", "part", "known").agg(F.sum("weight").alias("sum")).where(F.col("sum") >= BLOCK_BYTES).select("family", "part", "known", F.lit(True).alias("heavy"))
+        rest = ids.join(heavy, ["family", "part", "known"], "left").withColumn("own", F.col("heavy").isNotNull())
+        rest = rest.withColumn("part", F.when(F.col("own"), F.xxhash64("part", "known")).otherwise(F.col("part")))
+        rest = materialize(rest.select("node", "family", "part", "own", "known", "n", "weight"))
+        more = self.links(pairs_of_blocks(rest, self.percent)).select("a", "b")
+        return self.renamed(heads, between.unionByName(more)).select("node", "component").unionByName(self.last.select("node", "component")).where("node <> component").distinct()
+
+    def renamed(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """rows plus component: their head's, by links between heads."""
+        self.last = connected(links)
+        return rows.join(self.last.select(F.col("node").alias("head_"), F.col("component").alias("to_")), F.col("head") == F.col("head_"), "left").withColumn("component", F.coalesce("to_", "head")).drop("head_", "to_")
 
 
 def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(k_id, k_hash, n, name, component, component_id) for each row of docs: its set's size, its class, its component's own name and least id (NULL_ID: null).
+    """(k_id, k_hash, n, name, component, component_id) for each row of docs: its set's size, its class, its component's own number and least id (NULL_ID: null).
 
     Unrelated components may have one component_id, never one component; texts without words have none.
     """
-    spark = docs.sparkSession
-    rows = keyed(docs)
-    shared = spark.sparkContext.broadcast(hot_shingles(docs, width))
-    sketched = materialize(rows.mapInArrow(lambda b: _sketch(width, percent, shared, b), "k_id long, k_hash long, n long, name long, first array<long>"))
-    classes = sketched.where("n > 0").groupBy("name").agg(F.min(F.struct("k_id", "k_hash")).alias("least"), F.first("n").alias("n"), F.first("first").alias("first"))
-    classes = materialize(classes.select("name", "least.k_id", "least.k_hash", "n", "first"))
-    tokens = classes.select("name", "n", F.explode("first").alias("token"))
-    by_size = Window.partitionBy("token").orderBy("n", "name")
-    # among the classes that share a shingle, a step to an unlike size parts families; each hangs on the first since the last such step
-    n_before = F.lag("n").over(by_size)
-    marked = tokens.withColumn("parts", n_before.isNull() | (F.lit(100) * n_before < F.lit(percent) * F.col("n")))
-    upto = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hung = marked.select(F.col("name").alias("a"), F.last(F.when(F.col("parts"), F.col("name")), ignorenulls=True).over(upto).alias("b"))
-    families = connected(hung)
-    tasks = compare_tasks(classes, families, percent)
-    packed = rows.mapInArrow(_pack, "k_id long, k_hash long, packed binary").dropDuplicates(["k_id", "k_hash"])
-    dealt = packed.join(tasks, ["k_id", "k_hash"]).select("task", "name", "side", "packed").repartition("task").sortWithinPartitions("task")
-    links = connected(dealt.mapInArrow(lambda b: _join(width, percent, b), "a long, b long"))
-    named = classes.select("name", "k_id").join(links.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    join = _Join(docs, width, percent)
+    named = join.classes.select("name", "k_id", "node").join(join.components(), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("k_id").alias("component_id"))
     labels = named.join(least, "component").select("name", "component", "component_id")
-    return sketched.drop("first").join(labels, "name", "left").withColumn("component_id", F.coalesce("component_id", "k_id"))
+    linked = join.sketched.select("k_id", "k_hash", "n", "name").join(labels, "name", "left")
+    return linked.withColumn("component_id", F.coalesce("component_id", "k_id"))
+
+
+def class_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Every link between different sets: (left_id, right_id, left_n, right_n, shared), by the least doc_id of each class (NULL_ID: null); copies are not expanded."""
+    join = _Join(docs, width, percent)
+    links = join.links(pairs_of_blocks(join.members, percent), every=True)
+    end = lambda side, node: join.classes.select(F.col("node").alias(node), F.col("k_id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"))
+    return links.join(end("left", "a"), "a").join(end("right", "b"), "b").select("left_id", "right_id", "left_n", "right_n", "shared")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
