@@ -12,9 +12,10 @@ which are concatenated.
 Bytes appear as hexadecimal text inside the folds. The rank map is literal
 arrays hashed by crc32, as Spark's own map lookup scans all keys.
 
-Nulls count as empty: no ids. Texts of any length are encoded whole. Extra
-columns are ignored by the query, rows with one doc_id are kept apart, and an
-empty table gives an empty result.
+Nulls count as empty: no ids. Texts of any length are encoded whole. Rows with
+one doc_id, and repeated rows, are encoded apart. Extra columns are ignored by
+the query; ``encode`` carries those of ``keep``, but its own columns replace any
+of the same name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, materialize, read_documents
+from tidemark.llm.common import kept, let, materialize, read_documents
 from tidemark.llm.tokens import _ODD_SPACE, _PIECE, _batches
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words encoded by the folds, and the most bytes of one.
 FOLDED, FOLD_BYTES = 150_000, 32
-KEEP_CHARS, KEEP_PIECES = 48, 400_000
+KEEP_CHARS, KEEP_PIECES = 48, 300_000
 SLOTS = 1 << 15
 
 
@@ -77,32 +78,62 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
 
 
 def _folded(word: Column, rank: Callable[[Column], Column]) -> Column:
-    def merge(p: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.concat(F.get(p, i), F.get(p, i + 1))))
+    """State of the fold: the pieces p and the ranks r of neighbouring pairs, so that a merge looks up only the two pairs that it changes."""
 
-        def join_at(j: Column) -> Column:
-            joined = F.concat(F.get(p, j - 1), F.get(p, j))
-            return F.concat(F.slice(p, F.lit(1), j - 1), F.array(joined), F.slice(p, j + 2, F.size(p)))
+    def merge(s: Column, j: Column) -> Column:
+        p, r = s["p"], s["r"]
 
-        least = let(pairs, lambda r: F.array_position(r, F.array_min(r)).cast("int"))
-        return let(least, lambda j: F.when(j.isNull() | (j == 0), F.struct(p.alias("p"), F.lit(True).alias("done"))).otherwise(F.struct(join_at(j).alias("p"), F.lit(False).alias("done"))))
+        def joined(x: Column) -> Column:
+            left = F.when(j > 1, F.array(rank(F.concat(F.get(p, j - 2), x)))).otherwise(F.array().cast("array<int>"))
+            right = F.when(j < F.size(r), F.array(rank(F.concat(x, F.get(p, j + 1))))).otherwise(F.array().cast("array<int>"))
+            pieces = F.concat(F.slice(p, F.lit(1), j - 1), F.array(x), F.slice(p, j + 2, F.size(p)))
+            ranks = F.concat(F.slice(r, F.lit(1), F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, F.size(r)))
+            return F.struct(pieces.alias("p"), ranks.alias("r"))
+
+        return let(F.concat(F.get(p, j - 1), F.get(p, j)), joined)
+
+    def step(s: Column, _: Column) -> Column:
+        least = F.array_position(s["r"], F.array_min(s["r"])).cast("int")
+        return F.when(F.size(s["r"]) == 0, s).otherwise(let(F.coalesce(least, F.lit(0)), lambda j: F.when(j == 0, s).otherwise(merge(s, j))))
 
     def of(h: Column) -> Column:
-        n = F.length(h) / 2
-        pieces = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring(h, i * 2 + 1, F.lit(2)))
-        start = F.struct(pieces.alias("p"), (n < 2).alias("done"))
-        step = lambda a, _: F.when(a["done"] | (F.size(a["p"]) < 2), a).otherwise(merge(a["p"]))
-        folded = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, step, lambda a: F.transform(a["p"], rank))
+        n = (F.length(h) / 2).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(h, i * 2 + 1, F.lit(2)))
+        pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.substring(h, i * 2 + 1, F.lit(4))))
+        start = F.struct(pieces.alias("p"), F.when(n > 1, pairs).otherwise(F.array().cast("array<int>")).alias("r"))
+        folded = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.transform(s["p"], rank))
         return let(rank(h), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
 
     return let(F.hex(F.encode(word, "utf-8")), of)
 
 
+#: Words of fewer bytes are merged by looking at all pairs, longer ones by a heap.
+FEW = 24
+
+
+def merge_few(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges in a task, for short words."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    none = 1 << 60
+    found = [ranks.get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while found and (r := min(found)) < none:
+        i = found.index(r)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del found[i]
+        if i < len(found):
+            found[i] = ranks.get(parts[i] + parts[i + 1], none)
+        if i:
+            found[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+    return [ranks[x] for x in parts]
+
+
 def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges in a task: least rank first, leftmost of equals; near-linear in the length of the word."""
     if word in ranks:
         return [ranks[word]]
     n = len(word)
+    if n < FEW:
+        return merge_few(word, ranks)
     ends, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
 
     def pair(i: int):
@@ -130,57 +161,60 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Codes of texts: (number of ids, ids joined by a space) with a bounded memory of pieces."""
+    """Codes of texts: ids joined by a space, with a bounded memory of pieces."""
 
     def __init__(self, path: str, folded: dict[str, str]):
         self.ranks, self.folded = load_ranks(path), folded
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, tuple[int, str]] = {}
+        self.known: dict[str, str] = {}
 
-    def piece(self, text: str) -> tuple[int, str]:
-        codes = [self.folded.get(w) or " ".join(map(str, merge_bytes(w.encode(), self.ranks))) for w in self.split(text)]
-        ids = " ".join(codes)
-        return ids.count(" ") + 1 if ids else 0, ids
+    def piece(self, text: str) -> str:
+        return " ".join([self.folded.get(w) or " ".join(map(str, merge_bytes(w.encode(), self.ranks))) for w in self.split(text)])
 
     def text(self, text: str) -> tuple[int, str]:
         if not text:
             return 0, ""
-        known = self.known
-        codes = []
-        for p in [text] if _ODD_SPACE.search(text) else _PIECE.findall(text):
-            code = known.get(p)
-            if code is None:
-                code = self.piece(p)
-                if len(p) <= KEEP_CHARS:
-                    if len(known) > KEEP_PIECES:
-                        known.clear()
-                    known[p] = code
-            codes.append(code)
-        return sum([c[0] for c in codes]), " ".join([c[1] for c in codes])
-
-
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+        pieces = [text] if _ODD_SPACE.search(text) else _PIECE.findall(text)
+        codes = list(map(self.known.get, pieces))
+        if None in codes:
+            if len(self.known) > KEEP_PIECES:
+                self.known.clear()
+            for i, code in enumerate(codes):
+                if code is None:
+                    p = pieces[i]
+                    codes[i] = code = self.known.get(p) or self.piece(p)
+                    if len(p) <= KEEP_CHARS:
+                        self.known[p] = code
+        ids = " ".join(codes)
+        return ids.count(" ") + 1, ids
 
 
 def _encode(path: str, name: str, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key = (path, name)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(path, shared.value)
-    encode = _ENCODERS[key].text
+    encode = kept(("bpe", path, name), lambda: Encoder(path, shared.value)).text
     for batch in batches:
         done = [encode(t) for texts in _batches(batch.columns[-1], 4_000_000) for t in texts]
         new = [pa.array([n for n, _ in done], pa.int64()), pa.array([x for _, x in done], pa.string())]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], "n_tokens", "ids"])
 
 
+def frequent_words(docs: DataFrame, most: int) -> DataFrame:
+    """The ``most`` most frequent distinct words of at most FOLD_BYTES bytes.
+
+    Texts are first cut before white space behind other characters, where words
+    end, and the distinct pieces counted, so that the words' pattern runs once for
+    each of these.
+    """
+    pieces = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_PIECE.pattern), F.lit(0))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    found = pieces.select("n", F.explode(F.regexp_extract_all("piece", F.lit("(?U)" + public_tokenizers.PATTERN), F.lit(0))).alias("word"))
+    counted = found.where(F.octet_length("word") <= FOLD_BYTES).groupBy("word").agg(F.sum("n").alias("n"))
+    return materialize(counted.orderBy(F.desc("n"), "word").limit(most).select("word"))
+
+
 def fold_frequent(docs: DataFrame, path: str, most: int = FOLDED) -> DataFrame:
     """(word, ids) of the most frequent distinct words, ids joined by a space."""
-    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit("(?U)" + public_tokenizers.PATTERN), F.lit(0))).alias("word"))
-    counted = found.where(F.octet_length("word") <= FOLD_BYTES).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = materialize(counted.orderBy(F.desc("n"), "word").limit(most).select("word"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = fold_merges(F.col("word"), load_ranks(path))
-    return top.repartition(12).select("word", F.array_join(ids, " ").alias("ids"))
+    return frequent_words(docs, most).repartition(tasks, "word").select("word", F.array_join(ids, " ").alias("ids"))
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, most_folded: int = FOLDED, keep: Sequence[str] = ()) -> DataFrame:
@@ -190,20 +224,23 @@ def encode(docs: DataFrame, ranks_path: str | None = None, most_folded: int = FO
     table = fold_frequent(docs, path, most_folded).toArrow()  # one job over all its partitions, at most most_folded rows
     folded = dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
     shared, name = spark.sparkContext.broadcast(folded), uuid.uuid4().hex
-    rows = docs.select("doc_id", *keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda batches: _encode(path, name, shared, batches), f"{schema}, n_tokens long, ids string")
+    keep = [c for c in keep if c not in ("doc_id", "n_tokens", "ids")]
+    rows = docs.select("doc_id", *[F.col(c).alias(f"o_{i}") for i, c in enumerate(keep)], "text")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    encoded = rows.mapInArrow(lambda batches: _encode(path, name, shared, batches), f"{schema}, n_tokens long, ids string")
+    return encoded.select("doc_id", *[F.col(f"o_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "ids")
 
 
 def decode(ids: Column, ranks_path: str | None = None) -> Column:
-    """Binary text of ids joined by a space: concatenated pieces from a literal vocabulary."""
+    """Binary text of ids joined by a space: concatenated binary pieces from a literal vocabulary."""
     ranks = load_ranks(ranks_path or public_tokenizers.path(RANKS))
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex().upper()
     vocabulary = F.split(F.lit(",".join(pieces)), ",")
-    hexes = F.transform(F.split(ids, " "), lambda i: F.get(vocabulary, i.cast("int")))
-    return F.when(ids == "", F.lit(b"")).otherwise(F.unhex(F.array_join(hexes, "")))
+    # a cast between binary and string leaves the bytes as they are, and joining strings concatenates them
+    binary = F.transform(F.split(ids, " "), lambda i: F.unhex(F.get(vocabulary, i.cast("int"))).cast("string"))
+    return F.when(ids == "", F.lit(b"")).otherwise(F.array_join(binary, "").cast("binary"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
