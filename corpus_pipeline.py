@@ -1,8 +1,9 @@
 """The corpus pipeline: quality rules, near-duplicate removal, repeated passages, source mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next stage's docs. All but the last return the
-columns of documents.
+as Parquet and read again as the next stage's docs. So a stage first deletes what
+the ones before it left in the shared folder. All but the last return the columns
+of documents.
 """
 
 from __future__ import annotations
@@ -11,33 +12,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, jaccard_join, mixing, quality, substring_dedup
-from tidemark.llm.common import materialize, read_documents
+from tidemark.llm.common import free_scratch, materialize, read_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass their own rules and their host's verdict."""
+    """Documents that pass their own rules and their host's verdict.
+
+    A null or empty text has too few words and goes; a null source is a host of its
+    own. Repeated rows are judged alike. All columns are kept.
+    """
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, the one of least doc_id. Five-word shingles, similarity 0.8 or more."""
+    """One document of each group of linked ones, the one of least doc_id. Five-word shingles, similarity 0.8 or more.
+
+    Documents without words all stay; of repeated rows one stays. A null doc_id
+    comes before all others. All columns are kept.
+    """
+    free_scratch(docs)
     return jaccard_join.keep_one(docs, width=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of recurring passages; a text that loses none stays as it is."""
-    cut = substring_dedup.remove_repeats(docs, docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts without the words of recurring passages; a text that loses none stays as it is.
+
+    A null text stays null. Rows with one doc_id are cut apart; repeated rows are
+    copies of each other. All columns are kept; n_chars, if there, follows the text.
+    """
+    free_scratch(docs)
+    removed, kept, words = (next(n for i in range(len(docs.columns) + 1) if (n := f"{base}_{i}") not in docs.columns) for base in ("removed", "kept", "words"))
+    cut = substring_dedup.remove_repeats(docs, docs.columns, own=(words, removed, kept))
+    cut = cut.withColumn("text", F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast("long"))
+    return cut.select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, repeated as often as it takes them."""
+    """The documents of the mix, repeated as often as it takes them.
+
+    A null source is a source of its own; a document without words counts nothing
+    and is drawn like its source's others. All columns are kept.
+    """
+    free_scratch(docs)
     return mixing.emit_mix(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document of the mix: doc_id, source, its number of ids, the ids, and the digest of what they decode to."""
+    """Per document of the mix: doc_id, source, its number of ids, the ids, and the digest of what they decode to; a null text has none."""
+    free_scratch(docs)
     encoded = bpe.encode(docs, keep=["source"])
     return encoded.select("doc_id", "source", "n_tokens", "ids", F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))
 
