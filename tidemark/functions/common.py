@@ -31,7 +31,8 @@ def mean0(x: Column) -> Column:
 
 
 def deterministic_id(*parts: Column | str) -> Column:
-    cols = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
+    """Digest of the parts joined by colons; a null part counts as a character that text does not hold."""
+    cols = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("\0")) for p in parts]
     return F.sha2(F.concat_ws(":", *cols), 256)
 
 

@@ -23,10 +23,23 @@ def strict_predicate(limits: dict[str, tuple[float | None, float | None]], flags
 
 
 def evidence_score(rows: DataFrame) -> DataFrame:
-    """Per wallet a score of canonical outcomes from mean, median, hit rate and sample size, and a confidence."""
-    stats = robust_stats(rows, ["wallet"]).join(rows.groupBy("wallet").agg(F.avg((F.col("value") > 0).cast("double")).alias("hit_rate")), "wallet")
-    score = js_round(clamp(50 + F.col("median_") * 0.2 + F.col("mean_ex_best") * 0.2 + (F.col("hit_rate") - 0.5) * 40))
-    return stats.withColumn("score", score).withColumn("confidence", js_round(F.least(F.lit(100.0), F.col("n") * 5.0)))
+    """Per wallet a score of its canonical outcomes (rows wallet, value: net return in percent) and a confidence.
+
+    ``watch``: three outcomes or more, mean and median not negative, half of them
+    wins, none below -35. ``candidate``: four or more, a mean of 2, a positive mean
+    without the best, no win with over 35 % of all gains, and a score of 60.
+    """
+    v = F.col("value")
+    stats = rows.groupBy("wallet").agg(
+        F.count(v).alias("n"), F.avg(v).alias("average"), F.median(v).alias("median"), F.avg((v > 0).cast("double")).alias("hit_rate"), F.min(v).alias("worst"),
+        F.when(F.count(v) > 1, (F.sum(v) - F.max(v)) / (F.count(v) - 1)).otherwise(0.0).alias("ex_best"),
+        F.coalesce(F.max(F.when(v > 0, v)) / F.sum(F.when(v > 0, v)), F.lit(0.0)).alias("best_share"),
+    )
+    watch = F.coalesce((F.col("n") >= 3) & (F.col("average") >= 0) & (F.col("median") >= 0) & (F.col("hit_rate") >= 0.5) & (F.col("worst") >= -35), F.lit(False))
+    gain = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("average")))
+    score = F.when(watch, clamp(30 + F.least(F.col("n"), F.lit(10)) * 3 + gain + F.col("hit_rate") * 20 + 10)).otherwise(0.0)
+    strong = watch & (F.col("n") >= 4) & (F.col("average") >= 2) & (F.col("ex_best") > 0) & (F.col("best_share") <= 0.35) & (F.col("score") >= 60)
+    return stats.withColumn("score", score).withColumn("confidence", F.when(strong, "candidate").when(watch, "watch").otherwise("insufficient"))
 
 
 def grid_audit(rows: DataFrame, grid: DataFrame, condition: Column, least: dict[str, int]) -> DataFrame:

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import first_by
 
-#: Fixed map of data qualities to price qualities.
+#: Price quality of each data quality.
 PRICE_QUALITY = {
     "observed-execution": "observed-execution",
+    "historical-observed": "observed-execution",
     "oracle-converted": "oracle-converted",
-    "exact-raw": "observed-execution",
-    "provider-priced": "provider-estimate",
-    "proxy": "market-proxy",
-    "fallback": "market-proxy",
+    "historical-estimate": "historical-estimate",
+    "market-proxy": "market-proxy",
+    "observed-balance": "market-proxy",
+    "price-proxy": "market-proxy",
 }
 HIGH_QUALITY = ("observed-execution", "oracle-converted")
 LIFECYCLE = ("provisional", "unresolved", "mature")
@@ -101,10 +102,16 @@ def retention_filter(rows: DataFrame, at: str, now: int, keep_s: int, key: str,
     return young.unionByName(held)
 
 
-def archive_gated_retire(rows: DataFrame, intervals: DataFrame, key: str, at: str) -> DataFrame:
-    """Rows whose time lies in no verified archive interval (key, low, high) of their key."""
-    inside = rows.join(intervals, key).where(F.col(at).between(F.col("low"), F.col("high"))).select(*rows.columns).distinct()
-    return rows.join(inside, rows.columns, "left_anti")
+def archive_gated_retire(rows: DataFrame, intervals: DataFrame, key: str, at: str, width: int = 86_400) -> DataFrame:
+    """Rows whose time lies in no verified archive interval (key, low, high) of their key; other columns may be null.
+
+    Intervals are copied to the time buckets of ``width`` that they meet, so that a
+    hot key spreads over its buckets.
+    """
+    first, last = F.floor(F.col("low") / width), F.floor(F.col("high") / width)
+    spans = intervals.where("low <= high").select(F.col(key).alias("_key"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.explode(F.sequence(first, last)).alias("_of"))
+    inside = (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_of")) & F.col(at).between(F.col("_low"), F.col("_high"))
+    return rows.withColumn("_bucket", F.floor(F.col(at) / width)).join(spans, inside, "left_anti").drop("_bucket")
 
 
 def canonical_legs(legs: DataFrame, group: Sequence[str], base: str = "base_amount", quote: str = "quote_amount") -> DataFrame:
@@ -132,8 +139,8 @@ def merge_outcomes(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]
 
 
 def merge_fill_nulls(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], fill: Sequence[str]) -> DataFrame:
-    """Full outer merge that only fills nulls; changed tells whether a stored row gained a value."""
-    new = incoming.select(*keys, *[F.col(c).alias(f"n_{c}") for c in fill], F.lit(True).alias("_in"))
+    """Full outer merge that only fills nulls; changed tells whether a stored row gained a value. Of repeated incoming keys each value is the first one in order."""
+    new = incoming.groupBy(*keys).agg(*[F.min(c).alias(f"n_{c}") for c in fill])
     old = existing.select(*keys, *fill, F.lit(True).alias("_have"))
     joined = old.join(new, keys, "full")
     gained = F.lit(False)
@@ -149,21 +156,39 @@ def append_if_changed(history: DataFrame, snapshot: DataFrame, key: str, at: str
 
 
 def normalize_quantity(trades: DataFrame, market: Sequence[str], missing_decimals: int = 12) -> DataFrame:
-    """base_units: raw amounts scaled exactly to the most decimals of their market; text amounts are rounded half up to it."""
+    """base_units: raw amounts scaled exactly to the most decimals of their market; text amounts are rounded half up to it.
+
+    Amounts are decimals of 38 digits; what does not fit gives null, so that such
+    rows can be set aside.
+    """
     own = F.when(F.col("base_raw").isNotNull(), F.col("base_decimals")).otherwise(missing_decimals)
     out = trades.withColumn("decimals", F.max(own).over(Window.partitionBy(*market)))
-    power = F.element_at(F.expr("transform(sequence(0, 30), i -> cast(rpad('1', i + 1, '0') as decimal(38,0)))"), F.col("decimals") - F.col("base_decimals") + 1)
-    scale = F.element_at(F.expr("transform(sequence(0, 30), i -> cast(rpad('1', i + 1, '0') as decimal(38,0)))"), F.col("decimals") + 1)
-    raw = (F.col("base_raw").cast("decimal(38,0)") * power).cast("decimal(38,0)")
-    text = F.round(F.col("base_amount").cast("decimal(20,9)") * scale.cast("decimal(18,0)"), 0).cast("decimal(38,0)")
-    return out.withColumn("base_units", F.when(F.col("base_raw").isNotNull(), raw).otherwise(text))
-
-
-def price_quality(data_quality: Column) -> Column:
-    out = F.lit("unpriced")
-    for k, v in PRICE_QUALITY.items():
-        out = F.when(data_quality == k, v).otherwise(out)
-    return out
+    # powers of ten as text: a product of decimals would lose digits of the fraction
+    shifted = F.concat(F.col("base_raw").cast("decimal(38,0)").cast("string"), F.repeat(F.lit("0"), F.col("decimals") - F.col("base_decimals")))
+    raw = F.expr("try_cast(_shifted AS decimal(38,0))")
+    text = F.col("base_amount").cast("decimal(38,18)").cast("string")
+    whole, part = F.split_part(text, F.lit("."), F.lit(1)), F.rpad(F.split_part(text, F.lit("."), F.lit(2)), 38, "0")
+    out = out.withColumn("_shifted", shifted).withColumn("_text", F.concat(whole, F.substring(part, F.lit(1), F.col("decimals"))))
+    up = F.when(F.substring(part, F.col("decimals") + 1, F.lit(1)) >= "5", F.when(F.startswith(text, F.lit("-")), -1).otherwise(1)).otherwise(0)
+    rounded = (F.expr("try_cast(_text AS decimal(38,0))") + up).cast("decimal(38,0)")
+    return out.withColumn("base_units", F.when(F.col("base_raw").isNotNull(), raw).otherwise(rounded)).drop("_shifted", "_text")
+
+
+def price_quality(data_quality: Column, given: Column | None = None) -> Column:
+    """Price quality of a row: the given one, else that of its data quality; null where that is unknown."""
+    names = F.create_map(*[F.lit(x) for pair in PRICE_QUALITY.items() for x in pair])
+    found = F.try_element_at(names, data_quality)
+    return found if given is None else F.coalesce(given, found)
+
+
+def combine_qualities(quality: Column) -> Column:
+    """Aggregate: quality of what several prices make together. The weakest counts; observed and converted ones are converted."""
+    return (
+        F.when(F.bool_and(quality == "observed-execution"), "observed-execution")
+        .when(F.bool_and(quality.isin(*HIGH_QUALITY)), "oracle-converted")
+        .when(F.bool_or(quality == "historical-estimate"), "historical-estimate")
+        .otherwise("market-proxy")
+    )
 
 
 def watermark_upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -110,12 +110,30 @@ def best_pool(trades: DataFrame, pools: DataFrame) -> DataFrame:
     return out.withColumn("age_minutes", F.greatest(F.lit(0.0), (F.col("t") - F.col("created_t")) / 60.0))
 
 
-def traction_score(liquidity: Column, volume5m: Column, volume1h: Column, buys: Column, sells: Column, age_minutes: Column) -> Column:
-    """Sum of clamped logarithmic parts of liquidity, volume and trades, of the share of buys and of youth."""
-    part = lambda x, w, top: F.greatest(F.lit(0.0), F.least(F.lit(float(top)), F.log10(x + 1) * w))
-    share = F.coalesce(F.try_divide(buys, buys + sells), F.lit(0.0))
-    youth = F.greatest(F.lit(0.0), 10 - age_minutes / 6)
-    return part(liquidity, 5, 25) + part(volume5m, 6, 25) + part(volume1h, 3, 15) + part((buys + sells).cast("double"), 7, 15) + share * 10 + youth
+def traction_score(liquidity: Column, volume5m: Column, volume1h: Column, trades5m: tuple[Column, Column], trades1h: tuple[Column, Column], changes: tuple[Column, Column], age_minutes: Column) -> Column:
+    """Sum of bounded terms, to cents: logarithms of volumes and liquidity, shares of buys, price changes, youth; less 8 for very liquid pairs.
+
+    trades are (buys, sells); changes are those of 5 minutes and of an hour in
+    percent; an unknown age gives no term.
+    """
+    log = lambda x, w, top: F.least(F.lit(float(top)), F.log10(F.greatest(x, F.lit(1.0))) * w)
+    within = lambda x, low, high: F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x))
+    share = lambda t: t[0] / F.greatest(t[0] + t[1], F.lit(1))
+    terms = (
+        log(volume5m, 13, 45),
+        log(volume1h, 9, 35),
+        log(liquidity, 7, 25),
+        within((share(trades5m) - 0.45) * 45, -10, 16),
+        within((share(trades1h) - 0.45) * 24, -8, 12),
+        within(changes[0] * 0.08, -12, 12),
+        within(changes[1] * 0.05, -12, 12),
+        F.when(age_minutes.isNull(), 0.0).otherwise(within(18 - age_minutes / 90, 0, 18)),
+        F.when(liquidity > 2_000_000, -8.0).otherwise(0.0),
+    )
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return total
 
 
 def persist_on_change(rows: DataFrame, key: str, interval: int) -> DataFrame:

@@ -32,7 +32,7 @@ def materialize_entries(pending: DataFrame, obs: DataFrame, within: int, control
     near = range_join(pending.select("swap_key", "pool", "t"), obs.select("pool", F.col("t").alias("obs_t"), "obs_key", "price_usd", "liquidity_usd"), ["pool"], F.col("t"), F.col("t") + within, "obs_t", within + 1)
     seen = first_by(near, ["swap_key"], ["obs_t", "obs_key"]).drop("pool", "t")
     out = pending.join(seen, "swap_key")
-    return out.withColumn("cohort", F.when(~controlled, "excluded-uncontrolled-flow").when(F.col("prior_tokens") >= 2, "repeat-wallet+controlled-flow").otherwise("control"))
+    return out.withColumn("cohort", F.when(~controlled, "excluded-uncontrolled-flow").when(F.col("prior_tokens") >= 2, "repeat-wallet+controlled-flow").otherwise("controlled-flow-control"))
 
 
 def outcomes(entries: DataFrame, obs: DataFrame, now: int, horizon: int, delay: int, exit_strategy: str = "fixed-horizon", cost_pct: float = 3.0, take_pct: float = 15.0, stop_pct: float = -20.0) -> DataFrame:

@@ -82,31 +82,61 @@ def qualified_pools(pools: DataFrame, risk: DataFrame, gate: Column, sent: DataF
 
 
 def token_durability(obs: DataFrame) -> DataFrame:
-    """Per token the latest, greatest and least return on its first price, and a clamped score."""
+    """Per token the latest, greatest and least return on its first price, minutes between first and last, and a score within +-100.
+
+    obs: token, t, obs_key, price_usd, liquidity_usd, buys5m, sells5m, wallet_events,
+    cross_wallets, active_wallets; all but the prices count as last seen.
+    """
     at = F.struct("t", "obs_key")
-    r = obs.where("price_usd > 0").groupBy("token").agg(F.min_by("price_usd", at).alias("first"), F.max_by("price_usd", at).alias("last"), F.max("price_usd").alias("high"), F.min("price_usd").alias("low"))
-    pct = lambda c: (F.col(c) / F.col("first") - 1) * 100
-    return r.select("token", pct("last").alias("last_pct"), pct("high").alias("max_pct"), pct("low").alias("min_pct")).withColumn("score", clamp(50 + F.col("last_pct") * 0.3 + F.col("min_pct") * 0.2))
+    names = ("price_usd", "liquidity_usd", "buys5m", "sells5m", "wallet_events", "cross_wallets", "active_wallets", "t")
+    r = obs.where("price_usd > 0").groupBy("token").agg(F.min_by(F.struct("price_usd", "t"), at).alias("first"), F.max_by(F.struct(*names), at).alias("last"), F.max("price_usd").alias("high"), F.min("price_usd").alias("low"))
+    pct = lambda c: (F.col(c) / F.col("first.price_usd") - 1) * 100
+    last = lambda c: F.col(f"last.{c}")
+    out = r.select("token", pct("last.price_usd").alias("last_pct"), pct("high").alias("max_pct"), pct("low").alias("min_pct"), ((last("t") - F.col("first.t")) / 60).alias("age_minutes"), "last")
+    seen = last("wallet_events") * 1.4 + last("cross_wallets") * 18 + last("active_wallets") * 22
+    share = last("buys5m") / F.greatest(last("buys5m") + last("sells5m"), F.lit(1))
+    marks = F.when(share >= 0.55, 8).otherwise(-8) - F.when(last("liquidity_usd") < 10_000, 15).otherwise(0) - F.when(F.col("age_minutes") < 3, 10).otherwise(0)
+    score = F.col("last_pct") * 0.55 + F.col("max_pct") * 0.18 + F.least(last("liquidity_usd") / 1000, F.lit(35.0)) + seen + marks
+    return out.withColumn("score", clamp(score, -100.0, 100.0)).drop("last")
+
+
+#: Fixed names of labels.
+EARLY_LABELS = ("cross-token active degen", "very early buyer", "high-traction participant", "fast seller / possible bot", "single-token early buyer")
+HISTORY_LABELS = ("active pump degen wallet", "multi-token recent buyer", "net recent accumulator", "fast churn seller", "limited recent history")
+
 
+def _labels(conditions: Sequence[Column], names: Sequence[str]) -> Column:
+    """The names whose condition holds, joined by commas; the last name if none does."""
+    held = F.array_compact(F.array(*[F.when(c, n) for c, n in zip(conditions, names, strict=False)]))
+    return F.when(F.size(held) == 0, names[-1]).otherwise(F.array_join(held, ","))
 
-def early_wallets(buys: DataFrame, most_rank: int = 18) -> DataFrame:
-    """Per wallet the tokens touched, its buys among the first of their token, and their mean rank; buys come with their rank."""
-    early = F.col("rank") <= most_rank
-    out = buys.groupBy("wallet").agg(F.countDistinct("token").alias("tokens"), F.count_if(early).alias("early"), F.avg(F.when(early, F.col("rank"))).alias("avg_rank"))
-    labels = F.array_compact(F.array(F.when(F.col("tokens") >= 3, "multi-token"), F.when(F.col("early") >= 2, "repeat-early"), F.when(F.col("avg_rank") <= 5, "front-rank")))
-    return out.withColumn("labels", F.array_join(labels, ","))
+
+def early_wallets(events: DataFrame, most_rank: int = 18) -> DataFrame:
+    """Per wallet with early buys: tokens touched, early buys, sells, mean rank and mean candidate score of its buys, pressure score, labels.
+
+    events: wallet, token, side, rank in the token, candidate_score of the token
+    (null: none). A buy is early up to ``most_rank``.
+    """
+    buy = F.col("side") == "buy"
+    out = events.groupBy("wallet").agg(
+        F.countDistinct("token").alias("tokens"), F.count_if(buy & (F.col("rank") <= most_rank)).alias("early"), F.count_if(F.col("side") == "sell").alias("sells"),
+        F.coalesce(F.avg(F.when(buy, F.col("rank"))), F.lit(0.0)).alias("avg_rank"), F.coalesce(F.avg(F.when(buy, F.coalesce("candidate_score", F.lit(0.0)))), F.lit(0.0)).alias("avg_score"),
+    ).where("early > 0")
+    pressure = clamp(F.col("early") * 11 + F.col("tokens") * 18 + F.col("avg_score") * 0.55 - F.col("sells") * 5 - F.col("avg_rank") * 0.4)
+    held = ((F.col("tokens") >= 2) & (F.col("early") >= 2), F.col("avg_rank") <= 8, F.col("avg_score") >= 75, F.col("sells") > F.col("early"))
+    return out.withColumn("pressure", pressure).withColumn("labels", _labels(held, EARLY_LABELS))
 
 
 def wallet_history(events: DataFrame, suffix: str) -> DataFrame:
     """Per wallet mints bought, mints with a suffix, events by side, and a clamped score."""
     buy = F.col("side") == "buy"
     out = events.groupBy("wallet").agg(F.countDistinct(F.when(buy, F.col("token"))).alias("mints"), F.countDistinct(F.when(buy & F.col("token").endswith(suffix), F.col("token"))).alias("suffixed"), F.count_if(buy).alias("buys"), F.count_if(~buy).alias("sells"))
-    return out.withColumn("score", clamp(F.col("mints") * 8.0 + F.col("suffixed") * 5.0 + F.least(F.col("sells"), F.col("buys")) * 2.0))
+    return out.withColumn("score", clamp((F.col("mints") * 16 + F.col("suffixed") * 18 + F.col("buys") * 3 - F.col("sells") * 2).cast("double")))
 
 
 def history_labels(history: DataFrame) -> DataFrame:
-    labels = F.array_compact(F.array(F.when(F.col("mints") >= 5, "active"), F.when(F.col("sells") == 0, "never-sold"), F.when(F.col("buys") > F.col("sells") * 2, "accumulator")))
-    return history.withColumn("labels", F.array_join(labels, ","))
+    held = (F.col("suffixed") >= 3, F.col("mints") >= 4, (F.col("buys") >= 5) & (F.col("sells") <= F.col("buys")), F.col("sells") > F.col("buys"))
+    return history.withColumn("labels", _labels(held, HISTORY_LABELS))
 
 
 def merge_wallet_state(old: DataFrame, new: DataFrame, now: int, keep_s: int) -> DataFrame:
@@ -123,6 +153,17 @@ def method_tags(events: DataFrame, wallets: DataFrame, least: int) -> DataFrame:
     return tags.unionByName(busy).groupBy("token").agg(F.array_join(F.sort_array(F.collect_set("tag")), ",").alias("tags"))
 
 
-def watch_mode(best: Column, holdout: Column, fresh: Column) -> Column:
-    """Mode of a watch from three flags."""
-    return F.when(~fresh, "stale").when(best & holdout, "candidate").when(best, "observe").otherwise("collect")
+def watch_mode(validated: dict[str, Column], watched: Sequence[Column]) -> dict[str, Column]:
+    """Mode and status of a watch.
+
+    validated: flags method, rule, exit and replay, which together make a system
+    candidate, and wallet; watched: flags of methods, rules and exits under watch.
+    """
+    system = validated["method"] & validated["rule"] & validated["exit"] & validated["replay"]
+    lone = validated["wallet"] & ~system
+    watch = lone
+    for w in watched:
+        watch = watch | w
+    mode = F.when(system, "paper-validate candidate").when(watch, "paper-watch").otherwise("observe-only")
+    status = F.when(system, "validated paper system candidate").when(lone, "wallet candidate emerging").otherwise("collecting evidence")
+    return {"mode": mode, "status": status, "system_candidate": system, "wallet_only": lone, "system_watch": watch}

@@ -17,7 +17,8 @@ COHORTS = {"all": "true", "deep": "liquidity_usd >= 30000", "even": "entry_key %
 
 
 def f15(spark, d):
-    return U.evidence_score(returns(spark, d).select("wallet", "value")).select("wallet", "n", "score", "confidence")
+    out = U.evidence_score(returns(spark, d).select("wallet", "value"))
+    return out.select("wallet", "n", *[steady(F.col(c)).alias(c) for c in ("average", "median", "ex_best", "best_share", "hit_rate", "worst", "score")], "confidence")
 
 
 def f31(spark, d):
@@ -69,8 +70,10 @@ def h10_all(spark, d):
 
 
 QUERIES = {
-    "f15_evidence_score": (f15, ROWS + """, a AS (SELECT wallet, count(*) AS n, median(value) AS md, CASE WHEN count(*) > 1 THEN (sum(value) - max(value)) / (count(*) - 1) ELSE 0 END AS xb, avg((value > 0)::INT) AS hr FROM rets GROUP BY 1)
-        SELECT wallet, n, floor(greatest(0, least(100, 50 + md * 0.2 + xb * 0.2 + (hr - 0.5) * 40)) * 100 + 0.5) / 100 AS score, floor(least(100, n * 5.0::DOUBLE) * 100 + 0.5) / 100 AS confidence FROM a"""),
+    "f15_evidence_score": (f15, ROWS + f""", a AS (SELECT wallet, count(*) AS n, avg(value) AS av, median(value) AS md, CASE WHEN count(*) > 1 THEN (sum(value) - max(value)) / (count(*) - 1) ELSE 0 END AS xb, avg((value > 0)::INT) AS hr, min(value) AS wo,
+        coalesce(max(value) FILTER (WHERE value > 0) / sum(value) FILTER (WHERE value > 0), 0) AS bs FROM rets GROUP BY 1), w AS (SELECT *, n >= 3 AND av >= 0 AND md >= 0 AND hr >= 0.5 AND wo >= -35 AS watch FROM a),
+        s AS (SELECT *, CASE WHEN watch THEN greatest(0, least(100, 30 + least(n, 10) * 3 + greatest(-20, least(20, av)) + hr * 20 + 10)) ELSE 0 END AS sc FROM w)
+        SELECT wallet, n, {st('av', 'average')}, {st('md', 'median')}, {st('xb', 'ex_best')}, {st('bs', 'best_share')}, {st('hr', 'hit_rate')}, {st('wo', 'worst')}, {st('sc', 'score')}, CASE WHEN watch AND n >= 4 AND av >= 2 AND xb > 0 AND bs <= 0.35 AND sc >= 60 THEN 'candidate' WHEN watch THEN 'watch' ELSE 'insufficient' END AS confidence FROM s"""),
     "f31_method_signals": (f31, A.with_views(A.PRICES)[:-1] + PO.HOR + f""", o AS (SELECT token, {st('arg_max(r, (ot, obs_key))', 'return_pct')} FROM un GROUP BY token), f AS (SELECT token, t, obs_key, 'm' || obs_key % 3 AS method, row_number() OVER (PARTITION BY token, obs_key % 3 ORDER BY t, obs_key) AS n FROM prices)
         SELECT f.token, f.t, f.obs_key, f.method, o.return_pct FROM f LEFT JOIN o ON f.token = o.token WHERE f.n = 1"""),
     "f34_track_history": (f34, A.with_views(A.PRICES) + "SELECT token, obs_key, back FROM (SELECT token, obs_key, row_number() OVER (PARTITION BY token ORDER BY t DESC, obs_key DESC) AS back FROM prices) WHERE back <= 100"),

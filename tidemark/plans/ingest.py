@@ -143,8 +143,12 @@ def b10(spark, d):
 
 
 def b12(spark, d):
-    q = A.trades(spark, d).withColumn("q", I.price_quality(F.col("data_quality")))
-    return q.groupBy("wallet", "token").agg(F.bool_and(F.col("q").isin(*I.HIGH_QUALITY)).alias("all_high"), F.bool_or(F.col("q").isin(*I.HIGH_QUALITY)).alias("any_high"), F.count(F.lit(1)).alias("n"))
+    """Some quantities stand for another quality, so that all of them occur."""
+    t = A.trades(spark, d)
+    given = F.when(F.col("qty") < 4, "historical-estimate").when(F.col("qty") > 45, "oracle-converted").when(F.col("qty") == 20, "observed-balance").when(F.col("qty") == 21, "historical-observed").otherwise(F.col("data_quality"))
+    q = t.withColumn("q", I.price_quality(given))
+    high = F.col("q").isin(*I.HIGH_QUALITY)
+    return q.groupBy("wallet", "token").agg(I.combine_qualities(F.col("q")).alias("quality"), F.bool_and(high).alias("all_high"), F.bool_or(high).alias("any_high"), F.count(F.lit(1)).alias("n"))
 
 
 def b13(spark, d):
@@ -203,7 +207,10 @@ QUERIES = {
     "b10_normalize_quantity": (b10, A.with_views(A.TRADES)[:-1] + """, x AS (SELECT key, wallet, token, qty, (qty % 4)::INT AS dec, qty % 3 > 0 AS raw FROM trades),
         y AS (SELECT *, max(CASE WHEN raw THEN dec ELSE 12 END) OVER (PARTITION BY wallet, token) AS decimals FROM x)
         SELECT key, decimals, CAST(CASE WHEN raw THEN qty::HUGEINT * (10::HUGEINT ** (decimals - dec))::HUGEINT ELSE (qty * 25)::HUGEINT * (10::HUGEINT ** (decimals - 2))::HUGEINT END AS VARCHAR) AS base_units FROM y"""),
-    "b12_price_quality": (b12, A.with_views(A.TRADES) + "SELECT wallet, token, bool_and(data_quality = 'observed-execution') AS all_high, bool_or(data_quality = 'observed-execution') AS any_high, count(*) AS n FROM trades GROUP BY 1, 2"),
+    "b12_price_quality": (b12, A.with_views(A.TRADES)[:-1] + """, q AS (SELECT wallet, token, CASE WHEN qty < 4 THEN 'historical-estimate' WHEN qty > 45 THEN 'oracle-converted' WHEN qty = 20 THEN 'market-proxy' WHEN qty = 21 THEN 'observed-execution'
+        WHEN data_quality = 'price-proxy' THEN 'market-proxy' ELSE data_quality END AS q FROM trades)
+        SELECT wallet, token, CASE WHEN bool_and(q = 'observed-execution') THEN 'observed-execution' WHEN bool_and(q IN ('observed-execution', 'oracle-converted')) THEN 'oracle-converted' WHEN bool_or(q = 'historical-estimate') THEN 'historical-estimate' ELSE 'market-proxy' END AS quality,
+        bool_and(q IN ('observed-execution', 'oracle-converted')) AS all_high, bool_or(q IN ('observed-execution', 'oracle-converted')) AS any_high, count(*) AS n FROM q GROUP BY 1, 2"""),
     "b13_watermark_upsert": (b13, A.with_views(A.TRADES) + "SELECT wallet, token, max(slot) AS slot FROM trades GROUP BY 1, 2"),
     "b14_finality_reconcile": (b14, """SELECT o_orderkey AS key, o_custkey AS signature, CASE WHEN o_custkey % 4 = 2 THEN 'finalized' ELSE 'confirmed' END AS commitment,
         CASE WHEN o_custkey % 4 < 2 THEN 'rolled_back' WHEN o_orderstatus = 'F' THEN 'pending' ELSE 'retry' END AS status

@@ -114,7 +114,9 @@ def c18(spark, d):
 
 def c19(spark, d):
     p = I.compact_pair(pairs(spark, d))
-    s = M.traction_score(F.col("liquidity_usd"), F.col("volume5m_usd"), F.col("volume1h_usd"), F.col("buys5m"), F.col("sells5m"), (F.col("seq") % 90).cast("double"))
+    seq = F.col("seq")
+    age = F.when(seq % 11 > 0, (seq % 2000).cast("double"))
+    s = M.traction_score(F.col("liquidity_usd") * 20, F.col("volume5m_usd"), F.col("volume1h_usd"), (F.col("buys5m"), F.col("sells5m")), (seq % 23, seq % 17), ((seq % 401 - 200) * 1.0, (seq % 601 - 300) * 1.0), age)
     return p.select("seq", steady(s).alias("score"))
 
 
@@ -177,7 +179,8 @@ QUERIES = {
     "c18_token_risk": (c18, A.with_views(A.TRADES)[:-1] + f""", h AS (SELECT token, wallet, sum(qty) AS amount FROM trades GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY amount DESC, wallet) AS n FROM h),
         s AS (SELECT token, max(amount) / sum(amount) * 100 AS t1, sum(CASE WHEN n <= 10 THEN amount END) / sum(amount) * 100 AS t10, CAST(substr(token, 7) AS INT) AS k FROM r GROUP BY token)
         SELECT token, {st('t1', 'top1_pct')}, {st('t10', 'top10_pct')}, true AS known, k % 3 > 0 AND k % 4 > 0 AND t1 <= 5 AND t10 <= 30 AS passed, {st('least(100, (k % 3 = 0)::INT * 40 + (k % 4 = 0)::INT * 30 + greatest(0, t10 - 30))', 'risk')} FROM s"""),
-    "c19_traction_score": (c19, PAIR_ROWS + f""" SELECT seq, {st('least(25, log10(liq + 1) * 5) + least(25, log10(v5 + 1) * 6) + least(15, log10(v1 + 1) * 3) + least(15, log10(buys + 1) * 7) + CASE WHEN buys > 0 THEN 10 ELSE 0 END + greatest(0, 10 - (seq % 90) / 6)', 'score')} FROM pr"""),
+    "c19_traction_score": (c19, PAIR_ROWS + f""" SELECT seq, {st('least(45, log10(greatest(v5, 1)) * 13) + least(35, log10(greatest(v1, 1)) * 9) + least(25, log10(greatest(liq * 20, 1)) * 7) + greatest(-10, least(16, (buys / greatest(buys, 1) - 0.45) * 45)) + greatest(-8, least(12, ((seq % 23) / greatest(seq % 23 + seq % 17, 1) - 0.45) * 24))'
+        ' + greatest(-12, least(12, (seq % 401 - 200) * 0.08)) + greatest(-12, least(12, (seq % 601 - 300) * 0.05)) + CASE WHEN seq % 11 > 0 THEN greatest(0, least(18, 18 - (seq % 2000) / 90)) ELSE 0 END - CASE WHEN liq * 20 > 2000000 THEN 8 ELSE 0 END', 'score')} FROM pr"""),
     "c22_persist_on_change": (c22, None),
     "c23_unresolved_horizon_windows": (c23, ENTRIES + f""" SELECT token, count(*) AS entries, min(t) + {DAY} AS from_t, max(t) + {2 * DAY} AS to_t FROM entries e WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.event_type = 'view' AND p.token = e.token
         AND p.t BETWEEN e.t + {DAY} AND e.t + {2 * DAY}) GROUP BY token ORDER BY entries DESC, token LIMIT 40"""),

@@ -165,7 +165,7 @@ QUERIES = {
     "d3_entry_decision": (d3, ENTRIES + "SELECT entry_key, CASE WHEN entry_key % 3 = 0 THEN 'skip-uncontrolled' WHEN entry_key % 5 = 0 THEN 'defer-unknown' WHEN entry_key % 7 <= 1 THEN 'skip-failed' ELSE 'materialize' END AS decision FROM entries"),
     "d4_materialize_entries": (d4, ENTRIES[:-1] + f""", pc AS (SELECT e.entry_key, e.pool, e.t, count(DISTINCT f.token) AS prior FROM entries e LEFT JOIN entries f ON e.wallet = f.wallet AND f.t < e.t GROUP BY 1, 2, 3),
         x AS (SELECT pc.*, p.obs_key, p.price_usd, p.liquidity_usd, row_number() OVER (PARTITION BY pc.entry_key ORDER BY p.t, p.obs_key) AS n FROM pc JOIN prices p ON pc.pool = p.pool AND p.event_type = 'view' AND p.t BETWEEN pc.t AND pc.t + {2 * DAY})
-        SELECT entry_key AS swap_key, obs_key, price_usd, CASE WHEN liquidity_usd < 20000 THEN 'excluded-uncontrolled-flow' WHEN prior >= 2 THEN 'repeat-wallet+controlled-flow' ELSE 'control' END AS cohort FROM x WHERE n = 1"""),
+        SELECT entry_key AS swap_key, obs_key, price_usd, CASE WHEN liquidity_usd < 20000 THEN 'excluded-uncontrolled-flow' WHEN prior >= 2 THEN 'repeat-wallet+controlled-flow' ELSE 'controlled-flow-control' END AS cohort FROM x WHERE n = 1"""),
     "d5_outcome_fixed": (d5, ENTRIES[:-1] + ", " + FIXED + SHOW),
     "d5_outcome_threshold": (d5t, ENTRIES[:-1] + ", " + BARRIER + SHOW),
     "d6_assess_fixed_horizon": (d6, ENTRIES[:-1] + ", " + FIXED + f""", r AS (SELECT entry_key, CASE WHEN entry_key % 4 = 0 THEN 'unlinked-entry' WHEN status <> 'mature' THEN 'not-mature' WHEN {GROSS} IS NULL THEN 'missing-return'

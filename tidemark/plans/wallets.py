@@ -84,14 +84,19 @@ def f24(spark, d):
 
 
 def f26(spark, d):
-    out = W.token_durability(A.price_observations(spark, d))
-    return out.select("token", *[steady(F.col(c)).alias(c) for c in ("last_pct", "max_pct", "min_pct", "score")])
+    k = F.col("obs_key")
+    seen = {"buys5m": k % 7, "sells5m": k % 5, "wallet_events": k % 4, "cross_wallets": k % 2, "active_wallets": (k % 3 == 0).cast("int")}
+    out = W.token_durability(A.price_observations(spark, d).withColumns(seen))
+    return out.select("token", *[steady(F.col(c)).alias(c) for c in ("last_pct", "max_pct", "min_pct", "age_minutes", "score")])
 
 
 def f28(spark, d):
-    p = A.price_observations(spark, d).where("event_type IN ('purchase', 'signup')")
-    ranked = p.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("t", "obs_key")))
-    return W.early_wallets(ranked).withColumn("avg_rank", steady(F.col("avg_rank")))
+    """Events ranked within their token; the candidate score is the token's greatest price."""
+    e = events(spark, d)
+    scores = A.price_observations(spark, d).groupBy("token").agg(F.least(F.lit(100.0), F.max("price_usd") / 5).alias("candidate_score"))
+    ranked = e.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("t", F.col("signature").cast("long")))).join(scores, "token")
+    out = W.early_wallets(ranked)
+    return out.select("wallet", "tokens", "early", "sells", *[steady(F.col(c)).alias(c) for c in ("avg_rank", "avg_score", "pressure")], "labels")
 
 
 def events(spark, d):
@@ -119,8 +124,13 @@ def f30(spark, d):
 
 
 def g23(spark, d):
-    k = F.col("o_orderkey")
-    return A.table(spark, d, "orders").select(k.alias("run"), W.watch_mode(k % 2 == 0, k % 3 == 0, k % 5 > 0).alias("mode"))
+    """Flags of a run: what kinds of lines its order has."""
+    line = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run")).agg(
+        F.bool_or(F.col("l_returnflag") == "A").alias("method"), F.bool_or(F.col("l_discount") > 0.05).alias("rule"), F.bool_or(F.col("l_tax") > 0.04).alias("exit"), F.bool_or(F.col("l_quantity") > 30).alias("replay"),
+        F.bool_or(F.col("l_quantity") > 48).alias("wallet"), F.bool_or(F.col("l_linestatus") == "F").alias("watched"),
+    )
+    found = W.watch_mode({c: F.col(c) for c in ("method", "rule", "exit", "replay", "wallet")}, [F.col("watched")])
+    return line.select("run", *[c.alias(n) for n, c in found.items()])
 
 
 DELTAS = """bal AS (SELECT signature, wallet AS owner, token AS mint, CASE WHEN side = 'buy' THEN qty ELSE -qty END AS x FROM trades UNION ALL SELECT signature, wallet, 'USD', CASE WHEN side = 'buy' THEN qty * -2 ELSE qty * 2 END FROM trades),
@@ -142,14 +152,21 @@ QUERIES = {
     "f18_wallet_feature_score": (f18, None),
     "f24_qualified_pools": (f24, """WITH r AS (SELECT p_name AS token, arg_max(p_partkey % 4 > 0, p_partkey) AS passed FROM part GROUP BY 1), g AS (SELECT p_name AS token, 'p' || p_partkey AS pool, p_partkey % 700 * 10.0::DOUBLE AS liquidity_usd FROM part JOIN r ON p_name = r.token WHERE passed AND p_partkey % 13 > 3),
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY liquidity_usd DESC, pool) AS n FROM g) WHERE n = 1) SELECT token, pool, liquidity_usd FROM b WHERE token NOT IN (SELECT p_name FROM part WHERE p_partkey % 17 = 0) ORDER BY liquidity_usd DESC, token LIMIT 100"""),
-    "f26_token_durability": (f26, PRICES[:-1] + f""", r AS (SELECT token, arg_min(price_usd, (t, obs_key)) AS f, arg_max(price_usd, (t, obs_key)) AS l, max(price_usd) AS h, min(price_usd) AS lo FROM prices WHERE price_usd > 0 GROUP BY 1), x AS (SELECT token, (l / f - 1) * 100 AS a, (h / f - 1) * 100 AS b, (lo / f - 1) * 100 AS c FROM r)
-        SELECT token, {st('a', 'last_pct')}, {st('b', 'max_pct')}, {st('c', 'min_pct')}, {st('greatest(0, least(100, 50 + a * 0.3 + c * 0.2))', 'score')} FROM x"""),
-    "f28_early_wallets": (f28, PRICES[:-1] + f""", r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY t, obs_key) AS rk FROM prices WHERE event_type IN ('purchase', 'signup')), x AS (SELECT wallet, count(DISTINCT token) AS tokens, count(*) FILTER (WHERE rk <= 18) AS early, avg(CASE WHEN rk <= 18 THEN rk END) AS ar FROM r GROUP BY 1)
-        SELECT wallet, tokens, early, {st('ar', 'avg_rank')}, concat_ws(',', CASE WHEN tokens >= 3 THEN 'multi-token' END, CASE WHEN early >= 2 THEN 'repeat-early' END, CASE WHEN ar <= 5 THEN 'front-rank' END) AS labels FROM x"""),
-    "f29_history_labels": (f29, HIST + " SELECT wallet, concat_ws(',', CASE WHEN mints >= 5 THEN 'active' END, CASE WHEN sells = 0 THEN 'never-sold' END, CASE WHEN buys > sells * 2 THEN 'accumulator' END) AS labels FROM h"),
+    "f26_token_durability": (f26, PRICES[:-1] + f""", r AS (SELECT token, arg_min(price_usd, (t, obs_key)) AS f, arg_max(price_usd, (t, obs_key)) AS l, max(price_usd) AS h, min(price_usd) AS lo, (max(t) - min(t)) / 60 AS age, arg_max(obs_key, (t, obs_key)) AS k, arg_max(liquidity_usd, (t, obs_key)) AS liq FROM prices WHERE price_usd > 0 GROUP BY 1),
+        x AS (SELECT *, (l / f - 1) * 100 AS a, (h / f - 1) * 100 AS b, (lo / f - 1) * 100 AS c FROM r)
+        SELECT token, {st('a', 'last_pct')}, {st('b', 'max_pct')}, {st('c', 'min_pct')}, {st('age', 'age_minutes')},
+        {st('greatest(-100, least(100, a * 0.55 + b * 0.18 + least(liq / 1000, 35) + (k % 4) * 1.4 + (k % 2) * 18 + CASE WHEN k % 3 = 0 THEN 22 ELSE 0 END + CASE WHEN (k % 7) / greatest(k % 7 + k % 5, 1) >= 0.55 THEN 8 ELSE -8 END - CASE WHEN liq < 10000 THEN 15 ELSE 0 END - CASE WHEN age < 3 THEN 10 ELSE 0 END))', 'score')} FROM x"""),
+    "f28_early_wallets": (f28, EVENTS + f""", c AS (SELECT token, least(100, max(price_usd) / 5) AS cs FROM prices GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY t, obs_key) AS rk FROM ev),
+        x AS (SELECT wallet, count(DISTINCT r.token) AS tokens, count(*) FILTER (WHERE side = 'buy' AND rk <= 18) AS early, count(*) FILTER (WHERE side = 'sell') AS sells, coalesce(avg(rk) FILTER (WHERE side = 'buy'), 0) AS ar, coalesce(avg(cs) FILTER (WHERE side = 'buy'), 0) AS sc FROM r JOIN c ON r.token = c.token GROUP BY 1)
+        SELECT wallet, tokens, early, sells, {st('ar', 'avg_rank')}, {st('sc', 'avg_score')}, {st('greatest(0, least(100, early * 11 + tokens * 18 + sc * 0.55 - sells * 5 - ar * 0.4))', 'pressure')},
+        coalesce(nullif(concat_ws(',', CASE WHEN tokens >= 2 AND early >= 2 THEN 'cross-token active degen' END, CASE WHEN ar <= 8 THEN 'very early buyer' END, CASE WHEN sc >= 75 THEN 'high-traction participant' END, CASE WHEN sells > early THEN 'fast seller / possible bot' END), ''), 'single-token early buyer') AS labels FROM x WHERE early > 0"""),
+    "f29_history_labels": (f29, HIST + """ SELECT wallet, coalesce(nullif(concat_ws(',', CASE WHEN suffixed >= 3 THEN 'active pump degen wallet' END, CASE WHEN mints >= 4 THEN 'multi-token recent buyer' END, CASE WHEN buys >= 5 AND sells <= buys THEN 'net recent accumulator' END,
+        CASE WHEN sells > buys THEN 'fast churn seller' END), ''), 'limited recent history') AS labels FROM h"""),
     "f30_method_tags": (f30, EVENTS + """, w AS (SELECT wallet, token, CAST(substr(wallet, 2) AS INT) AS n FROM ev), x AS (SELECT token, 'five' AS tag FROM w WHERE n % 5 = 0 UNION SELECT token, 'seven' FROM w WHERE n % 7 = 0 UNION SELECT token, 'busy' FROM ev GROUP BY token HAVING count(*) >= 100)
         SELECT token, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM x GROUP BY 1"""),
-    "f32_wallet_history": (f32, HIST + " SELECT *, greatest(0, least(100, mints * 8.0::DOUBLE + suffixed * 5.0::DOUBLE + least(sells, buys) * 2.0::DOUBLE)) AS score FROM h"),
+    "f32_wallet_history": (f32, HIST + " SELECT *, greatest(0, least(100, mints * 16.0::DOUBLE + suffixed * 18 + buys * 3 - sells * 2)) AS score FROM h"),
     "f33_merge_wallet_state": (f33, PRICES + f"SELECT wallet, count(DISTINCT token) AS tokens, count(*) AS events, max(t) AS last_t FROM prices GROUP BY 1 HAVING max(t) >= {T0 + 28 * DAY}"),
-    "g23_watch_mode": (g23, "SELECT o_orderkey AS run, CASE WHEN o_orderkey % 5 = 0 THEN 'stale' WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'candidate' WHEN o_orderkey % 2 = 0 THEN 'observe' ELSE 'collect' END AS mode FROM orders"),
+    "g23_watch_mode": (g23, """WITH f AS (SELECT l_orderkey AS run, bool_or(l_returnflag = 'A') AND bool_or(l_discount > 0.05) AND bool_or(l_tax > 0.04) AND bool_or(l_quantity > 30) AS s, bool_or(l_quantity > 48) AS w, bool_or(l_linestatus = 'F') AS o FROM lineitem GROUP BY 1)
+        SELECT run, CASE WHEN s THEN 'paper-validate candidate' WHEN w OR o THEN 'paper-watch' ELSE 'observe-only' END AS mode, CASE WHEN s THEN 'validated paper system candidate' WHEN w THEN 'wallet candidate emerging' ELSE 'collecting evidence' END AS status,
+        s AS system_candidate, w AND NOT s AS wallet_only, (w AND NOT s) OR o AS system_watch FROM f"""),
 }

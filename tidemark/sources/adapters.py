@@ -35,7 +35,7 @@ def trades(spark: SparkSession, sf_dir: str, short_key: bool = False) -> DataFra
         F.col("l_quantity").alias("qty"),
         F.col("l_extendedprice").alias("value_usd"),
         F.lit(0.0).alias("pool_age_minutes"),
-        F.when(F.col("l_linestatus") == "O", "observed-execution").otherwise("fallback").alias("data_quality"),
+        F.when(F.col("l_linestatus") == "O", "observed-execution").otherwise("price-proxy").alias("data_quality"),
     )
 
 
@@ -69,7 +69,7 @@ TRADES = """trades AS (
     'c' AS chain, 's' AS strategy, CAST(l_orderkey AS VARCHAR) AS signature, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS slot,
     date_diff('second', TIMESTAMP '1970-01-01', l_shipdate) AS t, 'w' || l_suppkey AS wallet, p_brand AS token,
     CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS qty, l_extendedprice AS value_usd, 0.0::DOUBLE AS pool_age_minutes,
-    CASE WHEN l_linestatus = 'O' THEN 'observed-execution' ELSE 'fallback' END AS data_quality
+    CASE WHEN l_linestatus = 'O' THEN 'observed-execution' ELSE 'price-proxy' END AS data_quality
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 PRICES = """prices AS (
