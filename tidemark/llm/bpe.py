@@ -163,8 +163,9 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Codes of texts: ids joined by a space, with a bounded memory of pieces."""
 
-    def __init__(self, path: str, folded: dict[str, str]):
-        self.ranks, self.folded = load_ranks(path), folded
+    def __init__(self, path: str, folded: bytes):
+        table = pa.ipc.open_stream(folded).read_all()
+        self.ranks, self.folded = load_ranks(path), dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.known: dict[str, str] = {}
 
@@ -222,8 +223,12 @@ def encode(docs: DataFrame, ranks_path: str | None = None, most_folded: int = FO
     path = ranks_path or public_tokenizers.path(RANKS)
     spark = docs.sparkSession
     table = fold_frequent(docs, path, most_folded).toArrow()  # one job over all its partitions, at most most_folded rows
-    folded = dict(zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True))
-    shared, name = spark.sparkContext.broadcast(folded), uuid.uuid4().hex
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table)
+    # bytes, as Python texts of all words would take many times the memory of the driver
+    shared, name = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+    del table, sink
     keep = [c for c in keep if c not in ("doc_id", "n_tokens", "ids")]
     rows = docs.select("doc_id", *[F.col(c).alias(f"o_{i}") for i, c in enumerate(keep)], "text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
