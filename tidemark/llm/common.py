@@ -76,10 +76,14 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession, [at for at in _SCRATCH if any(at.rpartition("/")[2] in f for f in files)])
 
 
-def free_scratch(docs: DataFrame) -> None:
-    """Delete all scratch tables but those that ``docs`` reads: what earlier stages left, once they are written."""
+def scratch_tables() -> list[str]:
+    return list(_SCRATCH)
+
+
+def free_scratch(docs: DataFrame, tables: list[str]) -> None:
+    """Delete those of the scratch tables that ``docs`` does not read: what an earlier stage left, once it is written."""
     files = docs.inputFiles()
-    _delete(docs.sparkSession, [at for at in _SCRATCH if not any(at.rpartition("/")[2] in f for f in files)])
+    _delete(docs.sparkSession, [at for at in tables if at in _SCRATCH and not any(at.rpartition("/")[2] in f for f in files)])
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
