@@ -8,13 +8,35 @@ of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, jaccard_join, mixing, quality, substring_dedup
-from tidemark.llm.common import free_scratch, materialize, read_documents
+from tidemark.llm.common import free_scratch, materialize, read_documents, scratch_tables
+
+
+#: Scratch tables that the last stage made.
+_LEFT: list[str] = []
+
+
+def _stage(run_stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which first deletes the scratch tables of the one before it that docs does not read."""
+
+    @wraps(run_stage)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        free_scratch(docs, _LEFT)
+        before = set(scratch_tables())
+        out = run_stage(spark, docs, sf_dir)
+        _LEFT[:] = [at for at in scratch_tables() if at not in before]
+        return out
+
+    return stage
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules and their host's verdict.
 
@@ -24,23 +46,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, the one of least doc_id. Five-word shingles, similarity 0.8 or more.
 
     Documents without words all stay; of repeated rows one stays. A null doc_id
     comes before all others. All columns are kept.
     """
-    free_scratch(docs)
     return jaccard_join.keep_one(docs, width=5, percent=80)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of recurring passages; a text that loses none stays as it is.
 
     A null text stays null. Rows with one doc_id are cut apart; repeated rows are
     copies of each other. All columns are kept; n_chars, if there, follows the text.
     """
-    free_scratch(docs)
     removed, kept, words = (next(n for i in range(len(docs.columns) + 1) if (n := f"{base}_{i}") not in docs.columns) for base in ("removed", "kept", "words"))
     cut = substring_dedup.remove_repeats(docs, docs.columns, own=(words, removed, kept))
     cut = cut.withColumn("text", F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text")))
@@ -49,19 +71,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return cut.select(*docs.columns)
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, repeated as often as it takes them.
 
     A null source is a source of its own; a document without words counts nothing
     and is drawn like its source's others. All columns are kept.
     """
-    free_scratch(docs)
     return mixing.emit_mix(docs)
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document of the mix: doc_id, source, its number of ids, the ids, and the digest of what they decode to; a null text has none."""
-    free_scratch(docs)
     encoded = bpe.encode(docs, keep=["source"])
     return encoded.select("doc_id", "source", "n_tokens", "ids", F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))
 
