@@ -126,3 +126,43 @@ def test_merge_does_not_multiply(spark):
 def test_ids_of_nulls_differ(spark):
     rows = spark.createDataFrame([("a", None, "b"), ("a", "b", None), (None, "a", "b")], "x string, y string, z string")
     assert len({r[0] for r in rows.select(deterministic_id(F.col("x"), F.col("y"), F.col("z"))).collect()}) == 3
+
+
+def watched(spark, returns, labels="", **history):
+    o = spark.createDataFrame([("w", "mature", float(r), 60.0) for r in returns] + [("w", "provisional", 7.0, 30.0)], "wallet string, status string, return_pct double, age_minutes double")
+    h = {"mints": 0, "suffixed": 0, "history_score": 0.0} | history
+    w = spark.createDataFrame([("w", labels, h["mints"], h["suffixed"], h["history_score"])], "wallet string, labels string, mints long, suffixed long, history_score double")
+    r = wallets.watch_wallet_score(o, w).first()
+    return round(r.score, 6), r.confidence, r.provisional
+
+
+@pytest.mark.parametrize(
+    ("returns", "labels", "score", "confidence"),
+    [
+        ([], "", 0, "early"),
+        ([10], "", 16 + 8 + 1.5 + 25, "early"),
+        ([10, 10, 10, 10], "", 64 + 34.5, "high"),
+        ([10, 10, 10, 10], "fast churn seller", 60, "high"),  # capped
+        ([10, 10, -40], "", 48 - 5.333333 + 1.5 - 12 + 16.666667, "early"),  # a negative mean, below its cap of 55
+        ([30, 30, -40], "", 48 + 5.333333 + 4.5 - 12 + 16.666667, "medium"),
+        ([90, 90, 90, -60], "cross-token active degen,net recent accumulator", 50, "early"),  # a loss below -50
+    ],
+)
+def test_watch_wallet_score(spark, returns, labels, score, confidence):
+    got = watched(spark, returns, labels)
+    assert got == (pytest.approx(score, abs=1e-4), confidence, 1)
+
+
+def test_watch_wallet_summary_and_near(spark):
+    rows = spark.createDataFrame([("a", 4, 4, 0, 0, "candidate"), ("b", 2, 0, 0, 2, "watch"), ("c", 1, 0, 0, 1, "watch"), ("d", 1, 0, 1, 0, "watch")], "wallet string, signals long, matured long, provisional long, unresolved long, verdict string")
+    assert wallets.watch_wallet_summary(rows).first() == (4, 4, 1, 3, 1, 1, 1, 4)
+    assert sorted(r.wallet for r in wallets.near_wallets(rows).collect()) == ["b", "d"]
+    assert wallets.watch_wallet_summary(rows.limit(0)).first() == (0, 0, 0, 0, 0, 0, 0, 0)
+
+
+def test_historical_market_obs(spark):
+    schema = "candidate_key string, signature string, mint string, side string, amount double, native double, confidence double, source string, payer string"
+    rows = [("1", "s", "m", "buy", 4.0, 2.0, 0.55, "transfer-derived", "me"), ("2", "s", "n", "sell", 1.0, 3.0, 1.7, "swap-event", "me"), ("3", "s", "m", None, 1.0, 1.0, 0.5, "swap-event", "me"), ("4", "s", "m", "buy", 0.0, 1.0, 0.5, "swap-event", "me")]
+    buys = spark.createDataFrame([("s", "m", "p2", "late", "b"), ("s", "m", "p1", "early", "a")], "signature string, mint string, pool string, trader string, place string")
+    got = wallets.historical_market_obs(spark.createDataFrame(rows, schema), buys, 100.0, "v").orderBy("mint").collect()
+    assert [(r.mint, r.pool, r.trader, r.price_quote, r.price_usd, r.volume_usd, r.confidence) for r in got] == [("m", "p1", "early", 0.5, 50.0, 200.0, 0.75), ("n", None, "me", 3.0, 300.0, 300.0, 1.0)]

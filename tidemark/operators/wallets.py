@@ -167,3 +167,70 @@ def watch_mode(validated: dict[str, Column], watched: Sequence[Column]) -> dict[
     mode = F.when(system, "paper-validate candidate").when(watch, "paper-watch").otherwise("observe-only")
     status = F.when(system, "validated paper system candidate").when(lone, "wallet candidate emerging").otherwise("collecting evidence")
     return {"mode": mode, "status": status, "system_candidate": system, "wallet_only": lone, "system_watch": watch}
+
+
+#: What a label adds to the score of a watched wallet.
+LABEL_POINTS = {"cross-token active degen": 12, "active pump degen wallet": 8, "multi-token recent buyer": 8, "net recent accumulator": 6, "fast churn seller": -30, "limited recent history": -12}
+
+
+def watch_wallet_score(outcomes: DataFrame, wallets: DataFrame) -> DataFrame:
+    """wallets with counts and means of their outcomes, a capped score and a confidence (high, medium, early).
+
+    outcomes: wallet, status (mature, provisional, unresolved), return_pct,
+    age_minutes; wallets: wallet, labels (joined by commas), mints, suffixed,
+    history_score. Only mature outcomes count for the score. Wallets without
+    outcomes stay; their means are 0.
+    """
+    mature, open_ = F.col("status") == "mature", F.col("status") == "provisional"
+    ret = F.when(mature, F.col("return_pct"))
+    seen = outcomes.groupBy("wallet").agg(
+        F.count(F.lit(1)).alias("signals"), F.count_if(mature).alias("matured"), F.count_if(open_).alias("provisional"), F.count_if(F.col("status") == "unresolved").alias("unresolved"),
+        F.avg(ret).alias("avg_pct"), F.avg(F.when(open_, F.col("return_pct"))).alias("open_pct"), F.greatest(F.max(ret), F.lit(0.0)).alias("best_pct"), F.least(F.min(ret), F.lit(0.0)).alias("worst_pct"),
+        F.avg((ret > 0).cast("double")).alias("hit_rate"), F.greatest(F.max("age_minutes"), F.lit(0)).cast("double").alias("oldest_minutes"),
+    )
+    counts, means = ["signals", "matured", "provisional", "unresolved"], ["avg_pct", "open_pct", "best_pct", "worst_pct", "hit_rate", "oldest_minutes"]
+    out = wallets.join(seen, "wallet", "left").fillna(0, counts).fillna(0.0, means)
+    n, mean, hit, worst = (F.col(c) for c in ("matured", "avg_pct", "hit_rate", "worst_pct"))
+    has = lambda label: F.array_contains(F.split(F.coalesce("labels", F.lit("")), ","), label)
+    points = sum((F.when(has(label), x).otherwise(0) for label, x in LABEL_POINTS.items()), F.lit(0))
+    results = clamp(mean * 0.8 + F.col("best_pct") * 0.15 + worst * 0.3 + hit * 25, -60.0, 50.0)
+    known = lambda c: F.coalesce(F.col(c), F.lit(0))
+    raw = n * 16 + known("suffixed") * 6 + known("mints") * 4 + known("history_score") * 0.12 + points + results
+    cap = F.least(
+        F.when(n == 0, 25).when(n < 2, 72).otherwise(100), F.when(mean <= 0, 55).otherwise(100), F.when((n >= 3) & (hit < 0.5), 60).otherwise(100),
+        F.when(worst < -50, 50).otherwise(100), F.when(has("fast churn seller"), 60).otherwise(100),
+    )
+    confidence = F.when((n >= 4) & (mean >= 5) & (hit >= 0.6) & (worst >= -35), "high").when((n >= 3) & (mean > 0) & (hit >= 0.5) & (worst >= -50), "medium").otherwise("early")
+    return out.withColumns({"score": F.greatest(F.lit(0.0), F.least(raw, cap.cast("double"))), "confidence": confidence})
+
+
+def watch_wallet_summary(scored: DataFrame) -> DataFrame:
+    """One row: wallets, outcomes by status, wallets with some, three and four mature outcomes, and the most of one wallet."""
+    n = F.col("matured")
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("matured", "provisional", "unresolved")]
+    return scored.agg(F.count(F.lit(1)).alias("wallets"), *total, F.count_if(n > 0).alias("with_one"), F.count_if(n >= 3).alias("with_three"), F.count_if(n >= 4).alias("with_four"), F.coalesce(F.max(n), F.lit(0)).alias("most"))
+
+
+def near_wallets(scored: DataFrame) -> DataFrame:
+    """Wallets that are no candidates (column verdict) and have two mature outcomes, two entries or a provisional one."""
+    return scored.where((F.col("verdict") != "candidate") & ((F.col("matured") >= 2) | (F.col("signals") >= 2) | (F.col("provisional") > 0)))
+
+
+def historical_market_obs(candidates: DataFrame, buys: DataFrame, native_usd: float, version: str) -> DataFrame:
+    """Priced candidates as observations, with the pool and trader of the first purchase of that mint in their signature.
+
+    candidates: candidate_key, signature, mint, side, amount, native, confidence,
+    source, payer; buys: signature, mint, pool, trader, place. Candidates without
+    a positive price or a side are left out. A match lifts the confidence of
+    transfer-derived ones to 0.75 at least; without one the payer is the trader.
+    """
+    good = candidates.where((F.col("amount") > 0) & (F.col("native") > 0) & F.col("side").isin("buy", "sell"))
+    first = first_by(buys, ["signature", "mint"], ["place"]).select("signature", "mint", "pool", F.col("trader").alias("_trader"), F.lit(True).alias("_met"))
+    sure = clamp(F.col("confidence").cast("double"), 0.0, 1.0)
+    price = F.col("native") / F.col("amount")
+    return good.join(first, ["signature", "mint"], "left").select(
+        F.sha2(F.concat_ws(":", F.lit("history-market"), F.coalesce("candidate_key", F.lit("")), F.coalesce("pool", F.lit("unresolved")), F.lit(version)), 256).alias("obs_id"),
+        "signature", "mint", "pool", F.coalesce("_trader", "payer").alias("trader"), "side", F.col("amount").alias("base_amount"), F.col("native").alias("quote_amount"), price.alias("price_quote"),
+        (price * native_usd).alias("price_usd"), (F.col("native") * native_usd).alias("volume_usd"), "source",
+        F.when(F.col("_met") & (F.col("source") == "transfer-derived"), F.greatest(sure, F.lit(0.75))).otherwise(sure).alias("confidence"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import steady
+from tidemark.functions.common import first_by, range_join, steady
 from tidemark.operators import wallets as W
 from tidemark.plans.ingest import DAY, T0
 from tidemark.plans.market import st
@@ -52,6 +52,19 @@ def c12(spark, d):
     return W.transfer_candidates(x)
 
 
+def c13(spark, d):
+    """Candidates of swaps, and of transfers priced by the native value that their side of the signature moved."""
+    t = A.trades(spark, d)
+    key = F.concat_ws(":", "signature", "mint", "side", "source").alias("candidate_key")
+    moved = t.groupBy("signature", "side").agg(steady(F.sum("value_usd")).alias("native"))
+    payer = t.groupBy("signature").agg(F.min("wallet").alias("payer"))
+    columns = ["signature", "mint", "side", "amount", "native", "confidence"]
+    both = c11(spark, d).select(*columns, F.lit("swap-event").alias("source")).unionByName(c12(spark, d).join(moved, ["signature", "side"]).select(*columns, F.lit("transfer-derived").alias("source")))
+    buys = t.where("side = 'buy'").select("signature", F.col("token").alias("mint"), F.concat(F.lit("p"), "token").alias("pool"), F.col("wallet").alias("trader"), F.col("key").alias("place"))
+    out = W.historical_market_obs(both.join(payer, "signature").select("*", key), buys, 150.0, "v1")
+    return out.select(*[steady(F.col(c)).alias(c) if c in ("price_quote", "price_usd", "volume_usd") else c for c in out.columns])
+
+
 def d17(spark, d):
     n, p = F.col("p_partkey"), F.col("p_retailprice")
     gates = [("price", p > 905), ("liquidity", n % 50 * 1000.0 >= 5000), ("volume", n % 31 >= 3), ("share", (n % 10).between(2, 8)), ("age", n % 60 >= 5)]
@@ -111,6 +124,24 @@ def f29(spark, d):
     return W.history_labels(W.wallet_history(events(spark, d), "7")).select("wallet", "labels")
 
 
+WATCH_H, WATCH_D, WATCH_NOW = 3 * DAY, DAY, T0 + 25 * DAY
+
+
+def f27(spark, d):
+    """A wallet's first sight of each market, judged after a horizon."""
+    o = A.price_observations(spark, d).where((F.col("price_usd") > 0) & (F.col("t") <= WATCH_NOW))
+    s = first_by(o, ["wallet", "token"], ["t", "obs_key"]).select("wallet", "token", F.col("t").alias("t0"), F.col("price_usd").alias("p0"))
+    path = o.select("token", F.col("t").alias("at"), "obs_key", "price_usd")
+    hit = range_join(s, path, ["token"], F.col("t0") + WATCH_H, F.col("t0") + WATCH_H + WATCH_D, "at", DAY).groupBy("wallet", "token").agg(F.min_by("price_usd", F.struct("at", "obs_key")).alias("p1"))
+    last = path.groupBy("token").agg(F.max_by("price_usd", F.struct("at", "obs_key")).alias("p2"))
+    status = F.when(F.col("p1").isNotNull(), "mature").when(F.col("t0") + WATCH_H + WATCH_D > WATCH_NOW, "provisional").otherwise("unresolved")
+    outcomes = s.join(hit, ["wallet", "token"], "left").join(last, "token").select("wallet", status.alias("status"), ((F.coalesce("p1", "p2") / F.col("p0") - 1) * 100).alias("return_pct"), ((F.lit(WATCH_NOW) - F.col("t0")) / 60).alias("age_minutes"))
+    wallets = W.history_labels(W.wallet_history(events(spark, d), "7")).select("wallet", "labels", "mints", "suffixed", F.col("score").alias("history_score"))
+    out = W.watch_wallet_score(outcomes, wallets)
+    shown = ["avg_pct", "open_pct", "best_pct", "worst_pct", "hit_rate", "oldest_minutes", "score"]
+    return out.select("wallet", "signals", "matured", "provisional", "unresolved", *[steady(F.col(c)).alias(c) for c in shown], "confidence")
+
+
 def f33(spark, d):
     e = events(spark, d)
     return W.merge_wallet_state(e.where(F.col("t") < T0 + 20 * DAY), e.where(F.col("t") > T0 + 10 * DAY), T0 + 30 * DAY, 2 * DAY)
@@ -146,6 +177,14 @@ QUERIES = {
     "c11_swap_price_candidates": (c11, TRADES[:-1] + f""", s AS (SELECT signature, CAST(signature AS BIGINT) AS n, sum(value_usd) AS v FROM trades GROUP BY 1), x AS (SELECT t.signature, token AS mint, side, sum(qty) AS amount, max(v) AS native FROM trades t JOIN s ON t.signature = s.signature
         WHERE (side = 'buy' AND n % 3 > 0) OR (side = 'sell' AND n % 2 > 0) GROUP BY 1, 2, 3) SELECT signature, mint, side, amount, {st('native', 'native')}, 0.9::DOUBLE AS confidence FROM x"""),
     "c12_transfer_price_candidates": (c12, TRADES + "SELECT signature, side, min(token) AS mint, sum(qty) AS amount, 0.55::DOUBLE AS confidence FROM trades GROUP BY 1, 2 HAVING count(DISTINCT token) = 1"),
+    "c13_historical_market_obs": (c13, TRADES[:-1] + f""", s AS (SELECT signature, CAST(signature AS BIGINT) AS n, sum(value_usd) AS v, min(wallet) AS payer FROM trades GROUP BY 1),
+        x AS (SELECT t.signature, token AS mint, side, sum(qty) AS amount, max(v) AS nat FROM trades t JOIN s ON t.signature = s.signature WHERE (side = 'buy' AND n % 3 > 0) OR (side = 'sell' AND n % 2 > 0) GROUP BY 1, 2, 3),
+        y AS (SELECT signature, min(token) AS mint, side, sum(qty) AS amount, sum(value_usd) AS nat FROM trades GROUP BY 1, 3 HAVING count(DISTINCT token) = 1),
+        z AS (SELECT *, 'swap-event' AS source, 0.9::DOUBLE AS sure FROM x UNION ALL SELECT *, 'transfer-derived', 0.55::DOUBLE FROM y), w AS (SELECT z.*, payer, floor(nat * 1e4 + 0.5001) / 1e4 AS native FROM z JOIN s ON z.signature = s.signature),
+        b AS (SELECT signature, token AS mint, arg_min(wallet, key) AS trader, 'p' || token AS pool FROM trades WHERE side = 'buy' GROUP BY 1, 2)
+        SELECT sha256(concat_ws(':', 'history-market', w.signature, w.mint, side, source, coalesce(pool, 'unresolved'), 'v1')) AS obs_id, w.signature, w.mint, pool, coalesce(trader, payer) AS trader, side, amount AS base_amount, native AS quote_amount,
+        {st('native / amount', 'price_quote')}, {st('native / amount * 150', 'price_usd')}, {st('native * 150', 'volume_usd')}, source, CASE WHEN source = 'transfer-derived' AND pool IS NOT NULL THEN 0.75 ELSE sure END AS confidence
+        FROM w LEFT JOIN b ON w.signature = b.signature AND w.mint = b.mint WHERE amount > 0 AND native > 0"""),
     "d17_entry_gate_reason": (d17, """SELECT p_partkey, CASE WHEN NOT p_retailprice > 905 THEN 'price' WHEN p_partkey % 50 * 1000 < 5000 THEN 'liquidity' WHEN p_partkey % 31 < 3 THEN 'volume' WHEN p_partkey % 10 NOT BETWEEN 2 AND 8 THEN 'share' WHEN p_partkey % 60 < 5 THEN 'age' END AS reason FROM part"""),
     "f16_token_features": (f16, TRADES[:-1] + f""", po AS (SELECT p_brand AS token, arg_max('p' || p_partkey, (p_partkey % 700 * 10, -p_partkey)) AS pool0, max(p_partkey % 700 * 10.0::DOUBLE) AS liquidity_usd FROM part GROUP BY 1), pp AS (SELECT po.token, min('p' || p_partkey) AS pool, liquidity_usd FROM po JOIN part ON p_brand = po.token AND p_partkey % 700 * 10 = liquidity_usd GROUP BY 1, 3),
         w AS (SELECT token, count(DISTINCT wallet) AS smart_wallets, avg(CAST(substr(wallet, 2) AS DOUBLE)) AS a FROM trades WHERE CAST(substr(wallet, 2) AS INT) % 3 = 0 GROUP BY 1) SELECT pp.token, pool, liquidity_usd, coalesce(smart_wallets, 0) AS smart_wallets, {st('coalesce(a, 0)', 'avg_score')} FROM pp LEFT JOIN w ON pp.token = w.token"""),
@@ -156,6 +195,20 @@ QUERIES = {
         x AS (SELECT *, (l / f - 1) * 100 AS a, (h / f - 1) * 100 AS b, (lo / f - 1) * 100 AS c FROM r)
         SELECT token, {st('a', 'last_pct')}, {st('b', 'max_pct')}, {st('c', 'min_pct')}, {st('age', 'age_minutes')},
         {st('greatest(-100, least(100, a * 0.55 + b * 0.18 + least(liq / 1000, 35) + (k % 4) * 1.4 + (k % 2) * 18 + CASE WHEN k % 3 = 0 THEN 22 ELSE 0 END + CASE WHEN (k % 7) / greatest(k % 7 + k % 5, 1) >= 0.55 THEN 8 ELSE -8 END - CASE WHEN liq < 10000 THEN 15 ELSE 0 END - CASE WHEN age < 3 THEN 10 ELSE 0 END))', 'score')} FROM x"""),
+    "f27_watch_wallet_score": (f27, HIST + f""", g AS (SELECT wallet, mints, suffixed, buys, sells, greatest(0, least(100, mints * 16.0::DOUBLE + suffixed * 18 + buys * 3 - sells * 2)) AS hs FROM h),
+        s AS (SELECT wallet, token, min(t) AS t0, arg_min(price_usd, (t, obs_key)) AS p0 FROM prices WHERE price_usd > 0 AND t <= {WATCH_NOW} GROUP BY 1, 2),
+        q AS (SELECT s.wallet, s.token, arg_min(price_usd, (t, obs_key)) AS p1 FROM s JOIN prices p ON s.token = p.token AND price_usd > 0 AND t <= {WATCH_NOW} AND t BETWEEN t0 + {WATCH_H} AND t0 + {WATCH_H + WATCH_D} GROUP BY 1, 2),
+        l AS (SELECT token, arg_max(price_usd, (t, obs_key)) AS p2 FROM prices WHERE price_usd > 0 AND t <= {WATCH_NOW} GROUP BY 1),
+        o AS (SELECT s.wallet, p1 IS NOT NULL AS m, p1 IS NULL AND t0 + {WATCH_H + WATCH_D} > {WATCH_NOW} AS v, (coalesce(p1, p2) / p0 - 1) * 100 AS r, ({WATCH_NOW} - t0) / 60 AS age FROM s LEFT JOIN q ON s.wallet = q.wallet AND s.token = q.token JOIN l ON s.token = l.token),
+        a AS (SELECT wallet, count(*) AS signals, count(*) FILTER (WHERE m) AS n, count(*) FILTER (WHERE v) AS nv, avg(r) FILTER (WHERE m) AS av, avg(r) FILTER (WHERE v) AS pv, greatest(max(r) FILTER (WHERE m), 0) AS hi, least(min(r) FILTER (WHERE m), 0) AS lo,
+          avg((r > 0)::INT) FILTER (WHERE m) AS hit, max(age) AS oldest FROM o GROUP BY 1),
+        k AS (SELECT g.*, coalesce(signals, 0) AS signals, coalesce(n, 0) AS n, coalesce(nv, 0) AS nv, coalesce(av, 0) AS av, coalesce(pv, 0) AS pv, coalesce(hi, 0) AS hi, coalesce(lo, 0) AS lo, coalesce(hit, 0) AS hit, coalesce(oldest, 0) AS oldest,
+          sells > buys AS churn, suffixed >= 3 AS pump, mints >= 4 AS multi, buys >= 5 AND sells <= buys AS net FROM g LEFT JOIN a ON g.wallet = a.wallet),
+        e AS (SELECT *, n * 16 + suffixed * 6 + mints * 4 + hs * 0.12 + CASE WHEN pump THEN 8 ELSE 0 END + CASE WHEN multi THEN 8 ELSE 0 END + CASE WHEN net THEN 6 ELSE 0 END - CASE WHEN churn THEN 30 ELSE 0 END - CASE WHEN NOT (churn OR pump OR multi OR net) THEN 12 ELSE 0 END
+          + greatest(-60, least(50, av * 0.8 + hi * 0.15 + lo * 0.3 + hit * 25)) AS raw,
+          least(CASE WHEN n = 0 THEN 25 WHEN n < 2 THEN 72 ELSE 100 END, CASE WHEN av <= 0 THEN 55 ELSE 100 END, CASE WHEN n >= 3 AND hit < 0.5 THEN 60 ELSE 100 END, CASE WHEN lo < -50 THEN 50 ELSE 100 END, CASE WHEN churn THEN 60 ELSE 100 END) AS cap FROM k)
+        SELECT wallet, signals, n AS matured, nv AS provisional, signals - n - nv AS unresolved, {st('av', 'avg_pct')}, {st('pv', 'open_pct')}, {st('hi', 'best_pct')}, {st('lo', 'worst_pct')}, {st('hit', 'hit_rate')}, {st('oldest', 'oldest_minutes')}, {st('greatest(0, least(raw, cap))', 'score')},
+        CASE WHEN n >= 4 AND av >= 5 AND hit >= 0.6 AND lo >= -35 THEN 'high' WHEN n >= 3 AND av > 0 AND hit >= 0.5 AND lo >= -50 THEN 'medium' ELSE 'early' END AS confidence FROM e"""),
     "f28_early_wallets": (f28, EVENTS + f""", c AS (SELECT token, least(100, max(price_usd) / 5) AS cs FROM prices GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY t, obs_key) AS rk FROM ev),
         x AS (SELECT wallet, count(DISTINCT r.token) AS tokens, count(*) FILTER (WHERE side = 'buy' AND rk <= 18) AS early, count(*) FILTER (WHERE side = 'sell') AS sells, coalesce(avg(rk) FILTER (WHERE side = 'buy'), 0) AS ar, coalesce(avg(cs) FILTER (WHERE side = 'buy'), 0) AS sc FROM r JOIN c ON r.token = c.token GROUP BY 1)
         SELECT wallet, tokens, early, sells, {st('ar', 'avg_rank')}, {st('sc', 'avg_score')}, {st('greatest(0, least(100, early * 11 + tokens * 18 + sc * 0.55 - sells * 5 - ar * 0.4))', 'pressure')},
