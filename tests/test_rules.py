@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import deterministic_id
-from tidemark.operators import audit, ingest, market, wallets
+from tidemark.operators import audit, health, ingest, market, wallets
 
 
 def scored(spark, values):
@@ -166,3 +166,35 @@ def test_historical_market_obs(spark):
     buys = spark.createDataFrame([("s", "m", "p2", "late", "b"), ("s", "m", "p1", "early", "a")], "signature string, mint string, pool string, trader string, place string")
     got = wallets.historical_market_obs(spark.createDataFrame(rows, schema), buys, 100.0, "v").orderBy("mint").collect()
     assert [(r.mint, r.pool, r.trader, r.price_quote, r.price_usd, r.volume_usd, r.confidence) for r in got] == [("m", "p1", "early", 0.5, 50.0, 200.0, 0.75), ("n", None, "me", 3.0, 300.0, 300.0, 1.0)]
+
+
+NOW = 1_000_000
+WORK = {"strategy": "s", "revision": 2, "completed": 1, "admission": "admitted", "priority": 2, "not_before": NOW - 5, "locked_until": None, "pending_since": NOW - 100, "failed": False, "quarantined": False}
+
+
+def pipeline(spark, work=(), inbox=(("done", "pool_created", NOW - 10),), high=NOW):
+    queue = spark.createDataFrame([tuple((WORK | w).values()) for w in work], "strategy string, revision long, completed long, admission string, priority int, not_before long, locked_until long, pending_since long, failed boolean, quarantined boolean")
+    box = spark.createDataFrame(list(inbox), "status string, type string, t long")
+    t = spark.createDataFrame([(NOW - 86_400,), (NOW - 86_401,)], "t long")
+    sent = spark.createDataFrame([("qualified-pool", "delivered", "v", NOW - 1), ("qualified-pool", "delivered", "old", NOW - 1)], "type string, status string, version string, t long")
+    return health.pipeline_status(box, queue, t, sent, t, spark.createDataFrame([("a", 5, high)], "program string, low long, high long"), "s", "v", NOW).first()
+
+
+def test_pipeline_status(spark):
+    r = pipeline(spark)
+    assert (r.status, r.pending, r.oldest_ready_s, r.pool_age_s, r.signals_24h, r.pools_24h, r.trade_age_s) == ("ok", 0, None, 10, 1, 1, 86_400)
+    r = pipeline(spark, [{}, {"completed": 2}, {"strategy": "other"}, {"locked_until": NOW + 1, "pending_since": 0}])
+    assert (r.status, r.pending, r.ready, r.signal_pending, r.oldest_signal_s) == ("ok", 2, 1, 2, 100)
+    assert pipeline(spark, [{"pending_since": NOW - 301}]).status == "degraded"
+    assert pipeline(spark, [{"pending_since": NOW - 301, "priority": 1}]).status == "ok"
+    r = pipeline(spark, [{"failed": True, "quarantined": True, "not_before": NOW + 1}])
+    assert (r.status, r.failed, r.quarantined) == ("ok", 0, 1)
+    assert pipeline(spark, [{"failed": True}]).status == "degraded"
+    assert pipeline(spark, high=None).open_incidents == 1 and pipeline(spark, high=None).status == "degraded"
+    r = pipeline(spark, inbox=())
+    assert (r.status, r.backlog, r.pool_age_s) == ("degraded", 0, None)
+
+
+def test_open_incidents(spark):
+    rows = spark.createDataFrame([("b", 5, None), ("a", 5, None), ("c", 1, 9)], "program string, low long, high long")
+    assert [(r.program, r.disposition) for r in health.open_incidents(rows).collect()] == [("a", "alpha_excluded_unreconciled"), ("b", "alpha_excluded_unreconciled")]

@@ -160,3 +160,47 @@ def top_per_key(rows: DataFrame, key: str, order: Sequence[Column | str], n: int
 def signal_fanout(signals: DataFrame, known: DataFrame, destinations: Sequence[str]) -> DataFrame:
     """New signals only, once per destination."""
     return signals.join(known.select("signal_key").distinct(), "signal_key", "left_anti").withColumn("destination", F.explode(F.array(*[F.lit(x) for x in destinations])))
+
+
+#: Bounds within which a pipeline is ok: rows in its inbox, and ages in seconds.
+OK_BACKLOG, OK_READY_S, OK_SIGNAL_S, OK_POOL_S = 100, 3_600, 300, 300
+
+
+def open_incidents(incidents: DataFrame) -> DataFrame:
+    """Open incidents in the order of their start, each with what it means for the evidence; rows, as their number has no bound."""
+    return incidents.where("high IS NULL").withColumn("disposition", F.lit("alpha_excluded_unreconciled")).orderBy("low", "program")
+
+
+def pipeline_status(inbox: DataFrame, queue: DataFrame, signals: DataFrame, deliveries: DataFrame, trades: DataFrame, incidents: DataFrame, strategy: str, version: str, now: int) -> DataFrame:
+    """One row: counts and ages of inbox, work queue, signals, deliveries and incidents, and status (ok or degraded).
+
+    inbox: status, type, t; queue: strategy, revision, completed, admission,
+    priority, not_before, locked_until, pending_since, failed, quarantined;
+    signals: t; deliveries: type, status, version, t; trades: t; incidents: high
+    (null: open). Null ages mean that there is no such row; without any pool the
+    status is degraded. The size of the storage is not known here.
+    """
+    pending, work = F.col("revision") > F.col("completed"), queue.where(F.col("strategy") == strategy)
+    ready = pending & (F.col("not_before") <= now) & (F.col("locked_until").isNull() | (F.col("locked_until") <= now))
+    due = ready & ~F.col("quarantined")
+    oldest = lambda c: F.lit(now) - F.min(F.when(c, F.col("pending_since")))
+    day = F.col("t") >= now - 86_400
+    parts = [
+        inbox.agg(F.count_if(F.col("status").isin("pending", "processing", "retry")).alias("backlog"), F.count_if(F.col("status") == "dead_letter").alias("dead_letters"), (F.lit(now) - F.max(F.when(F.col("type") == "pool_created", F.col("t")))).alias("pool_age_s")),
+        work.agg(
+            F.count_if(pending).alias("pending"), F.count_if(F.col("admission") == "deferred").alias("deferred"), F.count_if(pending & (F.col("admission") == "unchecked")).alias("unchecked"), F.count_if(ready).alias("ready"),
+            F.count_if(pending & F.col("failed") & ~F.col("quarantined")).alias("failed"), F.count_if(pending & F.col("quarantined") & (F.col("not_before") > now)).alias("quarantined"),
+            *[F.count_if(pending & (F.col("priority") == i)).alias(f"{name}_pending") for i, name in enumerate(("background", "elevated", "signal"))],
+            oldest(due).alias("oldest_ready_s"), oldest(due & (F.col("priority") == 2)).alias("oldest_signal_s"),
+        ),
+        signals.agg(F.count_if(day).alias("signals_24h")),
+        deliveries.agg(F.count_if((F.col("type") == "qualified-pool") & (F.col("status") == "delivered") & (F.col("version") == version) & day).alias("pools_24h")),
+        trades.agg((F.lit(now) - F.max("t")).alias("trade_age_s")),
+        incidents.agg(F.count_if(F.col("high").isNull()).alias("open_incidents")),
+    ]
+    row, *others = [p.withColumn("_row", F.lit(1)) for p in parts]
+    for p in others:
+        row = row.join(p, "_row")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    ok = (F.col("backlog") <= OK_BACKLOG) & (F.col("dead_letters") == 0) & (F.col("open_incidents") == 0) & (F.col("failed") == 0) & (none("oldest_ready_s") <= OK_READY_S) & (none("oldest_signal_s") <= OK_SIGNAL_S)
+    return row.drop("_row").withColumn("status", F.when(ok & F.coalesce(F.col("pool_age_s") <= OK_POOL_S, F.lit(False)), "ok").otherwise("degraded"))

@@ -69,6 +69,25 @@ def h8(spark, d):
     return P.incident_transitions(i, sent)
 
 
+H7_NOW = 10_400 * DAY
+
+
+def h7(spark, d):
+    """Orders as inbox, signals (dear ones) and deliveries (urgent ones); lines as the work queue of a strategy."""
+    o = A.table(spark, d, "orders").select("o_totalprice", F.expr("CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'pending' ELSE 'dead_letter' END").alias("status"), "o_orderpriority", A.seconds("o_orderdate").alias("t")).where(F.col("t") <= H7_NOW)
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    inbox = o.select("status", "t", F.when(urgent, "pool_created").otherwise("swap").alias("type"))
+    deliveries = o.select("status", "t", F.when(urgent, "qualified-pool").otherwise("other").alias("type"), F.lit("v1").alias("version"))
+    ship = A.seconds("l_shipdate")
+    queue = A.table(spark, d, "lineitem").select(
+        F.col("l_linestatus").alias("strategy"), F.col("l_linenumber").alias("revision"), F.lit(2).alias("completed"), F.when(F.col("l_tax") > 0.06, "deferred").when(F.col("l_tax") < 0.02, "unchecked").otherwise("admitted").alias("admission"),
+        F.when(F.col("l_returnflag") == "A", 2).when(F.col("l_returnflag") == "N", 1).otherwise(0).alias("priority"), (ship + F.col("l_quantity").cast("long") * DAY).alias("not_before"), F.when(F.col("l_discount") > 0.05, ship + 90 * DAY).alias("locked_until"),
+        ship.alias("pending_since"), (F.col("l_discount") > 0.08).alias("failed"), (F.col("l_tax") > 0.07).alias("quarantined"),
+    )
+    trades = A.trades(spark, d).where(F.col("t") <= H7_NOW)
+    return P.pipeline_status(inbox, queue, o.where("o_totalprice > 100000"), deliveries, trades, incidents(spark, d), "O", "v1", H7_NOW)
+
+
 def h9(spark, d):
     i = incidents(spark, d)
     r = i.where("target < 7").withColumn("status", F.when(F.col("target") % 2 == 0, "completed").otherwise("failed")).select("program", "low", "target", "status")
@@ -211,6 +230,17 @@ QUERIES = {
     "h5_queue_summary": (h5, EV + " SELECT status, finality_required, count(*) AS n, min(next_t) AS oldest FROM ev GROUP BY 1, 2"),
     "h6_pipeline_health": (h6, EV + f" SELECT count(*) FILTER (WHERE status <> 'processed') AS backlog, count(*) FILTER (WHERE commitment = 'finalized') AS finalized, {st("avg((status = 'processed')::INT)", 'success_rate')}, max(slot) AS last_slot, max(next_t) AS latest FROM ev"),
     "f25_gap_anti_join": (f25, PRICES + "SELECT obs_key, token, t FROM prices p WHERE NOT EXISTS (SELECT 1 FROM prices e WHERE e.event_type = 'error' AND e.token = p.token AND p.t BETWEEN e.t AND e.t + 10800)"),
+    "h7_pipeline_status": (h7, A.with_views(A.TRADES, A.PRICES)[:-1] + f""", inc AS (SELECT obs_key % 3 = 0 AS is_open FROM prices WHERE event_type = 'error'),
+        o AS (SELECT *, date_diff('second', TIMESTAMP '1970-01-01', o_orderdate) AS t FROM orders), ib AS (SELECT * FROM o WHERE t <= {H7_NOW}),
+        li AS (SELECT *, date_diff('second', TIMESTAMP '1970-01-01', l_shipdate) AS t FROM lineitem WHERE l_linestatus = 'O'),
+        q AS (SELECT *, l_linenumber > 2 AS p, t + CAST(l_quantity AS BIGINT) * {DAY} AS nb FROM li), r AS (SELECT *, p AND nb <= {H7_NOW} AND (NOT l_discount > 0.05 OR t + {90 * DAY} <= {H7_NOW}) AS rd FROM q),
+        w AS (SELECT count(*) FILTER (WHERE p) AS pending, count(*) FILTER (WHERE l_tax > 0.06) AS deferred, count(*) FILTER (WHERE p AND l_tax < 0.02) AS unchecked, count(*) FILTER (WHERE rd) AS ready, count(*) FILTER (WHERE p AND l_discount > 0.08 AND NOT l_tax > 0.07) AS failed,
+          count(*) FILTER (WHERE p AND l_tax > 0.07 AND nb > {H7_NOW}) AS quarantined, count(*) FILTER (WHERE p AND l_returnflag = 'R') AS background_pending, count(*) FILTER (WHERE p AND l_returnflag = 'N') AS elevated_pending, count(*) FILTER (WHERE p AND l_returnflag = 'A') AS signal_pending,
+          {H7_NOW} - min(t) FILTER (WHERE rd AND NOT l_tax > 0.07) AS oldest_ready_s, {H7_NOW} - min(t) FILTER (WHERE rd AND NOT l_tax > 0.07 AND l_returnflag = 'A') AS oldest_signal_s FROM r),
+        b AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS backlog, count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS dead_letters, {H7_NOW} - max(t) FILTER (WHERE o_orderpriority = '1-URGENT') AS pool_age_s,
+          count(*) FILTER (WHERE o_totalprice > 100000 AND t >= {H7_NOW - DAY}) AS signals_24h, count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND t >= {H7_NOW - DAY}) AS pools_24h FROM ib),
+        z AS (SELECT *, (SELECT {H7_NOW} - max(t) FROM trades WHERE t <= {H7_NOW}) AS trade_age_s, (SELECT count(*) FROM inc WHERE is_open) AS open_incidents FROM w, b)
+        SELECT *, CASE WHEN backlog <= 100 AND dead_letters = 0 AND open_incidents = 0 AND failed = 0 AND coalesce(oldest_ready_s, 0) <= 3600 AND coalesce(oldest_signal_s, 0) <= 300 AND coalesce(pool_age_s <= 300, false) THEN 'ok' ELSE 'degraded' END AS status FROM z"""),
     "h8_incident_transitions": (h8, INC + """, tr AS (SELECT program, low AS t, 'opened' AS kind FROM inc UNION ALL SELECT program, high, 'closed' FROM inc WHERE high IS NOT NULL), la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY program ORDER BY t DESC, kind DESC) AS n FROM tr) WHERE n = 1)
         SELECT program, t, kind FROM la WHERE NOT (kind = 'opened' AND EXISTS (SELECT 1 FROM inc WHERE inc.program = la.program AND inc.low = la.t AND inc.target = 1))"""),
     "h9_gap_repair_proof": (h9, INC + " SELECT program, low, target FROM inc WHERE target < 7 AND target % 2 = 0"),
