@@ -198,3 +198,25 @@ def test_pipeline_status(spark):
 def test_open_incidents(spark):
     rows = spark.createDataFrame([("b", 5, None), ("a", 5, None), ("c", 1, 9)], "program string, low long, high long")
     assert [(r.program, r.disposition) for r in health.open_incidents(rows).collect()] == [("a", "alpha_excluded_unreconciled"), ("b", "alpha_excluded_unreconciled")]
+
+
+def decided(spark, keys=(), method=("cross-token", 3, 2.0, 5.0, 2.0, 0.65, 0.55, -15.0, -35.0), replay=True):
+    runs = spark.createDataFrame([("r", 6, 1, replay)], "run string, n_runs long, quality_tokens long, replay_passed boolean")
+    schema = "run string, place int, method string, tokens long, median_pct double, avg_pct double, ex_best_pct double, best_share double, hit_rate double, drawdown_pct double, worst_pct double"
+    rows = [("r", 2, "other", 99, *[-99.0] * 7)] + [("r", 1, *method)] if method else []
+    decisions = [("r", kind, *["k" if key in names else None for key in wallets.KEYS]) for kind, *names in keys]
+    return wallets.decision_status(runs, spark.createDataFrame(rows, schema), spark.createDataFrame(decisions, "run string, kind string, " + ", ".join(f"{k} string" for k in wallets.KEYS))).first()
+
+
+def test_decision_status(spark):
+    whole = [(k, "validated") for k in ("method", "rule", "exit")]
+    r = decided(spark)
+    assert (r.verdict, r.mode, r.enough_runs, r.enough_tokens, r.positive_enough, r.risk_controlled, r.only_traction) == ("keep-watching", "observe-only", True, True, True, True, False)
+    assert decided(spark, method=("cross-token", 3, 2.0, 5.0, 2.0, 0.66, 0.55, -15.0, -35.0)).verdict == "stand-down"
+    assert decided(spark, method=("high-traction", 7, 2.0, 5.0, 2.0, 0.65, 0.55, -15.0, -35.0)).enough_tokens is False
+    assert decided(spark, whole).verdict == "system-candidate" and decided(spark, whole, replay=False).verdict == "keep-watching"
+    r = decided(spark, [("wallet", "validated")])
+    assert (r.verdict, r.mode, r.wallet_validated) == ("wallet-only", "paper-watch", "k")
+    r = decided(spark, method=None)
+    assert (r.verdict, r.enough_tokens, r.positive_enough, r.risk_controlled, r.minimum_signals) == ("stand-down", False, False, False, 3)
+    assert decided(spark, [("exit", "watch")], method=None).verdict == "keep-watching"

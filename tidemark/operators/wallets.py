@@ -234,3 +234,36 @@ def historical_market_obs(candidates: DataFrame, buys: DataFrame, native_usd: fl
         (price * native_usd).alias("price_usd"), (F.col("native") * native_usd).alias("volume_usd"), "source",
         F.when(F.col("_met") & (F.col("source") == "transfer-derived"), F.greatest(sure, F.lit(0.75))).otherwise(sure).alias("confidence"),
     )
+
+
+#: Kinds of verdicts that a decision combines.
+KINDS = ("method", "rule", "exit", "wallet")
+KEYS = ("raw_candidate", "raw_watch", "validated", "watch", "leading")
+
+
+def decision_status(runs: DataFrame, methods: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Per run the checks of its best method, the keys of all verdicts as <kind>_<key>, mode, status and verdict.
+
+    runs: run, n_runs, quality_tokens, replay_passed; methods: run, place (1: the
+    best), method, tokens, median_pct, avg_pct, ex_best_pct, best_share, hit_rate,
+    drawdown_pct, worst_pct; decisions: run, kind, and a key or null for each of
+    KEYS. Runs without methods or decisions fail their checks. The verdict is
+    system-candidate, wallet-only, keep-watching or stand-down.
+    """
+    best = first_by(methods, ["run"], ["place", "method"]).drop("place")
+    picked = [F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in KINDS for c in KEYS]
+    out = runs.join(best, "run", "left").join(decisions.groupBy("run").agg(*picked), "run", "left")
+    known = lambda c, x: F.coalesce(F.col(c), F.lit(x))
+    there = lambda c: F.col(c).isNotNull()
+    traction, quality = F.coalesce(F.col("method") == "high-traction", F.lit(False)), F.col("quality_tokens") > 0
+    least = F.when(traction, 8).otherwise(3)
+    robust = (known("median_pct", -100.0) >= 2) & (known("ex_best_pct", -100.0) >= 2) & (known("best_share", 1.0) <= 0.65)
+    checks = {
+        "minimum_signals": least, "enough_runs": F.col("n_runs") >= 6, "enough_tokens": known("tokens", 0) >= least, "robust_positive": robust,
+        "positive_enough": (known("avg_pct", 0.0) >= 5) & (known("hit_rate", 0.0) >= 0.55) & robust,
+        "risk_controlled": (known("drawdown_pct", -100.0) >= -15) & (known("worst_pct", -100.0) >= -35), "has_wallet_quality": quality, "only_traction": traction & ~quality,
+    }
+    mode = watch_mode({k: there(f"{k}_validated") for k in KINDS} | {"replay": F.col("replay_passed")}, [there(f"{k}_watch") for k in KINDS])
+    out = out.withColumns(checks | mode)
+    verdict = F.when(F.col("system_candidate"), "system-candidate").when(F.col("wallet_only"), "wallet-only").when(F.col("system_watch") | (F.col("positive_enough") & F.col("risk_controlled")), "keep-watching").otherwise("stand-down")
+    return out.withColumn("verdict", verdict)

@@ -164,6 +164,25 @@ def g23(spark, d):
     return line.select("run", *[c.alias(n) for n, c in found.items()])
 
 
+def g27(spark, d):
+    """A supplier's lines as a run: methods by return flag, verdicts by line number, returns from discounts."""
+    r = A.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("run"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("line"), (F.col("l_discount") * 300 - 12).alias("ret"),
+        F.when(F.col("l_returnflag") == "A", "high-traction").when(F.col("l_returnflag") == "N", "cross-token").otherwise("active-history").alias("method"),
+    )
+    gain = F.sum(F.greatest("ret", F.lit(0.0)))
+    m = r.groupBy("run", "method").agg(
+        F.countDistinct("part").alias("tokens"), steady(F.percentile("ret", 0.5)).alias("median_pct"), steady(F.avg("ret")).alias("avg_pct"), steady(F.try_divide(F.sum("ret") - F.max("ret"), F.count(F.lit(1)) - 1)).alias("ex_best_pct"),
+        steady(F.try_divide(F.greatest(F.max("ret"), F.lit(0.0)), gain)).alias("best_share"), steady(F.avg((F.col("ret") > 0).cast("double"))).alias("hit_rate"), steady(F.avg(F.least("ret", F.lit(0.0)))).alias("drawdown_pct"), steady(F.min("ret")).alias("worst_pct"),
+    )
+    m = m.withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("avg_pct"), "method")))
+    kind = F.when(F.col("line") == 1, "method").when(F.col("line") == 2, "rule").when(F.col("line") == 3, "exit").otherwise("wallet").alias("kind")
+    of = lambda c, name: F.min(F.when(c, F.col("part"))).alias(name)
+    v = r.groupBy("run", kind).agg(of(F.col("q") >= 45, "raw_candidate"), of(F.col("q") >= 25, "raw_watch"), of((F.col("q") >= 50) & (F.col("flag") == "A"), "validated"), of(F.col("q") >= 40, "watch"), F.min("part").alias("leading"))
+    runs = r.groupBy("run").agg(F.countDistinct("line").alias("n_runs"), F.count_distinct(F.when(F.col("method") != "high-traction", F.col("part"))).alias("quality_tokens"), (F.max("ret") > 17).alias("replay_passed"))
+    return W.decision_status(runs, m, v)
+
+
 DELTAS = """bal AS (SELECT signature, wallet AS owner, token AS mint, CASE WHEN side = 'buy' THEN qty ELSE -qty END AS x FROM trades UNION ALL SELECT signature, wallet, 'USD', CASE WHEN side = 'buy' THEN qty * -2 ELSE qty * 2 END FROM trades),
   del AS (SELECT signature, owner, mint, sum(x) AS delta FROM bal WHERE CAST(signature AS BIGINT) % 4 > 0 AND owner <> 'w1' GROUP BY 1, 2, 3 HAVING sum(x) <> 0)"""
 EVENTS = PRICES[:-1] + ", ev AS (SELECT *, CASE WHEN obs_key % 3 = 0 THEN 'sell' ELSE 'buy' END AS side FROM prices)"
@@ -222,4 +241,16 @@ QUERIES = {
     "g23_watch_mode": (g23, """WITH f AS (SELECT l_orderkey AS run, bool_or(l_returnflag = 'A') AND bool_or(l_discount > 0.05) AND bool_or(l_tax > 0.04) AND bool_or(l_quantity > 30) AS s, bool_or(l_quantity > 48) AS w, bool_or(l_linestatus = 'F') AS o FROM lineitem GROUP BY 1)
         SELECT run, CASE WHEN s THEN 'paper-validate candidate' WHEN w OR o THEN 'paper-watch' ELSE 'observe-only' END AS mode, CASE WHEN s THEN 'validated paper system candidate' WHEN w THEN 'wallet candidate emerging' ELSE 'collecting evidence' END AS status,
         s AS system_candidate, w AND NOT s AS wallet_only, (w AND NOT s) OR o AS system_watch FROM f"""),
+    "g27_decision_status": (g27, """WITH r AS (SELECT l_suppkey AS run, l_partkey AS part, l_quantity AS q, l_returnflag AS flag, l_linenumber AS line, l_discount * 300 - 12 AS ret, CASE l_returnflag WHEN 'A' THEN 'high-traction' WHEN 'N' THEN 'cross-token' ELSE 'active-history' END AS method FROM lineitem),
+        m AS (SELECT run, method, count(DISTINCT part) AS tokens, """ + ", ".join(st(x, n) for x, n in (("quantile_cont(ret, 0.5)", "median_pct"), ("avg(ret)", "avg_pct"), ("(sum(ret) - max(ret)) / nullif(count(*) - 1, 0)", "ex_best_pct"), ("greatest(max(ret), 0) / nullif(sum(greatest(ret, 0)), 0)", "best_share"), ("avg((ret > 0)::INT)", "hit_rate"), ("avg(least(ret, 0))", "drawdown_pct"), ("min(ret)", "worst_pct"))) + """ FROM r GROUP BY 1, 2),
+        b AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY avg_pct DESC, method) AS n FROM m) WHERE n = 1),
+        v AS (SELECT run, """ + ", ".join(f"min(part) FILTER (WHERE {w} AND {c}) AS {k}_{n}" for k, w in (("method", "line = 1"), ("rule", "line = 2"), ("exit", "line = 3"), ("wallet", "line NOT IN (1, 2, 3)")) for n, c in (("raw_candidate", "q >= 45"), ("raw_watch", "q >= 25"), ("validated", "q >= 50 AND flag = 'A'"), ("watch", "q >= 40"), ("leading", "true"))) + """,
+          count(DISTINCT line) AS n_runs, count(DISTINCT CASE WHEN method <> 'high-traction' THEN part END) AS quality_tokens, max(ret) > 17 AS replay_passed FROM r GROUP BY 1),
+        c AS (SELECT v.*, b.* EXCLUDE (run), CASE WHEN method = 'high-traction' THEN 8 ELSE 3 END AS minimum_signals, n_runs >= 6 AS enough_runs, coalesce(median_pct, -100) >= 2 AND coalesce(ex_best_pct, -100) >= 2 AND coalesce(best_share, 1) <= 0.65 AS robust_positive,
+          drawdown_pct >= -15 AND worst_pct >= -35 AS risk_controlled, quality_tokens > 0 AS has_wallet_quality, method = 'high-traction' AND quality_tokens = 0 AS only_traction,
+          method_validated IS NOT NULL AND rule_validated IS NOT NULL AND exit_validated IS NOT NULL AND replay_passed AS system_candidate FROM v JOIN b ON v.run = b.run),
+        e AS (SELECT *, tokens >= minimum_signals AS enough_tokens, avg_pct >= 5 AND hit_rate >= 0.55 AND robust_positive AS positive_enough, wallet_validated IS NOT NULL AND NOT system_candidate AS wallet_only FROM c),
+        f AS (SELECT *, wallet_only OR coalesce(method_watch, rule_watch, exit_watch, wallet_watch) IS NOT NULL AS system_watch FROM e)
+        SELECT *, CASE WHEN system_candidate THEN 'paper-validate candidate' WHEN system_watch THEN 'paper-watch' ELSE 'observe-only' END AS mode, CASE WHEN system_candidate THEN 'validated paper system candidate' WHEN wallet_only THEN 'wallet candidate emerging' ELSE 'collecting evidence' END AS status,
+        CASE WHEN system_candidate THEN 'system-candidate' WHEN wallet_only THEN 'wallet-only' WHEN system_watch OR (positive_enough AND risk_controlled) THEN 'keep-watching' ELSE 'stand-down' END AS verdict FROM f"""),
 }
