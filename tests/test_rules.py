@@ -220,3 +220,14 @@ def test_decision_status(spark):
     r = decided(spark, method=None)
     assert (r.verdict, r.enough_tokens, r.positive_enough, r.risk_controlled, r.minimum_signals) == ("stand-down", False, False, False, 3)
     assert decided(spark, [("exit", "watch")], method=None).verdict == "keep-watching"
+
+
+def test_evidence_funnel(spark):
+    prices = spark.createDataFrame([("p",), ("q",), (None,), ("p",)], "pool string")
+    entries = spark.createDataFrame([(1, "w", "a", 0, True, True, 2, 5), (2, "w", "b", 0, True, False, 3, 0), (3, "v", "a", 0, True, True, 1, 5), (4, "u", "c", 0, False, True, 9, 5), (5, "u", "d", 0, None, True, 9, 5)], "entry_key long, wallet string, token string, t long, linked boolean, controlled boolean, repeat_wallets int, slot long")
+    kind = "fixed-horizon"
+    rows = [(1, "mature", kind, 5.0, 100, False), (1, "mature", kind, 5.0, 105, False), (2, "mature", kind, -99.0, 50, True), (3, "mature", kind, 5.0, 50, False), (3, "unresolved", kind, None, None, False), (3, "provisional", "barrier", 1.0, None, False), (4, "mature", kind, 5.0, 100, False)]
+    outcomes = spark.createDataFrame(rows, "entry_key long, status string, exit_strategy string, net_pct double, frozen_t long, rugged boolean")
+    r = audit.evidence_funnel(prices, entries, outcomes, 100, 10).first()
+    assert (r.pools, r.eligible, r.entries, r.exploratory, r.repeating_wallets, r.missing_slots) == (2, 1, 3, 2, 1, 1)
+    assert (r.mature, r.invalid, r.early_rugs, r.provisional, r.unresolved) == (2, 1, 1, 0, 1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import clamp, first_by, js_round
+from tidemark.operators.outcomes import assess_fixed_horizon
 from tidemark.operators.research import evaluate_candidates, lock_best, trailing_runs, window_stats
 from tidemark.operators.scoring import robust_stats
 
@@ -89,3 +90,32 @@ def track_history(obs: DataFrame, keep: int) -> DataFrame:
 def method_signals(tagged: DataFrame, outcomes: DataFrame) -> DataFrame:
     """First observation per token and method, with its token's outcome."""
     return first_by(tagged, ["token", "method"], ["t", "obs_key"]).join(outcomes, "token", "left")
+
+
+def evidence_funnel(prices: DataFrame, entries: DataFrame, outcomes: DataFrame, horizon: int, delay: int) -> DataFrame:
+    """One row: how many pools, candidates, entries, outcomes and wallets reach each step, and how many rows are of low quality.
+
+    prices: pool; entries: entry_key, wallet, token, t, linked, controlled,
+    repeat_wallets, slot; outcomes: as assess_fixed_horizon takes them. Only linked
+    entries and their outcomes count; an entry is mature once, however many
+    canonical outcomes it has.
+    """
+    linked = F.coalesce(F.col("linked"), F.lit(False))
+    judged = assess_fixed_horizon(outcomes.join(entries.where(linked).select("entry_key", "t", "linked"), "entry_key"), horizon, delay)
+    fixed = F.col("exit_strategy") == "fixed-horizon"
+    mature = fixed & (F.col("status") == "mature")
+    parts = [
+        prices.agg(F.count_distinct("pool").alias("pools")),
+        entries.agg(
+            F.count_distinct(F.when(linked & F.col("controlled"), F.col("token"))).alias("eligible"), F.count_if(linked).alias("entries"), F.count_if(~linked).alias("exploratory"),
+            F.count_distinct(F.when(linked & (F.col("repeat_wallets") >= 2), F.col("wallet"))).alias("repeating_wallets"), F.count_if(linked & (F.col("slot") <= 0)).alias("missing_slots"),
+        ),
+        judged.agg(
+            F.count_distinct(F.when(F.col("canonical"), F.col("entry_key"))).alias("mature"), F.count_if(mature & ~F.col("canonical")).alias("invalid"), F.count_if(mature & (F.col("reason") == "terminal-rug-before-horizon")).alias("early_rugs"),
+            *[F.count_if(fixed & (F.col("status") == c)).alias(c) for c in ("provisional", "unresolved")],
+        ),
+    ]
+    row, *others = [p.withColumn("_row", F.lit(1)) for p in parts]
+    for p in others:
+        row = row.join(p, "_row")
+    return row.drop("_row")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import steady
 from tidemark.operators import audit as U
+from tidemark.operators import outcomes as O
 from tidemark.plans import outcomes as PO
 from tidemark.plans import research as PR
 from tidemark.plans.ingest import DAY, T0
@@ -21,6 +22,12 @@ def f15(spark, d):
     return out.select("wallet", "n", *[steady(F.col(c)).alias(c) for c in ("average", "median", "ex_best", "best_share", "hit_rate", "worst", "score")], "confidence")
 
 
+def g24(spark, d):
+    """Steps of the evidence of all entries at the fixed horizon."""
+    e = O.prior_token_count(A.entries(spark, d)).select("entry_key", "wallet", "token", "t", (F.col("entry_key") % 4 > 0).alias("linked"), (F.col("liquidity_usd") >= 30_000).alias("controlled"), F.col("prior_tokens").alias("repeat_wallets"), F.floor(F.col("t") / DAY).alias("slot"))
+    return U.evidence_funnel(A.price_observations(spark, d), e, PO.outcome_rows(spark, d), PO.H, PO.DELAY)
+
+
 def f31(spark, d):
     p = A.price_observations(spark, d).select("token", "t", "obs_key", F.concat(F.lit("m"), F.col("obs_key") % 3).alias("method"))
     o = PO._horizon(spark, d).select("token", steady(F.col("return_pct")).alias("return_pct"))
@@ -89,4 +96,9 @@ QUERIES = {
     "h10_seed_all_purchases": (h10_all, A.with_views(A.PRICES)[:-1] + f""", po AS (SELECT pool, min(t) AS created_t, max(liquidity_usd) AS liq FROM prices GROUP BY 1), fl AS (SELECT pool, count(DISTINCT wallet) AS buyers FROM prices WHERE event_type = 'purchase' GROUP BY 1),
         x AS (SELECT po.*, buyers, row_number() OVER (PARTITION BY created_t // {DAY} ORDER BY created_t, po.pool) AS n FROM po LEFT JOIN fl ON po.pool = fl.pool WHERE {T0 + 2 * DAY} - created_t BETWEEN 0 AND {2 * DAY} AND po.pool NOT IN (SELECT pool FROM prices WHERE rugged AND t <= {T0 + 2 * DAY}))
         SELECT pool, created_t, concat_ws(',', CASE WHEN liq IS NULL THEN 'liquidity' END, CASE WHEN buyers IS NULL THEN 'flow' END) AS missing, liq IS NOT NULL AND buyers IS NOT NULL AS eligible FROM x WHERE n <= 40"""),
+    "g24_evidence_funnel": (g24, PO.QUERIES["d6_assess_fixed_horizon"][1].rsplit(") SELECT", 1)[0] + """), x AS (SELECT o.status, r.reason, r.entry_key, r.reason IN ('valid-window', 'terminal-rug-before-horizon') AS ok FROM r JOIN outc o ON o.entry_key = r.entry_key WHERE r.entry_key % 4 > 0),
+        e AS (SELECT *, entry_key % 4 > 0 AS linked, (SELECT count(DISTINCT f.token) FROM entries f WHERE f.wallet = entries.wallet AND f.t < entries.t) AS prior FROM entries)
+        SELECT (SELECT count(DISTINCT pool) FROM prices) AS pools, (SELECT count(DISTINCT token) FROM e WHERE linked AND liquidity_usd >= 30000) AS eligible, (SELECT count(*) FROM e WHERE linked) AS entries, (SELECT count(*) FROM e WHERE NOT linked) AS exploratory,
+        (SELECT count(DISTINCT wallet) FROM e WHERE linked AND prior >= 2) AS repeating_wallets, (SELECT count(*) FROM e WHERE linked AND t < 86400) AS missing_slots, count(DISTINCT CASE WHEN ok THEN entry_key END) AS mature, count(*) FILTER (WHERE status = 'mature' AND NOT ok) AS invalid,
+        count(*) FILTER (WHERE reason = 'terminal-rug-before-horizon') AS early_rugs, count(*) FILTER (WHERE status = 'provisional') AS provisional, count(*) FILTER (WHERE status = 'unresolved') AS unresolved FROM x"""),
 }
