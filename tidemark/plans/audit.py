@@ -62,13 +62,6 @@ def g22(spark, d):
 
 
 def h10(spark, d):
-    p = A.price_observations(spark, d)
-    pools = p.groupBy("pool").agg(F.min("t").alias("created_t"), F.max(F.when(F.col("obs_key") % 3 == 0, F.col("liquidity_usd"))).alias("liquidity_usd"))
-    flow = p.where("event_type = 'purchase' AND obs_key % 40 = 0").groupBy("pool").agg(F.countDistinct("wallet").alias("buyers"))
-    return U.decision_seed(pools, flow, p.where("obs_key % 400 = 0"), T0 + 2 * DAY, (0, 2 * DAY), 40).select("pool", "created_t", "missing", "eligible")
-
-
-def h10_all(spark, d):
     p = A.price_observations(spark, d)
     pools = p.groupBy("pool").agg(F.min("t").alias("created_t"), F.max("liquidity_usd").alias("liquidity_usd"))
     flow = p.where("event_type = 'purchase'").groupBy("pool").agg(F.countDistinct("wallet").alias("buyers"))
@@ -90,10 +83,7 @@ QUERIES = {
     "g22_wallet_persistence": (g22, """WITH b AS (SELECT *, sum((o_orderstatus = 'P')::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS bad FROM orders),
         s AS (SELECT o_custkey AS wallet, count(*) FILTER (WHERE bad = 0) AS streak, arg_max(o_orderkey % 100, o_orderkey) - arg_min(o_orderkey % 100, o_orderkey) AS growth FROM b GROUP BY 1)
         SELECT wallet, streak, growth, CASE WHEN streak >= 3 AND growth > 0 THEN 'validated' WHEN streak >= 1 THEN 'watch' ELSE 'rejected' END AS verdict FROM s"""),
-    "h10_decision_seed": (h10, A.with_views(A.PRICES)[:-1] + f""", po AS (SELECT pool, min(t) AS created_t, max(CASE WHEN obs_key % 3 = 0 THEN liquidity_usd END) AS liq FROM prices GROUP BY 1), fl AS (SELECT pool, count(DISTINCT wallet) AS buyers FROM prices WHERE event_type = 'purchase' AND obs_key % 40 = 0 GROUP BY 1),
-        x AS (SELECT po.*, buyers, row_number() OVER (PARTITION BY created_t // {DAY} ORDER BY created_t, po.pool) AS n FROM po LEFT JOIN fl ON po.pool = fl.pool WHERE {T0 + 2 * DAY} - created_t BETWEEN 0 AND {2 * DAY} AND po.pool NOT IN (SELECT pool FROM prices WHERE obs_key % 400 = 0))
-        SELECT pool, created_t, concat_ws(',', CASE WHEN liq IS NULL THEN 'liquidity' END, CASE WHEN buyers IS NULL THEN 'flow' END) AS missing, liq IS NOT NULL AND buyers IS NOT NULL AS eligible FROM x WHERE n <= 40"""),
-    "h10_seed_all_purchases": (h10_all, A.with_views(A.PRICES)[:-1] + f""", po AS (SELECT pool, min(t) AS created_t, max(liquidity_usd) AS liq FROM prices GROUP BY 1), fl AS (SELECT pool, count(DISTINCT wallet) AS buyers FROM prices WHERE event_type = 'purchase' GROUP BY 1),
+    "h10_decision_seed": (h10, A.with_views(A.PRICES)[:-1] + f""", po AS (SELECT pool, min(t) AS created_t, max(liquidity_usd) AS liq FROM prices GROUP BY 1), fl AS (SELECT pool, count(DISTINCT wallet) AS buyers FROM prices WHERE event_type = 'purchase' GROUP BY 1),
         x AS (SELECT po.*, buyers, row_number() OVER (PARTITION BY created_t // {DAY} ORDER BY created_t, po.pool) AS n FROM po LEFT JOIN fl ON po.pool = fl.pool WHERE {T0 + 2 * DAY} - created_t BETWEEN 0 AND {2 * DAY} AND po.pool NOT IN (SELECT pool FROM prices WHERE rugged AND t <= {T0 + 2 * DAY}))
         SELECT pool, created_t, concat_ws(',', CASE WHEN liq IS NULL THEN 'liquidity' END, CASE WHEN buyers IS NULL THEN 'flow' END) AS missing, liq IS NOT NULL AND buyers IS NOT NULL AS eligible FROM x WHERE n <= 40"""),
     "g24_evidence_funnel": (g24, PO.QUERIES["d6_assess_fixed_horizon"][1].rsplit(") SELECT", 1)[0] + """), x AS (SELECT o.status, r.reason, r.entry_key, r.reason IN ('valid-window', 'terminal-rug-before-horizon') AS ok FROM r JOIN outc o ON o.entry_key = r.entry_key WHERE r.entry_key % 4 > 0),
@@ -102,3 +92,4 @@ QUERIES = {
         (SELECT count(DISTINCT wallet) FROM e WHERE linked AND prior >= 2) AS repeating_wallets, (SELECT count(*) FROM e WHERE linked AND t < 86400) AS missing_slots, count(DISTINCT CASE WHEN ok THEN entry_key END) AS mature, count(*) FILTER (WHERE status = 'mature' AND NOT ok) AS invalid,
         count(*) FILTER (WHERE reason = 'terminal-rug-before-horizon') AS early_rugs, count(*) FILTER (WHERE status = 'provisional') AS provisional, count(*) FILTER (WHERE status = 'unresolved') AS unresolved FROM x"""),
 }
+QUERIES["h10_seed_all_purchases"] = QUERIES["h10_decision_seed"]

@@ -89,19 +89,11 @@ def c16(spark, d):
     return M.enrich_prices(rows, A.price_observations(spark, d).where("event_type = 'view'"), 12 * HOUR).select("key", "price_usd", "proxied")
 
 
-def _pooled(spark, d, keep):
+def c17(spark, d):
     n = F.col("p_partkey")
     pools = A.table(spark, d, "part").select(F.col("p_brand").alias("token"), F.concat(F.lit("p"), n).alias("pool"), (n * 50_000).alias("created_t"))
     rows = A.trades(spark, d).withColumn("pool", F.when(F.col("qty") % 2 == 0, F.concat(F.lit("p"), F.element_at(F.split("key", ":"), 3))))
-    return M.best_pool(rows.where(keep), pools).select("key", "p_pool", steady(F.col("age_minutes")).alias("age_minutes"))
-
-
-def c17(spark, d):
-    return _pooled(spark, d, "slot % 7 = 0")
-
-
-def c17_all(spark, d):
-    return _pooled(spark, d, "true")
+    return M.best_pool(rows, pools).select("key", "p_pool", steady(F.col("age_minutes")).alias("age_minutes"))
 
 
 def c18(spark, d):
@@ -171,9 +163,6 @@ QUERIES = {
     "c16_enrich_trade_prices": (c16, ENTRIES[:-1] + f""", n AS (SELECT e.entry_key AS key, arg_min(p.price_usd, (p.t, p.obs_key)) AS proxy FROM entries e JOIN prices p ON e.token = p.token AND p.event_type = 'view' AND p.t BETWEEN e.t AND e.t + {12 * HOUR} WHERE e.entry_key % 2 = 1 GROUP BY 1)
         SELECT e.entry_key AS key, CASE WHEN e.entry_key % 2 = 0 THEN e.entry_price ELSE n.proxy END AS price_usd, n.proxy IS NOT NULL AS proxied FROM entries e LEFT JOIN n ON e.entry_key = n.key"""),
     "c17_historical_wallet_trades": (c17, A.with_views(A.TRADES)[:-1] + f""", pl AS (SELECT p_brand AS token, 'p' || p_partkey AS pool, p_partkey * 50000 AS created_t, p_partkey FROM part),
-        old AS (SELECT token, arg_min(pool, (created_t, pool)) AS pool FROM pl GROUP BY token), ch AS (SELECT t.key, t.t, CASE WHEN t.qty % 2 = 0 THEN 'p' || split_part(t.key, ':', 3) ELSE o.pool END AS p_pool FROM trades t JOIN old o ON t.token = o.token WHERE t.slot % 7 = 0)
-        SELECT ch.key, ch.p_pool, {st('greatest(0, (ch.t - pl.created_t) / 60)', 'age_minutes')} FROM ch JOIN pl ON ch.p_pool = pl.pool"""),
-    "c17_all_wallet_trades": (c17_all, A.with_views(A.TRADES)[:-1] + f""", pl AS (SELECT p_brand AS token, 'p' || p_partkey AS pool, p_partkey * 50000 AS created_t, p_partkey FROM part),
         old AS (SELECT token, arg_min(pool, (created_t, pool)) AS pool FROM pl GROUP BY token), ch AS (SELECT t.key, t.t, CASE WHEN t.qty % 2 = 0 THEN 'p' || split_part(t.key, ':', 3) ELSE o.pool END AS p_pool FROM trades t JOIN old o ON t.token = o.token)
         SELECT ch.key, ch.p_pool, {st('greatest(0, (ch.t - pl.created_t) / 60)', 'age_minutes')} FROM ch JOIN pl ON ch.p_pool = pl.pool"""),
     "c18_token_risk": (c18, A.with_views(A.TRADES)[:-1] + f""", h AS (SELECT token, wallet, sum(qty) AS amount FROM trades GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY amount DESC, wallet) AS n FROM h),
@@ -188,3 +177,4 @@ QUERIES = {
     "c26_candidate_pairs": (c26, PAIR_ROWS + """, s AS (SELECT token, string_agg(DISTINCT 's' || seq % 3, ',' ORDER BY 's' || seq % 3) AS sources FROM pr GROUP BY token)
         SELECT token, pool, score, sources FROM (SELECT pr.token, pool, liq + v5 AS score, sources, row_number() OVER (PARTITION BY pr.token ORDER BY liq + v5 DESC, pool) AS n FROM pr JOIN s ON pr.token = s.token WHERE liq >= 5000 AND v1 >= 100) WHERE n = 1"""),
 }
+QUERIES["c17_all_wallet_trades"] = QUERIES["c17_historical_wallet_trades"]

@@ -84,7 +84,7 @@ def f18(spark, d):
 def f16(spark, d):
     n = F.col("p_partkey")
     pools = A.table(spark, d, "part").select(F.col("p_brand").alias("token"), F.concat(F.lit("p"), n).alias("pool"), (n % 700 * 10.0).alias("liquidity_usd"))
-    t = A.trades(spark, d).select("token", "wallet", F.substring("wallet", 2, 9).cast("double").alias("score")).where("score % 3 = 0")
+    t = A.trades(spark, d).select("token", "wallet", F.substring("wallet", 2, 9).cast("double").alias("score"))
     return W.token_features(pools.select("token").distinct(), pools, t).withColumn("avg_score", steady(F.col("avg_score")))
 
 
@@ -206,7 +206,7 @@ QUERIES = {
         FROM w LEFT JOIN b ON w.signature = b.signature AND w.mint = b.mint WHERE amount > 0 AND native > 0"""),
     "d17_entry_gate_reason": (d17, """SELECT p_partkey, CASE WHEN NOT p_retailprice > 905 THEN 'price' WHEN p_partkey % 50 * 1000 < 5000 THEN 'liquidity' WHEN p_partkey % 31 < 3 THEN 'volume' WHEN p_partkey % 10 NOT BETWEEN 2 AND 8 THEN 'share' WHEN p_partkey % 60 < 5 THEN 'age' END AS reason FROM part"""),
     "f16_token_features": (f16, TRADES[:-1] + f""", po AS (SELECT p_brand AS token, arg_max('p' || p_partkey, (p_partkey % 700 * 10, -p_partkey)) AS pool0, max(p_partkey % 700 * 10.0::DOUBLE) AS liquidity_usd FROM part GROUP BY 1), pp AS (SELECT po.token, min('p' || p_partkey) AS pool, liquidity_usd FROM po JOIN part ON p_brand = po.token AND p_partkey % 700 * 10 = liquidity_usd GROUP BY 1, 3),
-        w AS (SELECT token, count(DISTINCT wallet) AS smart_wallets, avg(CAST(substr(wallet, 2) AS DOUBLE)) AS a FROM trades WHERE CAST(substr(wallet, 2) AS INT) % 3 = 0 GROUP BY 1) SELECT pp.token, pool, liquidity_usd, coalesce(smart_wallets, 0) AS smart_wallets, {st('coalesce(a, 0)', 'avg_score')} FROM pp LEFT JOIN w ON pp.token = w.token"""),
+        w AS (SELECT token, count(DISTINCT wallet) AS smart_wallets, avg(CAST(substr(wallet, 2) AS DOUBLE)) AS a FROM trades GROUP BY 1) SELECT pp.token, pool, liquidity_usd, coalesce(smart_wallets, 0) AS smart_wallets, {st('coalesce(a, 0)', 'avg_score')} FROM pp LEFT JOIN w ON pp.token = w.token"""),
     "f18_wallet_feature_score": (f18, None),
     "f24_qualified_pools": (f24, """WITH r AS (SELECT p_name AS token, arg_max(p_partkey % 4 > 0, p_partkey) AS passed FROM part GROUP BY 1), g AS (SELECT p_name AS token, 'p' || p_partkey AS pool, p_partkey % 700 * 10.0::DOUBLE AS liquidity_usd FROM part JOIN r ON p_name = r.token WHERE passed AND p_partkey % 13 > 3),
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY liquidity_usd DESC, pool) AS n FROM g) WHERE n = 1) SELECT token, pool, liquidity_usd FROM b WHERE token NOT IN (SELECT p_name FROM part WHERE p_partkey % 17 = 0) ORDER BY liquidity_usd DESC, token LIMIT 100"""),
