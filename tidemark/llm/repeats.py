@@ -10,11 +10,12 @@ window is in exactly one segment.
 2. Segments with such names are dealt by name; a task meets all segments of a
    name together and says which units repeat.
    Hot names, which very many windows have, go another way, so that no task holds
-   all their segments: hashes of their windows are counted first and a second
-   bitmap cuts segments to the stretches that may repeat; these are named anew by
-   a longer gram, and equal ones are combined, first within each run of rows and
-   then to a count, before they are dealt. The spans found are joined back to
-   those runs' occurrences by (name, hash, salt).
+   all their segments. Their windows are named anew by a longer gram, and only
+   those whose two names together are met twice are counted by the hash of the
+   whole window; a bitmap of the windows met twice cuts segments to the stretches
+   that may repeat. Equal stretches are combined, first within each run of rows
+   and then to a count, before they are dealt by the longer name. The spans found
+   are joined back to those runs' occurrences by (name, hash, salt).
 3. Those spans return to their documents by key; texts travel compressed.
 """
 
@@ -75,15 +76,16 @@ def windows(u: Units, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np
     return g, low, np.arange(len(low)) + width <= ends
 
 
-def names_of(u: Units, width: int, gram: int) -> np.ndarray:
-    """The name at each place that names some window, ties included: a name met once names no repeated window."""
+def name_places(u: Units, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, name) where a gram names some window, ties included: a name met once names no repeated window."""
     g, low, inside = windows(u, width, gram)
     if not len(low):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     w = width - gram + 1
     pad = np.zeros(w - 1, np.uint64)
     most = slide(np.concatenate([pad, np.where(inside, low, 0), pad]), w, np.maximum)
-    return g[(most == g) & (most > 0)]
+    at = np.flatnonzero((most == g) & (most > 0))
+    return at, g[at]
 
 
 def segments_of(u: Units, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +114,7 @@ def runs_of_names(u: Units, low: np.ndarray, inside: np.ndarray, w: int) -> tupl
 def _count_names(by_words: bool, width: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, t in slices(batch.column(0)):
-            names, n = np.unique(names_of(Units(t, by_words), width, gram), return_counts=True)
+            names, n = np.unique(name_places(Units(t, by_words), width, gram)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["name", "n"])
 
 
@@ -234,12 +236,33 @@ def _window_hashes(u: Units, width: int) -> np.ndarray:
     return mix(u.grams(width))
 
 
-def _count_windows(by_words: bool, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _two_names(u: Units, names: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """One hash per place of both the name of its segment and a longer one."""
+    return mix(longer ^ np.repeat(mix(names.view(np.uint64)), np.diff(u.first))[: len(longer)])
+
+
+def _count_longer_names(by_words: bool, width: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, t in slices(batch.column(0)):
+        segments = np.asarray(batch.column(0))
+        for row, t in slices(batch.column(1)):
+            u = Units(t, by_words)
+            at, longer = name_places(u, width, gram)
+            owner = segments[row + np.searchsorted(u.first, at, "right") - 1]
+            names, n = np.unique(mix(longer ^ mix(owner.view(np.uint64))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["name", "n"])
+
+
+def _count_windows(by_words: bool, width: int, gram: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.frombuffer(shared.value, np.uint8)
+    for batch in batches:
+        segments = np.asarray(batch.column(0))
+        for row, t in slices(batch.column(1)):
             u = Units(t, by_words)
-            _, _, inside = windows(u, width, width)
-            names, n = np.unique(_window_hashes(u, width)[inside] if len(inside) else np.zeros(0, np.uint64), return_counts=True)
+            _, low, inside = windows(u, width, gram)
+            if not inside.any():
+                continue
+            inside = inside & _has_bit(bits, _two_names(u, segments[row : row + len(u.first) - 1], low))
+            names, n = np.unique(_window_hashes(u, width)[inside], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["window", "n"])
 
 
@@ -285,9 +308,12 @@ def _spans_of_distinct(find, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
 def _hot_spans(segments: DataFrame, by_words: bool, width: int, find) -> DataFrame:
     """SPANS of segments with hot names: a task meets each distinct stretch once, with its count."""
-    counted = segments.select("segment").mapInArrow(lambda b: _count_windows(by_words, width, b), "window long, n long")
-    often = segments.sparkSession.sparkContext.broadcast(_bitmap(counted.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1"), "window"))
-    trimmed = segments.mapInArrow(lambda b: _trim(by_words, width, width * 3 // 4, often, b), TRIMMED)
+    context, gram = segments.sparkSession.sparkContext, width * 3 // 4
+    named = segments.select("name", "segment").mapInArrow(lambda b: _count_longer_names(by_words, width, gram, b), "name long, n long")
+    longer = context.broadcast(_bitmap(named.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1"), "name"))
+    counted = segments.select("name", "segment").mapInArrow(lambda b: _count_windows(by_words, width, gram, longer, b), "window long, n long")
+    often = context.broadcast(_bitmap(counted.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1"), "window"))
+    trimmed = segments.mapInArrow(lambda b: _trim(by_words, width, gram, often, b), TRIMMED)
     trimmed = materialize(trimmed.withColumn("seg", F.xxhash64("segment")))
     distinct = trimmed.groupBy("name", "seg", "segment").agg(F.sum("times").alias("times"))
     dealt = distinct.repartition("name").sortWithinPartitions("name")
