@@ -10,7 +10,7 @@ window is in exactly one segment.
 2. Segments with such names are dealt by name; a task meets all segments of a
    name together and says which units repeat.
    Hot names, which very many windows have, go another way, so that no task holds
-   all their segments. Their windows are named anew by a longer gram, and only
+   all their segments. Equal segments are combined to a count; their windows are named anew by a longer gram, and only
    those whose two names together are met twice are counted by the hash of the
    whole window; a bitmap of the windows met twice cuts segments to the stretches
    that may repeat. Equal stretches are combined, first within each run of rows
@@ -241,29 +241,36 @@ def _two_names(u: Units, names: np.ndarray, longer: np.ndarray) -> np.ndarray:
     return mix(longer ^ np.repeat(mix(names.view(np.uint64)), np.diff(u.first))[: len(longer)])
 
 
+def _sums(hashes: np.ndarray, times: np.ndarray, column: str) -> pa.RecordBatch:
+    """Each hash and the sum of its times."""
+    known, of = np.unique(hashes, return_inverse=True)
+    n = np.bincount(of, weights=times, minlength=len(known)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n)], [column, "n"])
+
+
 def _count_longer_names(by_words: bool, width: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        segments = np.asarray(batch.column(0))
+        segments, times = np.asarray(batch.column(0)), np.asarray(batch.column(2))
         for row, t in slices(batch.column(1)):
             u = Units(t, by_words)
             at, longer = name_places(u, width, gram)
-            owner = segments[row + np.searchsorted(u.first, at, "right") - 1]
-            names, n = np.unique(mix(longer ^ mix(owner.view(np.uint64))), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["name", "n"])
+            of = row + np.searchsorted(u.first, at, "right") - 1
+            yield _sums(mix(longer ^ mix(segments[of].view(np.uint64))), times[of], "name")
 
 
 def _count_windows(by_words: bool, width: int, gram: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.frombuffer(shared.value, np.uint8)
     for batch in batches:
-        segments = np.asarray(batch.column(0))
+        segments, times = np.asarray(batch.column(0)), np.asarray(batch.column(2))
         for row, t in slices(batch.column(1)):
             u = Units(t, by_words)
             _, low, inside = windows(u, width, gram)
             if not inside.any():
                 continue
-            inside = inside & _has_bit(bits, _two_names(u, segments[row : row + len(u.first) - 1], low))
-            names, n = np.unique(_window_hashes(u, width)[inside], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["window", "n"])
+            rows = slice(row, row + len(u.first) - 1)
+            inside = inside & _has_bit(bits, _two_names(u, segments[rows], low))
+            owned = np.repeat(times[rows], np.diff(u.first))[: len(low)]
+            yield _sums(_window_hashes(u, width)[inside], owned[inside], "window")
 
 
 SEEN = "struct<k_id: bigint, k_hash: bigint, at: bigint>"
@@ -309,9 +316,10 @@ def _spans_of_distinct(find, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 def _hot_spans(segments: DataFrame, by_words: bool, width: int, find) -> DataFrame:
     """SPANS of segments with hot names: a task meets each distinct stretch once, with its count."""
     context, gram = segments.sparkSession.sparkContext, width * 3 // 4
-    named = segments.select("name", "segment").mapInArrow(lambda b: _count_longer_names(by_words, width, gram, b), "name long, n long")
+    pieces = materialize(segments.groupBy("name", "segment").agg(F.count(F.lit(1)).alias("n")))
+    named = pieces.mapInArrow(lambda b: _count_longer_names(by_words, width, gram, b), "name long, n long")
     longer = context.broadcast(_bitmap(named.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1"), "name"))
-    counted = segments.select("name", "segment").mapInArrow(lambda b: _count_windows(by_words, width, gram, longer, b), "window long, n long")
+    counted = pieces.mapInArrow(lambda b: _count_windows(by_words, width, gram, longer, b), "window long, n long")
     often = context.broadcast(_bitmap(counted.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1"), "window"))
     trimmed = segments.mapInArrow(lambda b: _trim(by_words, width, gram, often, b), TRIMMED)
     trimmed = materialize(trimmed.withColumn("seg", F.xxhash64("segment")))
