@@ -146,12 +146,6 @@ def affected_episodes(episodes: DataFrame, trades: DataFrame, market: Sequence[s
     return episodes.join(touched, list(market), "left_semi").where((F.col("opened_t") <= high) & (F.coalesce("closed_t", F.lit(high)) >= low))
 
 
-def ledger_advance(open_lots: DataFrame, delta: DataFrame, market: Sequence[str]) -> DataFrame:
-    """Open lots as buys with what remains of them, and new trades behind them: input for the ledger that continues it."""
-    carried = open_lots.where("remaining > 0").select(*market, F.col("lot_key").alias("key"), "slot", F.col("lot_t").alias("t"), "signature", F.lit("buy").alias("side"), F.col("remaining").alias("qty"), F.col("remaining_value").alias("value_usd"), F.lit(0.0).alias("pool_age_minutes"), "data_quality")
-    return carried.unionByName(delta.select(*carried.columns))
-
-
 def top_per_key(rows: DataFrame, key: str, order: Sequence[Column | str], n: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return rows.withColumn("place", place).where(F.col("place") <= n)

@@ -40,7 +40,12 @@ def eligible_markets(trades: DataFrame) -> DataFrame:
 
 def ledger_rows(trades: DataFrame) -> DataFrame:
     """Usable trades with before and after (inventory), sold (what a sell takes from it), bought_end, sold_end and episode."""
-    rows = eligible_markets(trades).where("qty > 0 AND value_usd > 0")
+    return inventory_rows(eligible_markets(trades))
+
+
+def inventory_rows(rows: DataFrame) -> DataFrame:
+    """As ledger_rows, of rows whose markets are known to be eligible."""
+    rows = rows.where("qty > 0 AND value_usd > 0")
     w = running(MARKET, ORDER)
     rows = rows.withColumn("signed", F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty")))
     rows = rows.withColumn("level", F.sum("signed").over(w))
@@ -57,7 +62,12 @@ def ledger_rows(trades: DataFrame) -> DataFrame:
 
 def fifo_match(trades: DataFrame, cost_pct: float = COST_PCT) -> DataFrame:
     """One row per lot and sell that share units: market, lot_key, sell_key, qty, invested, proceeds, times, episode, high_quality."""
-    rows = ledger_rows(trades).where("side = 'buy' OR sold > 0")
+    return match_rows(ledger_rows(trades), cost_pct)
+
+
+def match_rows(rows: DataFrame, cost_pct: float = COST_PCT) -> DataFrame:
+    """As fifo_match, of ledger rows."""
+    rows = rows.where("side = 'buy' OR sold > 0")
     buy = F.col("side") == "buy"
     good = F.col("data_quality").isin("observed-execution", "oracle-converted")
     own = F.struct("key", "t", "qty", "value_usd", "episode", good.alias("good"))

@@ -162,18 +162,6 @@ def h22(spark, d):
     return one(a).join(one(b), "_one").drop("_one")
 
 
-def e6(spark, d):
-    """The ledger continued from open lots agrees with the whole: realizations of the later part."""
-    t = A.trades(spark, d)
-    cut = 9_000
-    early = t.where(F.col("slot") < cut)
-    lots = L.lots(early, cost_pct=0.0).withColumnRenamed("remaining_cost", "remaining_value")
-    keep = early.select(F.col("key").alias("lot_key"), "slot", "signature", "data_quality")
-    carried = P.ledger_advance(lots.join(keep, "lot_key"), t.where(F.col("slot") >= cut), L.MARKET)
-    r = L.realizations(L.fifo_match(carried))
-    return r.select("wallet", "token", "sell_key", "units", steady(F.col("invested")).alias("invested"), steady(F.col("proceeds")).alias("proceeds"))
-
-
 def e7(spark, d):
     t = A.trades(spark, d)
     return P.affected_episodes(L.episodes(t), t, L.MARKET, 10_000).select("wallet", "token", "episode", "opened_t", "closed_t", "status")
@@ -257,7 +245,6 @@ QUERIES = {
     "h20_classify_finality": (h20, PRICES + "SELECT obs_key, CASE WHEN obs_key % 11 = 0 THEN 'failed' WHEN obs_key % 3 = 0 THEN 'finalized' WHEN obs_key % 2 > 0 AND obs_key % 100 > 60 THEN 'unresolved' ELSE 'pending' END AS finality FROM prices"),
     "h21_live_counts": (h21, PRICES + f"SELECT event_type, count(*) AS n, count(*) FILTER (WHERE t BETWEEN {T0 + 20 * DAY - 600} AND {T0 + 20 * DAY}) AS fresh, max(t) AS latest, count(*) FILTER (WHERE obs_key % 3 > 0) AS pending FROM prices GROUP BY 1"),
     "h22_operational_scalars": (h22, ENTRIES + "SELECT * FROM (SELECT count(*) AS prices, max(t) AS latest_price, count(*) FILTER (WHERE rugged) AS rugged, count(DISTINCT token) AS tokens FROM prices), (SELECT count(*) AS entries, count(DISTINCT wallet) AS wallets FROM entries)"),
-    "e6_ledger_advance": (e6, BASE + f""" SELECT wallet, token, sell_key, sum(units) AS units, {st('sum(invested)', 'invested')}, {st('sum(proceeds)', 'proceeds')} FROM matches WHERE sell_t >= {9_000 * DAY} GROUP BY wallet, token, sell_key"""),
     "e7_affected_episodes": (e7, BASE[:-1] + ", " + EPISODES + f""" SELECT wallet, token, episode, opened_t, closed_t, status FROM episodes e WHERE opened_t <= {10_000 * DAY + 86_399} AND coalesce(closed_t, {10_000 * DAY + 86_399}) >= {10_000 * DAY}
         AND EXISTS (SELECT 1 FROM trades t WHERE t.slot = 10000 AND t.wallet = e.wallet AND t.token = e.token)"""),
     "e8_compact_star": (e8, A.with_views(A.TRADES, A.PRICES) + "SELECT wallet, sha256(wallet) AS id FROM (SELECT wallet FROM trades UNION SELECT wallet FROM prices)"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import steady
+from tidemark.operators import continuation as K
 from tidemark.operators import ledger as L
 from tidemark.sources import adapters as A
 
@@ -91,6 +94,49 @@ def e5(spark, d):
     return _round(L.open_inventory(L.lots(A.trades(spark, d))), "cost").select("wallet", "token", "units", "cost", "lots")
 
 
+#: The first part of the trades: shipped up to this day, but for orders of the last order day, which arrive late.
+CUT = 10_900
+
+
+def _parts(spark, d):
+    """(history, delta) of the trades."""
+    orders = A.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("signature"), "o_orderdate")
+    last_day = orders.agg(F.max("o_orderdate").alias("last_day"))
+    last = orders.join(F.broadcast(last_day), F.col("o_orderdate") == F.col("last_day")).select("signature").distinct().withColumn("late", F.lit(True))
+    rows = A.trades(spark, d).join(last, "signature", "left").withColumn("early", (F.col("slot") <= CUT) & F.col("late").isNull()).drop("late")
+    return rows.where("early").drop("early"), rows.where("NOT early").drop("early")
+
+
+def _advanced(spark, d):
+    """The ledgers advanced by delta; suppliers of nation 3 were carried with another cost model."""
+    history, delta = _parts(spark, d)
+    carried = K.carry(history)
+    dear = A.table(spark, d, "supplier").where("s_nationkey = 3").select(F.concat(F.lit("w"), "s_suppkey").alias("wallet"), F.lit(2.0).alias("dear"))
+    wallets = carried.wallets.join(dear, "wallet", "left").withColumn("cost_pct", F.coalesce("dear", "cost_pct")).drop("dear")
+    return K.advance(replace(carried, wallets=wallets), delta, history)
+
+
+def e6(spark, d):
+    """What the advance realizes, with how each wallet was taken."""
+    out = _advanced(spark, d)
+    rows = out.realized.join(out.modes, K.WALLET)
+    return _round(rows, "invested", "proceeds").select("wallet", "token", "sell_key", "mode", "episode", "opened_t", "units", "invested", "proceeds", "high_quality")
+
+
+def e6_lots(spark, d):
+    """The open lots that are carried on after the advance."""
+    return _round(_advanced(spark, d).carried.lots, "remaining_value").select("wallet", "token", F.col("key").alias("lot_key"), "remaining", "remaining_value", "episode")
+
+
+ADVANCE = f"""arrived AS (
+  SELECT *, NOT (slot <= {CUT} AND o_orderdate < (SELECT max(o_orderdate) FROM orders)) AS in_delta FROM trades JOIN orders ON signature = CAST(o_orderkey AS VARCHAR)
+), last_seen AS (
+  SELECT wallet, max((slot, t, signature, key)) AS last FROM arrived WHERE NOT in_delta GROUP BY wallet
+), wallet_modes AS (
+  SELECT wallet, CASE WHEN bool_or(l.last IS NOT NULL AND (slot, t, signature, key) <= l.last) OR wallet IN (SELECT 'w' || s_suppkey FROM supplier WHERE s_nationkey = 3) AND max(l.last) IS NOT NULL
+    THEN 'rebuilt' WHEN max(l.last) IS NULL THEN 'started' ELSE 'continued' END AS mode FROM arrived LEFT JOIN last_seen l USING (wallet) WHERE in_delta GROUP BY wallet
+  UNION ALL SELECT wallet, 'rebuilt' FROM last_seen WHERE wallet IN (SELECT 'w' || s_suppkey FROM supplier WHERE s_nationkey = 3) AND wallet NOT IN (SELECT wallet FROM arrived WHERE in_delta))"""
+
 QUERIES = {
     "b2_dedupe_trades": (
         b2,
@@ -129,4 +175,16 @@ QUERIES = {
         SELECT b.wallet, b.token, sum(b.qty - coalesce(u.closed_units, 0)) AS units, floor(sum(b.value_usd * 1.015 * (b.qty - coalesce(u.closed_units, 0)) / b.qty) * 1e4 + 0.5001) / 1e4 AS cost, count(*) AS lots
         FROM led b LEFT JOIN used u ON b.wallet = u.wallet AND b.token = u.token AND b.key = u.lot_key WHERE b.side = 'buy' AND b.qty > coalesce(u.closed_units, 0) GROUP BY b.wallet, b.token""",
     ),
+    "e6_ledger_advance": (
+        e6,
+        BASE[:-1] + ", " + REAL + ", " + ADVANCE + """ SELECT wallet, token, sell_key, mode, episode, opened_t, units, floor((invested) * 1e4 + 0.5001) / 1e4 AS invested,
+        floor((proceeds) * 1e4 + 0.5001) / 1e4 AS proceeds, high_quality FROM real JOIN wallet_modes USING (wallet)
+        WHERE mode <> 'continued' OR sell_key IN (SELECT key FROM arrived WHERE in_delta)""",
+    ),
+    "e6_carried_lots": (
+        e6_lots,
+        BASE[:-1] + f""", used AS (SELECT {MARKET}, lot_key, sum(units) AS closed_units FROM matches GROUP BY {MARKET}, lot_key)
+        SELECT b.wallet, b.token, b.key AS lot_key, b.qty - coalesce(u.closed_units, 0) AS remaining, floor((b.value_usd * (b.qty - coalesce(u.closed_units, 0)) / b.qty) * 1e4 + 0.5001) / 1e4 AS remaining_value, b.episode
+        FROM led b LEFT JOIN used u ON b.wallet = u.wallet AND b.token = u.token AND b.key = u.lot_key WHERE b.side = 'buy' AND b.qty > coalesce(u.closed_units, 0)""",
+    ),
 }
