@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import clamp, first_by, js_round
 from tidemark.operators.outcomes import assess_fixed_horizon
-from tidemark.operators.research import evaluate_candidates, lock_best, trailing_runs, window_stats
+from tidemark.operators.research import modeled_return, prior_history, trailing_runs, walk_forward_split, window_stats
 from tidemark.operators.scoring import robust_stats
+from tidemark.operators.threshold_cube import Audit, Dimension, cube_audit
 
 
 def strict_predicate(limits: dict[str, tuple[float | None, float | None]], flags: Sequence[str]) -> Column:
@@ -43,10 +44,77 @@ def evidence_score(rows: DataFrame) -> DataFrame:
     return stats.withColumn("score", score).withColumn("confidence", F.when(strong, "candidate").when(watch, "watch").otherwise("insufficient"))
 
 
-def grid_audit(rows: DataFrame, grid: DataFrame, condition: Column, least: dict[str, int]) -> DataFrame:
-    """The candidate locked on earlier windows, with its figures on every window."""
-    evaluated = evaluate_candidates(rows, grid, condition, least)
-    return evaluated.join(lock_best(evaluated).select("candidate"), "candidate", "left_semi")
+# fixed values: thresholds of the grid, each dimension in order
+SAFE_WALLETS = (("safe3", 1), ("safe3", 2), ("safe6", 1), ("safe6", 2))
+LEAST_LIQUIDITY = (10_000, 20_000, 30_000, 40_000)
+BUY_SHARE = ((0.5, 0.56), (0.5, 0.58), (0.5, 0.6), (0.52, 0.58), (0.52, 0.6))
+VOLUME_RATIO_BELOW = (0.35, 0.4, 0.45, 0.5)
+POOL_AGE = ((0, 10), (2, 20), (5, 40))
+TOP10_BELOW = (15, 20)
+PRIOR_CLEAN_MARKETS = (0, 1, 2)
+STRICT = {"liquidity_usd": (10_000, None), "volume_5m_usd": (5_000, None), "pool_age_minutes": (5, None), "transactions_5m": (20, None), "buy_share_5m": (0.5, None)}
+STRICT_BELOW = {"buy_share_5m": 0.6, "volume_liquidity_ratio": 0.5, "top10_percent": 20}
+STRICT_FLAGS = ("controlled_flow", "risk_known", "risk_passed", "mint_revoked", "freeze_revoked")
+V4_LEAST, V4_LEAST_TOTAL = {"train": 12, "validation": 6, "holdout1": 6, "holdout2": 6}, 30
+
+
+def strict_v2() -> Column:
+    """The 13 conditions that every candidate asks for."""
+    below = F.lit(True)
+    for name, top in STRICT_BELOW.items():
+        below = below & (F.col(name) < top)
+    return strict_predicate(STRICT, STRICT_FLAGS) & F.coalesce(below, F.lit(False))
+
+
+def _steps(column: str, marks: Sequence[float]) -> Column:
+    """How many of the marks a value has reached, less one; null below the first."""
+    out = F.lit(None).cast("int")
+    for k, mark in enumerate(marks):
+        out = F.when(F.col(column) >= mark, k).otherwise(out)
+    return out
+
+
+def v4_dimensions() -> list[Dimension]:
+    """The grid of 5,760 candidates; records have prior_n and prior_bad, what their creator had completed before."""
+    cut = lambda c: F.least(F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)), F.lit(2))
+    safe = lambda kind, least: [k for k in range(9) if (k // 3 if kind == "safe3" else k % 3) >= least]
+    edges = sorted({x for pair in BUY_SHARE for x in pair})
+    shares = [[i for i, x in enumerate(edges[:-1]) if low <= x < high] for low, high in BUY_SHARE]
+    ratio = F.lit(None).cast("int")
+    for k, top in reversed(list(enumerate(VOLUME_RATIO_BELOW))):
+        ratio = F.when(F.col("volume_liquidity_ratio") < top, k).otherwise(ratio)
+    # ages have closed ends: every mark is a level, and so is what lies between two
+    marks = sorted({x for pair in POOL_AGE for x in pair})
+    age = F.lit(None).cast("int")
+    for k, mark in enumerate(marks):
+        age = F.when(F.col("pool_age_minutes") == mark, 2 * k).when(F.col("pool_age_minutes") > mark, 2 * k + 1).otherwise(age)
+    ages = [list(range(2 * marks.index(low), 2 * marks.index(high) + 1)) for low, high in POOL_AGE]
+    clean = F.when(F.coalesce("prior_bad", F.lit(0)) == 0, F.least(F.col("prior_n"), F.lit(2))).otherwise(0)
+    return [
+        Dimension("safe_wallets", cut("safe3") * 3 + cut("safe6"), [safe(*o) for o in SAFE_WALLETS]),
+        Dimension("liquidity", _steps("liquidity_usd", LEAST_LIQUIDITY), [list(range(i, 4)) for i in range(4)]),
+        Dimension("buy_share", F.when(F.col("buy_share_5m") < edges[-1], _steps("buy_share_5m", edges[:-1])), shares),
+        Dimension("volume_ratio", ratio, [list(range(i + 1)) for i in range(4)]),
+        Dimension("pool_age", age, ages),
+        Dimension("top10", F.when(F.col("top10_percent") < TOP10_BELOW[0], 0).when(F.col("top10_percent") < TOP10_BELOW[1], 1), [[0], [0, 1]]),
+        Dimension("creator", F.coalesce(clean, F.lit(0)), [list(range(i, 3)) for i in range(3)]),
+    ]
+
+
+def v4_grid_audit(records: DataFrame, embargo: int) -> Audit:
+    """All candidates of the grid over market records, chosen on the first two windows and judged on the last two.
+
+    records: market, creator, t, frozen_t, net_return_pct, cost_pct, rugged, safe3,
+    safe6 and what strict_v2 reads. A creator's history counts markets frozen
+    strictly before the record. Windows split all records, also those that are not
+    strict.
+    """
+    rows = records.withColumn("value", modeled_return(F.col("net_return_pct"), F.col("rugged"), F.col("cost_pct")))
+    named = rows.where("creator IS NOT NULL")
+    past = prior_history(named.select("creator", F.col("market").alias("decision"), "t"), named.select("creator", "frozen_t", F.col("rugged").alias("bad"), "value"), "creator")
+    rows = rows.join(past.select(F.col("decision").alias("market"), "prior_n", "prior_bad"), "market", "left").fillna(0, ["prior_n", "prior_bad"])
+    split = walk_forward_split(rows, "t", "market", embargo)
+    return cube_audit(split.where(strict_v2()), v4_dimensions(), "value", "rugged", "market", V4_LEAST, V4_LEAST_TOTAL)
 
 
 def replay_cohorts(rows: DataFrame, cohorts: dict[str, Column], least: int) -> DataFrame:

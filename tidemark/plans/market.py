@@ -177,4 +177,3 @@ QUERIES = {
     "c26_candidate_pairs": (c26, PAIR_ROWS + """, s AS (SELECT token, string_agg(DISTINCT 's' || seq % 3, ',' ORDER BY 's' || seq % 3) AS sources FROM pr GROUP BY token)
         SELECT token, pool, score, sources FROM (SELECT pr.token, pool, liq + v5 AS score, sources, row_number() OVER (PARTITION BY pr.token ORDER BY liq + v5 DESC, pool) AS n FROM pr JOIN s ON pr.token = s.token WHERE liq >= 5000 AND v1 >= 100) WHERE n = 1"""),
 }
-QUERIES["c17_all_wallet_trades"] = QUERIES["c17_historical_wallet_trades"]
