@@ -13,20 +13,22 @@ WINDOWS = ("train", "validation", "holdout1", "holdout2")
 PROFIT_FACTOR_TOP = 999.0
 
 
-def ranked(rows: DataFrame, at: str, tie: str, buckets: int = 256) -> DataFrame:
-    """rows plus place (0-based over all rows in time order), without a single-task window.
+def ranked(rows: DataFrame, at: str, tie: str, buckets: int = 256, keys: Sequence[str] = ()) -> DataFrame:
+    """rows plus place (0-based over all rows of equal keys in order of ``at``), without a single-task window.
 
-    Rows are counted per time bucket; only the buckets' counts (at most
-    ``buckets`` rows) pass through one window, and each bucket is numbered apart.
+    Rows are counted per bucket of ``at``; only the buckets' counts (at most
+    ``buckets`` rows of a key) pass through one window, and each bucket is numbered apart.
     """
+    keys = list(keys)
     low, high = rows.agg(F.min(at), F.max(at)).first()
     width = max(1, ((high or 0) - (low or 0)) // buckets + 1)
     b = rows.withColumn("_b", F.floor((F.col(at) - F.lit(low or 0)) / width))
-    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_b", before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_b").orderBy(at, tie)) - 1
-    return b.withColumn("_place", place).join(F.broadcast(offsets), "_b").withColumn("place", F.col("_place") + F.col("_before")).drop("_b", "_place", "_before")
+    sizes = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*keys, "_b", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(at, tie)) - 1
+    offsets = offsets if keys else F.broadcast(offsets)
+    return b.withColumn("_place", place).join(offsets, [*keys, "_b"]).withColumn("place", F.col("_place") + F.col("_before")).drop("_b", "_place", "_before")
 
 
 def walk_forward_split(rows: DataFrame, at: str, tie: str, embargo: int, shares: Sequence[float] = (0.4, 0.6, 0.8)) -> DataFrame:
@@ -148,14 +150,6 @@ def context_risk(decisions: DataFrame, completions: DataFrame, context: str, wei
     return past.withColumn("risk", p).withColumn("risk_upper", wilson_upper(p, F.col("prior_n") + weight))
 
 
-def online_threshold(rows: DataFrame, keys: Sequence[str], value: str, at: Sequence[str], size: int = 500, least: int = 100, q: float = 0.9) -> DataFrame:
-    """Per row the value at place ceil((n-1)q) of the previous ``size`` ones, null below ``least`` of them."""
-    w = Window.partitionBy(*keys).orderBy(*at).rowsBetween(-size, -1)
-    seen = F.sort_array(F.collect_list(value).over(w))
-    n = F.size(seen)
-    return rows.withColumn("threshold", F.when(n >= least, F.element_at(seen, (F.ceil((n - 1) * q) + 1).cast("int"))))
-
-
 def trade_metrics(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Win rate, profit factor, tails, hold time and exit shares of closed trades."""
     v, n = F.col("return_pct"), F.count(F.lit(1))

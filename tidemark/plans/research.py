@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.common import steady
 from tidemark.operators import outcomes as O
 from tidemark.operators import research as R
+from tidemark.operators import survival as S
 from tidemark.plans import outcomes as PO
 from tidemark.plans.ingest import DAY, T0
 from tidemark.plans.market import st
@@ -100,7 +101,36 @@ def g16(spark, d):
 
 def g16t(spark, d):
     r = A.price_observations(spark, d).select("event_type", "t", "obs_key", "price_usd")
-    return R.online_threshold(r, ["event_type"], "price_usd", ["t", "obs_key"], 50, 10).select("obs_key", "threshold")
+    return S.rolling_quantile(r, ["event_type"], "price_usd", "t", "obs_key", "threshold").select("obs_key", "threshold")
+
+
+def survival_records(spark, d):
+    """Orders as markets: their lines' suppliers support them; figures are whole numbers of the lines, so sums are exact."""
+    lines = A.table(spark, d, "lineitem")
+    each = lines.groupBy("l_orderkey", "l_suppkey").agg(F.max("l_linenumber").cast("long").alias("prior_tokens"))
+    who = each.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.concat(F.lit("w"), "l_suppkey").alias("wallet"), "prior_tokens")).alias("supporters"))
+    cents = lambda x: F.round(x * 100)
+    shape = lines.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("lines"), (cents(F.min("l_discount")) * 4 + cents(F.max("l_discount")) * 4 - 25).alias("net_return_pct"), ((F.min("l_returnflag") == "R") & (F.count(F.lit(1)) > 1)).alias("rugged"),
+        (F.max("l_linenumber") + 5).cast("double").alias("pool_age_minutes"), F.min("l_quantity").alias("top10_percent"), (cents(F.max("l_tax")) / 10).alias("volume_liquidity_ratio"), ((cents(F.max("l_tax")) * 2 + 44) / 100).alias("buy_share_5m"),
+    )
+    rows = A.table(spark, d, "orders").join(shape, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey").join(who, F.col("o_orderkey") == F.col("l_orderkey"))
+    t = A.seconds("o_orderdate")
+    yes = [F.lit(True).alias(c) for c in S.FLAGS]
+    return rows.select(
+        F.col("o_orderkey").alias("market"), F.col("o_orderpriority").alias("dex"), t.alias("t"), (t + F.col("lines") * DAY).alias("frozen_t"), "net_return_pct", F.lit(8.0).alias("cost_pct"), "rugged",
+        F.col("o_totalprice").alias("liquidity_usd"), "pool_age_minutes", "top10_percent", "volume_liquidity_ratio", "buy_share_5m", F.col("lines").alias("transactions_5m"), "supporters", *yes,
+    )
+
+
+def g16_decisions(spark, d):
+    out = S.decide(S.decision_records(survival_records(spark, d)))
+    return out.select("market", "context", "history", *[steady(F.col(c)).alias(c) for c in G16], "evidence", "experienced", "mature", "gate", "by_market", "by_wallet")
+
+
+def g16_policies(spark, d):
+    out = S.contextual_survival(survival_records(spark, d), EMBARGO).policies
+    return out.select("policy", "window", "n", "days", *[steady(F.col(c)).alias(c) for c in G16_STATS], "reasons", "verdict")
 
 
 def g17(spark, d):
@@ -173,6 +203,59 @@ SHOW = "n, " + ", ".join(st(c, c) for c in STATS)
 SIG = PRICES[:-1] + PO.SIGS
 MK = ENTRIES[:-1] + PO.SIGS + f", mk AS (SELECT signal_key AS market, 'p' || token AS pool, t + {8 * DAY} AS t FROM sigs)"
 
+G16 = ("value", "risk", "risk_upper", "market_score", "wallet_score", "market_threshold", "wallet_threshold")
+G16_STATS = ("average", "median", "ex_best", "hit_rate", "profit_factor", "rug_rate", "catastrophic_rate", "worst", "best_share")
+_CUT = lambda c, cuts: "CASE " + " ".join(f"WHEN {c} < {x} THEN '{i}'" for i, x in enumerate(cuts)) + f" ELSE '{len(cuts)}+' END"
+_UP = lambda p, n: f"least(1, ({p} + 1.645::DOUBLE * 1.645 / (2 * {n}) + 1.645::DOUBLE * sqrt(({p} * (1 - {p}) + 1.645::DOUBLE * 1.645 / (4 * {n})) / {n})) / (1 + 1.645::DOUBLE * 1.645 / {n}))"
+G16_RECORDS = f"""WITH sh AS (SELECT l_orderkey, count(*) AS lines, round(min(l_discount) * 100) * 4 + round(max(l_discount) * 100) * 4 - 25 AS value, min(l_returnflag) = 'R' AND count(*) > 1 AS rugged, max(l_linenumber) + 5.0::DOUBLE AS age, min(l_quantity) AS top10,
+    round(max(l_tax) * 100) / 10 AS ratio, (round(max(l_tax) * 100) * 2 + 44) / 100 AS share FROM lineitem GROUP BY 1),
+  rec AS (SELECT o_orderkey AS market, date_diff('second', TIMESTAMP '1970-01-01', o_orderdate) AS t, date_diff('second', TIMESTAMP '1970-01-01', o_orderdate) + lines * {DAY} AS ft, rugged, CASE WHEN rugged THEN -100 ELSE value END AS value,
+    concat_ws('|', o_orderpriority, {_CUT('o_totalprice', (15000, 30000, 60000))}, {_CUT('age', (7, 12, 20))}, {_CUT('top10', (15, 25, 40))}, {_CUT('ratio', ('0.35::DOUBLE', '0.75::DOUBLE', 1.5))}, {_CUT('share', ('0.48::DOUBLE', '0.58::DOUBLE', '0.68::DOUBLE'))}) AS context
+    FROM orders JOIN sh ON o_orderkey = l_orderkey WHERE o_totalprice > 0),
+  num AS (SELECT *, row_number() OVER (ORDER BY t, market) - 1 AS place, count(*) OVER () AS total_n FROM rec), sup AS (SELECT l_orderkey AS market, 'w' || l_suppkey AS wallet, max(l_linenumber) AS prior FROM lineitem GROUP BY 1, 2)"""
+
+
+def g16_sql(p, supporters):
+    """Decisions as CTEs with prefix p, of a relation of supporters (market, wallet, prior)."""
+    learn = "1.0::DOUBLE AS n, hz::INT::DOUBLE AS h, (NOT hz)::INT::DOUBLE AS cn, CASE WHEN hz THEN 0 ELSE x END AS cs, CASE WHEN hz THEN 0 ELSE x * x END AS cq, x"
+    zero = "0.0::DOUBLE AS n, 0.0::DOUBLE AS h, 0.0::DOUBLE AS cn, 0.0::DOUBLE AS cs, 0.0::DOUBLE AS cq, 0.0::DOUBLE AS x"
+    sums = lambda w, a: ", ".join(f"sum({c}) OVER {w} AS {a}{c}" for c in ("n", "h", "cn", "cs", "cq", "x"))
+    return f"""{p}lab AS (SELECT *, rugged OR value <= -80 AS hz, greatest(-100, least(100, value))::DOUBLE AS x FROM rec), {p}sup AS ({supporters}),
+  {p}ev AS (SELECT market, t * 2 AS k, true AS dec, context, {zero} FROM {p}lab UNION ALL SELECT market, ft * 2 + 1, false, context, {learn} FROM {p}lab),
+  {p}sm AS (SELECT market, dec, {sums('g', 'g')}, {sums('c', 'c')} FROM {p}ev WINDOW g AS (ORDER BY k RANGE UNBOUNDED PRECEDING), c AS (PARTITION BY context ORDER BY k RANGE UNBOUNDED PRECEDING)),
+  {p}rk AS (SELECT l.*, gn, cn, ccn, ccs, ccq, (ch + (gh + 1.0::DOUBLE) / greatest(1, gn + 10) * 24) / greatest(1, cn + 24) AS risk, (ccs + gcs / greatest(1, gcn + 10) * 24) / greatest(1, ccn + 24) AS mean_,
+    CASE WHEN ccn < 2 THEN 900 ELSE (greatest(0, (ccq - ccn * (ccs / ccn) * (ccs / ccn)) / greatest(1, ccn - 1)) * ccn + 900 * 24) / (ccn + 24) END AS var_ FROM {p}sm JOIN {p}lab l USING (market) WHERE dec),
+  {p}up AS (SELECT *, {_UP('risk', '(cn + 24)')} AS risk_upper, (1 - risk) * mean_ + risk * -100 AS expected FROM {p}rk),
+  {p}ms AS (SELECT *, expected - (greatest(0, risk_upper - risk) * 100 + 1.28::DOUBLE * sqrt(var_ / greatest(1, ccn + 24))) AS market_score FROM {p}up),
+  {p}we AS (SELECT s.wallet, s.prior, m.market, m.t * 2 AS k, true AS dec, m.context, m.expected, 0.0::DOUBLE AS n, 0.0::DOUBLE AS x FROM {p}ms m JOIN {p}sup s USING (market) UNION ALL SELECT s.wallet, s.prior, m.market, m.ft * 2 + 1, false, m.context, 0, 1, m.x FROM {p}ms m JOIN {p}sup s USING (market)),
+  {p}ws AS (SELECT *, sum(n) OVER w AS wn, sum(x) OVER w AS wx, sum(n) OVER c AS xn, sum(x) OVER c AS xx FROM {p}we WINDOW w AS (PARTITION BY wallet ORDER BY k RANGE UNBOUNDED PRECEDING), c AS (PARTITION BY wallet, context ORDER BY k RANGE UNBOUNDED PRECEDING)),
+  {p}mv AS (SELECT market, wallet, prior, wn, CASE WHEN wn > 0 THEN ((xx + (wx + expected * 8) / greatest(1, wn + 8) * 8) / greatest(1, xn + 8) - expected) * wn / (wn + 8) END AS moved FROM {p}ws WHERE dec),
+  {p}tp AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY moved DESC NULLS LAST, wn DESC, wallet) AS pn FROM {p}mv),
+  {p}ag AS (SELECT market, count(moved) AS evidence, count(*) FILTER (WHERE prior >= 6) AS experienced, avg(moved) FILTER (WHERE pn <= 2) AS adj FROM {p}tp GROUP BY 1),
+  {p}sc AS (SELECT m.*, gn::BIGINT AS history, evidence, experienced, market_score + coalesce(adj, 0) AS wallet_score FROM {p}ms m JOIN {p}ag USING (market)),
+  {p}ls AS (SELECT *, list(market_score) OVER w AS a, list(wallet_score) OVER w AS b FROM {p}sc WINDOW w AS (ORDER BY t, market ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING)),
+  {p}th AS (SELECT * EXCLUDE (a, b), CASE WHEN len(a) >= 100 THEN list_sort(a)[ceil((len(a) - 1) * 0.9)::INT + 1] END AS market_threshold, CASE WHEN len(b) >= 100 THEN list_sort(b)[ceil((len(b) - 1) * 0.9)::INT + 1] END AS wallet_threshold FROM {p}ls),
+  {p}dc AS (SELECT *, history >= 100 AS mature, risk_upper <= 0.12::DOUBLE AS gate, history >= 100 AND risk_upper <= 0.12::DOUBLE AND coalesce(market_score > 0 AND market_score >= market_threshold, false) AS by_market,
+    history >= 100 AND risk_upper <= 0.12::DOUBLE AND evidence > 0 AND coalesce(wallet_score > 0 AND wallet_score >= wallet_threshold, false) AS by_wallet FROM {p}th)"""
+
+
+G16_SHUFFLED = "SELECT a.market, s.wallet, s.prior FROM num a JOIN num b ON b.place = (a.place + greatest(1, floor(a.total_n * 0.382)::BIGINT)) % a.total_n JOIN sup s ON s.market = b.market"
+_REASON = {"count": "n < few", "active-days": "days < short", "median<=0": "median <= 0", "average-ex-best<=2": "ex_best <= 2", "hit-rate<60%": "hit_rate < 0.6::DOUBLE", "profit-factor<1.3": "profit_factor < 1.3::DOUBLE", "rug-rate>3%": "rug_rate > 0.03::DOUBLE", "catastrophic-rate>3%": "catastrophic_rate > 0.03::DOUBLE", "best-winner-share>30%": "best_share > 0.3::DOUBLE"}
+G16_POLICIES = (
+    G16_RECORDS + ", " + g16_sql("d_", "SELECT * FROM sup") + ", " + g16_sql("x_", G16_SHUFFLED)
+    + f""", cut AS (SELECT max(t) FILTER (WHERE place = floor(total_n * 0.4)) AS a, max(t) FILTER (WHERE place = floor(total_n * 0.6)) AS b, max(t) FILTER (WHERE place = floor(total_n * 0.8)) AS c FROM num),
+  win AS (SELECT market, CASE WHEN t >= c THEN 'holdout2' WHEN t >= b THEN 'holdout1' WHEN t >= a THEN 'validation' ELSE 'train' END AS "window" FROM num, cut WHERE abs(t - a) >= {EMBARGO} AND abs(t - b) >= {EMBARGO} AND abs(t - c) >= {EMBARGO}),
+  pk AS (SELECT 'broad' AS policy, market, t, value, rugged FROM d_dc WHERE mature UNION ALL SELECT 'market', market, t, value, rugged FROM d_dc WHERE by_market UNION ALL SELECT 'wallet', market, t, value, rugged FROM d_dc WHERE by_wallet UNION ALL SELECT 'shuffled', market, t, value, rugged FROM x_dc WHERE by_wallet),
+  pw AS (SELECT *, 'all' AS "window" FROM pk UNION ALL SELECT pk.*, "window" FROM pk JOIN win USING (market)),
+  st AS (SELECT policy, "window", count(*) AS n, count(DISTINCT t // {DAY}) AS days, avg(value) AS average, median(value) AS median, CASE WHEN count(*) > 1 THEN (sum(value) - max(value)) / (count(*) - 1) ELSE 0 END AS ex_best, avg((value > 0)::INT) AS hit_rate,
+    CASE WHEN min(value) < 0 THEN sum(greatest(value, 0)) / -sum(least(value, 0)) WHEN max(value) > 0 THEN 999 ELSE 0 END AS profit_factor, avg(rugged::INT) AS rug_rate, avg((value <= -50)::INT) AS catastrophic_rate, min(value) AS worst, CASE WHEN max(value) > 0 THEN max(value) / sum(greatest(value, 0)) ELSE 0 END AS best_share FROM pw GROUP BY 1, 2),
+  kd AS (SELECT p AS policy, w AS "window", few, short FROM (SELECT unnest(['broad', 'market', 'shuffled', 'wallet']) AS p), ({" UNION ALL ".join(f"SELECT '{w}' AS w, {a} AS few, {b} AS short" for w, (a, b) in S.LEAST.items())})),
+  fl AS (SELECT policy, "window", few, short, coalesce(n, 0) AS n, coalesce(days, 0) AS days, {", ".join(f"coalesce({c}, 0) AS {c}" for c in G16_STATS)} FROM kd LEFT JOIN st USING (policy, "window")),
+  rs AS (SELECT *, concat_ws(',', {", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _REASON.items())}) AS reasons FROM fl),
+  vd AS (SELECT CASE WHEN (SELECT bool_and(reasons = '') FROM rs WHERE policy = 'wallet') AND (SELECT bool_and(a.ex_best > b.ex_best) FROM rs a JOIN rs b USING ("window") WHERE a.policy = 'wallet' AND b.policy IN ('market', 'shuffled') AND "window" NOT IN ('all', 'train')) THEN 'future-shadow-only' ELSE 'reject' END AS verdict)
+  SELECT policy, "window", n, days, {", ".join(st(c, c) for c in G16_STATS)}, reasons, verdict FROM rs, vd"""
+)
+
 QUERIES = {
     "g1_rule_candidates": (g1, REC + ", hit AS (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, * FROM rec WHERE {v}" for k, v in RULES.items()) + f"), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule, token ORDER BY t, tie) AS pn FROM hit) WHERE pn = 1), a AS (SELECT rule, {AGG} FROM f GROUP BY 1) SELECT rule, {SHOW} FROM a"),
     "g2_exit_grid": (g2, PRICES[:-1] + PO.PATH + ", cfg AS (" + " UNION ALL ".join(f"SELECT '{n}' AS exit, {a}::DOUBLE AS take, {b}::DOUBLE AS stop, {c} AS tmo" for n, a, b, c in EXITS) + f"""),
@@ -201,7 +284,9 @@ QUERIES = {
     "g15_market_supporters": (g15, MK + f" SELECT market, string_agg(DISTINCT wallet, ',' ORDER BY wallet) AS wallets, count(DISTINCT wallet) AS n FROM mk JOIN entries e ON mk.pool = e.pool AND e.t BETWEEN mk.t - {8 * DAY} AND mk.t GROUP BY 1"),
     "g16_contextual_risk": (g16, REC + f""", h AS (SELECT a.entry_key AS decision, count(b.entry_key) AS n, count(*) FILTER (WHERE b.value < -20) AS bad FROM rec a LEFT JOIN rec b ON a.token = b.token AND b.t + {DAY} < a.t GROUP BY 1), p AS (SELECT *, (bad + 5) / (n + 10) AS risk, n + 10 AS m FROM h)
         SELECT decision, n AS prior_n, {st('risk', 'risk')}, {st('least(1, (risk + 2.706025 / (2 * m) + 1.645 * sqrt((risk * (1 - risk) + 2.706025 / (4 * m)) / m)) / (1 + 2.706025 / m))', 'risk_upper')} FROM p"""),
-    "g16_online_threshold": (g16t, PRICES + """SELECT obs_key, CASE WHEN len(l) >= 10 THEN list_sort(l)[ceil((len(l) - 1) * 0.9)::INT + 1] END AS threshold FROM (SELECT obs_key, list(price_usd) OVER (PARTITION BY event_type ORDER BY t, obs_key ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS l FROM prices)"""),
+    "g16_online_threshold": (g16t, PRICES + """SELECT obs_key, CASE WHEN len(l) >= 100 THEN list_sort(l)[ceil((len(l) - 1) * 0.9)::INT + 1] END AS threshold FROM (SELECT obs_key, list(price_usd) OVER (PARTITION BY event_type ORDER BY t, obs_key ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) AS l FROM prices)"""),
+    "g16_decisions": (g16_decisions, G16_RECORDS + ", " + g16_sql("d_", "SELECT * FROM sup") + f" SELECT market, context, history, {', '.join(st(c, c) for c in G16)}, evidence, experienced, mature, gate, by_market, by_wallet FROM d_dc"),
+    "g16_contextual_survival": (g16_policies, G16_POLICIES),
     "g17_trade_metrics": (g17, None),
     "g20_goal_audit": (g20, ROWS + f", pl AS (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY t, tie) - 1 AS place FROM rets), x AS (SELECT *, CASE WHEN place >= 20 THEN 'late' ELSE 'middle' END AS part FROM pl WHERE place >= 10), a AS (SELECT wallet, part, {AGG} FROM x GROUP BY 1, 2) SELECT wallet, count(*) AS parts, bool_and(mean_ > 0 AND median_ >= 0) AS ok, sum(n)::BIGINT AS n FROM a GROUP BY 1"),
     "g21_hypothesis_persistence": (g21, """WITH b AS (SELECT *, sum((o_orderstatus = 'P')::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS bad FROM orders)
