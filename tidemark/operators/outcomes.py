@@ -41,22 +41,34 @@ def outcomes(entries: DataFrame, obs: DataFrame, now: int, horizon: int, delay:
     Mature, once the horizon has passed: the earliest of the first rugged row,
     the first row from horizon to horizon + delay, and, for the threshold exit,
     the first row by the horizon that gains or loses enough. Otherwise the last
-    row so far. The path to the deadline decides, so each entry is joined with
-    that range only; the latest row before now comes from a second aggregate.
+    row so far. An entry without a pool takes any pool of its token. Rows with
+    executable false (a column that may be missing) count only if rugged. Each
+    entry meets the rows up to its deadline; from what is later it needs the
+    first rug, from the few rugged rows, and the latest row of its market, one
+    row per market.
     """
     e = entries.select("entry_key", "token", "pool", F.col("t").alias("entry_t"), "entry_price")
+    if "executable" in obs.columns:
+        obs = obs.where("rugged OR coalesce(executable, true)")
     o = obs.select("token", "pool", F.col("t").alias("obs_t"), "obs_key", "price_usd", "rugged").where(F.col("obs_t") <= now)
-    path = range_join(e, o, ["token", "pool"], F.col("entry_t"), F.lit(now).cast("long"), "obs_t", max(86_400, horizon + delay))
     at = F.struct("obs_t", "obs_key", "price_usd", "rugged")
     target = F.col("entry_t") + horizon
+    deadline = F.least(target + delay, F.lit(now))
     gross = (F.col("price_usd") - F.col("entry_price")) / F.col("entry_price") * 100
     legs = [
         F.min(F.when(F.col("rugged"), at)).alias("rug"),
         F.min(F.when(F.col("obs_t").between(target, target + delay), at)).alias("fixed"),
         F.min(F.when((F.col("obs_t") <= target) & (F.col("rugged") | (gross >= take_pct) | (gross <= stop_pct)), at)).alias("threshold"),
-        F.max(at).alias("latest"),
     ]
-    seen = e.join(path.groupBy("entry_key").agg(*legs), "entry_key", "left")
+    seen = None
+    for some, keys in ((e.where("pool IS NOT NULL"), ["token", "pool"]), (e.where("pool IS NULL").drop("pool"), ["token"])):
+        rows = o.select(*keys, "obs_t", "obs_key", "price_usd", "rugged")
+        path = range_join(some, rows, keys, F.col("entry_t"), deadline, "obs_t", max(3600, horizon + delay)).groupBy("entry_key").agg(*legs)
+        rugs = some.join(rows.where("rugged"), keys).where(F.col("obs_t") > deadline).groupBy("entry_key").agg(F.min(at).alias("late_rug"))
+        last = rows.groupBy(*keys).agg(F.max(at).alias("latest"))
+        part = some.join(last, keys, "left").join(path, "entry_key", "left").join(rugs, "entry_key", "left")
+        part = part.withColumn("latest", F.when(F.col("latest.obs_t") >= F.col("entry_t"), F.col("latest"))).withColumn("rug", F.coalesce("rug", "late_rug")).drop("late_rug", "pool")
+        seen = part if seen is None else seen.unionByName(part)
     exits = ["rug", "fixed"] + (["threshold"] if exit_strategy != "fixed-horizon" else [])
     due = F.lit(now) >= F.col("entry_t") + horizon
     mature = F.when(due, F.least(*exits))
