@@ -19,7 +19,6 @@ result.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +45,9 @@ BACKOFF = 0.5
 #: Scores (words times languages) that a worker remembers, and texts that are scored at once.
 KEEP_SCORES, TEXTS_AT_ONCE = 1_600_000, 500
 
-#: Numerals that are neither letters nor decimal digits, as half and roman ones: part of ``\\w``, not of a word.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_TOKEN = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: Words, the same in training (Spark) and in prediction.
 LETTERS = r"\p{L}+"
+_TOKEN = regex.compile(LETTERS)
 
 
 @dataclass
