@@ -1,5 +1,6 @@
 """Rules by cases worked out by hand."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import deterministic_id
 from tidemark.operators import audit, health, ingest, market, wallets
+from tidemark.operators import market as M
 
 
 def scored(spark, values):
@@ -231,3 +233,42 @@ def test_evidence_funnel(spark):
     r = audit.evidence_funnel(prices, entries, outcomes, 100, 10).first()
     assert (r.pools, r.eligible, r.entries, r.exploratory, r.repeating_wallets, r.missing_slots) == (2, 1, 3, 2, 1, 1)
     assert (r.mature, r.invalid, r.early_rugs, r.provisional, r.unresolved) == (2, 1, 1, 0, 1)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_persist_on_change_equals_a_walk(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(400), i, rng.random() < 0.8, rng.random() < 0.02) for i in range(300)]
+    want = set()
+    for key in ("a", "b", None):
+        last = flag = None
+        for _, t, tie, eligible, rugged in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:3]):
+            if last is None or rugged or eligible != flag or t - last >= 7:
+                want.add(tie)
+                last, flag = t, eligible
+    df = spark.createDataFrame(rows, "token string, t long, tie long, eligible boolean, rugged boolean").repartition(3)
+    assert {r.tie for r in M.persist_on_change(df, "token", 7).collect()} == want
+    assert M.persist_on_change(df.where("false"), "token", 7).count() == 0
+
+
+def test_amounts_that_do_not_fit_are_null(spark):
+    rows = [("m", "9" * 40, 2, None), ("m", "12", 2, None), ("m", None, None, "1" + "0" * 30), ("m", None, None, "1.25"), ("m", "x", 2, None)]
+    df = spark.createDataFrame(rows, "market string, base_raw string, base_decimals int, base_amount string")
+    got = [None if r.base_units is None else int(r.base_units) for r in ingest.normalize_quantity(df, ["market"]).orderBy(F.monotonically_increasing_id()).collect()]
+    assert sorted(x for x in got if x is not None) == [12 * 10**10, 125 * 10**10] and got.count(None) == 3
+
+
+def test_fill_nulls_from_one_row(spark):
+    old = spark.createDataFrame([("k", None, None)], "k string, price double, quality string")
+    new = spark.createDataFrame([("k", 1.0, None), ("k", 5.0, "b"), ("k", 3.0, "c")], "k string, price double, quality string")
+    r = ingest.merge_fill_nulls(old, new, ["k"], ["price", "quality"]).first()
+    assert (r.price, r.quality, r.changed) == (3.0, "c", True)
+
+
+def test_a_watched_wallet_is_no_watch_of_the_system(spark):
+    runs = spark.createDataFrame([(1, 9, 1, False)], "run int, n_runs int, quality_tokens int, replay_passed boolean")
+    methods = spark.createDataFrame([], "run int, place int, method string, tokens int, median_pct double, avg_pct double, ex_best_pct double, best_share double, hit_rate double, drawdown_pct double, worst_pct double")
+    decided = lambda kind: spark.createDataFrame([(1, kind, None, None, None, "key", None)], "run int, kind string, raw_candidate string, raw_watch string, validated string, watch string, leading string")
+    got = {k: wallets.decision_status(runs, methods, decided(k)).first() for k in ("wallet", "rule")}
+    assert (got["wallet"].mode, got["wallet"].system_watch, got["wallet"].verdict) == ("observe-only", False, "stand-down")
+    assert (got["rule"].mode, got["rule"].system_watch, got["rule"].verdict) == ("paper-watch", True, "keep-watching")

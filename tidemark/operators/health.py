@@ -118,14 +118,6 @@ def classify_finality(error: Column, finalized: Column, known: Column, age_s: Co
     return F.when(error, "failed").when(finalized, "finalized").when(~known & (age_s > limit_s), "unresolved").otherwise("pending")
 
 
-def compact_star(*sources: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Dimension of the distinct values of columns over all sources, with a digest as surrogate key."""
-    out = sources[0].select(*columns)
-    for s in sources[1:]:
-        out = out.unionByName(s.select(*columns))
-    return out.distinct().withColumn("id", F.sha2(F.concat_ws("|", *columns), 256))
-
-
 def parity_digest(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row (count, two sums of digest halves) that does not depend on the order of rows."""
     name = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))

@@ -74,22 +74,6 @@ def export_manifest(rows: DataFrame, day: str, record_type: str, payload: str) -
     return rows.groupBy(day, record_type).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(payload)).alias("bytes"), half(1).alias("digest0"), half(13).alias("digest1"))
 
 
-def export_segments(rows: DataFrame, path: str, day: str, record_type: str) -> None:
-    """Write zstd JSON lines, one folder per day and record type."""
-    rows.write.mode("overwrite").partitionBy(day, record_type).option("compression", "zstd").json(path)
-
-
-def verify_segments(manifest: DataFrame, read: DataFrame, day: str, record_type: str, payload: str) -> DataFrame:
-    """Manifest rows with ok: whether what was read back agrees in rows, bytes and digests."""
-    names = ["rows", "bytes", "digest0", "digest1"]
-    again = export_manifest(read, day, record_type, payload).select(day, record_type, *[F.col(n).alias(f"r_{n}") for n in names])
-    joined = manifest.join(again, [day, record_type], "full")
-    same = F.lit(True)
-    for n in names:
-        same = same & F.col(n).eqNullSafe(F.col(f"r_{n}"))
-    return joined.withColumn("ok", same)
-
-
 def export_metrics(row: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Long form: keys, metric, value."""
     return row.unpivot([F.col(k) for k in keys], [F.col(m).cast("double").alias(m) for m in metrics], "metric", "value")
@@ -139,8 +123,9 @@ def merge_outcomes(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]
 
 
 def merge_fill_nulls(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], fill: Sequence[str]) -> DataFrame:
-    """Full outer merge that only fills nulls; changed tells whether a stored row gained a value. Of repeated incoming keys each value is the first one in order."""
-    new = incoming.groupBy(*keys).agg(*[F.min(c).alias(f"n_{c}") for c in fill])
+    """Full outer merge that only fills nulls; changed tells whether a stored row gained a value. Of repeated incoming keys one row counts: the one with most values, then the least."""
+    whole, nulls = F.struct(*fill), F.struct(sum((F.col(c).isNull().cast("int") for c in fill), F.lit(0)), *fill)
+    new = incoming.groupBy(*keys).agg(F.min_by(whole, nulls).alias("_new")).select(*keys, *[F.col(f"_new.{c}").alias(f"n_{c}") for c in fill])
     old = existing.select(*keys, *fill, F.lit(True).alias("_have"))
     joined = old.join(new, keys, "full")
     gained = F.lit(False)
@@ -164,13 +149,13 @@ def normalize_quantity(trades: DataFrame, market: Sequence[str], missing_decimal
     own = F.when(F.col("base_raw").isNotNull(), F.col("base_decimals")).otherwise(missing_decimals)
     out = trades.withColumn("decimals", F.max(own).over(Window.partitionBy(*market)))
     # powers of ten as text: a product of decimals would lose digits of the fraction
-    shifted = F.concat(F.col("base_raw").cast("decimal(38,0)").cast("string"), F.repeat(F.lit("0"), F.col("decimals") - F.col("base_decimals")))
+    shifted = F.concat(F.col("base_raw").try_cast("decimal(38,0)").cast("string"), F.repeat(F.lit("0"), F.col("decimals") - F.col("base_decimals")))
     raw = F.expr("try_cast(_shifted AS decimal(38,0))")
-    text = F.col("base_amount").cast("decimal(38,18)").cast("string")
+    text = F.col("base_amount").try_cast("decimal(38,18)").cast("string")
     whole, part = F.split_part(text, F.lit("."), F.lit(1)), F.rpad(F.split_part(text, F.lit("."), F.lit(2)), 38, "0")
     out = out.withColumn("_shifted", shifted).withColumn("_text", F.concat(whole, F.substring(part, F.lit(1), F.col("decimals"))))
     up = F.when(F.substring(part, F.col("decimals") + 1, F.lit(1)) >= "5", F.when(F.startswith(text, F.lit("-")), -1).otherwise(1)).otherwise(0)
-    rounded = (F.expr("try_cast(_text AS decimal(38,0))") + up).cast("decimal(38,0)")
+    rounded = F.try_add(F.expr("try_cast(_text AS decimal(38,0))"), up.cast("decimal(38,0)")).try_cast("decimal(38,0)")
     return out.withColumn("base_units", F.when(F.col("base_raw").isNotNull(), raw).otherwise(rounded)).drop("_shifted", "_text")
 
 

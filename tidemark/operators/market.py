@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import first_by, range_join, running
+from tidemark.functions.scratch import stored
 
 #: Fixed gates of controlled flow: swaps and share of buys.
 FLOW_SWAPS, FLOW_SHARE = (5, 100), (0.5, 0.85)
@@ -139,23 +139,32 @@ def traction_score(liquidity: Column, volume5m: Column, volume1h: Column, trades
 def persist_on_change(rows: DataFrame, key: str, interval: int) -> DataFrame:
     """Rows (key, t, tie, eligible, rugged) worth keeping: the first, rugged ones, flips of eligible, and any an interval after the last kept.
 
-    Which row is kept depends on the last kept one, so each key is walked once
-    in order; its rows arrive sorted and only the last kept time is held.
+    A row that is first, rugged or a flip is kept whatever came before, and starts
+    a stretch of its own. Within a stretch each row points at the first one an
+    interval later; kept are the rows that a stretch's start reaches by these
+    pointers. They are followed by doubling: with every round the rows that are
+    known to be kept reach twice as far, so rounds grow with the logarithm of the
+    longest chain, and each is a join on the row.
     """
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name = last = flag = None
-        for pdf in batches:
-            keep = []
-            for k, t, eligible, rugged in zip(pdf[key], pdf["t"], pdf["eligible"], pdf["rugged"], strict=True):
-                take = k != name or rugged or eligible != flag or t - last >= interval
-                if take:
-                    last = t
-                name, flag = k, eligible
-                keep.append(take)
-            yield pdf[keep]
-
-    return rows.repartition(key).sortWithinPartitions(key, "t", "tie").mapInPandas(walk, rows.schema)
+    by = Window.partitionBy(key).orderBy("t", "tie")
+    forced = F.lag("t").over(by).isNull() | F.coalesce("rugged", F.lit(False)) | ~F.lag("eligible").over(by).eqNullSafe(F.col("eligible"))
+    placed = rows.withColumn("_place", F.row_number().over(by)).withColumn("_forced", forced)
+    placed = placed.withColumn("_stretch", F.sum(F.col("_forced").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # the first row of the stretch from t + interval on, as the rows behind are in order of t
+    ahead = Window.partitionBy(key, "_stretch").orderBy("t").rangeBetween(interval, Window.unboundedFollowing)
+    placed = stored(placed.withColumn("_next", F.min("_place").over(ahead)))
+    hops = placed.select(F.col(key).alias("_key"), F.col("_place").alias("_from"), F.col("_next").alias("_to")).where("_to IS NOT NULL")
+    kept = placed.where("_forced").select(F.col(key).alias("_k"), F.col("_place").alias("_p"))
+    same = F.col("_k").eqNullSafe(F.col("_key"))
+    while True:
+        reached = kept.join(hops, same & (F.col("_p") == F.col("_from"))).select("_key", "_to").distinct()
+        new = stored(reached.join(kept, same & (F.col("_p") == F.col("_to")), "left_anti").select(F.col("_key").alias("_k"), F.col("_to").alias("_p")))
+        if not new.limit(1).count():
+            break
+        kept = stored(kept.unionByName(new))
+        second = hops.select(F.col("_key").alias("_k"), F.col("_from").alias("_mid"), F.col("_to").alias("_end"))
+        hops = stored(hops.join(second, same & (F.col("_to") == F.col("_mid"))).select("_key", "_from", F.col("_end").alias("_to")))
+    return placed.join(kept, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_place") == F.col("_p")), "left_semi").select(*rows.columns)
 
 
 def unresolved_windows(entries: DataFrame, obs: DataFrame, low: int, high: int, limit: int) -> DataFrame:

@@ -248,7 +248,8 @@ def decision_status(runs: DataFrame, methods: DataFrame, decisions: DataFrame) -
     best), method, tokens, median_pct, avg_pct, ex_best_pct, best_share, hit_rate,
     drawdown_pct, worst_pct; decisions: run, kind, and a key or null for each of
     KEYS. Runs without methods or decisions fail their checks. The verdict is
-    system-candidate, wallet-only, keep-watching or stand-down.
+    system-candidate, wallet-only, keep-watching or stand-down. A watched wallet alone is no watch of
+    the system.
     """
     best = first_by(methods, ["run"], ["place", "method"]).drop("place")
     picked = [F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in KINDS for c in KEYS]
@@ -263,7 +264,7 @@ def decision_status(runs: DataFrame, methods: DataFrame, decisions: DataFrame) -
         "positive_enough": (known("avg_pct", 0.0) >= 5) & (known("hit_rate", 0.0) >= 0.55) & robust,
         "risk_controlled": (known("drawdown_pct", -100.0) >= -15) & (known("worst_pct", -100.0) >= -35), "has_wallet_quality": quality, "only_traction": traction & ~quality,
     }
-    mode = watch_mode({k: there(f"{k}_validated") for k in KINDS} | {"replay": F.col("replay_passed")}, [there(f"{k}_watch") for k in KINDS])
+    mode = watch_mode({k: there(f"{k}_validated") for k in KINDS} | {"replay": F.col("replay_passed")}, [there(f"{k}_watch") for k in KINDS if k != "wallet"])
     out = out.withColumns(checks | mode)
     verdict = F.when(F.col("system_candidate"), "system-candidate").when(F.col("wallet_only"), "wallet-only").when(F.col("system_watch") | (F.col("positive_enough") & F.col("risk_controlled")), "keep-watching").otherwise("stand-down")
     return out.withColumn("verdict", verdict)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import first_by, steady
+from tidemark.functions.common import deterministic_id, first_by, steady
 from tidemark.operators import health as P
 from tidemark.operators import ledger as L
+from tidemark.operators import star
 from tidemark.plans.ingest import DAY, T0, gaps
 from tidemark.plans.ledger import BASE, EPISODES
 from tidemark.plans.market import st
@@ -169,7 +170,22 @@ def e7(spark, d):
 
 def e8(spark, d):
     t, p = A.trades(spark, d), A.price_observations(spark, d)
-    return P.compact_star(t, p, A.entries(spark, d), columns=["wallet"])
+    return star.dimension(t, p, A.entries(spark, d), columns=["wallet"], name="id")
+
+
+def day_facts(rows):
+    """Facts of a wallet, token and day: trades, quantity and value."""
+    rows = rows.select(deterministic_id(F.col("wallet")).alias("wallet_id"), deterministic_id(F.col("token")).alias("token_id"), F.col("slot").alias("day"), "qty", "value_usd")
+    return rows.groupBy("wallet_id", "token_id", "day").agg(F.count(F.lit(1)).alias("trades"), F.sum("qty").alias("qty"), F.round(F.sum("value_usd"), 2).alias("value_usd"))
+
+
+def e8_changes(spark, d):
+    """What a merge does per day: stored are facts of all but the last order day's trades, wanted those of all but pending orders'."""
+    orders = A.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("signature"), "o_orderdate", "o_orderstatus")
+    last = orders.agg(F.max("o_orderdate").alias("last_day"))
+    t = A.trades(spark, d).join(orders, "signature").join(F.broadcast(last), F.lit(True))
+    out = star.changes(day_facts(t.where("o_orderdate < last_day")), day_facts(t.where("o_orderstatus <> 'P'")), ["wallet_id", "token_id", "day"], ["trades", "qty", "value_usd"])
+    return out.groupBy(F.coalesce("day", "was_day").alias("day"), "op").agg(F.count(F.lit(1)).alias("n"))
 
 
 def e9(spark, d):
@@ -247,6 +263,9 @@ QUERIES = {
     "h22_operational_scalars": (h22, ENTRIES + "SELECT * FROM (SELECT count(*) AS prices, max(t) AS latest_price, count(*) FILTER (WHERE rugged) AS rugged, count(DISTINCT token) AS tokens FROM prices), (SELECT count(*) AS entries, count(DISTINCT wallet) AS wallets FROM entries)"),
     "e7_affected_episodes": (e7, BASE[:-1] + ", " + EPISODES + f""" SELECT wallet, token, episode, opened_t, closed_t, status FROM episodes e WHERE opened_t <= {10_000 * DAY + 86_399} AND coalesce(closed_t, {10_000 * DAY + 86_399}) >= {10_000 * DAY}
         AND EXISTS (SELECT 1 FROM trades t WHERE t.slot = 10000 AND t.wallet = e.wallet AND t.token = e.token)"""),
+    "e8_fact_changes": (e8_changes, A.with_views(A.TRADES)[:-1] + """, x AS (SELECT trades.*, o_orderdate < (SELECT max(o_orderdate) FROM orders) AS a, o_orderstatus <> 'P' AS b FROM trades JOIN orders ON signature = CAST(o_orderkey AS VARCHAR)),
+        f AS (SELECT wallet, token, slot AS day, count(*) FILTER (WHERE a) AS an, sum(qty) FILTER (WHERE a) AS aq, round(sum(value_usd) FILTER (WHERE a), 2) AS av, count(*) FILTER (WHERE b) AS bn, sum(qty) FILTER (WHERE b) AS bq, round(sum(value_usd) FILTER (WHERE b), 2) AS bv FROM x GROUP BY ALL),
+        g AS (SELECT day, CASE WHEN an = 0 AND bn > 0 THEN 'insert' WHEN bn = 0 AND an > 0 THEN 'remove' WHEN (an, aq, av) <> (bn, bq, bv) THEN 'change' END AS op FROM f WHERE an + bn > 0) SELECT day, op, count(*) AS n FROM g WHERE op IS NOT NULL GROUP BY 1, 2"""),
     "e8_compact_star": (e8, A.with_views(A.TRADES, A.PRICES) + "SELECT wallet, sha256(wallet) AS id FROM (SELECT wallet FROM trades UNION SELECT wallet FROM prices)"),
     "e9_parity_digest": (e9, TRADES + """SELECT count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', key, wallet, token, side)), 1, 12))::BIGINT)::VARCHAR AS digest0, sum(('0x' || substr(md5(concat_ws('|', key, wallet, token, side)), 13, 12))::BIGINT)::VARCHAR AS digest1 FROM trades"""),
     "e10_portfolio_snapshot": (e10, f"""SELECT c_custkey AS portfolio, coalesce(sum((o_orderstatus = 'O')::INT), 0)::BIGINT AS positions, {st("1000000 + coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END), 0)", 'cash')},

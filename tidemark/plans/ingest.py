@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import deterministic_id, first_by
+from tidemark.functions.scratch import shared_folder
+from tidemark.operators import archive
 from tidemark.operators import ingest as I
 from tidemark.sources import adapters as A
 
@@ -36,6 +40,15 @@ def a3(spark, d):
     return I.export_manifest(p, "day", "event_type", "payload").withColumns({c: F.col(c).cast("string") for c in ("digest0", "digest1")})
 
 
+def a4(spark, d):
+    """Price rows archived by day and type, read back and proved."""
+    p = A.price_observations(spark, d).select("obs_key", "token", "wallet", "event_type", F.floor((F.col("t") - T0) / DAY).alias("day"))
+    lines = archive.json_lines(p, F.col("day"), F.col("event_type"), ["obs_key", "token", "wallet"])
+    at = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    out = archive.verify(archive.write(lines, at), archive.read_frames(spark, at))
+    return out.select("day", "kind", "rows", "bytes", "source_sha256", "status")
+
+
 def a5(spark, d):
     return I.keyset_page(A.trades(spark, d), ["slot", "t", "signature", "key"], [10_000, 10_000 * DAY, "", ""], 500).select("slot", "t", "signature", "key")
 
@@ -181,6 +194,9 @@ QUERIES = {
         count(*)::INTEGER AS transfers, 'swap' AS event_type FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey"""),
     "a3_export_manifest": (a3, PRICES + f""" SELECT (t - {T0}) // {DAY} AS day, event_type, count(*) AS rows, sum(strlen(concat_ws('|', obs_key, token, wallet))) AS bytes,
         sum(('0x' || substr(md5(concat_ws('|', obs_key, token, wallet)), 1, 12))::BIGINT)::VARCHAR AS digest0, sum(('0x' || substr(md5(concat_ws('|', obs_key, token, wallet)), 13, 12))::BIGINT)::VARCHAR AS digest1 FROM prices GROUP BY 1, 2"""),
+    "a4_verified_archive": (a4, PRICES[:-1] + f""", l AS (SELECT (t - {T0}) // {DAY} AS day, event_type AS kind, '{{"obs_key":' || obs_key || ',"token":"' || token || '","wallet":"' || wallet || '"}}' AS line FROM prices),
+        h AS (SELECT *, sha256(line) AS h FROM l) SELECT day, kind, count(*) AS rows, sum(strlen(line) + 1)::BIGINT AS bytes, sha256(concat_ws(':', count(*), sum(strlen(line) + 1), {', '.join(f"sum(('0x' || substr(h, {1 + 15 * k}, 15))::BIGINT)" for k in range(4))})) AS source_sha256,
+        'verified' AS status FROM h GROUP BY 1, 2"""),
     "a5_keyset_page": (a5, A.with_views(A.TRADES) + f"SELECT slot, t, signature, key FROM trades WHERE slot > 10000 OR (slot = 10000 AND (t > {10_000 * DAY} OR signature > '')) ORDER BY slot, t, signature, key LIMIT 500"),
     "a6_compact_pair": (a6, PAIRS + " SELECT * FROM pairs"),
     "a7_scan_prices": (a7, PRICES + f" SELECT obs_key, token, price_usd, t FROM prices WHERE t BETWEEN {T0 + 5 * DAY} AND {T0 + 9 * DAY} AND token < '5'"),

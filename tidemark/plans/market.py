@@ -170,7 +170,9 @@ QUERIES = {
         SELECT token, {st('t1', 'top1_pct')}, {st('t10', 'top10_pct')}, true AS known, k % 3 > 0 AND k % 4 > 0 AND t1 <= 5 AND t10 <= 30 AS passed, {st('least(100, (k % 3 = 0)::INT * 40 + (k % 4 = 0)::INT * 30 + greatest(0, t10 - 30))', 'risk')} FROM s"""),
     "c19_traction_score": (c19, PAIR_ROWS + f""" SELECT seq, {st('least(45, log10(greatest(v5, 1)) * 13) + least(35, log10(greatest(v1, 1)) * 9) + least(25, log10(greatest(liq * 20, 1)) * 7) + greatest(-10, least(16, (buys / greatest(buys, 1) - 0.45) * 45)) + greatest(-8, least(12, ((seq % 23) / greatest(seq % 23 + seq % 17, 1) - 0.45) * 24))'
         ' + greatest(-12, least(12, (seq % 401 - 200) * 0.08)) + greatest(-12, least(12, (seq % 601 - 300) * 0.05)) + CASE WHEN seq % 11 > 0 THEN greatest(0, least(18, 18 - (seq % 2000) / 90)) ELSE 0 END - CASE WHEN liq * 20 > 2000000 THEN 8 ELSE 0 END', 'score')} FROM pr"""),
-    "c22_persist_on_change": (c22, None),
+    "c22_persist_on_change": (c22, "WITH RECURSIVE " + A.PRICES + f""", o AS (SELECT *, row_number() OVER w AS place, lag(t) OVER w IS NULL OR rugged OR lag(price_usd > 100) OVER w IS DISTINCT FROM (price_usd > 100) AS forced FROM prices WINDOW w AS (PARTITION BY token ORDER BY t, obs_key)),
+        walk AS (SELECT token, place, t AS last_t, true AS kept FROM o WHERE place = 1 UNION ALL SELECT o.token, o.place, CASE WHEN o.forced OR o.t - walk.last_t >= {12 * HOUR} THEN o.t ELSE walk.last_t END, o.forced OR o.t - walk.last_t >= {12 * HOUR} FROM walk JOIN o ON o.token = walk.token AND o.place = walk.place + 1)
+        SELECT o.token, o.obs_key AS tie, o.t FROM walk JOIN o ON walk.token = o.token AND walk.place = o.place WHERE kept"""),
     "c23_unresolved_horizon_windows": (c23, ENTRIES + f""" SELECT token, count(*) AS entries, min(t) + {DAY} AS from_t, max(t) + {2 * DAY} AS to_t FROM entries e WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.event_type = 'view' AND p.token = e.token
         AND p.t BETWEEN e.t + {DAY} AND e.t + {2 * DAY}) GROUP BY token ORDER BY entries DESC, token LIMIT 40"""),
     "c25_busiest_entry_pools": (c25, ENTRIES + " SELECT pool, count(*) AS entries, min(t) AS first_t FROM entries GROUP BY pool ORDER BY entries DESC, first_t, pool LIMIT 30"),

@@ -250,7 +250,7 @@ QUERIES = {
           drawdown_pct >= -15 AND worst_pct >= -35 AS risk_controlled, quality_tokens > 0 AS has_wallet_quality, method = 'high-traction' AND quality_tokens = 0 AS only_traction,
           method_validated IS NOT NULL AND rule_validated IS NOT NULL AND exit_validated IS NOT NULL AND replay_passed AS system_candidate FROM v JOIN b ON v.run = b.run),
         e AS (SELECT *, tokens >= minimum_signals AS enough_tokens, avg_pct >= 5 AND hit_rate >= 0.55 AND robust_positive AS positive_enough, wallet_validated IS NOT NULL AND NOT system_candidate AS wallet_only FROM c),
-        f AS (SELECT *, wallet_only OR coalesce(method_watch, rule_watch, exit_watch, wallet_watch) IS NOT NULL AS system_watch FROM e)
+        f AS (SELECT *, wallet_only OR coalesce(method_watch, rule_watch, exit_watch) IS NOT NULL AS system_watch FROM e)
         SELECT *, CASE WHEN system_candidate THEN 'paper-validate candidate' WHEN system_watch THEN 'paper-watch' ELSE 'observe-only' END AS mode, CASE WHEN system_candidate THEN 'validated paper system candidate' WHEN wallet_only THEN 'wallet candidate emerging' ELSE 'collecting evidence' END AS status,
         CASE WHEN system_candidate THEN 'system-candidate' WHEN wallet_only THEN 'wallet-only' WHEN system_watch OR (positive_enough AND risk_controlled) THEN 'keep-watching' ELSE 'stand-down' END AS verdict FROM f"""),
 }
