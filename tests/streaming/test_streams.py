@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import ingest as I
 from tidemark.operators import ledger as L
 from tidemark.operators import market as M
 from tidemark.operators import outcomes as O
@@ -59,7 +60,8 @@ def test_ohlc_equals_batch(spark, sf_dir, stream, tmp_path):
     batch = p.groupBy("token", F.floor(F.col("t") / 86400).alias("d")).agg(F.max("price").alias("high"), F.min_by("price", F.struct("ts", "leg_key")).alias("open"))
     want = {(r.token, r.d): (r.high, r.open) for r in batch.collect()}
     got = {(r.token, r.d): (r.high, r.open) for r in out.select("token", F.floor(F.unix_timestamp("bucket") / 86400).alias("d"), "high", "open").collect()}
-    assert got and all(want[k] == v for k, v in got.items())
+    last = p.agg(F.max("t")).first()[0] // 86400
+    assert got == {k: v for k, v in want.items() if k[1] < last} and len(got) > 50
 
 
 def test_missing_streak_equals_batch(spark, sf_dir, stream, tmp_path):
@@ -129,3 +131,41 @@ def test_outcomes_equal_batch(spark, tmp_path, exit_strategy):
             b = batch[r["entry_key"]]
             assert (r["outcome_price"], r["frozen_t"], r["rugged"]) == (b.outcome_price, b.frozen_t, b.rugged) and abs(r["net_pct"] - b.net_pct) < 1e-9
     assert {"mature", "unresolved"} <= {s[-1] for s in states.values()}
+
+
+def test_flow_before_equals_batch(spark, tmp_path):
+    schema = "kind int, token string, t long, name long, side string, trader string, volume double"
+    rng = random.Random(5)
+    rows = [(0, rng.choice("abc"), rng.randrange(5_000), i, None, None, None) for i in range(40)]
+    rows += [(1, rng.choice("ab"), rng.randrange(5_000), 100 + i, rng.choice(["buy", "sell"]), f"w{rng.randrange(5)}", float(rng.randrange(9))) for i in range(120)]
+    ordered = sorted(rows, key=lambda r: r[2] + rng.randint(0, 200))
+    end = [[(k, "z", 20_000 + i, 900 + 2 * i + k, "buy", "w", 1.0) for k in (0, 1)] for i in range(2)]
+    stream = files(spark, tmp_path, [ordered[:60], ordered[60:], *end], schema)
+    entries = stream.where("kind = 0").select(F.col("name").alias("entry_key"), "token", "ts")
+    trades = stream.where("kind = 1").select("token", "ts", "side", "trader", "volume")
+    out = drain(S.flow_before(entries, trades, "300 seconds", "300 seconds"), tmp_path).where("entry_key < 100")
+    want = {}
+    for _, token, t, name, *_ in rows[:40]:
+        near = [r for r in rows[40:] if r[1] == token and t - 300 <= r[2] <= t]
+        traders = lambda side: len({r[5] for r in near if r[4] == side})  # noqa: E731, B023
+        want[name] = (len(near), sum(r[4] == "buy" for r in near), traders("buy"), traders("sell"), sum(r[6] for r in near))
+    assert {r.entry_key: (r.swaps, r.buys, r.buyers, r.sellers, r.volume) for r in out.collect()} == want
+
+
+def test_finality_equals_batch_and_fails_closed(spark, tmp_path):
+    schema = "kind int, name string, signature string, t long, finality string"
+    rng = random.Random(6)
+    events = [(0, f"k{i}", f"g{i}", 1_000 + 10 * i, None) for i in range(60)]
+    said = {i: rng.choice(["finalized", "failed", "unresolved"]) for i in range(60) if i % 4}
+    known = [(1, None, f"g{i}", 1_000 + 10 * i + (5_000 if i % 10 == 1 else rng.randrange(200)), f) for i, f in said.items()]
+    ordered = sorted(events + known, key=lambda r: r[3])
+    end = [[(k, "end", f"end{i}", 20_000 + i, "finalized") for k in (0, 1)] for i in range(2)]
+    stream = files(spark, tmp_path, [ordered[:50], ordered[50:], *end], schema)
+    held = stream.where("kind = 0").select(F.col("name").alias("key"), "signature", "ts", F.lit("confirmed").alias("commitment"), F.lit("pending").alias("status"))
+    out = drain(S.finality(held, stream.where("kind = 1").select("signature", "ts", "finality"), "1000 seconds", "0 seconds"), tmp_path).where("key <> 'end'")
+    got = {r.key: (r.finality, r.commitment, r.status) for r in out.collect()}
+    batch_events = spark.createDataFrame([(n, g, "pending", "confirmed", True) for _, n, g, _, _ in events], "key string, signature string, status string, commitment string, finality_required boolean")
+    # what came too late counts as unresolved
+    final = spark.createDataFrame([(f"g{i}", "unresolved" if i not in said or i % 10 == 1 else said[i]) for i in range(60)], "signature string, finality string")
+    want = {r.key: (r.commitment, r.status) for r in I.finality_reconcile(batch_events, final).collect()}
+    assert {k: v[1:] for k, v in got.items()} == want and got["k0"] == ("unresolved", "confirmed", "rolled_back")

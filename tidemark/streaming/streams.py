@@ -35,19 +35,31 @@ def ohlc(stream: DataFrame, width: str, delay: str) -> DataFrame:
 
 
 def flow_before(entries: DataFrame, trades: DataFrame, span: str, delay: str) -> DataFrame:
-    """Each entry with the trades of its token in the span before it: a stream-stream interval join."""
+    """Per entry the flow of its token in the span before it: swaps, buys, buyers, sellers and volume; zeros where nothing was traded.
+
+    A stream-stream interval join that keeps entries without trades, and an
+    aggregate over it; an entry comes out once no trade of its span can come.
+    """
     e = entries.select("entry_key", F.col("token").alias("e_token"), F.col("ts").alias("e_ts")).withWatermark("e_ts", delay)
-    t = trades.select("token", "ts", "side", "volume").withWatermark("ts", delay)
+    t = trades.select("token", "ts", "side", "trader", "volume").withWatermark("ts", delay)
     near = F.expr(f"e_token = token AND ts >= e_ts - INTERVAL {span} AND ts <= e_ts")
-    return e.join(t, near).select("entry_key", "token", "side", "volume", "ts")
+    joined, buy, sell = e.join(t, near, "left_outer"), F.col("side") == "buy", F.col("side") == "sell"
+    # an entry has one time, so its window is a group of its own
+    flow = joined.groupBy("entry_key", F.window("e_ts", "1 second")).agg(
+        F.count("side").alias("swaps"), F.count(F.when(buy, 1)).alias("buys"), F.size(F.collect_set(F.when(buy, F.col("trader")))).alias("buyers"), F.size(F.collect_set(F.when(sell, F.col("trader")))).alias("sellers"), F.coalesce(F.sum("volume"), F.lit(0.0)).alias("volume")
+    )
+    return flow.select("entry_key", "swaps", "buys", "buyers", "sellers", "volume")
 
 
 def finality(events: DataFrame, confirmations: DataFrame, wait: str, delay: str) -> DataFrame:
-    """Events held until their signature is final; those not confirmed in time come out without a confirmation."""
+    """Events held until their signature is known: finalized ones are upgraded; failed, unresolved and those unknown after the wait are rolled back."""
     e = events.withWatermark("ts", delay)
     c = confirmations.select(F.col("signature").alias("c_signature"), F.col("ts").alias("c_ts"), "finality").withWatermark("c_ts", delay)
     on = F.expr(f"signature = c_signature AND c_ts >= ts AND c_ts <= ts + INTERVAL {wait}")
-    return e.join(c, on, "left_outer").select("key", "signature", "ts", F.coalesce("finality", F.lit("unresolved")).alias("finality"))
+    known = F.coalesce("finality", F.lit("unresolved"))
+    final = known == "finalized"
+    rows = e.join(c, on, "left_outer")
+    return rows.select("key", "signature", known.alias("finality"), F.when(final, "finalized").otherwise(F.col("commitment")).alias("commitment"), F.when(final, F.col("status")).otherwise("rolled_back").alias("status"))
 
 
 def outcomes(entries: DataFrame, prices: DataFrame, horizon: int, wait: int, delay: str, exit_strategy: str = "fixed-horizon", cost_pct: float = 3.0, take_pct: float = 15.0, stop_pct: float = -20.0, keep: int | None = None, spread: int = 1) -> DataFrame:
