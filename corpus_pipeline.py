@@ -1,42 +1,20 @@
 """The corpus pipeline: quality rules, near-duplicate removal, repeated passages, source mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next stage's docs. So a stage first deletes what
-the ones before it left in the shared folder. All but the last return the columns
-of documents.
+as Parquet and read again as the next stage's docs. A stage may leave small tables
+in the shared folder, which its result reads; what is large it deletes itself or
+keeps as a checkpoint. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, jaccard_join, mixing, quality, substring_dedup
-from tidemark.llm.common import free_scratch, materialize, read_documents, scratch_tables
-
-
-#: Scratch tables that the last stage made.
-_LEFT: list[str] = []
-
-
-def _stage(run_stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, which first deletes the scratch tables of the one before it that docs does not read."""
-
-    @wraps(run_stage)
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        free_scratch(docs, _LEFT)
-        before = set(scratch_tables())
-        out = run_stage(spark, docs, sf_dir)
-        _LEFT[:] = [at for at in scratch_tables() if at not in before]
-        return out
-
-    return stage
+from tidemark.llm.common import discard, materialize, read_documents
 
 
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules and their host's verdict.
 
@@ -46,7 +24,6 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, the one of least doc_id. Five-word shingles, similarity 0.8 or more.
 
@@ -56,7 +33,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard_join.keep_one(docs, width=5, percent=80)
 
 
-@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of recurring passages; a text that loses none stays as it is.
 
@@ -71,7 +47,6 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return cut.select(*docs.columns)
 
 
-@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, repeated as often as it takes them.
 
@@ -81,7 +56,6 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.emit_mix(docs)
 
 
-@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document of the mix: doc_id, source, its number of ids, the ids, and the digest of what they decode to; a null text has none."""
     encoded = bpe.encode(docs, keep=["source"])
@@ -102,6 +76,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES):
+        done = materialize(stage(spark, docs, sf_dir))
+        if i:
+            discard(docs)  # written by this run, and read by nothing else
+        docs = done
     return docs

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import tiktoken
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import bpe
@@ -92,3 +93,23 @@ def test_stages_keep_columns_and_take_empty_tables(spark, documents, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert docs.collect() == []
+
+
+def test_a_stage_leaves_the_results_of_others_alone(spark, documents):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)), "en", f"s{i % 3}") for i in range(12)]
+    docs = documents(rows)
+    kept = corpus_pipeline.quality_rules(spark, docs, "")
+    n = kept.count()
+    one = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert one.count() == 12
+    corpus_pipeline.repeated_passages(spark, docs, "").count()
+    assert kept.count() == n and one.count() == 12
+
+
+def test_rows_of_one_document_and_odd_names(spark, documents):
+    """Which of several rows with one id and text stays does not depend on the order of rows; dots and case in names do no harm."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = documents([(1, text, lang, "s") for lang in ("a", "b", "c")]).withColumns({"a.b": F.col("lang"), "DOC_ID_2": F.lit(1)})
+    first = corpus_pipeline.near_duplicates(spark, rows, "")
+    again = corpus_pipeline.near_duplicates(spark, rows.orderBy(F.desc("lang")).coalesce(1), "")
+    assert first.columns == rows.columns and [tuple(r) for r in first.collect()] == [tuple(r) for r in again.collect()] and first.count() == 1

@@ -76,14 +76,20 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession, [at for at in _SCRATCH if any(at.rpartition("/")[2] in f for f in files)])
 
 
-def scratch_tables() -> list[str]:
-    return list(_SCRATCH)
+def settle(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` returns, written; all other scratch tables that it made are deleted."""
+    before = set(_SCRATCH)
+    out = materialize(make())
+    _delete(spark, [at for at in _SCRATCH[:-1] if at not in before])
+    return out
 
 
-def free_scratch(docs: DataFrame, tables: list[str]) -> None:
-    """Delete those of the scratch tables that ``docs`` does not read: what an earlier stage left, once it is written."""
-    files = docs.inputFiles()
-    _delete(docs.sparkSession, [at for at in tables if at in _SCRATCH and not any(at.rpartition("/")[2] in f for f in files)])
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of ``df`` in the shared folder; Spark's cleaner deletes it when no frame reads it any more, if it is set to clean checkpoints."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch_dir(df.sparkSession))
+    return df.checkpoint()
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Texts, ascii_lower, discard, forget, gram_hash, materialize, mix, prefix_hash, read_documents, slices, span_hash, word_spans
+from tidemark.llm.common import Texts, ascii_lower, discard, forget, gram_hash, materialize, mix, prefix_hash, read_documents, settle, slices, span_hash, word_spans
 from tidemark.llm.components import connected
 from tidemark.llm.repeats import _pack, keyed
 
@@ -454,13 +454,26 @@ def class_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component, the one of least doc_id; documents without words all stay."""
-    linked = link_documents(docs, width, percent)
-    first = linked.where("n > 0").groupBy("component").agg(F.min(F.struct("k_id", "k_hash")).alias("least"))
-    stay = first.select("least.*").withColumn("lone", F.lit(True)).unionByName(linked.where("n = 0").select("k_id", "k_hash", F.lit(False).alias("lone")).distinct())
-    rows = keyed(docs, *[F.col(c).alias(f"o_{c}") for c in docs.columns]).drop("text").join(stay, ["k_id", "k_hash"])
-    place = F.row_number().over(Window.partitionBy("k_id", "k_hash").orderBy("lone"))
-    return rows.withColumn("place", place).where("NOT lone OR place = 1").select(*[F.col(f"o_{c}").alias(c) for c in docs.columns])
+    """docs with one row of each component, the one of least doc_id; documents without words all stay.
+
+    Of several rows with one id and text, the first by all columns' digest stays.
+    """
+
+    def choice() -> DataFrame:
+        linked = link_documents(docs, width, percent)
+        first = linked.where("n > 0").groupBy("component").agg(F.min(F.struct("k_id", "k_hash")).alias("least"))
+        lone = first.select("least.*").withColumn("lone", F.lit(True))
+        return lone.unionByName(linked.where("n = 0").select("k_id", "k_hash", F.lit(False).alias("lone")).distinct())
+
+    stay = settle(docs.sparkSession, choice)
+    # by place, as names may hold dots or differ only in case
+    given = docs.toDF(*[f"o_{i}" for i in range(len(docs.columns))])
+    at = {c: f"o_{i}" for i, c in reversed(list(enumerate(docs.columns))) if c in ("doc_id", "text")}
+    rows = given.withColumn("doc_id", F.col(at["doc_id"])).withColumn("text", F.col(at["text"]))
+    rows = keyed(rows, *given.columns).drop("text").join(stay, ["k_id", "k_hash"])
+    place = F.row_number().over(Window.partitionBy("k_id", "k_hash").orderBy("lone", F.xxhash64(*given.columns)))
+    chosen = rows.withColumn("place", place).where("NOT lone OR place = 1").select(*given.columns)
+    return chosen.toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

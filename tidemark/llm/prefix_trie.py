@@ -217,8 +217,8 @@ def _nodes(s: Shard, turns: np.ndarray, ends: list[str], shard: int) -> pa.Recor
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in NODES.split(", ")])
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of NODES for sorted rows (task, path, lengths, n, least, ends), shard by shard."""
+def _shards(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of NODES for sorted rows (task, path, lengths, n, least, ends), in shards of at most ``most`` nodes or one path."""
     forget()
     held: list[pa.RecordBatch] = []
     weight = made = 0
@@ -238,7 +238,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         while start < len(sizes):
             # as many more paths as the shard has room for, at least one
-            room = np.searchsorted(np.cumsum(sizes[start:]), SHARD_NODES - weight, "right")
+            room = np.searchsorted(np.cumsum(sizes[start:]), most - weight, "right")
             stop = start + max(int(room), 0 if held else 1)
             if stop > start:
                 held.append(batch.slice(start, stop - start))
@@ -344,7 +344,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     paths = distinct_paths(rebuilt(conversations))
     dealt = materialize(paths).repartitionByRange("path").sortWithinPartitions("path")
     dealt = dealt.select(F.spark_partition_id().cast("long").alias("task"), "path", "lengths", "n", "least", "ends")
-    nodes = materialize(dealt.mapInArrow(_shards, NODES))
+    most = SHARD_NODES
+    nodes = materialize(dealt.mapInArrow(lambda batches: _shards(most, batches), NODES))
     parts = nodes.where("side IS NOT NULL")
     spines = materialize(merged_spines(parts))
     figures = ("conv_id", "depth", "n_convs", "n_children", "n_leaves", "saved", "ends")

@@ -65,7 +65,7 @@ def words_of(doc_id: object, text: str) -> Iterator[tuple[str, int]]:
             yield run, n
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forget()
     counts: Counter[str] = Counter()
 
@@ -81,14 +81,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(low)):
                 for word, n in words_of(ids[row + i], low.bytes_of(i).decode()):
                     counts[word] += n
-                if len(counts) >= COUNTED:
+                if len(counts) >= most:
                     yield out()
     yield out()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) of the words that occur often enough."""
-    found = docs.select("doc_id", "text").mapInArrow(_count, "word string, n long")
+    most = COUNTED
+    found = docs.select("doc_id", "text").mapInArrow(lambda batches: _count(most, batches), "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
