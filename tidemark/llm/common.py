@@ -101,6 +101,14 @@ def text_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.col(doc_id).alias("k_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k_hash")]
 
 
+#: DuckDB has no crc32: its table, and the crc32 of a list of bytes as SQL.
+CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS crc_of)"
+
+
+def crc32_sql(byte_list: str) -> str:
+    return f"xor(list_reduce({byte_list}, lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
 # -- workers ------------------------------------------------------------------
 _KEPT: dict = {}
 

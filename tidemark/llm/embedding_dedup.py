@@ -326,3 +326,23 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs of rows, and what each reaches by links.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.rid AS a, b.rid AS b FROM ok a JOIN ok b ON a.rid <> b.rid AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95::DOUBLE
+), reach AS (
+  SELECT rid AS a, rid AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), least AS (
+  SELECT reach.a AS rid, min(vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.b GROUP BY 1
+), n AS (
+  SELECT a AS rid, count(*) AS n_links FROM links GROUP BY 1
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import forget, materialize
+from tidemark.llm.common import CRC_TABLE, crc32_sql, forget, materialize
 
 #: First turns that a conversation takes from the first of its hundred: the crc32 of its id modulo this.
 LEADS, HUNDRED = 6, 100
@@ -363,3 +363,31 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+#: Nodes named by their turns' digests on end; each node's own figures are carried up along the turns of its least conversation.
+SQL = f"""
+WITH {CRC_TABLE}, turns AS (
+  SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, length(coalesce(text, '')) AS size,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32_sql("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns), crc_table
+), rebuilt AS (
+  SELECT t.conv_id, pos, digest, size FROM turns t JOIN convs c ON t.conv_id = c.conv_id WHERE pos > h
+  UNION ALL SELECT c.conv_id, pos, digest, size FROM convs c JOIN turns t ON t.conv_id = c.base WHERE pos <= h
+), steps AS (
+  SELECT conv_id, 0 AS depth, '' AS node, 0 AS size FROM convs
+  UNION ALL SELECT conv_id, row_number() OVER w, string_agg(digest, '') OVER (w ROWS UNBOUNDED PRECEDING), size FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+), nodes AS (
+  SELECT node, depth, CASE WHEN depth > 0 THEN left(node, length(node) - 32) END AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(size) AS own FROM steps GROUP BY node, depth
+), children AS (
+  SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY 1
+), sums AS (
+  SELECT s.node, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (WHERE c.node IS NULL) AS n_leaves
+  FROM nodes n LEFT JOIN children c ON c.node = n.node JOIN steps s ON s.conv_id = n.conv_id AND s.depth <= n.depth GROUP BY 1
+), ends AS (
+  SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(node, depth) AS node FROM steps GROUP BY 1) GROUP BY 1
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN children c ON c.node = n.node JOIN sums s ON s.node = n.node LEFT JOIN ends e ON e.node = n.node
+"""

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Texts, ascii_lower, forget, materialize, prefix_hash, read_documents, slices, span_hash
+from tidemark.llm.common import CRC_TABLE, Texts, ascii_lower, crc32_sql, forget, materialize, prefix_hash, read_documents, slices, span_hash
 
 RUN = re.compile("[a-zÀ-ÿ]+")
 LEAST_LETTERS, LEAST_COUNT, RATIO = 6, 5, 5
@@ -224,3 +224,32 @@ def group_spellings(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_spellings(read_documents(spark, sf_dir))
+
+
+_BYTES = "list_transform(string_split(regexp_replace(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '(..)', '\\1 ', 'g').trim(), ' '), lambda x: ('0x' || x)::BIGINT)"
+#: Near words by what is left of them without one letter, as pairs.
+SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY 1, 2
+), hashed AS (
+  SELECT run, k, {crc32_sql(_BYTES)} AS h FROM runs, crc_table
+), cut AS (
+  SELECT CASE WHEN h % {DROP} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed
+), words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM cut WHERE length(word) >= {LEAST_LETTERS} GROUP BY 1 HAVING sum(k) >= {LEAST_COUNT}
+), lacking AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM lacking a JOIN lacking b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM lacking a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM lacking a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, min((-other_n, other)) AS top FROM near GROUP BY 1
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top[1] >= {RATIO} * w.n THEN top[2] END AS form, CASE WHEN -top[1] >= {RATIO} * w.n THEN -top[1] END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word
+), walk AS (
+  SELECT word, word AS pos, 0 AS step FROM forms UNION ALL SELECT walk.word, forms.form, step + 1 FROM walk JOIN forms ON forms.word = walk.pos WHERE forms.form IS NOT NULL
+)
+SELECT f.word, n, form, form_n, r.root, n_near FROM forms f JOIN (SELECT word, arg_max(pos, step) AS root FROM walk GROUP BY 1) r ON r.word = f.word
+"""
