@@ -65,13 +65,13 @@ def fifo_match(trades: DataFrame, cost_pct: float = COST_PCT) -> DataFrame:
     return match_rows(ledger_rows(trades), cost_pct)
 
 
-def match_rows(rows: DataFrame, cost_pct: float = COST_PCT) -> DataFrame:
-    """As fifo_match, of ledger rows."""
+def interval_ends(rows: DataFrame) -> DataFrame:
+    """The ends of the lots' and sells' intervals of cumulative quantity: market, end, lot or sell, kind, key."""
     rows = rows.where("side = 'buy' OR sold > 0")
     buy = F.col("side") == "buy"
     good = F.col("data_quality").isin("observed-execution", "oracle-converted")
     own = F.struct("key", "t", "qty", "value_usd", "episode", good.alias("good"))
-    ends = rows.select(
+    return rows.select(
         *MARKET,
         F.when(buy, F.col("bought_end")).otherwise(F.col("sold_end")).alias("end"),
         F.when(buy, own).alias("lot"),
@@ -79,11 +79,20 @@ def match_rows(rows: DataFrame, cost_pct: float = COST_PCT) -> DataFrame:
         F.when(buy, 0).otherwise(1).alias("kind"),
         "key",
     )
+
+
+def match_rows(rows: DataFrame, cost_pct: float = COST_PCT) -> DataFrame:
+    """As fifo_match, of ledger rows."""
     by_end = Window.partitionBy(*MARKET).orderBy("end", "kind", "key")
     # in descending order the next end is the last one seen, so the frame only ever grows
     back = Window.partitionBy(*MARKET).orderBy(F.desc("end"), F.desc("kind"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pieces = ends.withColumn("from_", F.coalesce(F.lag("end").over(by_end), F.lit(0.0)))
+    pieces = interval_ends(rows).withColumn("from_", F.coalesce(F.lag("end").over(by_end), F.lit(0.0)))
     pieces = pieces.withColumn("lot", F.last("lot", ignorenulls=True).over(back)).withColumn("sell", F.last("sell", ignorenulls=True).over(back))
+    return priced_pieces(pieces, cost_pct)
+
+
+def priced_pieces(pieces: DataFrame, cost_pct: float) -> DataFrame:
+    """Pieces from from_ to end with their lot and sell, as rows of fifo_match; empty ones and those without either go."""
     pieces = pieces.withColumn("units", F.col("end") - F.col("from_")).where("units > 0 AND lot IS NOT NULL AND sell IS NOT NULL")
     return pieces.select(
         *MARKET,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import steady
 from tidemark.operators import continuation as K
+from tidemark.operators import hot_markets as H
 from tidemark.operators import ledger as L
 from tidemark.sources import adapters as A
 
@@ -75,6 +76,17 @@ def e1(spark, d):
     return _round(L.fifo_match(A.trades(spark, d)), "invested", "proceeds").select("wallet", "token", "lot_key", "sell_key", "units", "invested", "proceeds", "high_quality")
 
 
+#: Of a market with more trades than this, the tables' blocks are cut.
+HOT_ROWS = 2_000
+
+
+def e1_hot(spark, d):
+    """The matches if nine in ten suppliers trade as one wallet in one token: a market with most of the trades."""
+    alone = F.col("wallet").endswith("0")
+    rows = A.trades(spark, d).withColumn("token", F.when(alone, F.col("token")).otherwise("pooled")).withColumn("wallet", F.when(alone, F.col("wallet")).otherwise("desk"))
+    return _round(H.fifo_match(rows, hot_rows=HOT_ROWS), "invested", "proceeds").select("wallet", "token", "lot_key", "sell_key", "units", "invested", "proceeds", "high_quality")
+
+
 def e2(spark, d):
     rows = L.realizations(L.fifo_match(A.trades(spark, d)))
     return _round(rows, "invested", "proceeds", "return_pct").select("wallet", "token", "sell_key", "opened_t", "closed_t", "units", "invested", "proceeds", "return_pct", "high_quality")
@@ -137,6 +149,17 @@ ADVANCE = f"""arrived AS (
     THEN 'rebuilt' WHEN max(l.last) IS NULL THEN 'started' ELSE 'continued' END AS mode FROM arrived LEFT JOIN last_seen l USING (wallet) WHERE in_delta GROUP BY wallet
   UNION ALL SELECT wallet, 'rebuilt' FROM last_seen WHERE wallet IN (SELECT 'w' || s_suppkey FROM supplier WHERE s_nationkey = 3) AND wallet NOT IN (SELECT wallet FROM arrived WHERE in_delta))"""
 
+#: Pairs of intervals of one market would be too many to join here: the pieces between ends, by windows.
+POOLED = "pooled AS (SELECT * REPLACE (CASE WHEN wallet LIKE '%0' THEN token ELSE 'pooled' END AS token, CASE WHEN wallet LIKE '%0' THEN wallet ELSE 'desk' END AS wallet) FROM trades)"
+PIECES = """ends AS (
+  SELECT wallet, token, key, CASE WHEN side = 'buy' THEN bought_end ELSE sold_end END AS e, CASE WHEN side = 'buy' THEN 0 ELSE 1 END AS kind,
+    CASE WHEN side = 'buy' THEN {'k': key, 'q': qty, 'v': value_usd, 'good': data_quality = 'observed-execution'} END AS lot,
+    CASE WHEN side = 'sell' THEN {'k': key, 'q': qty, 'v': value_usd, 'good': data_quality = 'observed-execution'} END AS sell FROM led WHERE side = 'buy' OR sold > 0
+), pieces AS (
+  SELECT wallet, token, e - coalesce(lag(e) OVER up, 0) AS units, first_value(lot IGNORE NULLS) OVER rest AS b, first_value(sell IGNORE NULLS) OVER rest AS s FROM ends
+  WINDOW up AS (PARTITION BY wallet, token ORDER BY e, kind, key), rest AS (PARTITION BY wallet, token ORDER BY e, kind, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+)"""
+
 QUERIES = {
     "b2_dedupe_trades": (
         b2,
@@ -150,6 +173,11 @@ QUERIES = {
         WHEN l_linenumber <> 4 THEN l_extendedprice / l_quantity * l_quantity END) * 1e4 + 0.5001) / 1e4 AS value_usd FROM lineitem""",
     ),
     "e1_fifo_match": (e1, BASE + "SELECT wallet, token, lot_key, sell_key, units, floor((invested) * 1e4 + 0.5001) / 1e4 AS invested, floor((proceeds) * 1e4 + 0.5001) / 1e4 AS proceeds, high_quality FROM matches"),
+    "e1_fifo_hot_market": (
+        e1_hot,
+        A.with_views(A.TRADES, POOLED, LEDGER.replace("FROM trades", "FROM pooled"), PIECES) + """SELECT wallet, token, b.k AS lot_key, s.k AS sell_key, units, floor((b.v * 1.015 * units / b.q) * 1e4 + 0.5001) / 1e4 AS invested,
+        floor((s.v * 0.985 * units / s.q) * 1e4 + 0.5001) / 1e4 AS proceeds, b.good AND s.good AS high_quality FROM pieces WHERE units > 0 AND b IS NOT NULL AND s IS NOT NULL""",
+    ),
     "e2_realizations": (
         e2,
         BASE[:-1] + ", " + REAL + """ SELECT wallet, token, sell_key, opened_t, closed_t, units, floor((invested) * 1e4 + 0.5001) / 1e4 AS invested, floor((proceeds) * 1e4 + 0.5001) / 1e4 AS proceeds,
