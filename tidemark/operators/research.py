@@ -45,23 +45,6 @@ def walk_forward_split(rows: DataFrame, at: str, tie: str, embargo: int, shares:
     return placed.where(clear).withColumn("window", window).drop("place")
 
 
-def quantile_thresholds(rows: DataFrame, column: str, quantiles: Sequence[float], fixed: Sequence[float], most: int) -> DataFrame:
-    """Distinct thresholds: lower quantiles sorted[floor((n-1)q)] and fixed values, rounded, the first ``most``."""
-    n = rows.where(F.col(column).isNotNull()).count()
-    placed = ranked_values(rows, column)
-    wanted = sorted({int((n - 1) * q) for q in quantiles}) if n else []
-    lower = placed.where(F.col("place").isin(wanted)).select(F.round(F.col(column), 2).alias("threshold"))
-    given = rows.sparkSession.createDataFrame([(float(x),) for x in fixed], "threshold double")
-    return lower.unionByName(given).distinct().orderBy("threshold").limit(most)
-
-
-def ranked_values(rows: DataFrame, column: str) -> DataFrame:
-    """Places of values in ascending order, equal values on consecutive places."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    last = F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return counts.withColumn("_last", last).select(column, F.explode(F.sequence(F.col("_last") - F.col("_n"), F.col("_last") - 1)).alias("place"))
-
-
 def window_stats(rows: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """n, mean, median, hit rate, profit factor, worst and mean without the best, per keys."""
     v, n = F.col(value), F.count(F.lit(1))

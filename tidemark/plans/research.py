@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import steady
+from tidemark.operators import candidate_grid as C
 from tidemark.operators import outcomes as O
 from tidemark.operators import research as R
 from tidemark.operators import survival as S
@@ -58,7 +59,29 @@ def g8(spark, d):
 
 
 def g6(spark, d):
-    return R.quantile_thresholds(records(spark, d), "liquidity_usd", (0.1, 0.25, 0.5, 0.75, 0.9), (10_000, 50_000), 6)
+    return C.thresholds(records(spark, d), [C.Axis("liquidity_usd", (0.1, 0.25, 0.5, 0.75, 0.9), (10_000, 50_000))]).select("threshold")
+
+
+#: Seconds of the market before an entry whose trade counts.
+FLOW = 21_600
+
+
+def train_features(spark, d):
+    """Entries of the training window with liquidity, and volume and swaps of their market in their stretch of FLOW seconds."""
+    rows = R.walk_forward_split(records(spark, d), "t", "tie", EMBARGO).where("window = 'train'").withColumn("stretch", F.floor(F.col("t") / FLOW))
+    seen = A.price_observations(spark, d).groupBy("token", F.floor(F.col("t") / FLOW).alias("stretch"))
+    flow = seen.agg(F.sum(F.floor(F.col("price_usd") * 100)).cast("double").alias("volume_usd"), F.count(F.lit(1)).alias("swaps"))
+    return rows.join(flow, ["token", "stretch"]).withColumn("volume_per_liquidity", F.col("volume_usd") / F.greatest("liquidity_usd", F.lit(1.0)))
+
+
+def g6_levels(spark, d):
+    levels = C.thresholds(train_features(spark, d))
+    return levels.select("column", F.when(F.col("threshold") != C.FREE, F.col("threshold")).alias("threshold"))
+
+
+def g6_grid(spark, d):
+    grid = C.bounded(C.candidate_grid(C.thresholds(train_features(spark, d))))
+    return grid.select("id", "label", "cohort", "min_repeat", "min_liquidity_usd", "min_volume_usd", "min_share", "max_share", "baseline")
 
 
 def g11(spark, d):
@@ -256,6 +279,39 @@ G16_POLICIES = (
   SELECT policy, "window", n, days, {", ".join(st(c, c) for c in G16_STATS)}, reasons, verdict FROM rs, vd"""
 )
 
+def _levels_sql():
+    """The thresholds of each axis, from a sort of all its values; FREE is null until the axes are listed."""
+    parts = []
+    for a in C.AXES:
+        qs = ", ".join(f"{q!r}::DOUBLE" for q in a.quantiles)
+        fixed = ", ".join("'inf'::DOUBLE" if x == C.FREE else f"{float(x)}::DOUBLE" for x in a.fixed)
+        most = C.MOST_THRESHOLDS - (C.FREE in a.fixed)
+        parts.append(f"""SELECT '{a.column}' AS "column", threshold FROM (SELECT threshold, row_number() OVER (ORDER BY threshold) AS p FROM (
+          SELECT DISTINCT floor(list_sort(v)[floor((len(v) - 1) * q)::BIGINT + 1] * 100 + 0.5) / 100 AS threshold FROM (SELECT list({a.column})::DOUBLE[] AS v FROM feat), (SELECT unnest([{qs}]) AS q)
+          UNION SELECT unnest([{fixed}])) WHERE threshold < 'inf'::DOUBLE) WHERE p <= {most}""")
+        if C.FREE in a.fixed:
+            parts.append(f"SELECT '{a.column}', 'inf'::DOUBLE")
+    return " UNION ALL ".join(parts)
+
+
+def _shown_sql(x):
+    return f"CASE WHEN {x} = 'inf'::DOUBLE THEN 'inf' ELSE regexp_replace({x}::DECIMAL(38,2)::VARCHAR, '\\.?0+$', '') END"
+
+
+LEVELS = SPLIT + f""", flow AS (SELECT token, t // {FLOW} AS stretch, sum(floor(price_usd * 100)) AS volume_usd, count(*) AS swaps FROM prices GROUP BY 1, 2),
+  feat AS (SELECT liquidity_usd, volume_usd, swaps, volume_usd / greatest(liquidity_usd, 1) AS volume_per_liquidity FROM win JOIN flow ON win.token = flow.token AND win.t // {FLOW} = flow.stretch WHERE "window" = 'train'),
+  levels AS ({_levels_sql()})"""
+GRID = LEVELS + f""", cohorts AS (SELECT unnest(c) AS c FROM (SELECT [{", ".join(f"{{'cohort': '{n}', 'balanced': {b}, 'repeats': {list(r)}}}" for n, b, r in C.COHORTS)}] AS c)),
+  who AS (SELECT c.cohort AS cohort, c.balanced AS balanced, unnest(c.repeats) AS min_repeat FROM cohorts),
+  shares AS (SELECT s.low AS min_share, s.high AS max_share FROM (SELECT unnest([{", ".join(f"{{'low': {a}::DOUBLE, 'high': {b}::DOUBLE}}" for a, b in C.SHARES)}]) AS s)),
+  ages AS (SELECT unnest([{", ".join("'inf'::DOUBLE" if a == C.FREE else f"{a}::DOUBLE" for a in C.AGES)}]) AS max_age),
+  free AS (
+    SELECT who.*, l.threshold AS min_liquidity_usd, r.threshold AS max_ratio, max_age FROM who, levels l, levels r, ages WHERE NOT balanced AND l."column" = 'liquidity_usd' AND r."column" = 'volume_per_liquidity'
+    UNION ALL SELECT who.*, 0, 'inf'::DOUBLE, 'inf'::DOUBLE FROM who WHERE balanced),
+  cands AS (SELECT *, v.threshold AS min_volume_usd, s.threshold AS max_swaps FROM free, shares, levels v, levels s WHERE v."column" = 'volume_usd' AND s."column" = 'swaps'),
+  labels_ AS (SELECT *, cohort || ' / repeat>=' || min_repeat || ' / liq>=' || {_shown_sql("min_liquidity_usd")} || ' / vol5m>=' || {_shown_sql("min_volume_usd")} || ' / buyShare=' || {_shown_sql("min_share")} || '-' || {_shown_sql("max_share")}
+    || ' / swaps<=' || {_shown_sql("max_swaps")} || ' / vlr<=' || {_shown_sql("max_ratio")} || ' / age<=' || {_shown_sql("max_age")} AS label FROM cands)"""
+
 QUERIES = {
     "g1_rule_candidates": (g1, REC + ", hit AS (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, * FROM rec WHERE {v}" for k, v in RULES.items()) + f"), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule, token ORDER BY t, tie) AS pn FROM hit) WHERE pn = 1), a AS (SELECT rule, {AGG} FROM f GROUP BY 1) SELECT rule, {SHOW} FROM a"),
     "g2_exit_grid": (g2, PRICES[:-1] + PO.PATH + ", cfg AS (" + " UNION ALL ".join(f"SELECT '{n}' AS exit, {a}::DOUBLE AS take, {b}::DOUBLE AS stop, {c} AS tmo" for n, a, b, c in EXITS) + f"""),
@@ -269,6 +325,10 @@ QUERIES = {
     "g5_lock_best": (g5, LOCK + " SELECT * FROM lk"),
     "g6_threshold_grid": (g6, REC + f""", s AS (SELECT liquidity_usd, row_number() OVER (ORDER BY liquidity_usd) - 1 AS p FROM rec), n AS (SELECT count(*) AS n FROM rec)
         SELECT DISTINCT threshold FROM (SELECT round(liquidity_usd, 2) AS threshold FROM s, n WHERE p IN (floor((n - 1) * 0.1), floor((n - 1) * 0.25), floor((n - 1) * 0.5), floor((n - 1) * 0.75), floor((n - 1) * 0.9)) UNION ALL SELECT 10000.0::DOUBLE UNION ALL SELECT 50000.0::DOUBLE) ORDER BY threshold LIMIT 6"""),
+    "g6_axis_levels": (g6_levels, LEVELS + """ SELECT "column", CASE WHEN threshold < 'inf'::DOUBLE THEN threshold END AS threshold FROM levels"""),
+    "g6_candidate_grid": (g6_grid, GRID + f""" SELECT substr(sha256(label), 1, 16) AS id, label, cohort, min_repeat, min_liquidity_usd, min_volume_usd, min_share, max_share,
+        min_repeat = 0 AND min_liquidity_usd = 0 AND min_volume_usd = 0 AND min_share = 0 AND max_share = 1 AND max_swaps = 'inf'::DOUBLE AND max_ratio = 'inf'::DOUBLE AND max_age = 'inf'::DOUBLE AS baseline
+        FROM labels_ ORDER BY baseline DESC, id LIMIT {C.MOST_CANDIDATES}"""),
     "g7_evaluate_candidates": (g7, EVAL + f' SELECT candidate, "window", passed, {SHOW} FROM ev'),
     "g8_search_decision": (g8, LOCK + """, h AS (SELECT candidate, count(*) FILTER (WHERE passed) AS hp, sum(n)::BIGINT AS hn FROM ev WHERE "window" IN ('holdout1', 'holdout2') GROUP BY 1)
         SELECT lk.candidate, CASE WHEN validation_passed AND hp = 2 THEN 'accepted' WHEN validation_passed THEN 'failed-holdout' ELSE 'rejected' END AS verdict, coalesce(hp, 0) AS holdouts_passed, coalesce(hn, 0) AS holdout_n FROM lk LEFT JOIN h ON lk.candidate = h.candidate"""),
