@@ -39,12 +39,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A null text stays null. Rows with one doc_id are cut apart; repeated rows are
     copies of each other. All columns are kept; n_chars, if there, follows the text.
     """
-    removed, kept, words = (next(n for i in range(len(docs.columns) + 1) if (n := f"{base}_{i}") not in docs.columns) for base in ("removed", "kept", "words"))
-    cut = substring_dedup.remove_repeats(docs, docs.columns, own=(words, removed, kept))
-    cut = cut.withColumn("text", F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
+    # by place, as names may hold dots or differ only in case
+    at = [c if c in ("doc_id", "text", "n_chars") else f"o_{i}" for i, c in enumerate(docs.columns)]
+    cut = substring_dedup.remove_repeats(docs.toDF(*at), at, own=("words", "removed", "kept"))
+    cut = cut.withColumn("text", F.when(F.col("removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    if "n_chars" in at:
         cut = cut.withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+    return cut.select(*at).toDF(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import kept, let, materialize, read_documents
+from tidemark.llm.common import beside, by_place, kept, let, materialize, read_documents
 from tidemark.llm.tokens import _ODD_SPACE, _PIECE, _batches
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -229,11 +229,12 @@ def encode(docs: DataFrame, ranks_path: str | None = None, most_folded: int = FO
     # bytes, as Python texts of all words would take many times the memory of the driver
     shared, name = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
     del table, sink
-    keep = [c for c in keep if c not in ("doc_id", "n_tokens", "ids")]
-    rows = docs.select("doc_id", *[F.col(c).alias(f"o_{i}") for i, c in enumerate(keep)], "text")
+    keep = beside(keep, ("doc_id", "n_tokens", "ids"))
+    at = {c: f"o_{i}" for i, c in reversed(list(enumerate(docs.columns)))}
+    rows = by_place(docs, "doc_id", "text").select("doc_id", *[F.col(at[c]) for c in keep], "text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     encoded = rows.mapInArrow(lambda batches: _encode(path, name, shared, batches), f"{schema}, n_tokens long, ids string")
-    return encoded.select("doc_id", *[F.col(f"o_{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "ids")
+    return encoded.select("doc_id", *[F.col(at[c]).alias(c) for c in keep], "n_tokens", "ids")
 
 
 def decode(ids: Column, ranks_path: str | None = None) -> Column:

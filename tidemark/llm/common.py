@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +96,19 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def by_place(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns of docs as o_0, o_1, .., whose names may hold dots or differ only in case, then those needed by name: exactly if one has it, else in any case."""
+    at = {c.lower(): i for i, c in reversed(list(enumerate(docs.columns)))} | {c: i for i, c in reversed(list(enumerate(docs.columns)))}
+    given = docs.toDF(*[f"o_{i}" for i in range(len(docs.columns))])
+    return given.select("*", *[F.col(f"o_{at[c]}").alias(c) for c in dict.fromkeys(needed)])
+
+
+def beside(columns: Sequence[str], own: Sequence[str]) -> list[str]:
+    """columns without those that an operator makes itself, in any case, as Spark takes names."""
+    taken = {c.lower() for c in own}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def text_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Columns that tell rows apart even where a doc_id repeats with another text."""
     return [F.col(doc_id).alias("k_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k_hash")]

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, read_documents
+from tidemark.llm.common import WORD, beside, by_place, read_documents
 
 #: Weights of the sources in their sort order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -73,13 +73,14 @@ OWN = ("size", "source_size", "target", "copies")
 
 
 def _planned(docs: DataFrame, weights: Sequence[int], share: float, most: float, seed: str) -> DataFrame:
-    """row (all columns of docs) and the columns of OWN."""
+    """row (all columns of docs, by place) and the columns of OWN."""
+    docs, names = by_place(docs, "doc_id", "source", "text"), [f"o_{i}" for i in range(len(docs.columns))]
     per_source = docs.groupBy("source").agg(F.sum(size_of(F.col("text"))).alias("source_size"))
     targets = source_targets(per_source, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.select(F.col("source").alias("t_source"), "source_size", "target", rate.alias("rate"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t_salt"))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), size_of(F.col("text")).alias("size"), salt.alias("salt"), F.col("source").alias("of"), draw(F.col("doc_id"), seed).alias("drawn"))
+    rows = docs.select(F.struct(*names).alias("row"), size_of(F.col("text")).alias("size"), salt.alias("salt"), F.col("source").alias("of"), draw(F.col("doc_id"), seed).alias("drawn"))
     joined = rows.join(targets, F.col("of").eqNullSafe(F.col("t_source")) & (F.col("salt") == F.col("t_salt")))
     whole = F.floor("rate")
     return joined.select("row", "size", "source_size", "target", (whole + (F.col("drawn") < F.col("rate") - whole).cast("int")).cast("int").alias("copies"))
@@ -87,13 +88,14 @@ def _planned(docs: DataFrame, weights: Sequence[int], share: float, most: float,
 
 def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """docs plus size, source_size, target, copies: how often the mix takes each document."""
-    return _planned(docs, weights, share, most, seed).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in OWN], *OWN)
+    at = {c: f"o_{i}" for i, c in reversed(list(enumerate(docs.columns)))}
+    return _planned(docs, weights, share, most, seed).select(*[F.col("row").getField(at[c]).alias(c) for c in beside(docs.columns, OWN)], *OWN)
 
 
 def emit_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as its plan says, with their own columns."""
     planned = _planned(docs, weights, share, most, seed).where("copies > 0")
-    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SEPARATOR, checkpointed, let, materialize, read_documents, words
+from tidemark.llm.common import SEPARATOR, by_place, checkpointed, let, materialize, read_documents, words
 
 MIN_WORDS = 50
 #: Most percent of the words that may lie in repeated three-word windows.
@@ -117,11 +117,12 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     Metrics are worked out once: what is written is host and verdict of every row,
     and the row itself where it passed. It is a checkpoint, as the result reads it.
     """
-    row = F.struct(*docs.columns)
-    measured = docs.select(row.alias("row"), F.col(host).alias("host"), spread(), metrics_of(F.col("text"))["base_failed"].alias("base_failed"))
+    # by place, as names may hold dots or differ only in case
+    given, row = by_place(docs, host, "doc_id", "text"), F.struct(*[f"o_{i}" for i in range(len(docs.columns))])
+    measured = given.select(row.alias("row"), F.col(host).alias("host"), spread(), metrics_of(F.col("text"))["base_failed"].alias("base_failed"))
     measured = checkpointed(measured.withColumn("row", F.when(~F.col("base_failed"), F.col("row"))))
     verdicts = host_verdicts(measured.select("host", "base_failed"))
-    return join_verdicts(measured.where(~F.col("base_failed")), verdicts).where("host_ok").select("row.*")
+    return join_verdicts(measured.where(~F.col("base_failed")), verdicts).where("host_ok").select("row.*").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,13 +29,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Texts, forget, gram_hash, materialize, mix, prefix_hash, slices, slide, span_hash, word_spans
+from tidemark.llm.common import Texts, beside, by_place, forget, gram_hash, materialize, mix, prefix_hash, slices, slide, span_hash, word_spans
 
 BITS = 1 << 26
 #: Bits of one row of the bitmap, as Spark builds it.
 PART = 32_768
 #: A name met more often is hot, but only so many names: which ones are never changes the result.
 HOT_NAME, HOT_NAMES, SALTS = 2000, 65_536, 32
+#: Copies of a text that go to one task; beyond, the texts of most copies are dealt to several.
+COPIES, HOT_TEXTS = 10_000, 65_536
 #: Bytes of segments that a task compares at once; a name's segments are never divided.
 CHUNK_BYTES = 2_000_000
 SPANS = "k_id long, k_hash long, first long, last long"
@@ -215,7 +217,7 @@ def keyed(docs: DataFrame, *columns: Column) -> DataFrame:
 def by_text(docs: DataFrame, *columns: Column) -> DataFrame:
     """columns, then k_id and k_hash, 128 bits of hash of the text, then text: equal texts have equal spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(*columns, F.xxhash64(text, F.lit(1)).alias("k_id"), F.xxhash64(text).alias("k_hash"), text.alias("text"))
+    return docs.select(*columns, F.xxhash64(F.lit(1), text).alias("k_id"), F.xxhash64(text).alias("k_hash"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, by_words: bool, width: int, gram: int, find) -> DataFrame:
@@ -340,18 +342,32 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], schema=pa.schema([*list(batch.schema)[:-1], pa.field("packed", pa.binary())]))
 
 
+def hot_texts(docs: DataFrame, copies: int) -> DataFrame:
+    """(k_id, k_hash, shares) of texts with more copies than ``copies``: the most frequent, so that each of the rest has less than one row in HOT_TEXTS of all."""
+    counts = by_text(docs).groupBy("k_id", "k_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > copies)
+    most = counts.orderBy(F.desc("n"), "k_id", "k_hash").limit(HOT_TEXTS)
+    return materialize(most.select("k_id", "k_hash", F.ceil(F.col("n") / copies).alias("shares")))
+
+
 def cut_rows(docs: DataFrame, spans: DataFrame, columns: list[str], cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], own: dict[str, str]) -> DataFrame:
     """The named columns of docs and the columns ``own`` that cut makes of (.., text as zstd, array of (first, last)); all rows of docs stay."""
-    kept = [c for c in columns if c not in own]
-    rows = by_text(docs, *[F.col(c).alias(f"o_{i}") for i, c in enumerate(kept)])
+    kept = beside(columns, own)
+    at = {c: f"o_{i}" for i, c in reversed(list(enumerate(docs.columns)))}
+    given = by_place(docs, "text")
+    hot = F.broadcast(hot_texts(given.select("text"), COPIES))
+    # copies of a text, of the empty one too, are dealt to as many tasks as they need
+    rows = by_text(given, *[F.col(at[c]).alias(f"c_{i}") for i, c in enumerate(kept)], F.monotonically_increasing_id().alias("row")).join(hot, ["k_id", "k_hash"], "left")
+    names = [f"c_{i}" for i in range(len(kept))]
+    rows = rows.select(*names, "k_id", "k_hash", F.coalesce(F.pmod("row", "shares"), F.lit(0)).alias("deal"), "text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", packed binary"
     packed = rows.mapInArrow(_pack, schema)
     listed = spans.groupBy("k_id", "k_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    joined = packed.join(listed, ["k_id", "k_hash"], "left").drop("k_id", "k_hash")
+    listed = listed.join(hot, ["k_id", "k_hash"], "left").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("shares"), F.lit(1)) - 1))).drop("shares")
+    joined = packed.join(listed, ["k_id", "k_hash", "deal"], "left").drop("k_id", "k_hash", "deal")
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]], *[f"r_{i} {t}" for i, t in enumerate(own.values())]])
     # cut names its columns itself; Spark takes them by place
     named = joined.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays(b.columns, [*b.schema.names[: len(kept)], *[f"r_{i}" for i in range(len(own))]]) for b in cut(batches)), schema)
-    return named.select(*[F.col(f"o_{i}").alias(c) for i, c in enumerate(kept)], *[F.col(f"r_{i}").alias(c) for i, c in enumerate(own)])
+    return named.select(*[F.col(n).alias(c) for n, c in zip(names, kept, strict=True)], *[F.col(f"r_{i}").alias(c) for i, c in enumerate(own)])
 
 
 def merge_spans(spans: list[dict] | None) -> list[tuple[int, int]]:

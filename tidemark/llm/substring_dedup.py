@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Texts, powers, prefix_hash, read_documents, span_hash, word_spans
+from tidemark.llm.common import Texts, by_place, powers, prefix_hash, read_documents, span_hash, word_spans
 from tidemark.llm.repeats import cut_rows, merge_spans, repeated_spans, runs_of
 
 WINDOW, GRAM = 35, 8
@@ -94,7 +94,7 @@ OWN = {"n_words": "long", "n_removed": "long", "kept": "string"}
 
 def remove_repeats(docs: DataFrame, columns: list[str], window: int = WINDOW, gram: int = GRAM, own: Sequence[str] = tuple(OWN)) -> DataFrame:
     """The named columns of docs, n_words, n_removed and kept (or as ``own`` names them): the words outside recurring passages."""
-    spans = repeated_spans(docs, True, window, gram, lambda distinct, times: passages(distinct, times, window))
+    spans = repeated_spans(by_place(docs, "text").select("text"), True, window, gram, lambda distinct, times: passages(distinct, times, window))
     return cut_rows(docs, spans, columns, _cut, dict(zip(own, OWN.values(), strict=True)))
 
 

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prefix_hash, read_documents, span_hash
+from tidemark.llm.common import by_place, prefix_hash, read_documents, span_hash
 from tidemark.llm.repeats import cut_rows, merge_spans, repeated_spans, runs_of
 
 WIDTH, GRAM = 200, 24
@@ -190,7 +190,7 @@ OWN = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binar
 
 def remove_repeats(docs: DataFrame, columns: list[str], width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """The named columns of docs, n_bytes, n_removed, n_spans and kept: the bytes outside repeated strings."""
-    spans = repeated_spans(docs, False, width, gram, lambda distinct, times: repeated(distinct, times, width))
+    spans = repeated_spans(by_place(docs, "text").select("text"), False, width, gram, lambda distinct, times: repeated(distinct, times, width))
     return cut_rows(docs, spans, columns, _cut, OWN)
 
 
