@@ -143,6 +143,42 @@ def trade_metrics(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+#: The confidence from which a signal belongs to a bucket.
+CONFIDENCE = (("0_49", None), ("50_69", 50), ("70_84", 70), ("85_100", 85))
+
+
+def replay_metrics(signals: DataFrame, trades: DataFrame) -> DataFrame:
+    """One row over all signals (signal_key, confidence) and their closed trades (signal_key, pnl, return_pct, hold_minutes, reason).
+
+    tail is the return at place floor(n / 20) in ascending order. Signals without a
+    trade found no liquid entry and count as liquidity failures. precision is the
+    share of a bucket's signals whose trade won. Rates of nothing are 0; a null
+    confidence belongs to the last bucket.
+    """
+    bucket = F.lit("85_100")
+    for (name, _), (_, upper) in reversed(list(zip(CONFIDENCE, CONFIDENCE[1:], strict=False))):
+        bucket = F.when(F.col("confidence") < upper, name).otherwise(bucket)
+    rows = signals.select("signal_key", bucket.alias("bucket")).join(trades.select("signal_key", "pnl", "return_pct", "hold_minutes", "reason"), "signal_key", "left")
+    won, lost, closed = F.col("pnl") > 0, F.col("pnl") <= 0, F.col("pnl").isNotNull()
+    n, signalled = F.count("pnl"), F.count(F.lit(1))
+    gain, loss = F.coalesce(F.sum(F.when(won, F.col("pnl"))), F.lit(0.0)), F.coalesce(-F.sum(F.when(lost, F.col("pnl"))), F.lit(0.0))
+    some, none = F.greatest(n, F.lit(1)), lambda x: F.coalesce(x, F.lit(0.0))
+    precision = [
+        (F.count_if(won & (F.col("bucket") == b)) / F.greatest(F.count_if(F.col("bucket") == b), F.lit(1))).alias(f"precision_{b}") for b, _ in CONFIDENCE
+    ]
+    out = rows.agg(
+        n.alias("trades"), signalled.alias("signals"), (F.count_if(won) / some).alias("win_rate"),
+        F.when(loss > 0, gain / loss).when(gain > 0, F.lit(PROFIT_FACTOR_TOP)).otherwise(F.lit(0.0)).alias("profit_factor"),
+        none(F.avg("return_pct")).alias("mean_"), none(F.percentile("return_pct", F.lit(0.5))).alias("median_"), none(F.avg("hold_minutes")).alias("hold"),
+        (F.count_if(closed & (F.col("reason") == "rug")) / some).alias("rug_rate"),
+        ((F.count_if(~closed) + F.count_if(F.col("reason") == "liquidity_failure")) / F.greatest(signalled, F.lit(1))).alias("liquidity_failure_rate"), *precision,
+    )
+    closed_trades = rows.where("pnl IS NOT NULL")
+    place = int(closed_trades.count() * 0.05)
+    tail = ranked(closed_trades, "return_pct", "signal_key").where(F.col("place") == place).agg(none(F.max("return_pct")).alias("tail"))
+    return out.crossJoin(F.broadcast(tail))
+
+
 def trailing_runs(runs: DataFrame, key: str, at: str, good: Column) -> DataFrame:
     """Per key the number of consecutive good runs up to the latest, and the time they span."""
     back = running([key], [F.desc(at)])

@@ -162,6 +162,15 @@ def g17(spark, d):
     return out.select("bucket", "n", *[steady(F.col(c)).alias(c) for c in ("win_rate", "profit_factor", "mean_", "median_", "tail", "hold", "rug_rate")])
 
 
+def g17_replay(spark, d):
+    """Metrics of all signals; a signal's confidence is the share of its token's rows up to it that are liquid, in per cent."""
+    signals = PO.signals(spark, d)
+    seen = A.price_observations(spark, d).select("token", F.col("t").alias("seen_t"), (F.col("liquidity_usd") >= 20_000).alias("liquid"))
+    of = signals.join(seen, "token").where("seen_t <= t").groupBy("signal_key").agg(F.floor(100 * F.count_if("liquid") / F.count(F.lit(1))).alias("confidence"))
+    out = R.replay_metrics(of, O.trade_pnl(PO.plans(spark, d), 100.0, 30.0, 50.0))
+    return out.select("trades", "signals", *[steady(F.col(c)).alias(c) for c in out.columns if c not in ("trades", "signals")])
+
+
 RULES = {"deep": "liquidity_usd >= 30000", "shallow": "liquidity_usd < 10000", "even": "entry_key % 2 = 0", "third": "entry_key % 3 = 0", "whale": "liquidity_usd >= 100000", "safe": "NOT rugged"}
 
 
@@ -279,6 +288,10 @@ G16_POLICIES = (
   SELECT policy, "window", n, days, {", ".join(st(c, c) for c in G16_STATS)}, reasons, verdict FROM rs, vd"""
 )
 
+TRADED = SIG + PO.PLAN.removeprefix(PO.SIGS) + """, got AS (SELECT *, 100 / entry_price * CASE WHEN reason IN ('rug', 'liquidity_failure') THEN 0 ELSE coalesce(exit_price, entry_price) * (1 - 50.0::DOUBLE / 10000) END AS got FROM plan),
+  traded AS (SELECT *, got - 100 - (got + 100) * 30 / 10000 AS pnl, got - 100 - (got + 100) * 30 / 10000 AS r, (coalesce(exit_t, entry_t) - entry_t) / 60 AS held FROM got)"""
+
+
 def _levels_sql():
     """The thresholds of each axis, from a sort of all its values; FREE is null until the axes are listed."""
     parts = []
@@ -347,7 +360,16 @@ QUERIES = {
     "g16_online_threshold": (g16t, PRICES + """SELECT obs_key, CASE WHEN len(l) >= 100 THEN list_sort(l)[ceil((len(l) - 1) * 0.9)::INT + 1] END AS threshold FROM (SELECT obs_key, list(price_usd) OVER (PARTITION BY event_type ORDER BY t, obs_key ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) AS l FROM prices)"""),
     "g16_decisions": (g16_decisions, G16_RECORDS + ", " + g16_sql("d_", "SELECT * FROM sup") + f" SELECT market, context, history, {', '.join(st(c, c) for c in G16)}, evidence, experienced, mature, gate, by_market, by_wallet FROM d_dc"),
     "g16_contextual_survival": (g16_policies, G16_POLICIES),
-    "g17_trade_metrics": (g17, None),
+    "g17_trade_metrics": (g17, TRADED + f""" SELECT CASE WHEN entry_price < 40 THEN 'low' ELSE 'high' END AS bucket, count(*) AS n, {st('avg((r > 0)::INT)', 'win_rate')},
+        {st("CASE WHEN min(r) < 0 THEN sum(greatest(r, 0)) / -sum(least(r, 0)) WHEN max(r) > 0 THEN 999 ELSE 0 END", 'profit_factor')}, {st('avg(r)', 'mean_')}, {st('median(r)', 'median_')},
+        {st('quantile_cont(r, 0.05)', 'tail')}, {st('avg(held)', 'hold')}, {st("avg((reason = 'rug')::INT)", 'rug_rate')} FROM traded GROUP BY 1"""),
+    "g17_replay_metrics": (g17_replay, TRADED + f""", conf AS (SELECT signal_key, floor(100 * count(*) FILTER (WHERE p.liquidity_usd >= 20000) / count(*)) AS c FROM sigs s JOIN prices p ON s.token = p.token AND p.t <= s.t GROUP BY 1),
+        j AS (SELECT c, pnl, r, held, reason FROM conf LEFT JOIN traded ON conf.signal_key = traded.signal_key)
+        SELECT count(pnl) AS trades, count(*) AS signals, {st('count(*) FILTER (WHERE pnl > 0) / count(pnl)', 'win_rate')}, {st('sum(pnl) FILTER (WHERE pnl > 0) / -sum(pnl) FILTER (WHERE pnl <= 0)', 'profit_factor')},
+        {st('avg(r)', 'mean_')}, {st('median(r)', 'median_')}, {st('avg(held)', 'hold')}, {st("count(*) FILTER (WHERE reason = 'rug') / count(pnl)", 'rug_rate')},
+        {st("count(*) FILTER (WHERE pnl IS NULL OR reason = 'liquidity_failure') / count(*)", 'liquidity_failure_rate')},
+        {", ".join(st(f"count(*) FILTER (WHERE pnl > 0 AND c >= {lo} AND c < {hi}) / greatest(count(*) FILTER (WHERE c >= {lo} AND c < {hi}), 1)", f'precision_{b}') for b, lo, hi in (('0_49', 0, 50), ('50_69', 50, 70), ('70_84', 70, 85), ('85_100', 85, 101)))},
+        {st('list_sort(list(r) FILTER (WHERE r IS NOT NULL))[floor(count(pnl) * 0.05::DOUBLE)::BIGINT + 1]', 'tail')} FROM j"""),
     "g20_goal_audit": (g20, ROWS + f", pl AS (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY t, tie) - 1 AS place FROM rets), x AS (SELECT *, CASE WHEN place >= 20 THEN 'late' ELSE 'middle' END AS part FROM pl WHERE place >= 10), a AS (SELECT wallet, part, {AGG} FROM x GROUP BY 1, 2) SELECT wallet, count(*) AS parts, bool_and(mean_ > 0 AND median_ >= 0) AS ok, sum(n)::BIGINT AS n FROM a GROUP BY 1"),
     "g21_hypothesis_persistence": (g21, """WITH b AS (SELECT *, sum((o_orderstatus = 'P')::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS bad FROM orders)
         SELECT o_custkey AS hypothesis, count(*) FILTER (WHERE bad = 0) AS streak, coalesce(max(CASE WHEN bad = 0 THEN o_orderkey END) - min(CASE WHEN bad = 0 THEN o_orderkey END), 0) AS span FROM b GROUP BY 1"""),

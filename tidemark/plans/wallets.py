@@ -207,7 +207,14 @@ QUERIES = {
     "d17_entry_gate_reason": (d17, """SELECT p_partkey, CASE WHEN NOT p_retailprice > 905 THEN 'price' WHEN p_partkey % 50 * 1000 < 5000 THEN 'liquidity' WHEN p_partkey % 31 < 3 THEN 'volume' WHEN p_partkey % 10 NOT BETWEEN 2 AND 8 THEN 'share' WHEN p_partkey % 60 < 5 THEN 'age' END AS reason FROM part"""),
     "f16_token_features": (f16, TRADES[:-1] + f""", po AS (SELECT p_brand AS token, arg_max('p' || p_partkey, (p_partkey % 700 * 10, -p_partkey)) AS pool0, max(p_partkey % 700 * 10.0::DOUBLE) AS liquidity_usd FROM part GROUP BY 1), pp AS (SELECT po.token, min('p' || p_partkey) AS pool, liquidity_usd FROM po JOIN part ON p_brand = po.token AND p_partkey % 700 * 10 = liquidity_usd GROUP BY 1, 3),
         w AS (SELECT token, count(DISTINCT wallet) AS smart_wallets, avg(CAST(substr(wallet, 2) AS DOUBLE)) AS a FROM trades GROUP BY 1) SELECT pp.token, pool, liquidity_usd, coalesce(smart_wallets, 0) AS smart_wallets, {st('coalesce(a, 0)', 'avg_score')} FROM pp LEFT JOIN w ON pp.token = w.token"""),
-    "f18_wallet_feature_score": (f18, None),
+    "f18_wallet_feature_score": (f18, """WITH f AS (SELECT c_custkey AS n, n % 100 / 100.0::DOUBLE AS cluster_, n % 37 / 100.0::DOUBLE AS deployer, (n % 97)::DOUBLE AS sniper, (n % 25)::DOUBLE AS rugged, (n % 90)::DOUBLE AS discipline, n % 11 / 10.0::DOUBLE AS avoidance,
+        (n % 83)::DOUBLE AS copyability, (n % 7)::DOUBLE AS winners, (n % 9)::DOUBLE AS early, (n % 150)::DOUBLE AS median_roi, (n % 300)::DOUBLE AS mean_roi, n % 10 / 10.0::DOUBLE AS win_rate, (n % 5)::DOUBLE AS pf, (n % 40)::DOUBLE AS hold FROM customer),
+        s AS (SELECT *, greatest(0, least(100, cluster_ * 32 + deployer * 45 + sniper * 0.32::DOUBLE + rugged * 1.7::DOUBLE)) AS suspicion, greatest(0, least(100, discipline * 0.35::DOUBLE + avoidance * 25 + copyability * 0.4::DOUBLE)) AS behavior FROM f),
+        r AS (SELECT *, least(100, winners / greatest(early, 1) * 100) * 0.2::DOUBLE + greatest(0, least(100, median_roi * 0.55::DOUBLE + mean_roi * 0.12::DOUBLE)) * 0.2::DOUBLE + least(100, win_rate * 100) * 0.14::DOUBLE
+          + least(100, pf * 24) * 0.16::DOUBLE + behavior * 0.24::DOUBLE - suspicion * 0.3::DOUBLE AS raw FROM s),
+        x AS (SELECT *, floor(greatest(0, least(100, raw * 0.9::DOUBLE)) * 100 + 0.5) / 100 AS score FROM r)
+        SELECT n AS wallet, score, CASE WHEN cluster_ > 0.82::DOUBLE THEN 'bundler_cluster' WHEN deployer > 0.25::DOUBLE THEN 'insider_dev_linked' WHEN sniper > 82 AND copyability < 35 THEN 'sniper_bot' WHEN avoidance < 0.45::DOUBLE OR rugged > 20 THEN 'high_risk_wallet'
+          WHEN score >= 78 AND suspicion < 32 THEN 'alpha_wallet' WHEN score >= 64 AND copyability >= 55 THEN 'copyable_smart_wallet' WHEN score >= 50 AND hold < 25 THEN 'market_maker' ELSE 'noise_wallet' END AS category FROM x"""),
     "f24_qualified_pools": (f24, """WITH r AS (SELECT p_name AS token, arg_max(p_partkey % 4 > 0, p_partkey) AS passed FROM part GROUP BY 1), g AS (SELECT p_name AS token, 'p' || p_partkey AS pool, p_partkey % 700 * 10.0::DOUBLE AS liquidity_usd FROM part JOIN r ON p_name = r.token WHERE passed AND p_partkey % 13 > 3),
         b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY liquidity_usd DESC, pool) AS n FROM g) WHERE n = 1) SELECT token, pool, liquidity_usd FROM b WHERE token NOT IN (SELECT p_name FROM part WHERE p_partkey % 17 = 0) ORDER BY liquidity_usd DESC, token LIMIT 100"""),
     "f26_token_durability": (f26, PRICES[:-1] + f""", r AS (SELECT token, arg_min(price_usd, (t, obs_key)) AS f, arg_max(price_usd, (t, obs_key)) AS l, max(price_usd) AS h, min(price_usd) AS lo, (max(t) - min(t)) / 60 AS age, arg_max(obs_key, (t, obs_key)) AS k, arg_max(liquidity_usd, (t, obs_key)) AS liq FROM prices WHERE price_usd > 0 GROUP BY 1),
