@@ -72,3 +72,32 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], low: Colu
     build = right.withColumn("_bucket", F.floor(F.col(at) / width))
     inside = probe.join(build, [*keys, "_bucket"]).where((F.col(at) >= F.col("_low")) & (F.col(at) <= F.col("_high")))
     return inside.drop("_low", "_high", "_bucket")
+
+
+def near_row(left: DataFrame, right: DataFrame, keys: Sequence[str], bound: Column, at: str, ties: Sequence[str], width: int, name: str, back: bool = False) -> DataFrame:
+    """left plus the struct ``name``: of the rows of right of equal keys the first by (at, ties) with at >= bound, null if none; back: the last with at <= bound.
+
+    One pass in order instead of a join of rows: both sides are cut to time
+    buckets of ``width``, a bucket is sorted once, and the last row seen is kept.
+    Where the bucket has none, the next bucket's first row stands, of one row
+    per key and bucket. So work grows with the rows of both sides.
+    """
+    keys, best, turn = list(keys), F.max if back else F.min, F.asc if back else F.desc
+    rest = [c for c in right.columns if c not in (*keys, at, *ties)]
+    sound = F.col(at).isNotNull()
+    for k in keys:
+        sound = sound & F.col(k).isNotNull()
+    build = right.where(sound).select(*keys, F.col(at).alias("_at"), F.struct(at, *ties, *rest).alias("_right"))
+    probe = left.select(*keys, bound.alias("_at"), F.struct(*left.columns).alias("_left"))
+    rows = build.withColumn("_left", F.lit(None).cast(probe.schema["_left"].dataType)).unionByName(probe.withColumn("_right", F.lit(None).cast(build.schema["_right"].dataType)))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_at") / width))
+    # a row of right comes before the rows of left with the same time
+    order = [turn("_at"), F.col("_left").isNotNull(), *[turn(F.col("_right")[c]) for c in ties]]
+    seen = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = rows.withColumn("_near", F.last("_right", ignorenulls=True).over(seen)).where("_left IS NOT NULL")
+    before = Window.partitionBy(*keys).orderBy(turn("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "_bucket").agg(best("_right").alias("_end")).withColumn("_end", F.last("_end", ignorenulls=True).over(before))
+    ends = ends.where("_end IS NOT NULL AND _bucket IS NOT NULL")
+    found = near.join(ends, [*keys, "_bucket"], "left")
+    there = F.when(F.col("_at").isNotNull(), F.coalesce("_near", "_end"))
+    return found.select("_left.*", there.alias(name))
