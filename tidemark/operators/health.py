@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import first_by, range_join
+from tidemark.functions.common import first_by
+from tidemark.operators.market import window_flow
 
 CHECKPOINTS_S = (0, 15, 30, 60, 120, 300)
 
@@ -80,9 +81,8 @@ def decision_checkpoints(decisions: DataFrame, terminal: DataFrame) -> DataFrame
 
 def flow_since_decision(decisions: DataFrame, trades: DataFrame, span: int) -> DataFrame:
     """Distinct buyers and sellers in the span after each decision."""
-    near = range_join(decisions.select("decision", "token", "t"), trades, ["token"], F.col("t"), F.col("t") + span, "trade_t", span + 1)
-    buy = F.col("side") == "buy"
-    seen = near.groupBy("decision").agg(F.countDistinct(F.when(buy, F.col("trader"))).alias("buyers"), F.countDistinct(F.when(~buy, F.col("trader"))).alias("sellers"))
+    ends = decisions.select(F.col("decision").alias("id"), "token", (F.col("t") + span).alias("end"))
+    seen = window_flow(ends, trades.withColumns({"volume": F.lit(None).cast("double"), "price": F.lit(None).cast("double")}), span).select(F.col("id").alias("decision"), "buyers", "sellers")
     return decisions.select("decision").join(seen, "decision", "left").fillna(0)
 
 

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import first_by, range_join, running
+from tidemark.functions.common import first_by, near_row, range_join, running
+from tidemark.functions.scratch import stored
+from tidemark.operators.research import ranked
 
 
 def pending_buys(swaps: DataFrame, entries: DataFrame, keys: Sequence[str] = ("wallet", "token")) -> DataFrame:
@@ -29,12 +31,68 @@ def entry_decision(controlled: Column, risk_known: Column, risk_passed: Column)
 
 def materialize_entries(pending: DataFrame, obs: DataFrame, within: int, controlled: Column) -> DataFrame:
     """Each pending buy with the first observation of its pool at or after it, and its cohort."""
-    near = range_join(pending.select("swap_key", "pool", "t"), obs.select("pool", F.col("t").alias("obs_t"), "obs_key", "price_usd", "liquidity_usd"), ["pool"], F.col("t"), F.col("t") + within, "obs_t", within + 1)
-    seen = first_by(near, ["swap_key"], ["obs_t", "obs_key"]).drop("pool", "t")
+    rows = obs.select("pool", F.col("t").alias("obs_t"), "obs_key", "price_usd", "liquidity_usd")
+    near = near_row(pending.select("swap_key", "pool", "t"), rows, ["pool"], F.col("t"), "obs_t", ["obs_key"], within + 1, "near")
+    seen = near.where(F.col("near.obs_t") <= F.col("t") + within).select("swap_key", "near.obs_t", "near.obs_key", "near.price_usd", "near.liquidity_usd")
     out = pending.join(seen, "swap_key")
     return out.withColumn("cohort", F.when(~controlled, "excluded-uncontrolled-flow").when(F.col("prior_tokens") >= 2, "repeat-wallet+controlled-flow").otherwise("controlled-flow-control"))
 
 
+#: Rows of a block, and blocks of a block of the next level.
+FANOUT = 16
+
+
+def first_crossing(entries: DataFrame, rows: DataFrame, keys: Sequence[str], take_pct: float, stop_pct: float) -> DataFrame:
+    """Per entry (entry_key, keys, entry_t, entry_price) that has one, ``threshold``: the first row (obs_t, obs_key, price_usd, rugged) from entry_t on that gains take_pct or loses stop_pct.
+
+    A market's rows are numbered and cut to blocks of FANOUT, these again, and so
+    on; each block knows its least and greatest price. As the gain is monotone in
+    the price, they tell whether a block holds such a row. An entry looks through
+    the rest of its block, climbs until a block has one, and comes down to it: it
+    meets two blocks a level, however far the row is. From a price of 0 every
+    price is a gain.
+    """
+    keys = list(keys)
+    placed = stored(ranked(rows.where(_all_known(keys)), "obs_t", "obs_key", keys=keys).select(*keys, "place", "obs_t", "obs_key", "price_usd", "rugged"))
+    top = placed.agg(F.max("place")).first()[0] or 0
+    start = near_row(entries.select("entry_key", *keys, "entry_t", "entry_price"), placed.select(*keys, "obs_t", "obs_key", "place"), keys, F.col("entry_t"), "obs_t", ["obs_key"], 86_400, "first")
+    # place is the next one to look at on the level
+    left = start.where("first IS NOT NULL").select("entry_key", *keys, "entry_price", F.col("first.place").alias("place"))
+    gain = lambda p: F.when(F.col("entry_price") != 0, (p / F.nullif(F.col("entry_price"), F.lit(0.0)) - 1) * 100)
+    met = lambda p: F.when(F.col("entry_price") == 0, p.isNotNull()).otherwise((gain(p) >= take_pct) | (gain(p) <= stop_pct))
+    levels = [placed.select(*keys, "place", F.col("price_usd").alias("low"), F.col("price_usd").alias("high"))]
+    while top >= FANOUT:
+        up = levels[-1].groupBy(*keys, F.floor(F.col("place") / FANOUT).alias("place")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        levels.append(stored(up))
+        top //= FANOUT
+    blocks = [x.groupBy(*keys, F.floor(F.col("place") / FANOUT).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("place", "low", "high"))).alias("_inner")) for x in levels]
+
+    def look(some: DataFrame, level: int) -> DataFrame:
+        """some with place moved to the first child from it on, within its block, that holds a row; null if none."""
+        here = some.withColumn("_block", F.floor(F.col("place") / FANOUT)).join(blocks[level], [*keys, "_block"])
+        hit = F.filter("_inner", lambda b: (b["place"] >= F.col("place")) & (met(b["low"]) | met(b["high"])))
+        return here.select("entry_key", *keys, "entry_price", "_block", F.get(hit, F.lit(0))["place"].alias("place"))
+
+    found = None
+    climbed = []
+    for level in range(len(levels)):
+        seen = stored(look(left, level))
+        climbed.append(seen.where("place IS NOT NULL").drop("_block"))
+        # the blocks behind, as children of the next level
+        left = seen.where("place IS NULL").select("entry_key", *keys, "entry_price", (F.col("_block") + 1).alias("place"))
+    for level in reversed(range(len(levels))):
+        here = climbed[level] if found is None else climbed[level].unionByName(look(found, level).drop("_block"))
+        found = stored(here) if level == 0 else here.withColumn("place", F.col("place") * FANOUT)
+    return found.join(placed, [*keys, "place"]).select("entry_key", F.struct("obs_t", "obs_key", "price_usd", "rugged").alias("threshold"))
+
+
+def _all_known(keys: Sequence[str]) -> Column:
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return known
+
+
 def outcomes(entries: DataFrame, obs: DataFrame, now: int, horizon: int, delay: int, exit_strategy: str = "fixed-horizon", cost_pct: float = 3.0, take_pct: float = 15.0, stop_pct: float = -20.0) -> DataFrame:
     """Per entry (entry_key, token, pool, t, entry_price) its outcome on observations (token, pool, t, obs_key, price_usd, rugged) up to now.
 
@@ -42,32 +100,28 @@ def outcomes(entries: DataFrame, obs: DataFrame, now: int, horizon: int, delay:
     the first row from horizon to horizon + delay, and, for the threshold exit,
     the first row by the horizon that gains or loses enough. Otherwise the last
     row so far. An entry without a pool takes any pool of its token. Rows with
-    executable false (a column that may be missing) count only if rugged. Each
-    entry meets the rows up to its deadline; from what is later it needs the
-    first rug, from the few rugged rows, and the latest row of its market, one
-    row per market.
+    executable false (a column that may be missing) count only if rugged. The
+    rows that end an entry are found by near_row and first_crossing, without a
+    join of an entry and its path.
     """
     e = entries.select("entry_key", "token", "pool", F.col("t").alias("entry_t"), "entry_price")
     if "executable" in obs.columns:
         obs = obs.where("rugged OR coalesce(executable, true)")
     o = obs.select("token", "pool", F.col("t").alias("obs_t"), "obs_key", "price_usd", "rugged").where(F.col("obs_t") <= now)
     at = F.struct("obs_t", "obs_key", "price_usd", "rugged")
-    target = F.col("entry_t") + horizon
-    deadline = F.least(target + delay, F.lit(now))
-    gross = (F.col("price_usd") - F.col("entry_price")) / F.col("entry_price") * 100
-    legs = [
-        F.min(F.when(F.col("rugged"), at)).alias("rug"),
-        F.min(F.when(F.col("obs_t").between(target, target + delay), at)).alias("fixed"),
-        F.min(F.when((F.col("obs_t") <= target) & (F.col("rugged") | (gross >= take_pct) | (gross <= stop_pct)), at)).alias("threshold"),
-    ]
+    target, width = F.col("entry_t") + horizon, max(3600, horizon + delay)
     seen = None
     for some, keys in ((e.where("pool IS NOT NULL"), ["token", "pool"]), (e.where("pool IS NULL").drop("pool"), ["token"])):
         rows = o.select(*keys, "obs_t", "obs_key", "price_usd", "rugged")
-        path = range_join(some, rows, keys, F.col("entry_t"), deadline, "obs_t", max(3600, horizon + delay)).groupBy("entry_key").agg(*legs)
-        rugs = some.join(rows.where("rugged"), keys).where(F.col("obs_t") > deadline).groupBy("entry_key").agg(F.min(at).alias("late_rug"))
+        part = near_row(some, rows.where("rugged"), keys, F.col("entry_t"), "obs_t", ["obs_key"], width, "rug")
+        part = near_row(part, rows, keys, target, "obs_t", ["obs_key"], width, "fixed").withColumn("fixed", F.when(F.col("fixed.obs_t") <= target + delay, F.col("fixed")))
+        if exit_strategy != "fixed-horizon":
+            hits = first_crossing(some, rows, keys, take_pct, stop_pct)
+            part = part.join(hits, "entry_key", "left").withColumn("threshold", F.when(F.col("threshold.obs_t") <= target, F.col("threshold")))
         last = rows.groupBy(*keys).agg(F.max(at).alias("latest"))
-        part = some.join(last, keys, "left").join(path, "entry_key", "left").join(rugs, "entry_key", "left")
-        part = part.withColumn("latest", F.when(F.col("latest.obs_t") >= F.col("entry_t"), F.col("latest"))).withColumn("rug", F.coalesce("rug", "late_rug")).drop("late_rug", "pool")
+        part = part.join(last, keys, "left")
+        part = part.withColumn("latest", F.when(F.col("latest.obs_t") >= F.col("entry_t"), F.col("latest"))).drop("pool")
+        part = part.withColumns({c: F.when(F.col(c).isNotNull(), F.struct(*[F.col(c)[x].alias(x) for x in ("obs_t", "obs_key", "price_usd", "rugged")])) for c in part.columns if c in ("rug", "fixed", "threshold")})
         seen = part if seen is None else seen.unionByName(part)
     exits = ["rug", "fixed"] + (["threshold"] if exit_strategy != "fixed-horizon" else [])
     due = F.lit(now) >= F.col("entry_t") + horizon
