@@ -117,3 +117,12 @@ def test_nothing_new_and_new_wallets(spark):
     out = K.advance(state, frame(spark, other * 2), frame(spark, CASE))
     assert [r.mode for r in out.modes.collect()] == ["started"] and sells(out.realized) == full(spark, other)
     assert out.carried.wallets.count() == 2
+
+
+def test_an_advance_reads_the_trades_once(spark, sf_dir):
+    """History, delta and carried state are tables that the branches share; none goes back to the lines."""
+    from tidemark.plans import ledger as P
+
+    out = P._advanced(spark, sf_dir)
+    for rows in (out.carried.lots, out.realized, out.modes):
+        assert not [f for f in rows.inputFiles() if "lineitem" in f]

@@ -83,8 +83,8 @@ def _state(trades: DataFrame, rows: DataFrame, cost_pct: float) -> Carried:
 
 def carry(trades: DataFrame, cost_pct: float = COST_PCT) -> Carried:
     """The state after all of the trades."""
-    trades = _trades(trades)
-    return _state(trades, inventory_rows(eligible_markets(trades)), cost_pct)
+    trades = stored(_trades(trades))
+    return _state(trades, stored(inventory_rows(eligible_markets(trades))), cost_pct)
 
 
 def classify(carried: Carried, delta: DataFrame, history: DataFrame) -> DataFrame:

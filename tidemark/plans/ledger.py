@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import steady
+from tidemark.functions.scratch import stored
 from tidemark.operators import continuation as K
 from tidemark.operators import hot_markets as H
 from tidemark.operators import ledger as L
@@ -116,6 +117,7 @@ def _parts(spark, d):
     last_day = orders.agg(F.max("o_orderdate").alias("last_day"))
     last = orders.join(F.broadcast(last_day), F.col("o_orderdate") == F.col("last_day")).select("signature").distinct().withColumn("late", F.lit(True))
     rows = A.trades(spark, d).join(last, "signature", "left").withColumn("early", (F.col("slot") <= CUT) & F.col("late").isNull()).drop("late")
+    rows = stored(rows)
     return rows.where("early").drop("early"), rows.where("NOT early").drop("early")
 
 
