@@ -112,3 +112,31 @@ def test_no_records(spark):
     assert out.decisions.count() == 0
     rows = out.policies.collect()
     assert len(rows) == 20 and {r.verdict for r in rows} == {"reject"} and all(r.reasons.startswith("count") for r in rows)
+
+
+def test_nested_scopes_by_one_exchange(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(300), rng.choice("aab"), rng.choice("xyz"), rng.randrange(-9, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, t long, wallet string, context string, v long")
+    done = df.select("wallet", "context", (df.t + 7).alias("frozen_t"), "v")
+    scopes = {"w": ["wallet"], "x": ["wallet", "context"]}
+    want = sorted((i, sum(r[4] for r in rows if r[2] == w and r[1] + 7 < t), sum(r[4] for r in rows if r[2:4] == (w, c) and r[1] + 7 < t)) for i, t, w, c, _ in rows)
+    for hot in (10**6, 150, 0):
+        got = S.causal_sums(df.select("id", "t", "wallet", "context"), done, scopes, ["v"], buckets=9, hot_rows=hot)
+        assert sorted((r.id, r.w_v, r.x_v) for r in got.collect()) == want
+        if hot > 400:
+            assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    whole = S.causal_sums(df.select("id", "t", "context"), done, {"g": [], "c": ["context"]}, ["v"], buckets=9)
+    want = sorted((i, sum(r[4] for r in rows if r[1] + 7 < t), sum(r[4] for r in rows if r[3] == c and r[1] + 7 < t)) for i, t, _, c, _ in rows)
+    assert sorted((r.id, r.g_v, r.c_v) for r in whole.collect()) == want
+
+
+def test_quantiles_of_several_values(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 13)
+    rng = random.Random(7)
+    rows = [(i, float(rng.randrange(40)), float("nan") if i == 70 else float(i % 11)) for i in range(150)]
+    out = S.rolling_quantile(spark.createDataFrame(rows, "place long, a double, b double"), [], ["a", "b"], None, None, ["qa", "qb"], 30, 10)
+    for r in out.collect():
+        for k, q in ((1, r.qa), (2, r.qb)):
+            seen = sorted((x[k] for x in rows[max(0, r.place - 30) : r.place]), key=lambda x: (math.isnan(x), x))
+            assert q == (seen[math.ceil((len(seen) - 1) * 0.9)] if len(seen) >= 10 else None)

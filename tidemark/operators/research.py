@@ -31,18 +31,27 @@ def ranked(rows: DataFrame, at: str, tie: str, buckets: int = 256, keys: Sequenc
     return b.withColumn("_place", place).join(offsets, [*keys, "_b"]).withColumn("place", F.col("_place") + F.col("_before")).drop("_b", "_place", "_before")
 
 
-def walk_forward_split(rows: DataFrame, at: str, tie: str, embargo: int, shares: Sequence[float] = (0.4, 0.6, 0.8)) -> DataFrame:
-    """rows with their window; times at the shares of the rows split them, and rows within the embargo of a split are dropped."""
+def split_times(rows: DataFrame, at: str, tie: str, shares: Sequence[float] = (0.4, 0.6, 0.8)) -> list[int]:
+    """The times at the shares of the rows in order."""
     placed = ranked(rows, at, tie)
     n = rows.count()
     marks = [int(n * s) for s in shares]
     cuts = {r.place: r[at] for r in placed.where(F.col("place").isin(marks)).select("place", at).collect()}
-    times = [cuts[m] for m in marks if m in cuts]
+    return [cuts[m] for m in marks if m in cuts]
+
+
+def window_at(at: str, times: Sequence[int], embargo: int) -> Column:
+    """The window of a time; null within the embargo of a split."""
     window, clear = F.lit(WINDOWS[0]), F.lit(True)
     for name, t in zip(WINDOWS[1:], times, strict=False):
         window = F.when(F.col(at) >= t, name).otherwise(window)
         clear = clear & (F.abs(F.col(at) - t) >= embargo)
-    return placed.where(clear).withColumn("window", window).drop("place")
+    return F.when(clear, window)
+
+
+def walk_forward_split(rows: DataFrame, at: str, tie: str, embargo: int, shares: Sequence[float] = (0.4, 0.6, 0.8)) -> DataFrame:
+    """rows with their window; times at the shares of the rows split them, and rows within the embargo of a split are dropped."""
+    return rows.withColumn("window", window_at(at, split_times(rows, at, tie, shares), embargo)).where("window IS NOT NULL")
 
 
 def window_stats(rows: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:

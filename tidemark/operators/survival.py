@@ -14,6 +14,7 @@ before it (a halo), so blocks are worked on apart.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import first_by
 from tidemark.functions.scratch import stored
-from tidemark.operators.research import PROFIT_FACTOR_TOP, WINDOWS, modeled_return, ranked, walk_forward_split
+from tidemark.operators.hot_markets import carried
+from tidemark.operators.research import PROFIT_FACTOR_TOP, WINDOWS, modeled_return, ranked, split_times, window_at
 
 # fixed values of the method
 FLOOR_PCT, CEILING_PCT, HAZARD_PCT = -100.0, 100.0, -80.0
@@ -38,6 +40,8 @@ LEAST = {"all": (30, 7), "train": (12, 2), "validation": (8, 1), "holdout1": (8,
 SUMS = ("n", "hazards", "calm_n", "calm_sum", "calm_squares", "total")
 #: Rows of a block of a series, besides its halo.
 BLOCK = 4000
+#: A key with more decisions and completions than this is cut to buckets of time.
+HOT_ROWS = 1_000_000
 
 
 # -- records ------------------------------------------------------------------
@@ -71,21 +75,48 @@ def _bucket(column: str, cuts: Sequence[float]) -> Column:
 
 
 # -- what was known --------------------------------------------------------------
-def causal_sums(decisions: DataFrame, completions: DataFrame, keys: Sequence[str], sums: Sequence[str], buckets: int = 256) -> DataFrame:
-    """decisions (id, t, keys) with, for each of sums, the total of the completions (frozen_t, keys, sums) of equal keys strictly before t."""
-    keys = list(keys)
-    events = decisions.select("id", "t", *keys, F.lit(0).alias("_kind"), *[F.lit(None).cast("double").alias(c) for c in sums]).unionByName(
-        completions.select(F.lit(None).cast("long").alias("id"), F.col("frozen_t").alias("t"), *keys, F.lit(1).alias("_kind"), *[F.col(c).cast("double").alias(c) for c in sums])
+def causal_sums(decisions: DataFrame, completions: DataFrame, scopes: dict[str, Sequence[str]], sums: Sequence[str], buckets: int = 256, hot_rows: int | None = None) -> DataFrame:
+    """decisions (t, keys, ...) with, per scope (prefix: keys) and each of sums, the total of the completions (frozen_t, keys, sums) of equal keys strictly before t.
+
+    The keys of the first scope lead those of the others, so that one exchange and
+    one pass serve them all. Where they name more than ``hot_rows`` rows, time is cut
+    to buckets and a bucket opens with a row of what came before it.
+    """
+    base, keys = list(next(iter(scopes.values()))), list(dict.fromkeys(k for ks in scopes.values() for k in ks))
+    types = {f.name: f.dataType for f in decisions.schema.fields}
+    none = lambda kind: F.lit(None).cast(kind)
+    events = decisions.select("*", F.col("t").alias("_at"), F.lit(0).alias("_kind"), *[none("double").alias(f"_{c}") for c in sums]).unionByName(
+        completions.select(*[F.col(c) if c in keys else none(kind).alias(c) for c, kind in types.items()], F.col("frozen_t").alias("_at"), F.lit(1).alias("_kind"), *[F.col(c).cast("double").alias(f"_{c}") for c in sums])
     )
-    low, high = (x or 0 for x in events.agg(F.min("t"), F.max("t")).first())
-    events = events.withColumn("_b", F.floor((F.col("t") - low) / max(1, (high - low) // buckets + 1)))
-    whole = events.groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in sums])
-    run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = whole.select(*keys, "_b", *[F.coalesce(F.sum(c).over(run), F.lit(0.0)).alias(f"_{c}") for c in sums])
-    # decisions stand before completions of the same time
-    inner = Window.partitionBy(*keys, "_b").orderBy("t", "_kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    events = events.select("id", "t", *keys, "_b", "_kind", *[F.coalesce(F.sum(c).over(inner), F.lit(0.0)).alias(c) for c in sums]).where("_kind = 0")
-    return events.join(before, [*keys, "_b"]).select("id", *keys, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in sums])
+    hot = None
+    if base:
+        hot = stored(events.groupBy(*base).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (HOT_ROWS if hot_rows is None else hot_rows)).select(*base, F.lit(True).alias("_hot")))
+        hot = None if hot.isEmpty() else hot
+    if base and hot is None:
+        rows = events.withColumns({"_b": F.lit(0).cast("long"), "_scope": none("int")})
+    else:
+        low, high = (x or 0 for x in events.agg(F.min("_at"), F.max("_at")).first())
+        b = F.floor((F.col("_at") - low) / max(1, (high - low) // buckets + 1)).cast("long")
+        if base:
+            marked = carried(events, hot, base)
+            events = marked.withColumn("_b", F.when(F.col("_hot"), b).otherwise(F.lit(0).cast("long")))
+            large = events.where("_hot")
+            events = events.drop("_hot")
+        else:
+            events = large = events.withColumn("_b", b)
+        rows = events.withColumn("_scope", none("int"))
+        for i, ks in enumerate(scopes.values()):
+            run = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+            whole = large.groupBy(*ks, "_b").agg(*[F.sum(f"_{c}").alias(f"_{c}") for c in sums])
+            before = whole.select(*ks, "_b", *[F.sum(f"_{c}").over(run).alias(f"_{c}") for c in sums])
+            opening = before.withColumns({"_at": F.lit(None).cast("long"), "_kind": F.lit(-1), "_scope": F.lit(i)})
+            rows = rows.unionByName(opening, allowMissingColumns=True)
+    for i, (prefix, ks) in enumerate(scopes.items()):
+        # decisions stand before completions of the same time, the opening row before all
+        inner = Window.partitionBy(*ks, "_b").orderBy(F.asc_nulls_first("_at"), "_kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        mine = F.col("_scope").isNull() | (F.col("_scope") == i)
+        rows = rows.withColumns({f"{prefix}_{c}": F.coalesce(F.sum(F.when(mine, F.col(f"_{c}"))).over(inner), F.lit(0.0)) for c in sums})
+    return rows.where("_kind = 0").select(*decisions.columns, *[f"{p}_{c}" for p in scopes for c in sums])
 
 
 def _completions(rows: DataFrame, *keys: str) -> DataFrame:
@@ -96,11 +127,6 @@ def _completions(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "frozen_t", F.lit(1.0).alias("n"), hazard.cast("double").alias("hazards"), calm(F.lit(1.0)).alias("calm_n"), calm(x).alias("calm_sum"), calm(x * x).alias("calm_squares"), x.alias("total"))
 
 
-def _known(rows: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    found = causal_sums(rows, _completions(rows, *keys), keys, SUMS)
-    return found.select("id", *[F.col(c).alias(f"{prefix}_{c}") for c in SUMS])
-
-
 def _shrunk(part: Column, n: Column, prior: Column, strength: float) -> Column:
     return (part + prior * strength) / F.greatest(F.lit(1.0), n + strength)
 
@@ -111,8 +137,8 @@ def _upper(p: Column, n: Column) -> Column:
 
 
 def market_scores(rows: DataFrame) -> DataFrame:
-    """rows (id, ...) with history (completions known), risk, risk_upper, expected, uncertainty and market_score."""
-    out = rows.join(_known(rows, [], "g"), "id").join(_known(rows, ["context"], "c"), "id")
+    """rows with history (completions known), risk, risk_upper, expected, uncertainty and market_score."""
+    out = causal_sums(rows, _completions(rows, "context"), {"g": [], "c": ["context"]}, SUMS)
     c = F.col
     risk = _shrunk(c("c_hazards"), c("c_n"), _shrunk(c("g_hazards"), c("g_n"), F.lit(RUG_PRIOR), GLOBAL_STRENGTH), CONTEXT_STRENGTH)
     mean = _shrunk(c("c_calm_sum"), c("c_calm_n"), _shrunk(c("g_calm_sum"), c("g_calm_n"), F.lit(0.0), GLOBAL_STRENGTH), CONTEXT_STRENGTH)
@@ -127,74 +153,122 @@ def market_scores(rows: DataFrame) -> DataFrame:
 
 
 def wallet_scores(scored: DataFrame) -> DataFrame:
-    """scored with evidence (supporters with a past), experienced, and wallet_score: moved by the best two supporters' own pasts."""
-    each = scored.select("id", "t", "frozen_t", "rugged", "context", "value", "expected", F.explode("supporters").alias("s")).select("*", F.col("s.wallet").alias("wallet"), F.col("s.prior_tokens").alias("prior_tokens")).drop("s")
-    each = stored(each)
-    past = causal_sums(each, _completions(each, "wallet"), ["wallet"], ("n", "total")).select("id", "wallet", F.col("n").alias("w_n"), F.col("total").alias("w_total"))
-    near = causal_sums(each, _completions(each, "wallet", "context"), ["wallet", "context"], ("n", "total")).select("id", "wallet", F.col("n").alias("x_n"), F.col("total").alias("x_total"))
-    rows = each.select("id", "wallet", "prior_tokens", "expected").join(past, ["id", "wallet"]).join(near, ["id", "wallet"])
+    """scored (place, ...) with evidence (supporters with a past), experienced, and wallet_score: moved by the best two supporters' own pasts."""
+    each = scored.select("place", "t", "frozen_t", "rugged", "context", "value", "expected", F.explode("supporters").alias("s")).select("*", F.col("s.wallet").alias("wallet"), F.col("s.prior_tokens").alias("prior_tokens")).drop("s")
+    past = _completions(each, "wallet", "context").select("wallet", "context", "frozen_t", "n", "total")
+    rows = causal_sums(each.select("place", "t", "context", "expected", "wallet", "prior_tokens"), past, {"w": ["wallet"], "x": ["wallet", "context"]}, ("n", "total"))
     base = _shrunk(F.col("w_total"), F.col("w_n"), F.col("expected"), WALLET_STRENGTH)
     moved = (_shrunk(F.col("x_total"), F.col("x_n"), base, WALLET_STRENGTH) - F.col("expected")) * F.col("w_n") / (F.col("w_n") + WALLET_STRENGTH)
-    rows = rows.withColumn("moved", F.when(F.col("w_n") > 0, moved))
-    best = Window.partitionBy("id").orderBy(F.desc_nulls_last("moved"), F.desc("w_n"), "wallet")
-    top = rows.where("moved IS NOT NULL").withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= SUPPORTERS_COUNTED).groupBy("id").agg(F.avg("moved").alias("adjustment"))
-    counts = rows.groupBy("id").agg(F.count("moved").alias("evidence"), F.count_if(F.col("prior_tokens") >= EXPERIENCED).alias("experienced"))
-    out = scored.join(counts, "id").join(top, "id", "left")
-    return out.withColumn("wallet_score", F.col("market_score") + F.coalesce("adjustment", F.lit(0.0))).drop("adjustment", "supporters")
+    rows = rows.select("place", "wallet", "prior_tokens", "w_n", F.when(F.col("w_n") > 0, moved).alias("moved"))
+    best = Window.partitionBy("place").orderBy(F.desc_nulls_last("moved"), F.desc("w_n"), "wallet")
+    rows = rows.withColumn("_nth", F.row_number().over(best))
+    top = F.avg(F.when(F.col("_nth") <= SUPPORTERS_COUNTED, F.col("moved"))).alias("adjustment")
+    found = rows.groupBy("place").agg(F.count("moved").alias("evidence"), F.count_if(F.col("prior_tokens") >= EXPERIENCED).alias("experienced"), top)
+    out = scored.drop("supporters").join(found, "place")
+    return out.withColumn("wallet_score", F.col("market_score") + F.coalesce("adjustment", F.lit(0.0))).drop("adjustment")
 
 
 # -- thresholds -------------------------------------------------------------------
-def rolling_quantile(rows: DataFrame, keys: Sequence[str], value: str, at: str, tie: str, name: str, size: int = LOOKBACK, least: int = LEAST_HISTORY, q: float = QUANTILE) -> DataFrame:
+def rolling_quantile(rows: DataFrame, keys: Sequence[str], value: str | Sequence[str], at: str | None, tie: str | None, name: str | Sequence[str], size: int = LOOKBACK, least: int = LEAST_HISTORY, q: float = QUANTILE) -> DataFrame:
     """rows with the value at place ceil((n - 1) q) of the ``size`` before each in its series (keys), null below ``least`` of them.
 
-    Series are numbered and cut to blocks; a block also gets the last ``size`` values before it.
+    Several values may be named, with as many names. Series are numbered (without
+    ``at`` they have their place) and cut to blocks; a block also gets the last ``size`` values before it.
     """
-    keys = list(keys)
-    placed = ranked(rows, at, tie, keys=keys).withColumn("_block", F.floor(F.col("place") / BLOCK))
-    own = placed.select(*keys, "_block", "place", F.col(value).cast("double").alias("_v"), F.lit(True).alias("_own"))
+    keys, values, names = list(keys), [value] if isinstance(value, str) else list(value), [name] if isinstance(name, str) else list(name)
+    placed = ranked(rows, at, tie, keys=keys) if at else rows
+    block = F.floor(F.col("place") / BLOCK)
     # a halo may reach over several blocks when they are shorter than it
-    ahead = F.explode(F.sequence(F.lit(1), F.lit(math.ceil(size / BLOCK))))
-    halo = own.withColumn("_ahead", ahead).where(F.col("place") >= (F.col("_block") + F.col("_ahead")) * BLOCK - size).select(*keys, (F.col("_block") + F.col("_ahead")).alias("_block"), "place", "_v", F.lit(False).alias("_own"))
+    ahead = F.filter(F.sequence(F.lit(0), F.lit(math.ceil(size / BLOCK))), lambda k: (k == 0) | (F.col("place") >= (block + k) * BLOCK - size))
+    own = placed.select(*keys, block.alias("_of"), "place", *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(values)], F.explode(ahead).alias("_ahead"))
+    own = own.select(*keys, (F.col("_of") + F.col("_ahead")).alias("_block"), "place", *[f"_v{i}" for i in range(len(values))], (F.col("_ahead") == 0).alias("_own"))
     kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
 
+    def quantiles(v: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        out, plain = np.full(len(mine), np.nan), not np.isnan(v).any()
+        seen: list[float] = []
+        first = last = 0
+        for k, i in enumerate(mine):
+            low = max(0, i - size)
+            if i - low < least:
+                continue
+            place = math.ceil((i - low - 1) * q)
+            if not plain:
+                out[k] = np.partition(v[low:i], place)[place]
+                continue
+            # the values in view, kept in order
+            if not seen:
+                seen, first, last = np.sort(v[low:i]).tolist(), low, i
+            for x in v[last:i].tolist():
+                insort(seen, x)
+            for x in v[first:low].tolist():
+                del seen[bisect_left(seen, x)]
+            first, last = low, i
+            out[k] = seen[place]
+        return out
+
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("place")
         mine = np.flatnonzero(part["_own"].to_numpy())
-        v, out = part["_v"].to_numpy(), np.full(len(mine), np.nan)
-        for k, i in enumerate(mine):
-            seen = v[max(0, i - size) : i]
-            if len(seen) >= least:
-                place = math.ceil((len(seen) - 1) * q)
-                out[k] = np.partition(seen, place)[place]
         found = part.iloc[mine][[*keys, "place"]].copy()
-        found["_q"] = out
+        for i in range(len(values)):
+            found[f"_q{i}"] = quantiles(part[f"_v{i}"].to_numpy(), mine)
         return found
 
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "place long", "_q double"])
-    found = own.unionByName(halo).groupBy(*keys, "_block").applyInPandas(solve, schema)
-    found = found.withColumn(name, F.when(~F.isnan("_q"), F.col("_q"))).drop("_q")
-    return placed.drop("_block").join(found, [*keys, "place"]).drop("place")
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "place long", *(f"_q{i} double" for i in range(len(values)))])
+    found = own.groupBy(*keys, "_block").applyInPandas(solve, schema)
+    found = found.select(*keys, "place", *[F.when(~F.isnan(f"_q{i}"), F.col(f"_q{i}")).alias(c) for i, c in enumerate(names)])
+    out = placed.join(found, [*keys, "place"])
+    return out.drop("place") if at else out
 
 
 # -- decisions --------------------------------------------------------------------
-def shuffled_supporters(rows: DataFrame) -> DataFrame:
-    """rows whose supporters are those of the record some places further, round the end: a control that breaks who supported what."""
-    n = rows.count()
-    placed = ranked(rows, "t", "market")
+def _turned(placed: DataFrame, n: int) -> DataFrame:
     shift = max(1, int(n * SHUFFLE_SHARE)) if n > 1 else 0
     given = placed.select(F.pmod(F.col("place") - shift, F.lit(max(1, n))).alias("place"), "supporters")
-    return placed.drop("supporters").join(given, "place").drop("place")
+    return placed.drop("supporters").join(given, "place")
+
+
+def shuffled_supporters(rows: DataFrame) -> DataFrame:
+    """rows whose supporters are those of the record some places further, round the end: a control that breaks who supported what."""
+    return _turned(ranked(rows, "t", "market"), rows.count()).drop("place")
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    """Records with their place in time and what does not depend on supporters, written once."""
+    return stored(market_scores(stored(ranked(stored(rows), "t", "market"))))
+
+
+def _by_wallet() -> Column:
+    return _mature() & (F.col("evidence") > 0) & _chosen("wallet")
+
+
+def _mature() -> Column:
+    return (F.col("history") >= LEAST_HISTORY) & (F.col("risk_upper") <= TOP_RISK)
+
+
+def _chosen(kind: str) -> Column:
+    return F.coalesce((F.col(f"{kind}_score") > 0) & (F.col(f"{kind}_score") >= F.col(f"{kind}_threshold")), F.lit(False))
 
 
 def decide(rows: DataFrame) -> DataFrame:
     """One row per record of decision_records: scores, thresholds, gates and the two selections."""
-    rows = stored(rows.withColumn("id", F.monotonically_increasing_id()))
-    scored = stored(wallet_scores(market_scores(rows)))
-    scored = rolling_quantile(rolling_quantile(scored, [], "market_score", "t", "market", "market_threshold"), [], "wallet_score", "t", "market", "wallet_threshold")
-    mature, gate = F.col("history") >= LEAST_HISTORY, F.col("risk_upper") <= TOP_RISK
-    chosen = lambda kind: F.coalesce((F.col(f"{kind}_score") > 0) & (F.col(f"{kind}_score") >= F.col(f"{kind}_threshold")), F.lit(False))
-    out = scored.withColumns({"mature": mature, "gate": gate, "by_market": mature & gate & chosen("market"), "by_wallet": mature & gate & (F.col("evidence") > 0) & chosen("wallet")})
-    return out.drop("id", "frozen_t", "expected", "uncertainty")
+    return _decided(_scored(rows))
+
+
+def _decided(scored: DataFrame) -> DataFrame:
+    both = stored(wallet_scores(scored))
+    out = rolling_quantile(both, [], ["market_score", "wallet_score"], None, None, ["market_threshold", "wallet_threshold"])
+    gates = {"mature": F.col("history") >= LEAST_HISTORY, "gate": F.col("risk_upper") <= TOP_RISK}
+    out = out.withColumns({**gates, "by_market": _mature() & _chosen("market"), "by_wallet": _by_wallet()})
+    return out.drop("place", "frozen_t", "expected", "uncertainty")
+
+
+def _control(scored: DataFrame) -> DataFrame:
+    """The decisions by wallet (market, t, value, rugged, by_wallet) that the shuffled supporters lead to; all else of them is the same."""
+    both = stored(wallet_scores(_turned(scored, scored.count())).select("place", "market", "t", "value", "rugged", "history", "risk_upper", "evidence", "wallet_score"))
+    out = rolling_quantile(both, [], "wallet_score", None, None, "wallet_threshold")
+    return out.select("market", "t", "value", "rugged", _by_wallet().alias("by_wallet"))
 
 
 @dataclass(frozen=True)
@@ -209,9 +283,10 @@ def policy_windows(decisions: DataFrame, shuffled: DataFrame, embargo: int) -> D
     """Figures and reasons to fail of every policy on every window; also of those that select nothing."""
     picked = decisions.select("market", "t", "value", "rugged", F.array_compact(F.array(F.when(F.col("mature"), F.lit("broad")), F.when(F.col("by_market"), F.lit("market")), F.when(F.col("by_wallet"), F.lit("wallet")))).alias("p"))
     control = shuffled.select("market", "t", "value", "rugged", F.array_compact(F.array(F.when(F.col("by_wallet"), F.lit("shuffled")))).alias("p"))
-    split = walk_forward_split(decisions, "t", "market", embargo).select("market", "window")
+    window = window_at("t", split_times(decisions, "t", "market"), embargo)
     rows = picked.unionByName(control).select("market", "t", "value", "rugged", F.explode("p").alias("policy"))
-    rows = stored(rows.withColumn("window", F.lit("all")).unionByName(rows.join(split, "market")))
+    # rows within the embargo have no window of their own
+    rows = rows.withColumn("window", F.explode(F.array_compact(F.array(F.lit("all"), window))))
     v, n = F.col("value"), F.coalesce("n", F.lit(0))
     gain, loss = F.sum(F.greatest(v, F.lit(0.0))), -F.sum(F.least(v, F.lit(0.0)))
     stats = rows.groupBy("policy", "window").agg(
@@ -235,8 +310,8 @@ def policy_windows(decisions: DataFrame, shuffled: DataFrame, embargo: int) -> D
 
 def contextual_survival(records: DataFrame, embargo: int = 40 * 60) -> Survival:
     """Decisions and policies; the verdict allows a shadow if the wallet policy passes on all windows and beats both controls on the later three."""
-    rows = stored(decision_records(records))
-    decisions, control = stored(decide(rows)), stored(decide(shuffled_supporters(rows)))
+    scored = _scored(decision_records(records))
+    decisions, control = stored(_decided(scored)), stored(_control(scored))
     windows = stored(policy_windows(decisions, control, embargo))
     later = windows.where(F.col("window").isin(*WINDOWS[1:])).groupBy("window").agg(*[F.max(F.when(F.col("policy") == p, F.col("ex_best"))).alias(p) for p in ("wallet", "market", "shuffled")])
     beats = later.agg(F.bool_and((F.col("wallet") > F.col("market")) & (F.col("wallet") > F.col("shuffled"))).alias("beats"))

@@ -130,14 +130,14 @@ def g16t(spark, d):
 def survival_records(spark, d):
     """Orders as markets: their lines' suppliers support them; figures are whole numbers of the lines, so sums are exact."""
     lines = A.table(spark, d, "lineitem")
-    each = lines.groupBy("l_orderkey", "l_suppkey").agg(F.max("l_linenumber").cast("long").alias("prior_tokens"))
-    who = each.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.concat(F.lit("w"), "l_suppkey").alias("wallet"), "prior_tokens")).alias("supporters"))
+    # a supplier of several lines counts once, with its largest number, in decision_records
+    who = F.collect_list(F.struct(F.concat(F.lit("w"), "l_suppkey").alias("wallet"), F.col("l_linenumber").cast("long").alias("prior_tokens"))).alias("supporters")
     cents = lambda x: F.round(x * 100)
     shape = lines.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("lines"), (cents(F.min("l_discount")) * 4 + cents(F.max("l_discount")) * 4 - 25).alias("net_return_pct"), ((F.min("l_returnflag") == "R") & (F.count(F.lit(1)) > 1)).alias("rugged"),
-        (F.max("l_linenumber") + 5).cast("double").alias("pool_age_minutes"), F.min("l_quantity").alias("top10_percent"), (cents(F.max("l_tax")) / 10).alias("volume_liquidity_ratio"), ((cents(F.max("l_tax")) * 2 + 44) / 100).alias("buy_share_5m"),
+        (F.max("l_linenumber") + 5).cast("double").alias("pool_age_minutes"), F.min("l_quantity").alias("top10_percent"), (cents(F.max("l_tax")) / 10).alias("volume_liquidity_ratio"), ((cents(F.max("l_tax")) * 2 + 44) / 100).alias("buy_share_5m"), who,
     )
-    rows = A.table(spark, d, "orders").join(shape, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey").join(who, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = A.table(spark, d, "orders").join(shape, F.col("o_orderkey") == F.col("l_orderkey"))
     t = A.seconds("o_orderdate")
     yes = [F.lit(True).alias(c) for c in S.FLAGS]
     return rows.select(
