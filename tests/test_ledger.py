@@ -60,3 +60,12 @@ def test_old_pools_and_sells_without_lots(spark):
     assert L.fifo_match(rows(spark, [("a", "buy", 1, 1), ("a", "sell", 1, 1)], age=31.0)).count() == 0
     assert L.fifo_match(rows(spark, [("a", "sell", 1, 1), ("a", "buy", 1, 1)])).count() == 0
     assert L.episodes(rows(spark, [])).count() == 0
+
+
+def test_one_pass_over_the_trades(spark):
+    t = rows(spark, [("w", "buy", 100, 100), ("w", "sell", 40, 60), ("w", "buy", 10, 20), ("w", "sell", 70, 90), ("w", "buy", 5, 5)])
+    for made in (L.episodes(t), L.lots(t)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+    assert [(e.episode, e.lots, e.sells, e.status, e.open_units) for e in L.episodes(t).orderBy("episode").collect()] == [(1, 2, 2, "realized", 0.0), (2, 1, 0, "open", 5.0)]
+    assert [(x.lot_key, x.remaining, x.status, x.sell_keys) for x in L.lots(t).orderBy("lot_key").collect()] == [("k000", 0.0, "realized", ["k001", "k003"]), ("k002", 0.0, "realized", ["k003"]), ("k004", 5.0, "open", None)]

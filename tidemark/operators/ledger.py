@@ -10,7 +10,7 @@ sell end, so one sort per market finds all matches.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import first_by, running
@@ -83,12 +83,26 @@ def interval_ends(rows: DataFrame) -> DataFrame:
 
 def match_rows(rows: DataFrame, cost_pct: float = COST_PCT) -> DataFrame:
     """As fifo_match, of ledger rows."""
-    by_end = Window.partitionBy(*MARKET).orderBy("end", "kind", "key")
-    # in descending order the next end is the last one seen, so the frame only ever grows
-    back = Window.partitionBy(*MARKET).orderBy(F.desc("end"), F.desc("kind"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pieces = interval_ends(rows).withColumn("from_", F.coalesce(F.lag("end").over(by_end), F.lit(0.0)))
-    pieces = pieces.withColumn("lot", F.last("lot", ignorenulls=True).over(back)).withColumn("sell", F.last("sell", ignorenulls=True).over(back))
-    return priced_pieces(pieces, cost_pct)
+    return priced_pieces(_pieces(rows.where("side = 'buy' OR sold > 0")), cost_pct)
+
+
+def _pieces(rows: DataFrame) -> DataFrame:
+    """rows, each the end of a lot's or sell's interval of cumulative quantity, with the piece that ends there: end, from_, lot, sell (null: none)."""
+    buy = F.col("side") == "buy"
+    own = F.struct("key", "t", "qty", "value_usd", "episode", F.col("data_quality").isin("observed-execution", "oracle-converted").alias("good"))
+    rows = rows.withColumns({"end": F.when(buy, F.col("bought_end")).otherwise(F.col("sold_end")), "kind": F.when(buy, 0).otherwise(1), "_own": own})
+    # in descending order the next end is the last one seen, so the frame only ever grows; the end before is the next row's
+    down = Window.partitionBy(*MARKET).orderBy(F.desc("end"), F.desc("kind"), F.desc("key"))
+    back = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("from_", F.coalesce(F.lead("end").over(down), F.lit(0.0)))
+    last = lambda of: F.last(F.when(of, F.col("_own")), ignorenulls=True).over(back)
+    return rows.withColumns({"lot": last(buy), "sell": last(~buy)}).drop("_own")
+
+
+def _met() -> tuple[Column, Column]:
+    """Whether a lot and a sell share units in a piece, and how many."""
+    units = F.col("end") - F.col("from_")
+    return (units > 0) & F.col("lot").isNotNull() & F.col("sell").isNotNull(), units
 
 
 def priced_pieces(pieces: DataFrame, cost_pct: float) -> DataFrame:
@@ -124,16 +138,36 @@ def realizations(matches: DataFrame) -> DataFrame:
 
 
 def episodes(trades: DataFrame, cost_pct: float = COST_PCT) -> DataFrame:
-    """One row per round trip: from a buy into an empty inventory until it is empty again."""
-    rows = ledger_rows(trades)
-    w = Window.partitionBy(*MARKET, "episode").orderBy(*[F.desc(c) for c in ORDER])
-    last = rows.where("side = 'buy' OR sold > 0").withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    last = last.select(*MARKET, "episode", F.col("after").alias("open_units"), F.col("t").alias("last_t"))
-    shape = rows.where("side = 'buy'").groupBy(*MARKET, "episode").agg(F.min("t").alias("opened_t"), F.count(F.lit(1)).alias("lots"))
-    money = fifo_match(trades, cost_pct).groupBy(*MARKET, "episode").agg(
-        F.sum("invested").alias("invested"), F.sum("proceeds").alias("proceeds"), F.countDistinct("sell_key").alias("sells"), F.bool_and("high_quality").alias("high_quality")
-    )
-    out = shape.join(last, [*MARKET, "episode"]).join(money, [*MARKET, "episode"], "left")
+    """One row per round trip: from a buy into an empty inventory until it is empty again.
+
+    One pass over the trades: an interval's end tells of its own round trip, the
+    piece that ends there of the lot's, which is another one only where sums of
+    quantities are not exact.
+    """
+    rows = ledger_rows(trades.dropna(subset=MARKET)).where("side = 'buy' OR sold > 0")
+    ends = _pieces(rows.withColumn("_place", F.row_number().over(Window.partitionBy(*MARKET).orderBy(*ORDER))))
+    buy, (met, units) = F.col("side") == "buy", _met()
+    part = {
+        "invested": F.when(met, F.col("lot.value_usd") * (1 + cost_pct / 200) * units / F.col("lot.qty")),
+        "proceeds": F.when(met, F.col("sell.value_usd") * (1 - cost_pct / 200) * units / F.col("sell.qty")),
+        "sell_key": F.when(met, F.col("sell.key")),
+        "good": F.when(met, F.col("lot.good") & F.col("sell.good")),
+    }
+    own = {"bought": buy, "opened_t": F.when(buy, F.col("t")), "after": F.col("after"), "last_t": F.col("t"), "_place": F.col("_place")}
+    fields = [*own, *part]
+
+    def told(episode: Column, *kept: dict[str, Column]) -> Column:
+        there = {k: v for some in kept for k, v in some.items()}
+        return F.struct(episode.alias("episode"), *[there.get(c, F.lit(None)).alias(c) for c in fields])
+
+    away = met & (F.col("lot.episode") != F.col("episode"))
+    both = F.array(told(F.col("episode"), own, part))
+    rows = ends.select(*MARKET, F.explode(F.when(away, F.array(told(F.col("episode"), own), told(F.col("lot.episode"), part))).otherwise(both)).alias("_e")).select(*MARKET, "_e.*")
+    out = rows.groupBy(*MARKET, "episode").agg(
+        F.min("opened_t").alias("opened_t"), F.count_if("bought").alias("lots"), F.max_by("after", "_place").alias("open_units"), F.max_by("last_t", "_place").alias("last_t"),
+        F.sum("invested").alias("invested"), F.sum("proceeds").alias("proceeds"), F.countDistinct("sell_key").alias("sells"), F.bool_and("good").alias("high_quality"),
+    )
+    out = out.where("lots > 0")
     out = out.withColumn("status", F.when(F.col("open_units") == 0, "realized").otherwise("open"))
     out = out.withColumn("closed_t", F.when(F.col("open_units") == 0, F.col("last_t"))).drop("last_t")
     out = out.fillna({"invested": 0.0, "proceeds": 0.0, "sells": 0})
@@ -142,12 +176,21 @@ def episodes(trades: DataFrame, cost_pct: float = COST_PCT) -> DataFrame:
 
 
 def lots(trades: DataFrame, cost_pct: float = COST_PCT) -> DataFrame:
-    """One row per buy: units left, status, cost, and the sells that closed it."""
-    rows = ledger_rows(trades).where("side = 'buy'").select(*MARKET, F.col("key").alias("lot_key"), F.col("t").alias("lot_t"), "qty", F.col("value_usd").alias("v"))
-    used = fifo_match(trades, cost_pct).groupBy(*MARKET, "lot_key").agg(
-        F.sum("units").alias("closed_units"), F.max("sell_t").alias("last_sell_t"), F.sort_array(F.collect_list("sell_key")).alias("sell_keys")
+    """One row per buy: units left, status, cost, and the sells that closed it. One pass over the trades."""
+    ends = _pieces(ledger_rows(trades).where("side = 'buy' OR sold > 0"))
+    met, units = _met()
+    bought = F.when(F.col("side") == "buy", F.struct("key", F.struct(F.col("t").alias("lot_t"), "qty", F.col("value_usd").alias("v")).alias("lot")))
+    sold = F.when(met, F.struct(F.col("lot.key").alias("key"), F.struct(units.alias("units"), F.col("sell.t").alias("sell_t"), F.col("sell.key").alias("sell_key")).alias("part")))
+    told = lambda key, lot, part: F.struct(key.alias("lot_key"), lot.alias("_lot"), part.alias("_part"))
+    one = told(bought["key"], bought["lot"], sold["part"])
+    two = F.filter(F.array(told(bought["key"], bought["lot"], F.when(F.lit(False), sold["part"])), told(sold["key"], F.when(F.lit(False), bought["lot"]), sold["part"])), lambda x: x["_lot"].isNotNull() | x["_part"].isNotNull())
+    rows = ends.select(*MARKET, F.explode(F.when(bought["key"] == sold["key"], F.array(one)).otherwise(two)).alias("_e")).select(*MARKET, "_e.*")
+    used = rows.groupBy(*MARKET, "lot_key").agg(
+        F.collect_list("_lot").alias("_lots"), F.sum("_part.units").alias("closed_units"), F.max("_part.sell_t").alias("last_sell_t"), F.sort_array(F.collect_list("_part.sell_key")).alias("sell_keys"), F.count("_part").alias("_n")
     )
-    out = rows.join(used, [*MARKET, "lot_key"], "left")
+    # buys of one key share their sells; without any there is no list
+    out = used.select(*MARKET, "lot_key", F.explode("_lots").alias("_lot"), "closed_units", "last_sell_t", F.when(F.col("_n") > 0, F.col("sell_keys")).alias("sell_keys"))
+    out = out.select(*MARKET, "lot_key", "_lot.*", "closed_units", "last_sell_t", "sell_keys")
     out = out.withColumn("remaining", F.col("qty") - F.coalesce("closed_units", F.lit(0.0)))
     out = out.withColumn("status", F.when(F.col("remaining") == 0, "realized").when(F.col("closed_units") > 0, "partially-realized").otherwise("open"))
     out = out.withColumn("cost", F.col("v") * (1 + cost_pct / 200)).withColumn("remaining_cost", F.col("cost") * F.col("remaining") / F.col("qty"))

@@ -53,9 +53,10 @@ def drawdown_and_runs(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     out = out.withColumn("_log", F.sum(F.when(F.col("value") > -100, F.log1p(F.col("value") / 100)).otherwise(F.lit(0.0))).over(w))
     out = out.withColumn("_peak", F.greatest(F.lit(0.0), F.max("_log").over(w)))
     out = out.withColumn("fall", F.when(F.col("_lost") == 1, F.lit(100.0)).otherwise((1 - F.exp(F.col("_log") - F.col("_peak"))) * 100))
-    out = out.withColumn("_island", F.sum((F.col("value") >= 0).cast("int")).over(w))
-    run = running([*keys, "_island"], ["t", "tie"])
-    return out.withColumn("loss_run", F.sum((F.col("value") < 0).cast("int")).over(run)).drop("_lost", "_log", "_peak", "_island")
+    # losses since the last row without one
+    out = out.withColumn("_losses", F.sum((F.col("value") < 0).cast("int")).over(w))
+    kept = F.max(F.when(F.col("value") >= 0, F.col("_losses"))).over(w)
+    return out.withColumn("loss_run", F.col("_losses") - F.coalesce(kept, F.lit(0))).drop("_lost", "_log", "_peak", "_losses")
 
 
 def return_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import first_by, steady, wilson_lower, wilson_upper
+from tidemark.functions.scratch import stored
 from tidemark.operators import ledger as L
 from tidemark.operators import scoring as S
 from tidemark.plans.ledger import BASE, EPISODES
@@ -83,9 +84,10 @@ def f6(spark, d):
 
 
 def f8(spark, d):
-    r = returns(spark, d)
-    out = [S.window_slice(r, NOW, days).groupBy("wallet").agg(F.count(F.lit(1)).alias("n")).withColumn("days", F.lit(days)) for days in DAYS]
-    return out[0].unionByName(out[1])
+    # a row counts in each window that it lies in
+    late = S.window_slice(returns(spark, d), NOW, max(DAYS))
+    spans = F.filter(F.array(*[F.lit(n) for n in DAYS]), lambda n: F.col("t") >= F.lit(NOW) - n * S.DAY)
+    return late.select("wallet", F.explode(spans).alias("days")).groupBy("wallet", "days").agg(F.count(F.lit(1)).alias("n")).select("wallet", "n", "days")
 
 
 def f9(spark, d):
@@ -108,7 +110,8 @@ def f12(spark, d):
 
 
 def scores(spark, d, creators=None):
-    positions = returns(spark, d)
+    # read by both axes, both windows, holdouts, decay and shape
+    positions = stored(returns(spark, d))
     follows = positions.where("high_quality").select("wallet", "t", "value", "tie", "rugged")
     return S.wallet_scores(positions, follows, NOW, DAYS, creators)
 
