@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import clamp, first_by, js_round
+from tidemark.functions.scratch import stored
 from tidemark.operators.outcomes import assess_fixed_horizon
-from tidemark.operators.research import modeled_return, prior_history, trailing_runs, walk_forward_split, window_stats
+from tidemark.operators.research import modeled_return, prior_history, split_times, trailing_runs, window_at, window_stats
 from tidemark.operators.scoring import robust_stats
 from tidemark.operators.threshold_cube import Audit, Dimension, cube_audit
 
@@ -109,11 +110,13 @@ def v4_grid_audit(records: DataFrame, embargo: int) -> Audit:
     strictly before the record. Windows split all records, also those that are not
     strict.
     """
-    rows = records.withColumn("value", modeled_return(F.col("net_return_pct"), F.col("rugged"), F.col("cost_pct")))
+    # history, splits and the cube read them: worked out once
+    rows = stored(records.withColumn("value", modeled_return(F.col("net_return_pct"), F.col("rugged"), F.col("cost_pct"))))
     named = rows.where("creator IS NOT NULL")
     past = prior_history(named.select("creator", F.col("market").alias("decision"), "t"), named.select("creator", "frozen_t", F.col("rugged").alias("bad"), "value"), "creator")
+    times = split_times(rows, "t", "market")
     rows = rows.join(past.select(F.col("decision").alias("market"), "prior_n", "prior_bad"), "market", "left").fillna(0, ["prior_n", "prior_bad"])
-    split = walk_forward_split(rows, "t", "market", embargo)
+    split = rows.withColumn("window", window_at("t", times, embargo)).where("window IS NOT NULL")
     return cube_audit(split.where(strict_v2()), v4_dimensions(), "value", "rugged", "market", V4_LEAST, V4_LEAST_TOTAL)
 
 

@@ -46,8 +46,8 @@ def g9(spark, d):
 def market_records(spark, d):
     """Market records: the first line of each part, its supplier as creator; returns from the part's size, thresholds from the line."""
     lines, parts = A.table(spark, d, "lineitem"), A.table(spark, d, "part")
-    rows = lines.join(parts, lines.l_partkey == parts.p_partkey).withColumn("t", A.seconds("l_shipdate"))
-    rows = first_by(rows, ["l_partkey"], ["t", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_tax", "l_discount"])
+    rows = first_by(lines.withColumn("t", A.seconds("l_shipdate")), ["l_partkey"], ["t", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_tax", "l_discount"])
+    rows = rows.join(parts, rows.l_partkey == parts.p_partkey)
     yes = [F.lit(True).alias(c) for c in U.STRICT_FLAGS]
     return rows.select(
         F.col("l_partkey").alias("market"), F.col("l_suppkey").alias("creator"), "t", (F.col("t") + 30 * DAY).alias("frozen_t"), (F.col("p_size") - 8.0).alias("net_return_pct"), (F.col("l_tax") * 100).alias("cost_pct"),
