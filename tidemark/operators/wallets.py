@@ -11,10 +11,12 @@ from tidemark.functions.common import clamp, first_by, js_round
 
 
 def balance_deltas(balances: DataFrame, signers: DataFrame, skip_owners: DataFrame) -> DataFrame:
-    """(signature, owner, mint, delta) of verified signers: sums of balances after less before, without infrastructure."""
+    """(signature, owner, mint, delta) of verified signers: sums of balances after less before, without infrastructure (skip_owners, a short list that is broadcast)."""
     sign = F.when(F.col("phase") == "post", F.col("amount")).otherwise(-F.col("amount"))
-    rows = balances.join(signers.distinct(), ["signature", "owner"], "left_semi").join(skip_owners.distinct(), "owner", "left_anti")
-    return rows.groupBy("signature", "owner", "mint").agg(F.sum(sign).alias("delta")).where("delta <> 0")
+    # one exchange for the sums and for the signers they meet
+    rows = balances.join(F.broadcast(skip_owners.distinct()), "owner", "left_anti").repartition("signature", "owner")
+    sums = rows.groupBy("signature", "owner", "mint").agg(F.sum(sign).alias("delta")).where("delta <> 0")
+    return sums.join(signers.distinct(), ["signature", "owner"], "left_semi")
 
 
 def balance_trades(deltas: DataFrame, quote_mints: Sequence[str]) -> DataFrame:
