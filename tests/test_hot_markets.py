@@ -54,3 +54,16 @@ def test_hot_markets_are_few(spark):
     df = rows(spark, [("a" if i % 10 else f"w{i}", "buy", 1, 1) for i in range(500)])
     assert [r.wallet for r in H.hot_markets(df, hot_rows=0, parts=10).collect()] == ["a"]
     assert H.hot_markets(df, hot_rows=450).count() == 0
+
+
+def test_episodes_of_blocks_in_one_stored_pass(spark, monkeypatch):
+    rng = random.Random(9)
+    # often empty, and levels that fall below those of earlier blocks
+    trades = [("a", "buy" if rng.random() < 0.45 else "sell", rng.randint(1, 4), 5) for _ in range(500)]
+    df = rows(spark, trades)
+    written = []
+    monkeypatch.setattr(H, "stored", lambda d, true=H.stored: written.append(d.columns) or true(d))
+    names = ["key", "before", "after", "sold", "bought_end", "sold_end", "episode"]
+    plain, cut = (sorted(tuple(r) for r in d.select(*names).collect()) for d in (L.ledger_rows(df), H.block_ledger_rows(df)))
+    assert cut == plain and max(r[-1] for r in cut) > 20
+    assert len(written) == 1

@@ -56,32 +56,41 @@ def _before(column: Column) -> Column:
     return column.over(Window.partitionBy(*L.MARKET).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
 
 
-def block_ledger_rows(trades: DataFrame) -> DataFrame:
-    """As ledger.ledger_rows. Blocks and markets make at most shuffle partitions + markets rows, which are broadcast; markets must be few."""
+def block_ledger_rows(trades: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """As ledger.ledger_rows, with these columns of the trades or all. Blocks and markets make at most shuffle partitions + markets rows, which are broadcast; markets must be few."""
     buys = trades.where("side = 'buy'")
     age = buys.groupBy(*L.MARKET).agg(F.min_by("pool_age_minutes", F.struct(*L.ORDER)).alias("_age"))
     rows = carried(trades, age, L.MARKET).where("_age BETWEEN 0 AND 30 AND qty > 0 AND value_usd > 0").drop("_age")
     buy, w, own = F.col("side") == "buy", running(BLOCK, L.ORDER), Window.partitionBy(*BLOCK).orderBy(*L.ORDER)
     rows = in_blocks(rows, L.ORDER).withColumn("_level", F.sum(F.when(buy, F.col("qty")).otherwise(-F.col("qty"))).over(w))
     rows = rows.withColumn("_low", F.min("_level").over(w)).withColumn("_place", F.row_number().over(own))
-    local = stored(rows.withColumn("_level_before", F.lag("_level").over(own)).withColumn("_low_before", F.lag("_low").over(own)))
-    ends = local.groupBy(*BLOCK).agg(F.max_by("_level", "_place").alias("change"), F.min("_low").alias("low"))
+    rows = rows.withColumn("_level_before", F.coalesce(F.lag("_level").over(own), F.lit(0.0))).withColumn("_low_before", F.lag("_low").over(own))
+    # buys at the lowest level of the block so far: whether they start an episode follows from what came before the block
+    rows = rows.withColumn("_lowest", buy & (F.col("_level_before") <= F.least(F.lit(0.0), "_low_before")))
+    sums = {"_bought": F.when(buy, F.col("qty")).otherwise(F.lit(0.0)), "_starts": F.col("_lowest").cast("long")}
+    columns = trades.columns if columns is None else columns
+    told = ["block", "_place", "_level", "_low", "_level_before", "_low_before", "_lowest"]
+    local = stored(rows.select(*columns, *told, *[F.sum(x).over(w).alias(c) for c, x in sums.items()]))
+    ends = local.groupBy(*BLOCK).agg(F.max_by("_level", "_place").alias("change"), F.min("_low").alias("low"), F.max("_bought").alias("bought"))
     ends = ends.withColumn("_base", F.coalesce(_before(F.sum("change")), F.lit(0.0))).withColumn("least", F.col("_base") + F.col("low"))
-    ends = ends.withColumn("_floor", F.least(F.lit(0.0), _before(F.min("least")))).select(*BLOCK, "_base", "_floor")
+    ends = ends.withColumn("_floor", F.least(F.lit(0.0), _before(F.min("least")))).withColumn("_bought_base", F.coalesce(_before(F.sum("bought")), F.lit(0.0)))
+    ends = ends.select(*BLOCK, "_base", "_floor", "_bought_base")
+    # the lowest levels only fall, so those above the floor are the block's first
+    above = F.col("_lowest") & (F.col("_base") + F.col("_level_before") > F.col("_floor"))
+    starts = carried(local.select(*BLOCK, "_lowest", "_level_before"), ends, BLOCK).groupBy(*BLOCK).agg(F.count_if(above).alias("_above"), F.count_if(F.col("_lowest") & ~above).alias("n"))
+    starts = starts.select(*BLOCK, "_above", F.coalesce(_before(F.sum("n")), F.lit(0)).alias("_episodes"))
 
     def inventory(level: Column, low: Column) -> Column:
         # least passes over the null low of a block's first row
         return F.col("_base") + level - F.least("_floor", F.col("_base") + low)
 
-    rows = carried(local, ends, BLOCK).withColumn("after", inventory(F.col("_level"), F.col("_low")))
-    rows = rows.withColumn("before", inventory(F.coalesce("_level_before", F.lit(0.0)), F.col("_low_before")))
-    rows = rows.withColumn("sold", F.when(~buy, F.least("qty", "before")).otherwise(F.lit(0.0)))
-    sums = {"bought_end": F.when(buy, F.col("qty")).otherwise(F.lit(0.0)), "sold_end": F.col("sold"), "episode": (buy & (F.col("before") == 0)).cast("long")}
-    local = stored(rows.select(*trades.columns, "block", "after", "before", "sold", *[F.sum(x).over(w).alias(c) for c, x in sums.items()]))
-    ends = local.groupBy(*BLOCK).agg(*[F.max(c).alias(c) for c in sums])
-    ends = ends.select(*BLOCK, *[_before(F.sum(c)).alias(f"_{c}") for c in sums])
-    rows = carried(local, ends, BLOCK)
-    return rows.withColumns({c: F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0)) for c in sums}).drop("block", *[f"_{c}" for c in sums])
+    rows = carried(carried(local, ends, BLOCK), starts, BLOCK).withColumn("after", inventory(F.col("_level"), F.col("_low")))
+    rows = rows.withColumn("before", inventory(F.col("_level_before"), F.col("_low_before")))
+    rows = rows.withColumn("sold", F.when(~buy, F.least("qty", "before")).otherwise(F.lit(0.0))).withColumn("bought_end", F.col("_bought_base") + F.col("_bought"))
+    # what was bought and is not there was sold
+    rows = rows.withColumn("sold_end", F.col("bought_end") - F.col("after"))
+    rows = rows.withColumn("episode", F.col("_episodes") + F.greatest(F.lit(0), F.col("_starts") - F.col("_above")))
+    return rows.select(*columns, "after", "before", "sold", "bought_end", "sold_end", "episode")
 
 
 def block_match_rows(rows: DataFrame, cost_pct: float = L.COST_PCT) -> DataFrame:
@@ -90,9 +99,10 @@ def block_match_rows(rows: DataFrame, cost_pct: float = L.COST_PCT) -> DataFrame
     back = running(BLOCK, [F.desc(c) for c in END])
     ends = ends.withColumn("from_", F.lag("end").over(Window.partitionBy(*BLOCK).orderBy(*END)))
     ends = ends.withColumn("next_lot", F.last("lot", ignorenulls=True).over(back)).withColumn("next_sell", F.last("sell", ignorenulls=True).over(back))
-    local = stored(ends.drop("lot", "sell"))
+    ends = ends.withColumn("place", F.row_number().over(Window.partitionBy(*BLOCK).orderBy(*END)))
+    local = stored(ends.select(*BLOCK, "place", "end", "from_", "next_lot", "next_sell"))
     # the first row of a block knows the first lot and sell of it
-    place = F.struct(*END)
+    place = F.col("place")
     small = local.groupBy(*BLOCK).agg(F.max("end").alias("last"), F.min_by("next_lot", place).alias("lot"), F.min_by("next_sell", place).alias("sell"))
     later = Window.partitionBy(*L.MARKET).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     small = small.select(
@@ -116,5 +126,5 @@ def fifo_match(trades: DataFrame, cost_pct: float = L.COST_PCT, hot_rows: int =
         return L.fifo_match(trades, cost_pct)
     marked = carried(trades, hot.withColumn("_hot", F.lit(True)), L.MARKET)
     plain = L.fifo_match(marked.where("_hot IS NULL").drop("_hot"), cost_pct)
-    large = block_ledger_rows(marked.where("_hot").drop("_hot"))
+    large = block_ledger_rows(marked.where("_hot").drop("_hot"), [*L.MARKET, "key", "t", "side", "qty", "value_usd", "data_quality"])
     return plain.unionByName(block_match_rows(large, cost_pct))
