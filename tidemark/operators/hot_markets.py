@@ -45,7 +45,7 @@ def carried(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame
     return rows.join(F.broadcast(named), same, "left").drop(*[f"_{k}" for k in keys])
 
 
-def in_blocks(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+def in_blocks(rows: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """rows with their block: ranges of (market, order), so that a market's blocks ascend with its order and equal places share one."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, *L.MARKET, *order).withColumn("block", F.spark_partition_id())
@@ -95,7 +95,9 @@ def block_ledger_rows(trades: DataFrame, columns: Sequence[str] | None = None) -
 
 def block_match_rows(rows: DataFrame, cost_pct: float = L.COST_PCT) -> DataFrame:
     """As ledger.match_rows, of the ledger rows of few markets."""
-    ends = in_blocks(L.interval_ends(rows), END)
+    # an end is its own lot or sell, whose key is not carried twice
+    key = F.coalesce("lot.key", "sell.key")
+    ends = in_blocks(L.interval_ends(rows).drop("key"), [*END[:2], key]).withColumn("key", key)
     back = running(BLOCK, [F.desc(c) for c in END])
     ends = ends.withColumn("from_", F.lag("end").over(Window.partitionBy(*BLOCK).orderBy(*END)))
     ends = ends.withColumn("next_lot", F.last("lot", ignorenulls=True).over(back)).withColumn("next_sell", F.last("sell", ignorenulls=True).over(back))
