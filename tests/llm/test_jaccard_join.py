@@ -169,3 +169,13 @@ def test_shared_passages_form_no_family(documents):
     join = jj._Join(documents(rows), 4, 85)
     assert 2 <= join.members.count() == join.texts.count() < 20
     assert sorted(r.component_id for r in jj.link_documents(documents(rows)).collect()) == sorted([0, 0, *range(60)])
+
+
+def test_one_frequent_shingle_forms_no_family(documents):
+    """At 80 percent parts hold two shingles too: texts that share one alone stay apart, else families grow faster than the input."""
+    rng = random.Random(11)
+    rows = [(i, " ".join([*[f"x{rng.randrange(10**6)}" for _ in range(rng.randint(60, 90))], "all of us say so", *[f"x{rng.randrange(10**6)}" for _ in range(20)]])) for i in range(200)]
+    rows += [(200, rows[0][1] + " more")]
+    join = jj._Join(documents(rows), 5, 80)
+    assert join.members.count() == 2
+    assert sorted(r.component_id for r in jj.link_documents(documents(rows), 5, 80).collect()) == sorted([0, *range(200)])

@@ -26,10 +26,10 @@ def connected(edges: DataFrame) -> DataFrame:
         hung = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = materialize(hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         # done when every node hangs on one that hangs on nothing
-        moved = small.join(small.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a").limit(1)
-        twice = small.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a").limit(1)
+        ends = small.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(small.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        open_ = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)").limit(1)
         edges = small
-        if not moved.unionByName(twice).count():
+        if not open_.count():
             break
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
