@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import clamp, first_by, js_round
@@ -226,18 +226,51 @@ def historical_market_obs(candidates: DataFrame, buys: DataFrame, native_usd: fl
     a positive price or a side are left out. A match lifts the confidence of
     transfer-derived ones to 0.75 at least; without one the payer is the trader.
     """
-    good = candidates.where((F.col("amount") > 0) & (F.col("native") > 0) & F.col("side").isin("buy", "sell"))
-    first = first_by(buys, ["signature", "mint"], ["place"]).select("signature", "mint", "pool", F.col("trader").alias("_trader"), F.lit(True).alias("_met"))
+    first = first_by(buys, ["signature", "mint"], ["place"]).select("signature", "mint", F.struct("pool", "trader").alias("first_buy"))
+    return market_obs(_priced(candidates).join(first, ["signature", "mint"], "left"), native_usd, version)
+
+
+def _priced(candidates: DataFrame) -> DataFrame:
+    return candidates.where((F.col("amount") > 0) & (F.col("native") > 0) & F.col("side").isin("buy", "sell"))
+
+
+def market_obs(candidates: DataFrame, native_usd: float, version: str) -> DataFrame:
+    """As historical_market_obs, of candidates with the first purchase beside them: first_buy (pool, trader), null if there is none."""
     sure = clamp(F.col("confidence").cast("double"), 0.0, 1.0)
     price = F.col("native") / F.col("amount")
-    return good.join(first, ["signature", "mint"], "left").select(
-        F.sha2(F.concat_ws(":", F.lit("history-market"), F.coalesce("candidate_key", F.lit("")), F.coalesce("pool", F.lit("unresolved")), F.lit(version)), 256).alias("obs_id"),
-        "signature", "mint", "pool", F.coalesce("_trader", "payer").alias("trader"), "side", F.col("amount").alias("base_amount"), F.col("native").alias("quote_amount"), price.alias("price_quote"),
+    return _priced(candidates).select(
+        F.sha2(F.concat_ws(":", F.lit("history-market"), F.coalesce("candidate_key", F.lit("")), F.coalesce("first_buy.pool", F.lit("unresolved")), F.lit(version)), 256).alias("obs_id"),
+        "signature", "mint", "first_buy.pool", F.coalesce("first_buy.trader", "payer").alias("trader"), "side", F.col("amount").alias("base_amount"), F.col("native").alias("quote_amount"), price.alias("price_quote"),
         (price * native_usd).alias("price_usd"), (F.col("native") * native_usd).alias("volume_usd"), "source",
-        F.when(F.col("_met") & (F.col("source") == "transfer-derived"), F.greatest(sure, F.lit(0.75))).otherwise(sure).alias("confidence"),
+        F.when(F.col("first_buy").isNotNull() & (F.col("source") == "transfer-derived"), F.greatest(sure, F.lit(0.75))).otherwise(sure).alias("confidence"),
     )
 
 
+def traded_candidates(legs: DataFrame, native_in: Column, native_out: Column) -> DataFrame:
+    """Candidates of swaps and transfers with payer and first_buy, all from one exchange by signature.
+
+    legs: signature, mint, side, amount, value, wallet, pool, place. A signature's
+    legs of a mint and side are one row of sums. The native value of a swap is
+    native_in for what was bought, native_out for what was sold, both over
+    ``value`` (the signature's whole value); a side that moves one mint alone is a
+    transfer of that side's own value. first_buy: pool and trader of the purchase of
+    least place of the mint in the signature.
+    """
+    own, of_side, of_mint = Window.partitionBy("signature"), Window.partitionBy("signature", "side"), Window.partitionBy("signature", "mint")
+    buy = F.when(F.col("side") == "buy", F.struct("place", "pool", F.col("wallet").alias("trader")))
+    sums = legs.repartition("signature").groupBy("signature", "side", "mint").agg(F.sum("amount").alias("amount"), F.sum("value").alias("side_value"), F.min("wallet").alias("payer"), F.min(buy).alias("first"))
+    # in this order the first two windows share a sort
+    sums = sums.withColumn("mints", F.count(F.lit(1)).over(of_side)).withColumn("value", F.sum("side_value").over(own)).withColumn("payer", F.min("payer").over(own)).withColumn("first", F.min("first").over(of_mint))
+    native = F.when(F.col("side") == "buy", native_in).when(F.col("side") == "sell", native_out)
+    kinds = F.array(
+        F.when(native > 0, F.struct(F.lit("swap-event").alias("source"), native.alias("native"), F.lit(0.9).alias("confidence"))),
+        F.when(F.col("mints") == 1, F.struct(F.lit("transfer-derived").alias("source"), F.col("side_value").alias("native"), F.lit(0.55).alias("confidence"))),
+    )
+    first = F.when(F.col("first").isNotNull(), F.struct("first.pool", "first.trader")).alias("first_buy")
+    rows = sums.select("signature", "side", "mint", "amount", "payer", first, F.explode(F.array_compact(kinds)).alias("kind"))
+    return rows.select("signature", "side", "mint", "amount", "payer", "first_buy", "kind.*")
+
+
 #: Kinds of verdicts that a decision combines.
 KINDS = ("method", "rule", "exit", "wallet")
 KEYS = ("raw_candidate", "raw_watch", "validated", "watch", "leading")
