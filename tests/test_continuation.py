@@ -126,3 +126,51 @@ def test_an_advance_reads_the_trades_once(spark, sf_dir):
     out = P._advanced(spark, sf_dir)
     for rows in (out.carried.lots, out.realized, out.modes):
         assert not [f for f in rows.inputFiles() if "lineitem" in f]
+
+
+def exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_whole_trades_are_dealt_once_by_market(spark, sf_dir, monkeypatch):
+    """No exchange of whole trades by key, wallet or order; one by market for each state."""
+    from tidemark.plans import ledger as P
+
+    written = []
+    monkeypatch.setattr(K, "stored", lambda df, true=K.stored: written.append((df.columns, exchanges(df))) or true(df))
+    out = P._advanced(spark, sf_dir)
+    states = [x for columns, x in written if "remaining" in columns]
+    assert len(states) == 1 and len(out.carried.lots.columns) > 0
+    states = [x for columns, x in written if "remaining" in columns]
+    for dealt in states:
+        assert len(dealt) == 1 and "hashpartitioning(chain" in dealt[0] and "token" in dealt[0]
+    # what else is dealt whole, for keys or for wallets in doubt, are trades that met another's hash or a few wallets'
+    assert len(states) == 2 and all("key" not in x for columns, dealt in written if columns == ["_hash"] for x in dealt)
+
+
+def test_trades_of_repeated_keys(spark):
+    rng = random.Random(8)
+    trades = [trade(i, "buy", rng.randint(1, 9), i, wallet=rng.choice("abc")) for i in range(200)]
+    # a key of two wallets, a key met three times, and trades without a key
+    trades += [(f"trade-{i}", *trade(i + rng.randint(1, 50), "sell", 1, 1, wallet=rng.choice("abc"))[1:]) for i in (3, 90, 90, 150)] + [(None, *trade(i, "buy", 1, 1)[1:]) for i in (500, 501)]
+    df = frame(spark, trades)
+    got, plain = (sorted(map(repr, x.select(*K.TRADE).collect())) for x in (K._trades(df), K.dedupe_trades(df)))
+    assert got == plain and len(got) == 201
+
+
+def test_wallets_in_doubt_are_classed_trade_by_trade(spark):
+    """Modes equal those of every trade's class, with new trades of the last slot, finer ones, and ones without a slot."""
+    rng = random.Random(12)
+    # slots are shared, so only the rest of the order tells what is late
+    made = [trade(i, rng.choice(["buy", "sell"]), 2, 5, rng.choice("xyz"), wallet=rng.choice("abcdefghijklmnop"), decimals=rng.choice([4, 5])) for i in range(300)]
+    made = [(*t[:4], None if i in (40, 290) else t[4] // 40, *t[5:]) for i, t in enumerate(made)]
+    history, delta = made[:200], [*made[200:], *made[7:8]]
+    carried = K.carry(frame(spark, history))
+    classes = K.classify(carried, frame(spark, delta), frame(spark, history)).collect()
+    odd = {}
+    for r in classes:
+        odd[r.wallet] = odd.get(r.wallet, False) or r.kind != "new"
+    known = {r.wallet for r in carried.wallets.collect()}
+    modes = {r.wallet: r.mode for r in K.advance(carried, frame(spark, delta), frame(spark, history)).modes.collect()}
+    assert modes == {w: "rebuilt" if o else "continued" if w in known else "started" for w, o in odd.items()}
+    assert {"rebuilt", "continued"} <= set(modes.values()) and {"late", "precision", "repeated", "new"} <= {r.kind for r in classes}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,16 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
     return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
+#: What a task sorts without spilling.
+TASK_ROWS = 1_000_000
+
+
+def tasks_for(spark: SparkSession, n: int) -> int | None:
+    """To how many tasks n rows are dealt for a sort; None: the session's own number does."""
+    tasks = -(-n // TASK_ROWS)
+    return tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def running(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 

@@ -19,8 +19,20 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+#: Shuffle files of an execution go when it ends, not when the driver next collects garbage.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: what several branches read is worked out once and survives lost executors."""
-    at = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    """``df`` written to the shared folder and read back: what several branches read is worked out once and survives lost executors.
+
+    The table is all that stays on disk of the work behind it.
+    """
+    spark = df.sparkSession
+    at, before = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}", spark.conf.get(FREE, "false")
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(FREE, before)
+    return spark.read.schema(df.schema).parquet(at)

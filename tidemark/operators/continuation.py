@@ -11,19 +11,27 @@ of such wallets is read. Both ways give the rows of the full ledger.
 
 A trade that repeats a key within the new ones counts once, the first in evidence
 order; a corrected trade takes the place of the earlier one. Trades without
-decimals have none. What several branches read (classes of rows, modes, ledger rows)
-is written once to the shared folder.
+decimals have none.
+
+Whole trades are dealt once, by market: keys meet by their hashes, and only trades
+whose hash is met twice are compared; only wallets whose new trades may be late or
+finer are classed trade by trade; open lots, what is known of a market and its new
+trades go through one pass, from which realized sells and the new state are taken.
+History and new trades are read several times, so they should be tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.common import tasks_for
 from tidemark.functions.scratch import stored
-from tidemark.operators.ledger import COST_PCT, MARKET, ORDER, dedupe_trades, eligible_markets, inventory_rows, match_rows, realizations
+from tidemark.operators.ledger import COST_PCT, MARKET, ORDER, dedupe_trades, inventory, match_rows, realizations
 
 WALLET = ["chain", "strategy", "wallet"]
 CONTENT = ["side", "qty", "value_usd", "pool_age_minutes", "data_quality"]
@@ -41,60 +49,116 @@ class Carried:
 
 @dataclass(frozen=True)
 class Advance:
-    """The new state; realized: new sells of continued wallets and all sells of rebuilt or started ones; modes: how each touched wallet was taken."""
+    """realized: new sells of continued wallets and all sells of rebuilt or started ones; modes: how each touched wallet was taken; carried: the new state, written when it is first asked for."""
 
-    carried: Carried
     realized: DataFrame
     modes: DataFrame
+    state: Callable[[], Carried]
+
+    @cached_property
+    def carried(self) -> Carried:
+        return self.state()
 
 
 def _order() -> Column:
     return F.struct(*ORDER)
 
 
-def _trades(trades: DataFrame) -> DataFrame:
-    rows = trades if "decimals" in trades.columns else trades.withColumn("decimals", F.lit(0))
-    return dedupe_trades(rows.select(*TRADE))
+def _hash() -> Column:
+    return F.xxhash64("key").alias("_hash")
+
+
+def _content() -> Column:
+    return F.struct(*MARKET, *ORDER, *CONTENT)
 
 
-def _first_buys(trades: DataFrame) -> DataFrame:
-    """Per market its first buy, priced or not, and its decimals."""
-    first = F.min_by(F.struct("pool_age_minutes"), F.when(F.col("side") == "buy", _order()))
-    return trades.groupBy(*MARKET).agg(first.alias("first"), F.max("decimals").alias("decimals"))
+def _whole(trades: DataFrame) -> DataFrame:
+    return (trades if "decimals" in trades.columns else trades.withColumn("decimals", F.lit(0))).select(*TRADE)
 
 
-def open_lots(rows: DataFrame) -> DataFrame:
-    """The lots of ledger rows that the market's sells leave open: units are sold in the order of the running purchases."""
-    sold = rows.groupBy(*MARKET).agg(F.sum("sold").alias("_sold"))
-    lots = rows.where("side = 'buy'").join(sold, MARKET)
-    lots = lots.withColumn("remaining", F.least("qty", F.greatest(F.lit(0.0), F.col("bought_end") - F.col("_sold"))))
-    left = (F.col("value_usd") * F.col("remaining") / F.col("qty")).alias("remaining_value")
-    return lots.where("remaining > 0").select(*MARKET, *ORDER, "remaining", left, "data_quality", "decimals", "episode")
+def _trades(trades: DataFrame) -> DataFrame:
+    """The trades, of those that share a key the first one. Only trades whose hash is met twice are dealt by key."""
+    rows = _whole(trades)
+    often = stored(rows.select(_hash()).repartition("_hash").groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_hash"))
+    if often.isEmpty():
+        return rows
+    marked = rows.withColumn("_hash", _hash()).join(often.withColumn("_often", F.lit(True)), "_hash", "left").drop("_hash")
+    return marked.where("_often IS NULL").drop("_often").unionByName(dedupe_trades(marked.where("_often").drop("_often")))
+
+
+def _known(rows: DataFrame, history: DataFrame) -> DataFrame:
+    """key and content (_old) of the trades of history whose keys rows may hold: their hashes meet."""
+    sides = history.select(_hash(), F.lit(0).alias("_side")).unionByName(rows.select(_hash(), F.lit(1).alias("_side"))).repartition("_hash")
+    meet = stored(sides.groupBy("_hash").agg(F.min("_side").alias("low"), F.max("_side").alias("high")).where("low < high").select("_hash"))
+    met = _whole(history).withColumn("_hash", _hash()).join(meet, "_hash", "left_semi")
+    return stored(dedupe_trades(met.drop("_hash")).select("key", _content().alias("_old")))
+
+
+def _ledger(trades: DataFrame, n: int, lots: DataFrame | None = None, markets: DataFrame | None = None) -> DataFrame:
+    """Ledger rows of about n trades, or of open lots and the trades behind them, with remaining and remaining_value of what is left of a buy, and on the market's last row its state (end).
+
+    Markets keep their first buy and count round trips on. One exchange, by market; not all rows are used.
+    """
+    known = "struct<has_buy: boolean, first_age: double, episode: bigint, decimals: int>"
+    rows = trades.select(*TRADE, F.lit(0).alias("_lot"), F.lit(None).cast(known).alias("_known"))
+    if lots is not None:
+        bought = [F.lit("buy").alias("side"), F.col("remaining").alias("qty"), F.col("remaining_value").alias("value_usd"), F.lit(0.0).alias("pool_age_minutes")]
+        rows = rows.unionByName(lots.select(*MARKET, *ORDER, *bought, "data_quality", "decimals", F.lit(1).alias("_lot"), F.lit(None).cast(known).alias("_known")))
+        nothing = [F.lit(None).alias(c) for c in (*ORDER, *CONTENT, "decimals")]
+        rows = rows.unionByName(markets.select(*MARKET, *nothing, F.lit(0).alias("_lot"), F.struct("has_buy", "first_age", "episode", "decimals").cast(known).alias("_known")))
+    tasks = tasks_for(rows.sparkSession, n)
+    rows = rows if tasks is None else rows.repartition(tasks, *MARKET)
+    turn = Window.partitionBy(*MARKET).orderBy(*ORDER)
+    whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    trade = F.col("_known").isNull() & (F.col("_lot") == 0)
+    rows = rows.withColumns(
+        {
+            "_first": F.first(F.when(trade & (F.col("side") == "buy"), F.struct("pool_age_minutes")), ignorenulls=True).over(whole),
+            "_before": F.first("_known", ignorenulls=True).over(whole),
+            "_held": F.max("_lot").over(whole),
+            "_finest": F.max("decimals").over(whole),
+            "_last": F.lead(F.lit(1)).over(turn).isNull(),
+        }
+    )
+    rows = rows.withColumn("_age", F.when(F.col("_before.has_buy"), F.col("_before.first_age")).otherwise(F.col("_first.pool_age_minutes")))
+    used = F.coalesce((F.col("_age") >= 0) & (F.col("_age") <= 30) & (F.col("qty") > 0) & (F.col("value_usd") > 0), F.lit(False))
+    rows = inventory(rows.withColumn("used", used), F.col("used"))
+    # a market that holds lots is still in its last round trip
+    rows = rows.withColumn("episode", F.coalesce(F.col("episode"), F.lit(0)) + F.coalesce("_before.episode", F.lit(0)) - F.col("_held"))
+    # units are sold in the order of the running purchases
+    left = F.least("qty", F.greatest(F.lit(0.0), F.col("bought_end") - F.sum("sold").over(whole)))
+    rows = rows.withColumn("remaining", F.when(F.col("used") & (F.col("side") == "buy"), left))
+    part = F.when(F.col("remaining") == F.col("qty"), F.col("value_usd")).otherwise(F.col("value_usd") * F.col("remaining") / F.col("qty"))
+    has_buy = F.coalesce("_before.has_buy", F.lit(False)) | F.col("_first").isNotNull()
+    end = F.struct(has_buy.alias("has_buy"), F.col("_age").alias("first_age"), F.col("episode").cast("long").alias("episode"), F.greatest("_finest", "_before.decimals").alias("decimals"), trade.alias("traded"))
+    return rows.withColumns({"remaining_value": part, "end": F.when(F.col("_last"), end)})
 
 
-def _state(trades: DataFrame, rows: DataFrame, cost_pct: float) -> Carried:
-    """State of whole histories and their ledger rows."""
-    wallets = trades.groupBy(*WALLET).agg(F.max(_order()).alias("last")).withColumn("cost_pct", F.lit(float(cost_pct)))
-    trips = rows.groupBy(*MARKET).agg(F.max("episode").alias("episode"))
-    markets = _first_buys(trades).join(trips, MARKET, "left")
-    markets = markets.select(*MARKET, F.col("first").isNotNull().alias("has_buy"), F.col("first.pool_age_minutes").alias("first_age"), F.coalesce("episode", F.lit(0)).cast("long").alias("episode"), "decimals")
-    return Carried(wallets, markets, open_lots(rows))
+def _state(rows: DataFrame, cost_pct: float) -> Carried:
+    """The state that ledger rows leave: open lots, the ends of markets, and their wallets; one table."""
+    lot = [*MARKET, *ORDER, "remaining", "remaining_value", "data_quality", "decimals", "episode"]
+    rows = stored(rows.where("remaining > 0 OR end IS NOT NULL").select(*lot, "end"))
+    wallets = rows.where("end.traded").groupBy(*WALLET).agg(F.max(_order()).alias("last")).withColumn("cost_pct", F.lit(float(cost_pct)))
+    markets = rows.where("end IS NOT NULL").select(*MARKET, "end.has_buy", "end.first_age", "end.episode", "end.decimals")
+    return Carried(wallets, markets, rows.where("remaining > 0").select(*lot))
 
 
 def carry(trades: DataFrame, cost_pct: float = COST_PCT) -> Carried:
     """The state after all of the trades."""
-    trades = stored(_trades(trades))
-    return _state(trades, stored(inventory_rows(eligible_markets(trades))), cost_pct)
+    return _state(_ledger(_trades(trades), trades.count()), cost_pct)
 
 
 def classify(carried: Carried, delta: DataFrame, history: DataFrame) -> DataFrame:
     """delta with kind: new, late (before the wallet's last trade), repeated, corrected (a known key), or precision (more decimals than its market had)."""
-    content = F.struct(*MARKET, *ORDER, *CONTENT)
-    known = _trades(history).select("key", content.alias("_old"))
-    rows = _trades(delta).join(carried.wallets.select(*WALLET, "last"), WALLET, "left").join(carried.markets.select(*MARKET, F.col("decimals").alias("_decimals")), MARKET, "left").join(known, "key", "left")
+    rows = _trades(delta)
+    return _classes(carried, rows, _known(rows, history))
+
+
+def _classes(carried: Carried, rows: DataFrame, known: DataFrame) -> DataFrame:
+    rows = rows.join(carried.wallets.select(*WALLET, "last"), WALLET, "left").join(carried.markets.select(*MARKET, F.col("decimals").alias("_decimals")), MARKET, "left").join(known, "key", "left")
     late = F.coalesce(_order() <= F.col("last"), F.lit(False))
     kind = (
-        F.when(F.col("_old").isNotNull() & F.col("_old").eqNullSafe(content), "repeated")
+        F.when(F.col("_old").isNotNull() & F.col("_old").eqNullSafe(_content()), "repeated")
         .when(F.col("_old").isNotNull(), "corrected")
         .when(late, "late")
         .when(F.col("decimals") > F.col("_decimals"), "precision")
@@ -103,61 +167,42 @@ def classify(carried: Carried, delta: DataFrame, history: DataFrame) -> DataFram
     return rows.withColumn("kind", kind).select(*TRADE, "kind")
 
 
-def _modes(carried: Carried, classes: DataFrame, cost_pct: float) -> DataFrame:
+def _modes(carried: Carried, rows: DataFrame, known: DataFrame, cost_pct: float) -> DataFrame:
     """(wallet, mode) of the wallets with new trades or with another cost model."""
-    touched = classes.groupBy(*WALLET).agg(F.bool_or(F.col("kind") != "new").alias("odd"))
-    rows = carried.wallets.select(*WALLET, (F.col("cost_pct") != cost_pct).alias("dear")).join(touched, WALLET, "full")
+    slot = lambda x: F.coalesce(x, F.lit(-(2**63)))
+    touched = stored(rows.groupBy(*WALLET).agg(F.min(slot(F.col("slot"))).alias("_slot"), F.max("decimals").alias("_finest")))
+    least = carried.markets.groupBy(*WALLET).agg(F.min("decimals").alias("_least"))
+    # a wallet whose new trades all lie behind its last slot, no finer than any market of its own and of unknown keys, has only new ones
+    doubt = touched.join(carried.wallets, WALLET).join(least, WALLET, "left").where((F.col("_slot") <= slot(F.col("last.slot"))) | (F.col("_finest") > F.col("_least"))).select(*WALLET)
+    doubt = stored(doubt.unionByName(rows.join(known.select("key"), "key", "left_semi").select(*WALLET)).distinct())
+    of = lambda x: x.join(doubt, WALLET, "left_semi")
+    classes = _classes(Carried(of(carried.wallets), of(carried.markets), of(carried.lots)), of(rows), known)
+    odd = classes.groupBy(*WALLET).agg(F.bool_or(F.col("kind") != "new").alias("odd"))
+    told = touched.join(odd, WALLET, "left").select(*WALLET, F.coalesce("odd", F.lit(False)).alias("odd"))
+    wallets = carried.wallets.select(*WALLET, (F.col("cost_pct") != cost_pct).alias("dear")).join(told, WALLET, "full")
     mode = F.when(F.col("odd") | F.col("dear"), "rebuilt").when(F.col("dear").isNull(), "started").when(F.col("odd").isNotNull(), "continued")
-    return rows.withColumn("mode", mode).where("mode IS NOT NULL").select(*WALLET, "mode")
-
-
-def _continued(carried: Carried, new: DataFrame) -> DataFrame:
-    """Ledger rows of open lots and the trades behind them; markets keep their first buy and count round trips on."""
-    first = _first_buys(new).join(carried.markets.withColumnRenamed("decimals", "_d"), MARKET, "left")
-    age = F.when(F.col("has_buy"), F.col("first_age")).otherwise(F.col("first.pool_age_minutes"))
-    gate = first.withColumn("age", age).where("age BETWEEN 0 AND 30").select(*MARKET, F.coalesce("episode", F.lit(0)).alias("_trips"))
-    columns = [*TRADE, "_carried"]
-    lots = carried.lots.join(gate.select(*MARKET), MARKET, "left_semi").select(
-        *MARKET, *ORDER, F.lit("buy").alias("side"), F.col("remaining").alias("qty"), F.col("remaining_value").alias("value_usd"), F.lit(0.0).alias("pool_age_minutes"), "data_quality", "decimals", F.lit(1).alias("_carried")
-    )
-    rows = inventory_rows(lots.select(*columns).unionByName(new.join(gate.select(*MARKET), MARKET, "left_semi").withColumn("_carried", F.lit(0)).select(*columns)))
-    # a market that holds lots is still in its last round trip
-    held = carried.lots.select(*MARKET).distinct().withColumn("_held", F.lit(1))
-    rows = rows.join(gate, MARKET).join(held, MARKET, "left")
-    return rows.withColumn("episode", F.col("episode") + F.col("_trips") - F.coalesce("_held", F.lit(0))).drop("_trips", "_held")
+    return wallets.withColumn("mode", mode).where("mode IS NOT NULL").select(*WALLET, "mode")
 
 
 def advance(carried: Carried, delta: DataFrame, history: DataFrame, cost_pct: float = COST_PCT) -> Advance:
     """The ledgers after delta; history holds the trades before it and is read for repeated keys and for wallets to rebuild."""
-    classes = stored(classify(carried, delta, history))
-    modes = stored(_modes(carried, classes, cost_pct))
+    fresh = _trades(delta)
+    known = _known(fresh, history)
+    modes = stored(_modes(carried, fresh, known, cost_pct))
     of = lambda mode, rows: rows.join(modes.where(mode).select(*WALLET), WALLET, "left_semi")
-    whole = "mode <> 'continued'"
-    # wallets that go on: only open lots, markets and the new trades are read
-    new = of("mode = 'continued'", classes).select(*TRADE)
-    going = Carried(*(of("mode = 'continued'", x) for x in (carried.wallets, carried.markets, carried.lots)))
-    rows = stored(_continued(going, new))
-    seen = new.groupBy(*WALLET).agg(F.max(_order()).alias("last")).withColumn("cost_pct", F.lit(float(cost_pct)))
-    trips = rows.groupBy(*MARKET).agg(F.max("episode").alias("_trips"))
-    both = _first_buys(new).withColumnRenamed("decimals", "_d").join(going.markets, MARKET, "full").join(trips, MARKET, "left")
-    has_buy = F.coalesce("has_buy", F.lit(False))
-    markets = both.select(
-        *MARKET,
-        (has_buy | F.col("first").isNotNull()).alias("has_buy"),
-        F.when(has_buy, F.col("first_age")).otherwise(F.col("first.pool_age_minutes")).alias("first_age"),
-        F.coalesce("_trips", "episode", F.lit(0)).cast("long").alias("episode"),
-        F.greatest("decimals", "_d").alias("decimals"),
-    )
-    untraded = going.lots.join(new.select(*MARKET).distinct(), MARKET, "left_anti")
-    lots = open_lots(rows).unionByName(untraded)
-    realized = realizations(match_rows(rows, cost_pct))
+    going, whole = "mode = 'continued'", "mode <> 'continued'"
     # wallets to build anew, or for the first time
-    old = of(whole, history if "decimals" in history.columns else history.withColumn("decimals", F.lit(0)))
-    fresh = of(whole, classes).select(*TRADE)
-    trades = _trades(old.select(*TRADE).join(fresh.select("key"), "key", "left_anti").unionByName(fresh))
-    full = stored(inventory_rows(eligible_markets(trades)))
-    anew = _state(trades, full, cost_pct)
-    # wallets without news stay as they are
-    still = lambda rows: rows.join(modes.select(*WALLET), WALLET, "left_anti")
-    state = Carried(*(still(a).unionByName(b).unionByName(c) for a, b, c in zip((carried.wallets, carried.markets, carried.lots), (seen, markets, lots), (anew.wallets, anew.markets, anew.lots), strict=True)))
-    return Advance(state, realized.unionByName(realizations(match_rows(full, cost_pct))), modes)
+    old, new = of(whole, _whole(history)), of(whole, fresh)
+    if not known.isEmpty():
+        old = old.join(stored(new.join(known, "key", "left_semi").select("key")), "key", "left_anti")
+    trades = _trades(old.unionByName(new))
+    # wallets that go on: only open lots, markets and the new trades are read
+    rows = _ledger(trades.unionByName(of(going, fresh)), history.count() + delta.count(), of(going, carried.lots), of(going, carried.markets))
+
+    def state() -> Carried:
+        # wallets without news stay as they are
+        still = lambda x: x.join(modes.select(*WALLET), WALLET, "left_anti")
+        after = _state(rows, cost_pct)
+        return Carried(*(still(a).unionByName(b) for a, b in ((carried.wallets, after.wallets), (carried.markets, after.markets), (carried.lots, after.lots))))
+
+    return Advance(realizations(match_rows(rows.where("used"), cost_pct)), modes, state)

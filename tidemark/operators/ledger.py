@@ -45,16 +45,20 @@ def ledger_rows(trades: DataFrame) -> DataFrame:
 
 def inventory_rows(rows: DataFrame) -> DataFrame:
     """As ledger_rows, of rows whose markets are known to be eligible."""
-    rows = rows.where("qty > 0 AND value_usd > 0")
+    return inventory(rows.where("qty > 0 AND value_usd > 0"), F.lit(True))
+
+
+def inventory(rows: DataFrame, used: Column) -> DataFrame:
+    """rows with the columns of ledger_rows, to which only the used rows add; no more than one sort by market."""
     w = running(MARKET, ORDER)
-    rows = rows.withColumn("signed", F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty")))
+    rows = rows.withColumn("signed", F.when(used & (F.col("side") == "buy"), F.col("qty")).when(used, -F.col("qty")).otherwise(F.lit(0.0)))
     rows = rows.withColumn("level", F.sum("signed").over(w))
     rows = rows.withColumn("floor_", F.least(F.lit(0.0), F.min("level").over(w)))
     rows = rows.withColumn("after", F.col("level") - F.col("floor_"))
     rows = rows.withColumn("before", F.coalesce(F.lag("after").over(Window.partitionBy(*MARKET).orderBy(*ORDER)), F.lit(0.0)))
-    rows = rows.withColumn("sold", F.when(F.col("side") == "sell", F.least("qty", "before")).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("bought", F.when(F.col("side") == "buy", F.col("qty")).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("starts", ((F.col("side") == "buy") & (F.col("before") == 0)).cast("int"))
+    rows = rows.withColumn("sold", F.when(used & (F.col("side") == "sell"), F.least("qty", "before")).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("bought", F.when(used & (F.col("side") == "buy"), F.col("qty")).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("starts", (used & (F.col("side") == "buy") & (F.col("before") == 0)).cast("int"))
     return rows.select(
         "*", F.sum("bought").over(w).alias("bought_end"), F.sum("sold").over(w).alias("sold_end"), F.sum("starts").over(w).alias("episode")
     ).drop("signed", "level", "floor_", "starts")

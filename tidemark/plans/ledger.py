@@ -116,7 +116,8 @@ def _parts(spark, d):
     orders = A.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("signature"), "o_orderdate")
     last_day = orders.agg(F.max("o_orderdate").alias("last_day"))
     last = orders.join(F.broadcast(last_day), F.col("o_orderdate") == F.col("last_day")).select("signature").distinct().withColumn("late", F.lit(True))
-    rows = A.trades(spark, d).join(last, "signature", "left").withColumn("early", (F.col("slot") <= CUT) & F.col("late").isNull()).drop("late")
+    # one day's orders as a table, whose size is known before the trades are dealt for a join with it
+    rows = A.trades(spark, d).join(stored(last), "signature", "left").withColumn("early", (F.col("slot") <= CUT) & F.col("late").isNull()).drop("late")
     rows = stored(rows)
     return rows.where("early").drop("early"), rows.where("NOT early").drop("early")
 
