@@ -174,3 +174,16 @@ def test_wallets_in_doubt_are_classed_trade_by_trade(spark):
     modes = {r.wallet: r.mode for r in K.advance(carried, frame(spark, delta), frame(spark, history)).modes.collect()}
     assert modes == {w: "rebuilt" if o else "continued" if w in known else "started" for w, o in odd.items()}
     assert {"rebuilt", "continued"} <= set(modes.values()) and {"late", "precision", "repeated", "new"} <= {r.kind for r in classes}
+
+
+def test_sells_of_an_advance_are_dealt_once(spark, sf_dir, monkeypatch):
+    """Sells of continued and of rebuilt wallets come from one pass, and no state is written for them."""
+    from tidemark.plans import ledger as P
+
+    written = []
+    monkeypatch.setattr(K, "stored", lambda df, true=K.stored: written.append(df.columns) or true(df))
+    out = P._advanced(spark, sf_dir)
+    dealt = exchanges(out.realized)
+    assert len(dealt) == 1 and "hashpartitioning(chain" in dealt[0] and "token" in dealt[0]
+    assert {r.mode for r in out.modes.collect()} >= {"continued", "rebuilt"}
+    assert len([columns for columns in written if "remaining" in columns]) == 1
