@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 from test_ledger import SCHEMA, loop, rows
 
+from tidemark.functions import common
 from tidemark.operators import hot_markets as H
 from tidemark.operators import ledger as L
 
@@ -67,3 +68,51 @@ def test_episodes_of_blocks_in_one_stored_pass(spark, monkeypatch):
     plain, cut = (sorted(tuple(r) for r in d.select(*names).collect()) for d in (L.ledger_rows(df), H.block_ledger_rows(df)))
     assert cut == plain and max(r[-1] for r in cut) > 20
     assert len(written) == 1
+
+
+def test_rows_of_blocks_are_dealt_once(spark, monkeypatch):
+    """One exchange, by block, for the ledger rows and one for the matches, which are not written."""
+    df = rows(spark, [("a", "buy" if i % 3 else "sell", 1 + i % 4, 1) for i in range(400)])
+    written = []
+    plan = lambda d: [x for x in d._jdf.queryExecution().executedPlan().toString().splitlines() if "rangepartitioning" in x or ("Exchange " in x and "block" in x)]
+    monkeypatch.setattr(H, "stored", lambda d, true=H.stored: written.append((d.columns, plan(d))) or true(d))
+    out = H.block_match_rows(H.block_ledger_rows(df))
+    wide = [dealt for columns, dealt in written if "key" in columns]
+    for dealt in (*wide, plan(out)):
+        assert len(dealt) == 1 and "hashpartitioning(block" in dealt[0]
+    assert len(wide) == 1
+
+
+def test_bounds_of_blocks(spark):
+    places = [("a" if i % 3 else None, "buy", 1, 1) for i in range(900)]
+    df = rows(spark, places).withColumn("slot", F.when(F.col("slot") % 7 > 0, F.floor(F.col("slot") / 2)))
+    got = H.in_blocks(df, L.ORDER[:1]).select("wallet", "slot", "block").collect()
+    in_order = sorted(got, key=lambda r: (r.wallet is not None, r.slot is not None, r.slot or 0))
+    blocks = [r.block for r in in_order]
+    assert blocks == sorted(blocks) and len(set(blocks)) == 4
+    shared = {}
+    for r in got:
+        shared.setdefault((r.wallet, r.slot), set()).add(r.block)
+    assert all(len(x) == 1 for x in shared.values())
+
+
+def test_more_tasks_than_the_sessions_and_one(spark, monkeypatch):
+    rng = random.Random(6)
+    df = rows(spark, [("a", rng.choice(["buy", "sell"]), rng.randint(1, 9), rng.randint(1, 500)) for _ in range(700)])
+    plain = found(L.fifo_match(df))
+    monkeypatch.setattr(common, "TASK_ROWS", 90)
+    assert len({r.block for r in H.in_blocks(df, L.ORDER).select("block").collect()}) > 20
+    assert found(H.fifo_match(df, hot_rows=100)) == plain
+    monkeypatch.undo()
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert found(H.fifo_match(df, hot_rows=100)) == plain
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+
+
+def test_the_query_joins_lines_and_parts_once(spark, sf_dir):
+    from tidemark.plans import ledger as P
+
+    assert not [f for f in P.e1_hot(spark, sf_dir).inputFiles() if "lineitem" in f]

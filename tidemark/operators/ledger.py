@@ -69,22 +69,6 @@ def fifo_match(trades: DataFrame, cost_pct: float = COST_PCT) -> DataFrame:
     return match_rows(ledger_rows(trades), cost_pct)
 
 
-def interval_ends(rows: DataFrame) -> DataFrame:
-    """The ends of the lots' and sells' intervals of cumulative quantity: market, end, lot or sell, kind, key."""
-    rows = rows.where("side = 'buy' OR sold > 0")
-    buy = F.col("side") == "buy"
-    good = F.col("data_quality").isin("observed-execution", "oracle-converted")
-    own = F.struct("key", "t", "qty", "value_usd", "episode", good.alias("good"))
-    return rows.select(
-        *MARKET,
-        F.when(buy, F.col("bought_end")).otherwise(F.col("sold_end")).alias("end"),
-        F.when(buy, own).alias("lot"),
-        F.when(~buy, own).alias("sell"),
-        F.when(buy, 0).otherwise(1).alias("kind"),
-        "key",
-    )
-
-
 def match_rows(rows: DataFrame, cost_pct: float = COST_PCT) -> DataFrame:
     """As fifo_match, of ledger rows."""
     return priced_pieces(_pieces(rows.where("side = 'buy' OR sold > 0")), cost_pct)

@@ -85,7 +85,7 @@ def e1_hot(spark, d):
     """The matches if nine in ten suppliers trade as one wallet in one token: a market with most of the trades."""
     alone = F.col("wallet").endswith("0")
     rows = A.trades(spark, d).withColumn("token", F.when(alone, F.col("token")).otherwise("pooled")).withColumn("wallet", F.when(alone, F.col("wallet")).otherwise("desk"))
-    return _round(H.fifo_match(rows, hot_rows=HOT_ROWS), "invested", "proceeds").select("wallet", "token", "lot_key", "sell_key", "units", "invested", "proceeds", "high_quality")
+    return _round(H.fifo_match(stored(rows), hot_rows=HOT_ROWS), "invested", "proceeds").select("wallet", "token", "lot_key", "sell_key", "units", "invested", "proceeds", "high_quality")
 
 
 def e2(spark, d):
