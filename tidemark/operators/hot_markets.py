@@ -67,8 +67,9 @@ def in_blocks(rows: DataFrame, order: Sequence[str], n: int | None = None) -> Da
     bounds = F.array(*[F.struct(*[F.lit(b[k]).cast(kinds[k]).alias(k) for k in keys]) for b in bounds])
     # halving steps count the bounds at or before a row
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(blocks.bit_length()))])
-    place = F.struct(*keys)
-    return rows.withColumn("block", F.aggregate(steps, F.lit(0), lambda low, step: low + F.when(place >= F.get(bounds, low + step - 1), step).otherwise(0)))
+    count = lambda place: F.aggregate(steps, F.lit(0), lambda low, step: low + F.when(place >= F.get(bounds, low + step - 1), step).otherwise(0))
+    # as an element of an array the row's place is put together once, not at each step
+    return rows.withColumn("block", F.transform(F.array(F.struct(*keys)), count)[0])
 
 
 def _dealt(rows: DataFrame, n: int) -> DataFrame:
